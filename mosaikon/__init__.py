@@ -1 +1,8 @@
 """Spark-native analytics of spatially resolved spectra."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run on executors travel with the job: the package needn't be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
