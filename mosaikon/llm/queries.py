@@ -14,6 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import substring_dedup
+
+    done = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", _sha(F.col("kept_text")).alias("kept_sha256"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -33,4 +40,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_near_dedup, op4_line_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_simhash_near_dedup, op4_line_dedup, op10_exact_dedup)}
