@@ -34,10 +34,16 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", _sha(F.col("kept_text")).alias("kept_sha256"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact import exact_dedup
 
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_simhash_near_dedup, op4_line_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_simhash_near_dedup, op4_line_dedup, op5_embedding_near_dedup, op10_exact_dedup)}
