@@ -47,6 +47,15 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), _sha(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, predict
+    from .shared import held_out
+
+    docs = table(spark, sf_dir, "documents")
+    done = predict(docs.select("doc_id", "text"), fit(docs.select("doc_id", "lang", "text")))
+    return done.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shared import held_out
     from .toxicity import fit, score
@@ -68,4 +77,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_simhash_near_dedup, op4_line_dedup, op5_embedding_near_dedup, op6_bpe, op8_toxicity, op9_html_extraction, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_simhash_near_dedup, op4_line_dedup, op5_embedding_near_dedup, op6_bpe, op7_language_id, op8_toxicity, op9_html_extraction, op10_exact_dedup)}
