@@ -14,6 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What part of all tokens each language should have.
+WEIGHTS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixing_rates
+
+    done = mixing_rates(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), WEIGHTS)
+    return done.select("doc_id", "domain", "posterior", "n_tokens", "rate")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import substring_dedup
 
@@ -77,4 +88,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_simhash_near_dedup, op4_line_dedup, op5_embedding_near_dedup, op6_bpe, op7_language_id, op8_toxicity, op9_html_extraction, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_substring_dedup, op3_simhash_near_dedup, op4_line_dedup, op5_embedding_near_dedup, op6_bpe, op7_language_id, op8_toxicity, op9_html_extraction, op10_exact_dedup)}
