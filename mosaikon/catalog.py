@@ -1,5 +1,7 @@
 """All queries of the engine by name, and the SQL they are checked against."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from .plans import regional, spectral  # noqa: F401
+from .plans.registry import ORACLE, QUERIES
+
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
 FLAGSHIP = "region_contrast"
