@@ -6,8 +6,13 @@ import math
 
 import numpy as np
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-erfc = np.vectorize(math.erfc, otypes=[float])
+
+def _lgamma(x):
+    return np.vectorize(math.lgamma, otypes=[float])(x)
+
+
+def erfc(x):
+    return np.vectorize(math.erfc, otypes=[float])(x)
 
 
 def betainc(a, b, x):

@@ -150,3 +150,103 @@ def quantile_clip(spark, sf):
 SELECT pixel_id, floor(max(s) FILTER (feature = 1) * 255)::INT AS r, floor(max(s) FILTER (feature = 2) * 255)::INT AS g, floor(max(s) FILTER (feature = 3) * 255)::INT AS b FROM s GROUP BY 1""")
 def rgb_overlay(spark, sf):
     return sp.rgb(_features(spark, sf), [1, 2, 3])
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
+def stream_window_means(spark, sf):
+    """The events as a stream, drained."""
+    import uuid
+
+    from ..streaming import live
+
+    return b.rounded(live.drain(live.window_means(live.read_events(spark, f"{sf}/events.parquet")), f"windows_{uuid.uuid4().hex}"))
+
+
+_PEAK = f"WITH {b.DENSE}, m AS (SELECT feature AS bin, avg(v) AS v FROM dense GROUP BY 1), w AS (SELECT bin, v, least(3, floor((bin - min(bin) OVER ()) / (max(bin) OVER () - min(bin) OVER () + 1) * 4)) AS part, max(v) OVER () AS top, v > coalesce(lag(v) OVER (ORDER BY bin), 0) AND v >= coalesce(lead(v) OVER (ORDER BY bin), 0) AS p FROM m), md AS (SELECT part, quantile_cont(v, 0.5) AS md FROM w GROUP BY 1), n AS (SELECT part, quantile_cont(abs(v - md), 0.5) * 1.4826 AS noise FROM w JOIN md USING (part) GROUP BY 1)"
+
+
+@query(f"{_PEAK} SELECT bin, round(v, 6) AS intensity, round(v / top, 6) AS rel_intensity, round(v / noise, 5) AS snr, (row_number() OVER (ORDER BY v DESC, bin))::INT AS rank FROM w JOIN n USING (part) WHERE p AND v / noise >= 3")
+def pick_peaks(spark, sf):
+    from ..operators import intake
+
+    m = sp.mean_spectrum(b.dense(spark, sf).withColumnRenamed("feature", "bin"), b.table(spark, sf, "embeddings")).withColumnRenamed("mean", "v")
+    return b.rounded(intake.pick_peaks(m, 3.0, noise_windows=4).withColumn("snr", F.round("snr", 5)))
+
+
+@query(f"WITH {b.PEAKS}, a AS (SELECT pixel_id, arg_max(mz, intensity * 1e9 - mz) AS m FROM peaks WHERE mz BETWEEN 300 - 300 * 5000e0 / 1e6 AND 300 + 300 * 5000e0 / 1e6 AND intensity > 0 GROUP BY 1), e AS (SELECT (m - 300) / 300 * 1e6 AS p FROM a) SELECT count(*) AS n, round(quantile_cont(p, 0.5), 6) AS median, round(quantile_cont(p, 0.75) - quantile_cont(p, 0.25), 6) AS iqr, round(max(abs(p)), 6) AS max_abs, round(sqrt(avg(p * p)), 5) AS rms FROM e")
+def drift_qc(spark, sf):
+    from ..operators import intake
+
+    return b.rounded(intake.drift(b.peaks(spark, sf), 300.0, 5000.0).withColumn("rms", F.round("rms", 5)))
+
+
+@query(f"WITH {b.PEAKS}, {b.TARGETS_SQL}, a AS (SELECT pixel_id, feature_id, target_mz, arg_max(mz, intensity * 1e9 - mz) AS m FROM peaks JOIN targets ON mz BETWEEN target_mz - target_mz * 2000e0 / 1e6 AND target_mz + target_mz * 2000e0 / 1e6 WHERE intensity > 0 GROUP BY ALL), e AS (SELECT feature_id, target_mz, quantile_cont((m - target_mz) / target_mz * 1e6, 0.5) AS e FROM a GROUP BY 1, 2) SELECT count(*) AS n, round(quantile_cont(e, 0.5), 6) AS median, round(regr_slope(e, target_mz), 6) AS slope, round(1 / (1 + quantile_cont(e, 0.5) * 1e-6), 9) AS factor FROM e")
+def calibration_offset(spark, sf):
+    from ..operators import intake
+
+    refs = b.targets(spark).select(F.col("feature_id").alias("ref_id"), F.col("target_mz").alias("ref_mz"))
+    return intake.calibration(b.peaks(spark, sf), refs, 2000.0).select("n", F.round("median", 6).alias("median"), F.round("slope", 6).alias("slope"), F.round("factor", 9).alias("factor"))
+
+
+@query(f"WITH {b.PEAKS}, {_STATS} SELECT round(stddev_pop(tic) / avg(tic), 6) AS tic_cv, round(stddev_pop(rms) / avg(rms), 6) AS rms_cv, CASE WHEN stddev_pop(tic) / avg(tic) <= 0.05 THEN 'tic' WHEN stddev_pop(rms) / avg(rms) <= 0.05 THEN 'rms' ELSE 'none' END AS method FROM stats")
+def detect_normalisation(spark, sf):
+    from ..operators import intake
+
+    return b.rounded(intake.normalisation(sp.pixel_stats(b.peaks(spark, sf))))
+
+
+@query(f"WITH {b.DENSE}, n AS (SELECT pixel_id, sqrt(sum(v * v)) AS n FROM dense GROUP BY 1) SELECT pixel_id, feature, round(v / n, 6) AS v FROM dense JOIN n USING (pixel_id)")
+def normalise_vectors(spark, sf):
+    from ..functions import arrays
+
+    e = b.table(spark, sf, "embeddings").select(F.col("vec_id").alias("pixel_id"), F.transform("embedding", lambda x: F.abs(x).cast("double")).alias("i"))
+    return b.rounded(e.select("pixel_id", F.posexplode(arrays.l2(F.col("i"))).alias("feature", "v")))
+
+
+@query(f"WITH {b.DENSE}, m AS (SELECT label, feature, avg(v) AS v FROM dense GROUP BY 1, 2), n AS (SELECT pixel_id, sqrt(sum(v * v)) AS n FROM dense GROUP BY 1), k AS (SELECT label, sqrt(sum(v * v)) AS n FROM m GROUP BY 1) SELECT d.pixel_id AS a_id, m.label AS b_id, round(sum(d.v * m.v) / (max(n.n) * max(k.n)), 6) AS cosine FROM dense d JOIN m USING (feature) JOIN n ON n.pixel_id = d.pixel_id JOIN k ON k.label = m.label GROUP BY 1, 2")
+def spectral_cosine(spark, sf):
+    from ..operators import library
+
+    d = b.dense(spark, sf)
+    a = d.select(F.col("pixel_id").alias("id"), F.col("feature").alias("bin"), "v")
+    m = d.groupBy(F.col("label").alias("id"), F.col("feature").alias("bin")).agg(F.avg("v").alias("v"))
+    return b.rounded(library.aligned_cosine(a, m))
+
+
+def _spectra(spark, sf):
+    e = b.table(spark, sf, "embeddings")
+    mz = F.transform(F.sequence(F.lit(0), F.size("embedding") - 1), lambda k: 100.0 + k * 2.5)
+    return e.select("vec_id", "label", (300 + F.col("label") * 10.0).alias("precursor"), mz.alias("mz"), F.transform("embedding", lambda x: F.abs(x).cast("double")).alias("intensity"))
+
+
+@query()
+def library_search(spark, sf):
+    """Every spectrum against the mean spectrum of each label near its precursor."""
+    from ..operators import library
+
+    s = _spectra(spark, sf)
+    lib = s.select("label", "precursor", F.posexplode("intensity").alias("k", "i")).groupBy("label", "precursor", "k").agg(F.avg("i").alias("i")).groupBy("label", "precursor").agg(F.array_sort(F.collect_list(F.struct("k", "i"))).alias("p"))
+    lib = lib.select(F.concat(F.lit("label "), F.col("label").cast("string")).alias("name"), "precursor", F.transform("p", lambda p: 100.0 + p["k"] * 2.5).alias("mz"), F.transform("p", lambda p: p["i"]).alias("intensity"))
+    return b.rounded(library.search(s.select(F.col("vec_id").alias("query_id"), "precursor", "mz", "intensity"), lib))
+
+
+def _preprocessed(spark, sf, *steps):
+    from ..functions import arrays
+
+    s = _spectra(spark, sf)
+    return b.rounded(s.select(F.col("vec_id").alias("pixel_id"), F.posexplode(arrays.pipeline(F.col("intensity"), list(steps))).alias("bin", "v")))
+
+
+@query()
+def preprocess_snip(spark, sf):
+    return _preprocessed(spark, sf, {"name": "snip", "iterations": 10}, {"name": "l2"})
+
+
+@query()
+def preprocess_savgol(spark, sf):
+    return _preprocessed(spark, sf, {"name": "hull"}, {"name": "savgol", "window": 7})
+
+
+@query()
+def preprocess_baseline(spark, sf):
+    return _preprocessed(spark, sf, {"name": "locmin", "window": 10}, {"name": "gaussian", "sigma": 1.0})
