@@ -10,6 +10,7 @@ chunks.  If they don't, the stretch that is encoded again doubles until its ends
 from __future__ import annotations
 
 import os
+import unicodedata
 from array import array
 from collections.abc import Iterator
 
@@ -48,6 +49,12 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        #: Without a decoder of its own the library joins tokens by spaces.
+        self.joined = self.tokenizer.decoder is None
+        names = [self.tokenizer.id_to_token(k) or "" for k in range(self.tokenizer.get_vocab_size())]
+        self.tokens = [n.encode() for n in names]
+        self.final = np.array([n.endswith("</w>") for n in names])
+        self.sizes = np.array([len(n.removesuffix("</w>")) for n in names])
         self.words: dict = {}
         self.chunks: dict = {}
 
@@ -55,11 +62,42 @@ class Coder:
         return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
     def _learn(self, words: list[bytes]) -> None:
-        ids = self._encode(words)
+        """Encode words, many at a time where the tokens can be dealt back to them by their bytes."""
+        plain = [w for w in words if self._plain(w)] if self.joined else []
+        for s in range(0, len(plain), 512):
+            if not self._together(plain[s : s + 512]):
+                for w in plain[s : s + 512]:
+                    self.words.pop(w, None)
+        rest = [w for w in words if w not in self.words]
+        ids = self._encode(rest)
         texts = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-        for w, i, t in zip(words, ids, texts, strict=True):
+        for w, i, t in zip(rest, ids, texts, strict=True):
             self.words[w] = (array("I", i).tobytes(), t.encode())
 
+    @staticmethod
+    def _plain(word: bytes) -> bool:
+        """Normalising keeps the number of its bytes, and no special token is in it."""
+        if word.isascii():
+            return b"<|" not in word
+        text = word.decode()
+        return unicodedata.is_normalized("NFC", text) and len(text.lower().encode()) == len(word) and b"<|" not in word
+
+    def _together(self, words: list[bytes]) -> bool:
+        """One encoding of all words: a word's tokens end where its bytes do.  False if any doesn't."""
+        ids = np.array(self._encode([b" ".join(words)])[0], np.int64)
+        done, ends = np.cumsum(self.sizes[ids]), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        at = np.searchsorted(done, ends)
+        if not len(ids) or at[-1] != len(ids) - 1 or (done[at] != ends).any() or not self.final[ids[at]].all():
+            return False
+        raw, texts = ids.astype("<u4").tobytes(), [self.tokens[i] for i in ids.tolist()]
+        text = b" ".join(texts)
+        upto = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        begin = start = 0
+        for w, last, end in zip(words, (at + 1).tolist(), upto[at].tolist(), strict=True):
+            self.words[w] = (raw[4 * begin : 4 * last], text[start : end - 1])
+            begin, start = last, end
+        return True
+
     def batch(self, texts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """(ids, decoded text) of each text."""
         if len(self.words) > MEMO_WORDS:
