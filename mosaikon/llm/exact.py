@@ -10,20 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WHITE, scratch
+from .shared import WHITE, bit_blocks, bit_table, maybe, scratch
 
-#: Bits of one filter block, the size of Spark's bitmap aggregates.
-BLOCK = 32768
 #: The filter takes 16 bits a row, and at most this many: 64 MB.  Above that more rows count as possibly repeated
 #: and shuffle; the result stays the same.
 MOST_BITS = 1 << 29
 
 
-def _bit(bitmap, bit):
-    byte = F.conv(F.hex(F.substring(bitmap, (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (bit % 8).cast("int"))) != 0
-
-
 def exact_dedup(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """docs(doc_id, text) -> one row per row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -37,28 +30,15 @@ def exact_dedup(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
         docs.select("doc_id", F.char_length(text).alias("n"), F.unhex(F.sha2(F.regexp_replace(text, f"{WHITE}+", "").cast("binary"), 256)).alias("sha")),
         "exact-keys",
     )
-    blocks = 1
-    while blocks * BLOCK < min(16 * keys.count(), most_bits):
-        blocks *= 2
-    h = F.xxhash64("sha")
-    keyed = keys.select(
-        "*",
-        F.pmod(h, F.lit(blocks)).cast("int").alias("block"),
-        F.shiftrightunsigned(h, 31).bitwiseAND(F.lit(BLOCK - 1)).cast("int").alias("b1"),
-        F.shiftrightunsigned(h, 47).bitwiseAND(F.lit(BLOCK - 1)).cast("int").alias("b2"),
-    )
-    touched = keyed.select("block", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("bit")).groupBy("block", "bit").agg(F.count("*").alias("n")).where("n > 1")
-    twice = scratch(touched.groupBy("block").agg(F.bitmap_construct_agg(F.col("bit").cast("long")).alias("bits")), "exact-filter")
-    # most_bits / 8 bytes at most, whatever the number of rows
-    seen = keyed.join(F.broadcast(twice), "block", "left").withColumn(
-        "again", F.coalesce(_bit(F.col("bits"), F.col("b1")) & _bit(F.col("bits"), F.col("b2")), F.lit(False))
-    ).select("doc_id", "n", "sha", "again")
-    maybe = seen.where("again").select("doc_id", "n", "sha")
+    blocks, h = bit_blocks(keys.count(), most_bits), F.xxhash64("sha")
+    twice = bit_table(keys.select(h.alias("h")), blocks, 2)
+    seen = maybe(keys, h, twice, blocks)
+    again = seen.where("__maybe").select("doc_id", "n", "sha")
     groups = scratch(
-        maybe.groupBy("sha").agg(F.min(F.struct((-F.col("n")).alias("n"), "doc_id")).alias("best"), F.count("*").alias("group_size"))
+        again.groupBy("sha").agg(F.min(F.struct((-F.col("n")).alias("n"), "doc_id")).alias("best"), F.count("*").alias("group_size"))
         .where("group_size > 1").select("sha", F.col("best.doc_id").alias("keep_id"), "group_size"),
         "exact-groups",
     )
-    met = maybe.join(groups, "sha", "left").select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), "sha")
-    alone = seen.where("not again").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
+    met = again.join(groups, "sha", "left").select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), "sha")
+    alone = seen.where("not __maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
     return alone.unionByName(met).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held_out, mix64, small_batches
+from .shared import draw, held_out, mix64, small_batches
 
 #: Sample documents for each language, the longest piece and word part in characters, EM rounds, smoothing.
 SAMPLE, PIECE, PART, ROUNDS, SMOOTH = 400, 5, 24, 4, 0.1
@@ -142,12 +142,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, vocabulary: str | None = None) ->
     The sample is drawn by a hash of doc_id; its words are counted in Spark, and each language is learned in a task
     of its own from those counts, which the sample bounds.
     """
-    from pyspark.sql import Window
-
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    ranked = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
-    w = Window.partitionBy("lang").orderBy("h", "doc_id")
-    drawn = ranked.withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample).select("lang", "doc_id")
+    drawn = draw(known, "lang", sample)
     small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WHITE, scratch
+from .shared import WHITE, draw, scratch
 
 #: Labelled documents of each domain that the classifier learns from, the words it knows of each, smoothing.
 SAMPLE, WORDS, SMOOTH = 1000, 400, 0.5
@@ -37,8 +37,7 @@ def learn(labelled: DataFrame, label: str, sample: int = SAMPLE, words: int = WO
     each that most documents have: domains * words rows at most.
     """
     known = labelled.where(F.col(label).isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col(label).alias("domain"), "text")
-    w = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
-    drawn = known.select("doc_id", "domain").withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample).select("doc_id", "domain").distinct()
+    drawn = draw(known, "domain", sample)
     counts = _words(known.join(F.broadcast(drawn), ["doc_id", "domain"]), "domain").where("word <> ''").groupBy("domain", "word").agg(F.count("*").alias("n"))
     counts = scratch(counts, "domain-words")
     ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("n"), "word"))).where(F.col("r") <= words)
@@ -124,10 +123,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, label: str = "
     A rate of 2.3 is two rows, and a third for the three in ten documents whose hash of doc_id says so; no draw depends
     on where a row is.
     """
-    rates = mixing_rates(docs, weights, label).select(F.col("doc_id").alias("__doc"), F.col("version").alias("__version"), "rate")
+    rates = mixing_rates(docs, weights, label).select(F.col("doc_id").alias("__doc"), F.col("version").alias("__version"), F.col("rate").alias("__rate"))
     chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     own = docs.columns
     here = docs.withColumn("__own", F.xxhash64(F.coalesce("text", F.lit(""))))
     met = here.join(rates, here["doc_id"].eqNullSafe(rates["__doc"]) & (here["__own"] == rates["__version"]))
-    times = F.floor(F.col("rate") + chance).cast("int")
+    times = F.floor(F.col("__rate") + chance).cast("int")
     return met.where(times > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), times))).select(*[docs[c] for c in own])

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space of every word and line rule here, as a Java regular expression.
@@ -55,6 +55,54 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def draw(known: DataFrame, key: str, n: int) -> DataFrame:
+    """(key, doc_id) of up to n rows of each key, the first in the order of a hash of doc_id.
+
+    Counts come first; with them a cut on the hash leaves about twice as many as are wanted, and only those are put in
+    order, however many rows a key has.
+    """
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    counts = known.groupBy(key).agg(F.count("*").alias("__n"))  # a row for each key
+    near = known.select(key, "doc_id", h.alias("__h")).join(F.broadcast(counts), key).where(F.col("__h") < F.lit(float(1 << 30)) * (2 * n + 64) / F.col("__n"))
+    w = Window.partitionBy(key).orderBy("__h", "doc_id")
+    return near.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).select(key, "doc_id").distinct()
+
+
+#: Bits of one block of a bit table, the size of Spark's bitmap aggregates.
+BLOCK = 32768
+
+
+def bit_blocks(n: int, most_bits: int) -> int:
+    """Blocks of a bit table for n hashes: 16 bits for each, most_bits in all at most."""
+    blocks = 1
+    while blocks * BLOCK < min(16 * n, most_bits):
+        blocks *= 2
+    return blocks
+
+
+def _place(h, blocks: int):
+    low = F.lit(BLOCK - 1)
+    return F.pmod(h, F.lit(blocks)).cast("int"), F.shiftrightunsigned(h, 31).bitwiseAND(low).cast("int"), F.shiftrightunsigned(h, 47).bitwiseAND(low).cast("int")
+
+
+def bit_table(hashes: DataFrame, blocks: int, least: int = 1) -> DataFrame:
+    """(block, bits) of hashes(h): a Bloom filter of two bits each, of the cells that `least` hashes touch."""
+    block, b1, b2 = _place(F.col("h"), blocks)
+    touched = hashes.select(block.alias("block"), F.explode(F.array_distinct(F.array(b1, b2))).alias("bit")).groupBy("block", "bit").agg(F.count("*").alias("n"))
+    return scratch(touched.where(F.col("n") >= least).groupBy("block").agg(F.bitmap_construct_agg(F.col("bit").cast("long")).alias("bits")), "bits")
+
+
+def maybe(df: DataFrame, h, table: DataFrame, blocks: int) -> DataFrame:
+    """df with __maybe: false where the table can't hold h.  The table is broadcast: bit_blocks() bounds it."""
+    def bit(at):
+        byte = F.conv(F.hex(F.substring(F.col("bits"), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (at % 8).cast("int"))) != 0
+
+    block, b1, b2 = _place(h, blocks)
+    met = df.withColumns({"__b": block, "__1": b1, "__2": b2}).join(F.broadcast(table.withColumnRenamed("block", "__b")), "__b", "left")
+    return met.withColumn("__maybe", F.coalesce(bit(F.col("__1")) & bit(F.col("__2")), F.lit(False))).select(*df.columns, "__maybe")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A finaliser for 64-bit hashes (SplitMix64)."""
     x = x ^ (x >> np.uint64(30))

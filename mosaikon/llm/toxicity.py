@@ -22,7 +22,7 @@ from .shared import held_out, scratch, small_batches
 SAMPLE, FEATURES, LEAST = 12_000, 3_000, 4
 THRESHOLD = 0.3
 #: Lasso (over the root of the sample size), weight of the counterfactual penalty, steps.
-LASSO, PENALTY, STEPS = 0.06, 1.0, 300
+LASSO, PENALTY, STEPS = 0.06, 4.0, 400
 #: Groups of interchangeable terms.
 IDENTITY = (
     ("man", "woman"), ("men", "women"), ("boy", "girl"), ("he", "she"), ("his", "her"), ("male", "female"),

@@ -127,3 +127,19 @@ def compare_lists(ours: DataFrame, theirs: DataFrame, keys: list[str]) -> DataFr
     return a.join(b, keys, "full_outer").select(*keys, "q", "fdr", side.alias("agreement"), (F.col("q") - F.col("fdr")).alias("delta"))
 
 
+
+
+def confidence(table: DataFrame, ppm: float = 10.0) -> DataFrame:
+    """table(ppm, isotope, n_adducts, lead, prior, isotope_ok) with confidence (0 to 100) and its grade.
+
+    Half is closeness, .22 the isotope score, .16 other adducts (two are enough), .12 the lead over the next candidate.
+    """
+    unit = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+    score = 100 * (0.5 * unit(1 - F.abs("ppm") / ppm) + 0.22 * unit(F.coalesce("isotope", F.lit(0.0))) + 0.16 * unit((F.col("n_adducts") - 1) / 2.0) + 0.12 * unit(F.coalesce("lead", F.lit(0.0)) / ppm))
+    grade = F.when((F.col("confidence") >= 70) & F.col("isotope_ok"), "High").when(F.col("confidence") >= 45, "Medium").otherwise("Low")
+    return table.withColumn("confidence", score).withColumn("grade", grade)
+
+
+def search_urls(table: DataFrame) -> DataFrame:
+    """table(name) with a literature search address."""
+    return table.withColumn("url", F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/?term="), F.url_encode("name")))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import statistics as st
-from .ranges import window_join
+from ..functions import special
+from .ranges import nearest, window_join
 
 
 def consensus(peaks: DataFrame, ppm: float = 20.0, min_prevalence: float = 0.0) -> DataFrame:
@@ -195,3 +196,67 @@ def relocate(missing: DataFrame, files: DataFrame) -> DataFrame:
     return missing.withColumn("__n", name("source")).join(one, "__n", "left").drop("__n")
 
 
+
+
+def apply_metadata(samples: DataFrame, rows: DataFrame) -> DataFrame:
+    """samples(name, meta) with the columns of rows(name, meta) merged in, names compared without case."""
+    extra = rows.select(F.lower("name").alias("__k"), F.col("meta").alias("__m")).dropDuplicates(["__k"])
+    got = samples.withColumn("__k", F.lower("name")).join(extra, "__k", "left")
+    fresh = F.coalesce("__m", F.expr("cast(map() as map<string, string>)"))
+    kept = F.map_filter("meta", lambda k, _: ~F.map_contains_key(fresh, k))
+    return got.withColumn("meta", F.map_concat(kept, fresh)).drop("__k", "__m")
+
+
+def subject_and_compartment(samples: DataFrame, subject: str = "slide", compartment: str = "last") -> DataFrame:
+    """samples(name, region, meta) with subject (slide, first, last or meta:key) and compartment (exact, first, last or meta:key)."""
+    def token(rule: str):
+        if rule.startswith("meta:"):
+            return F.try_element_at("meta", F.lit(rule[5:]))
+        if rule == "slide":
+            return F.lower("name")
+        if rule == "exact":
+            return F.col("region")
+        parts = F.split(F.trim("region"), r"\s+")
+        return F.element_at(parts, 1 if rule == "first" else -1)
+
+    return samples.withColumns({"subject": token(subject), "compartment": token(compartment)})
+
+
+def batch_mixing(table: DataFrame, most: int = 2000) -> DataFrame:
+    """rejected: the share of rows whose neighbours' batches differ from all batches (chi-squared at 0.05).
+
+    table(row_id, feature, batch, v).  A cohort's rows are samples and not pixels; neighbours are looked for among
+    `most` of them, drawn by a hash, and that table alone is broadcast.
+    """
+    wide = table.groupBy("row_id", "batch").agg(F.array_sort(F.collect_list(F.struct("feature", "v"))).alias("f")).select("row_id", "batch", F.transform("f", lambda x: x["v"]).alias("x"))
+    drawn = wide.orderBy(F.xxhash64("row_id"), "row_id").limit(most).collect()
+    if not drawn:
+        return wide.select(F.lit(None).cast("double").alias("rejected")).limit(0)
+    x, batch = np.array([r["x"] for r in drawn], float), np.array([r["batch"] for r in drawn])
+    names, own = np.unique(batch, return_inverse=True)
+    whole, k = np.bincount(own) / len(own), max(3, round(0.25 * len(own)))
+    ids = np.array([r["row_id"] for r in drawn])
+
+    @F.pandas_udf(DoubleType())
+    def p(row: pd.Series, v: pd.Series) -> pd.Series:
+        out = []
+        for i, y in zip(row, v, strict=True):
+            d = ((x - np.asarray(y, float)) ** 2).sum(1)
+            d[ids == i] = np.inf
+            near = np.bincount(own[np.argsort(d, kind="stable")[:k]], minlength=len(names))
+            out.append(float(special.chi2_sf(((near - k * whole) ** 2 / (k * whole)).sum(), max(1, len(names) - 1))))
+        return pd.Series(out)
+
+    return wide.select(p("row_id", "x").alias("p")).agg(F.avg((F.col("p") < 0.05).cast("double")).alias("rejected"))
+
+
+def snap(targets: DataFrame, apexes: DataFrame, ppm: float) -> DataFrame:
+    """targets(target_id, mz) moved to the nearest apex(ref_mz) within ppm, where there is one."""
+    return nearest(targets, apexes, ppm, ["target_id"]).withColumn("mz", F.coalesce("ref_mz", "mz")).drop("ref_mz")
+
+
+def union_targets(primary: DataFrame, extra: DataFrame, ppm: float, most: int = 0) -> DataFrame:
+    """mz, intensity of all primary targets, and of the extra ones with none of those near; the strongest if capped."""
+    met = window_join(extra.select("mz", "intensity"), primary.select(F.col("mz").alias("ref_mz")), ppm).select("mz").distinct()
+    out = primary.select("mz", "intensity").union(extra.join(met, "mz", "left_anti").select("mz", "intensity"))
+    return out.orderBy(F.desc("intensity"), "mz").limit(most) if most else out

@@ -242,3 +242,95 @@ def two_level_mixture(values: DataFrame, pixels: DataFrame, k: int = 3, rounds:
     rank = F.array(*[F.lit(order.index(i)) for i in range(k)])
     best = F.array_position("r", F.array_max("r")).cast("int") - 1
     return resp.select("pixel_id", F.get(rank, best).alias("label"))
+
+
+def ward(centres: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, float]]:
+    """Merges (a, b, height) of a few hundred centres by the least growth of the sum of squares; new ones count on."""
+    n = len(centres)
+    c, w, alive, out = [x.astype(float) for x in centres], list(map(float, sizes)), list(range(n)), []
+    while len(alive) > 1:
+        x, m = np.stack([c[i] for i in alive]), np.array([w[i] for i in alive])
+        d = ((x[:, None] - x[None]) ** 2).sum(2) * (m[:, None] * m[None]) / (m[:, None] + m[None])
+        np.fill_diagonal(d, np.inf)
+        i, j = sorted(np.unravel_index(int(d.argmin()), d.shape))
+        a, b = alive[i], alive[j]
+        out.append((a, b, float(math.sqrt(2 * d[i, j]))))
+        c.append((w[a] * c[a] + w[b] * c[b]) / (w[a] + w[b]))
+        w.append(w[a] + w[b])
+        alive = [k for k in alive if k not in (a, b)] + [len(c) - 1]
+    return out
+
+
+def cut_tree(merges: list[tuple[int, int, float]], k: int) -> list[int]:
+    """The cluster of each leaf when k are left."""
+    n = len(merges) + 1
+    parent = list(range(2 * n - 1))
+    for step, (a, b, _) in enumerate(merges[: n - max(1, min(k, n))]):
+        parent[a] = parent[b] = n + step
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    names: dict = {}
+    return [names.setdefault(root(i), len(names)) for i in range(n)]
+
+
+def hierarchy(dense: DataFrame, micro: int = 50, n_components: int = 5, seed: int = 0) -> tuple[DataFrame, list]:
+    """(pixel_id, micro cluster) and the tree over the micro clusters: only their centres go to the driver."""
+    z = scaled(dense)
+    s = PCA(k=n_components, inputCol="z", outputCol="s").fit(z).transform(z).select("pixel_id", "s")
+    model = KMeans(k=micro, featuresCol="s", predictionCol="c", seed=seed).fit(s)
+    labels = model.transform(s).select("pixel_id", "c")
+    sizes = dict(labels.groupBy("c").count().collect())
+    return labels, ward(np.stack(model.clusterCenters()), np.array([sizes.get(i, 0) or 1e-9 for i in range(len(model.clusterCenters()))]))
+
+
+def labels_for(labels: DataFrame, merges: list, k: int) -> DataFrame:
+    """pixel_id, label of the tree cut at k, the largest first."""
+    own = cut_tree(merges, k)
+    at = F.array(*[F.lit(c) for c in own])
+    return by_size(labels.select("pixel_id", F.get(at, F.col("c")).alias("c")))
+
+
+def standardised(dense: DataFrame, sample: str = "sample") -> DataFrame:
+    """v with mean zero and deviation one by sample and feature: samples then share an axis."""
+    m = dense.groupBy(sample, "feature").agg(F.avg("v").alias("__m"), F.stddev_pop("v").alias("__s"))
+    z = F.when(F.col("__s") > 0, (F.col("v") - F.col("__m")) / F.col("__s")).otherwise(0.0)
+    return dense.join(F.broadcast(m), [sample, "feature"]).withColumn("v", z).drop("__m", "__s")
+
+
+def pooled(dense: DataFrame, cap: int, sample: str = "sample") -> DataFrame:
+    """At most cap pixels of each sample, drawn by a hash: what an embedding of many samples is made of."""
+    px = dense.select(sample, "pixel_id").distinct()
+    n = px.groupBy(sample).agg(F.count("*").alias("__n"))
+    h = F.pmod(F.xxhash64("pixel_id"), F.lit(1 << 30))
+    near = px.join(F.broadcast(n), sample).withColumn("__h", h).where(F.col("__h") < float(1 << 30) * (2 * cap + 64) / F.col("__n"))
+    kept = near.withColumn("__r", F.row_number().over(Window.partitionBy(sample).orderBy("__h", "pixel_id"))).where(F.col("__r") <= cap).select(sample, "pixel_id")
+    return dense.join(kept, [sample, "pixel_id"], "left_semi")
+
+
+def joint_segments(dense: DataFrame, k: int = 6, n_components: int = 5, seed: int = 0) -> DataFrame:
+    """sample, pixel_id, label: clusters of all samples together, each standardised first.
+
+    dense(sample, pixel_id, feature, v); pixel_id tells pixels apart across samples.
+    """
+    own = standardised(dense)
+    r = rows(own, "sample", log=False).withColumn("z", array_to_vector("x"))
+    s = PCA(k=n_components, inputCol="z", outputCol="s").fit(r).transform(r).select("sample", "pixel_id", "s")
+    made = KMeans(k=k, featuresCol="s", predictionCol="c", seed=seed).fit(s).transform(s)
+    return made.select("sample", "pixel_id").join(by_size(made.select("pixel_id", "c")), "pixel_id")
+
+
+def smoothed_segments(dense: DataFrame, pixels: DataFrame, k: int = 6, n_components: int = 3, sigma: float = 1.0, seed: int = 0) -> DataFrame:
+    """pixel_id, label: PCA scores smoothed over the grid, then clustered."""
+    scores, _, _ = pca(dense, n_components)
+    long = scores.select("pixel_id", F.posexplode("scores").alias("c", "v"))
+    parts = None
+    for i in range(n_components):
+        one = smooth(long.where(F.col("c") == i).select("pixel_id", "v"), pixels, sigma, 3).withColumnRenamed("v", f"s{i}")
+        parts = one if parts is None else parts.join(one, "pixel_id")
+    s = parts.select("pixel_id", array_to_vector(F.array(*[F.col(f"s{i}") for i in range(n_components)])).alias("s"))
+    made = KMeans(k=k, featuresCol="s", predictionCol="c", seed=seed).fit(s).transform(s)
+    return by_size(made.select("pixel_id", "c"))
