@@ -67,7 +67,7 @@ def batch_mixing(spark, sf):
     return b.rounded(co.batch_mixing(b.dense(spark, sf).select(F.col("pixel_id").alias("row_id"), "feature", F.col("label").alias("batch"), "v")))
 
 
-@query("SELECT c_custkey AS id, lower(c_name) AS subject, element_at(string_split_regex(c_mktsegment || ' zone ' || c_nationkey, '\\s+'), -1) AS compartment FROM customer")
+@query("SELECT c_custkey AS id, lower(c_name) AS subject, list_extract(string_split_regex(c_mktsegment || ' zone ' || c_nationkey, '\\s+'), -1) AS compartment FROM customer")
 def cohort_subjects(spark, sf):
     c = b.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.concat("c_mktsegment", F.lit(" zone "), F.col("c_nationkey").cast("string")).alias("region"), F.expr("cast(map() as map<string, string>)").alias("meta"))
     return co.subject_and_compartment(c).select("id", "subject", "compartment")
