@@ -21,9 +21,9 @@ def exact_dedup(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """docs(doc_id, text) -> one row per row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after all characters of [\\x20\\x09-\\x0D] are deleted.  Of equal texts the row
-    with the most code points in the original stays, then that of the smallest doc_id.  A null text is an empty
-    one; empty texts equal each other.  Rows that repeat a doc_id each count in group_size, and are kept
-    together if their doc_id stays.  Columns other than doc_id and text are ignored; an empty table gives none.
+    with the most code points in the original stays, then that of the smallest doc_id, a null one counting as the
+    largest.  A null text is an empty one; empty texts equal each other.  Rows that repeat a doc_id, null too, each
+    count in group_size, and are kept together if their doc_id stays; keep_id is null if that is null.  Columns other than doc_id and text are ignored; an empty table gives none.
     """
     text = F.coalesce("text", F.lit(""))
     keys = scratch(
@@ -35,10 +35,11 @@ def exact_dedup(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     seen = maybe(keys, h, twice, blocks)
     again = seen.where("__maybe").select("doc_id", "n", "sha")
     groups = scratch(
-        again.groupBy("sha").agg(F.min(F.struct((-F.col("n")).alias("n"), "doc_id")).alias("best"), F.count("*").alias("group_size"))
-        .where("group_size > 1").select("sha", F.col("best.doc_id").alias("keep_id"), "group_size"),
+        again.groupBy("sha").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id")).alias("best"), F.count("*").alias("group_size"))
+        .where("group_size > 1").select("sha", F.col("best.doc_id").alias("best_id"), "group_size"),
         "exact-groups",
     )
-    met = again.join(groups, "sha", "left").select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), "sha")
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("best_id"))
+    met = again.join(groups, "sha", "left").select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), "sha")
     alone = seen.where("not __maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
     return alone.unionByName(met).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))

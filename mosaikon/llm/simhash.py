@@ -49,16 +49,23 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _version():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, fp (the 64 bits as a signed long); a null text is an empty one."""
+    """docs(doc_id, text) -> doc_id, version, fp (the 64 bits as a signed long); a null text is an empty one.
+
+    version tells texts of one doc_id apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).cast(pa.binary()).to_pylist()
             fp = np.fromiter((fingerprint(t or b"") for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([b.column(0), _signed(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), _signed(fp)], ["doc_id", "version", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text", _version().alias("version")).mapInArrow(run, "doc_id long, version long, fp long")
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,15 +135,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(compare(held_key, held_fp))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, fingerprint (16 hex digits), component_id, one row per row of docs.
-
-    component_id is the least doc_id reachable over links.  Texts without words (null, empty, white space) have
-    fingerprint zero and link like any other; equal fingerprints always link, so only distinct ones are hashed and
-    compared.  Rows that repeat a doc_id are rows of their own.  Other columns are ignored; an empty table gives
-    none.  How many distinct fingerprints can meet on one variant is bounded by the geometry of the ball and does
-    not grow with the copies of a document.
-    """
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and a row for each distinct one: fp, first (its least doc_id), component."""
     spark = docs.sparkSession
     small_batches(spark)
     prints = scratch(fingerprints(docs), "prints")
@@ -146,13 +146,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shuffled = variants.repartition("variant").sortWithinPartitions("variant")
     links = shuffled.mapInArrow(_meet, "u long, v long")
     found = components(links).select(F.col("node").alias("fp"), "component")
-    classes = distinct.join(found, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    return prints, distinct.join(found, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, fingerprint (16 hex digits), component_id, one row per row of docs.
+
+    component_id is the least doc_id reachable over links, null where no row of the class has one.  Texts without
+    words (null, empty, white space) have fingerprint zero and link like any other; equal fingerprints always link,
+    so only distinct ones are hashed and compared.  Rows that repeat a doc_id are rows of their own.  Other columns
+    are ignored; an empty table gives none.  How many distinct fingerprints can meet on one variant is bounded by the
+    geometry of the ball and does not grow with the copies of a document.
+    """
+    prints, classes = _classes(docs)
     least = classes.groupBy("component").agg(F.min("first").alias("component_id"))
     classes = scratch(classes.join(least, "component").select("fp", "component_id"), "print-classes")
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents that are the first of their class, with all their columns."""
-    first = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    return docs.join(first, docs["doc_id"] == first["__first"], "left_semi")
+    """The documents that are the first of their class, with all their columns.
+
+    First is the text of the smallest doc_id; a null doc_id counts as the largest.  Of several texts of that doc_id in
+    one class the one with the least hash is first.  Each text is kept or not by its own class, whatever happens to
+    other texts of its doc_id.  Rows that repeat a doc_id and its text are one document and stay together, those
+    with a null doc_id too.
+    """
+    prints, classes = _classes(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")
+    # first by fingerprint, then by class: a row for each distinct fingerprint goes on
+    by_print = prints.groupBy("fp").agg(F.min(order).alias("head"))
+    heads = by_print.join(classes.select("fp", "component"), "fp").groupBy("component").agg(F.min("head").alias("head"))
+    heads = scratch(heads.select(F.col("head.doc_id").alias("__first"), F.col("head.version").alias("__version")), "heads")
+    return docs.join(heads, docs["doc_id"].eqNullSafe(heads["__first"]) & (_version() == heads["__version"]), "left_semi")

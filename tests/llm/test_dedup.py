@@ -246,3 +246,23 @@ def test_keep_first_keeps_all_columns(odd):
     got = simhash.keep_first(odd.withColumn("source", F.lit("s")))
     assert got.columns == ["doc_id", "text", "source"]
     assert {r["doc_id"] for r in got.collect()} == {c for _, c in plain_simhash(ODD).values()}
+
+
+def test_keep_first_with_null_ids_and_several_texts_of_one_id(spark):
+    """Each text is kept by its own class; a null doc_id is the largest."""
+    other, third = "words that no other document of this table has in it", "yet more words of a third text that stands alone"
+    rows = [(None, other), (1, SENTENCE), (2, SENTENCE), (2, third), (None, third), (3, None), (None, "")]
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 99, r["text"] or "") for r in got) == [(1, SENTENCE), (2, third), (3, ""), (99, other)]
+    # two texts of one null doc_id in one class: one of them stays
+    near = spark.createDataFrame([(None, "same words here"), (None, "same  words here")], "doc_id long, text string")
+    assert simhash.keep_first(near).count() == 1
+
+
+@pytest.mark.parametrize("bits", [exact.MOST_BITS, 1])
+def test_exact_with_null_ids(spark, bits):
+    rows = [(None, "a  b"), (1, "a b"), (2, "ab"), (3, "c"), (None, "c"), (None, "alone")]
+    got = exact.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), bits).collect()
+    assert sorted((r["doc_id"] or 99, r["keep_id"] or 99, r["group_size"], r["kept"]) for r in got) == [
+        (1, 99, 3, False), (2, 99, 3, False), (3, 3, 2, True), (99, 3, 2, False), (99, 99, 1, True), (99, 99, 3, True)
+    ]
