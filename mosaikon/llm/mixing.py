@@ -95,11 +95,23 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS) -> D
     return rated
 
 
+def targets(domains: list, present: list[float], tokens: float, weights: dict[str, float] | None) -> list[float]:
+    """Tokens that each domain should have, of those present: `tokens` in all."""
+    listed = {d: max(0.0, float(w)) for d, w in (weights or dict.fromkeys(domains, 1.0)).items() if d in domains}
+    others = sum(p for d, p in zip(domains, present, strict=True) if d not in listed)
+    asked = sum(listed.values())
+    if not asked and not others:  # every domain has the weight zero
+        listed, asked = dict.fromkeys(domains, 1.0), float(len(domains))
+    rest, grow = (max(0.0, tokens - others), 1.0) if asked else (0.0, tokens / others)
+    return [rest * listed[d] / (asked or 1.0) if d in listed else p * grow for d, p in zip(domains, present, strict=True)]
+
+
 def mixing_rates(docs: DataFrame, weights: dict[str, float] | None = None, label: str = "lang") -> DataFrame:
     """docs(doc_id, text, label) -> doc_id, version, n_tokens, domain, posterior, rate: a row for each document.
 
-    weights: what part of all tokens each domain should have, evenly by default; they are brought to a sum of one
-    over the domains that occur.  Labels teach the classifier and aren't looked at otherwise.  Null and empty texts
+    weights: what part of all tokens each domain should have, evenly by default.  A domain that weights doesn't list
+    keeps the part it has; the listed ones that occur divide the rest by their weights.  Only a weight of zero sets a
+    domain to zero.  Labels teach the classifier and aren't looked at otherwise.  Null and empty texts
     have no tokens and the rate their posteriors give.  Where nothing is labelled all rates are 1.  An empty table
     gives none.  Ties between domains go to the first by name.
     """
@@ -108,10 +120,8 @@ def mixing_rates(docs: DataFrame, weights: dict[str, float] | None = None, label
     if not domains:
         model, domains = spark.createDataFrame([], "word string, logp array<double>"), [None]
     members = scratch(posteriors(docs, model, domains), "posteriors")
-    asked = [max(0.0, float((weights or {}).get(d, 0.0 if weights else 1.0))) for d in domains]
-    asked = asked if sum(asked) else [1.0] * len(domains)
-    tokens = members.agg(F.sum("tokens")).first()[0] or 0
-    rated = fit_rates(members, [tokens * a / sum(asked) for a in asked])
+    sums = members.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * F.get("post", F.lit(k))) for k in range(len(domains))]).first()
+    rated = fit_rates(members, targets(domains, [float(x or 0) for x in sums[1:]], float(sums[0] or 0), weights))
     best = F.array_position("post", F.array_max("post")).cast("int")
     names = F.array(*[F.lit(d).cast("string") for d in domains])
     return rated.select("doc_id", "version", F.col("tokens").alias("n_tokens"), F.get(names, best - 1).alias("domain"), F.array_max("post").alias("posterior"), "rate")

@@ -72,6 +72,26 @@ def test_mixing_of_odd_tables(spark):
     assert mixing.mixing_rates(docs.limit(0)).count() == 0
 
 
+def test_unlisted_domains_keep_their_share(spark):
+    texts = {"en": "the house of my friend", "de": "das haus von meinem freund", "it": "la casa del mio amico"}
+    docs = spark.createDataFrame([(k, f"{texts[d]} " * 20, d) for k, d in enumerate(["en"] * 30 + ["de"] * 30 + ["it"] * 20)], "doc_id long, text string, lang string")
+    made = {r["domain"]: r["t"] for r in mixing.mixing_rates(docs, {"en": 0.75, "de": 0.25, "fr": 0.5}).groupBy("domain").agg(F.sum(F.col("rate") * F.col("n_tokens")).alias("t")).collect()}
+    total = docs.select(F.size(F.split(F.trim("text"), " ")).alias("n")).agg(F.sum("n")).first()[0]
+    present = {d: len(t.split()) * 20 * n for (d, t), n in zip(texts.items(), (30, 30, 20), strict=True)}
+    rest = total - present["it"]
+    assert made == pytest.approx({"it": present["it"], "en": 0.75 * rest, "de": 0.25 * rest}, rel=0.01)
+    assert mixing.mix(docs, {"en": 0.75, "de": 0.25}).where("lang = 'it'").count() >= 10
+
+
+def test_targets():
+    assert mixing.targets(["a", "b"], [30.0, 10.0], 40.0, None) == [20.0, 20.0]
+    assert mixing.targets(["a", "b"], [30.0, 10.0], 40.0, {"a": 1, "c": 5}) == [30.0, 10.0]
+    assert mixing.targets(["a", "b", "c"], [20.0, 10.0, 10.0], 40.0, {"a": 1, "b": 0}) == [30.0, 0.0, 10.0]
+    assert mixing.targets(["a", "b"], [30.0, 10.0], 40.0, {"a": 0}) == [0.0, 40.0]
+    assert mixing.targets(["a", "b"], [30.0, 10.0], 40.0, {"z": 1}) == [30.0, 10.0]
+    assert mixing.targets(["a", "b"], [30.0, 10.0], 40.0, {"a": 0, "b": 0}) == [20.0, 20.0]
+
+
 # Tokens
 
 
