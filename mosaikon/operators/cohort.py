@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import statistics as st
 from ..functions import special
+from ..storage import scratch
 from .ranges import nearest, window_join
 
 
@@ -222,32 +224,93 @@ def subject_and_compartment(samples: DataFrame, subject: str = "slide", compartm
     return samples.withColumns({"subject": token(subject), "compartment": token(compartment)})
 
 
-def batch_mixing(table: DataFrame, most: int = 2000) -> DataFrame:
-    """rejected: the share of rows whose neighbours' batches differ from all batches (chi-squared at 0.05).
+#: Bits of a squared distance that one pass of batch_mixing settles: sign and exponent first.
+DIGITS = (12, 6, 6, 8, 16, 16)
 
-    table(row_id, feature, batch, v).  A cohort's rows are samples and not pixels; neighbours are looked for among
-    `most` of them, drawn by a hash, and that table alone is broadcast.
+
+def batch_mixing(table: DataFrame, points: int = 2000) -> DataFrame:
+    """rejected: the share of tested rows whose neighbours' batches differ from all batches (chi-squared at 0.05).
+
+    table(row_id, feature, batch, v).  A row's neighbours are the nearest quarter of all other rows.  Up to `points`
+    rows, drawn by a hash, are tested (the reference tests 100) and broadcast; all rows are held against them.  The
+    distance of the k-th neighbour is found digit by digit: a pass counts, for each tested row, the rows that agree
+    with the digits found so far, by their next digit.  Rows at just that distance count in part, as many as are
+    still wanted, in the proportion of their batches.
     """
-    wide = table.groupBy("row_id", "batch").agg(F.array_sort(F.collect_list(F.struct("feature", "v"))).alias("f")).select("row_id", "batch", F.transform("f", lambda x: x["v"]).alias("x"))
-    drawn = wide.orderBy(F.xxhash64("row_id"), "row_id").limit(most).collect()
+    spark = table.sparkSession
+    wide = table.groupBy("row_id", "batch").agg(F.array_sort(F.collect_list(F.struct("feature", "v"))).alias("f")).select("row_id", "batch", F.transform("f", lambda x: x["v"].cast("double")).alias("x"))
+    wide = scratch(wide, "samples")
+    sizes = sorted((r["batch"], r["n"]) for r in wide.groupBy("batch").agg(F.count("*").alias("n")).collect())  # a row for each batch
+    drawn = wide.orderBy(F.xxhash64("row_id"), "row_id").limit(points).collect()
     if not drawn:
         return wide.select(F.lit(None).cast("double").alias("rejected")).limit(0)
-    x, batch = np.array([r["x"] for r in drawn], float), np.array([r["batch"] for r in drawn])
-    names, own = np.unique(batch, return_inverse=True)
-    whole, k = np.bincount(own) / len(own), max(3, round(0.25 * len(own)))
-    ids = np.array([r["row_id"] for r in drawn])
-
-    @F.pandas_udf(DoubleType())
-    def p(row: pd.Series, v: pd.Series) -> pd.Series:
-        out = []
-        for i, y in zip(row, v, strict=True):
-            d = ((x - np.asarray(y, float)) ** 2).sum(1)
-            d[ids == i] = np.inf
-            near = np.bincount(own[np.argsort(d, kind="stable")[:k]], minlength=len(names))
-            out.append(float(special.chi2_sf(((near - k * whole) ** 2 / (k * whole)).sum(), max(1, len(names) - 1))))
-        return pd.Series(out)
-
-    return wide.select(p("row_id", "x").alias("p")).agg(F.avg((F.col("p") < 0.05).cast("double")).alias("rejected"))
+    n = sum(c for _, c in sizes)
+    whole, k = np.array([c for _, c in sizes], float) / n, min(max(3, round(0.25 * n)), n - 1)
+    names = {name: i for i, (name, _) in enumerate(sizes)}
+    test = spark.sparkContext.broadcast((np.array([r["x"] for r in drawn], float), np.array([r["row_id"] for r in drawn])))
+
+    def distances(b: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """The bits of squared distances of some rows to all tested ones, and whether they are the same row."""
+        y, ids = test.value
+        x, own = np.array(b.column(2).to_pylist(), float), np.array(b.column(0).to_pylist())
+        for at in range(0, len(x), 64):
+            part = x[at : at + 64]
+            d = np.zeros((len(part), len(y)))
+            for f in range(y.shape[1]):  # one order of sums, whatever the batch
+                step = part[:, f, None] - y[None, :, f]
+                d += step * step
+            yield slice(at, at + 64), d.view(np.int64), own[at : at + 64, None] == ids[None, :]
+
+    prefix, want, left = np.zeros(len(drawn), np.int64), np.full(len(drawn), k, np.int64), 64
+    for bits in DIGITS:
+        left -= bits
+        known = spark.sparkContext.broadcast(prefix)
+
+        def count(batches: Iterator[pa.RecordBatch], known=known, left=left, bits=bits) -> Iterator[pa.RecordBatch]:
+            keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for b in batches:
+                found = []
+                for _, d, same in distances(b):
+                    at = (((d >> left) >> bits) == known.value) & ~same
+                    found.append((np.nonzero(at)[1].astype(np.int64) << bits) | ((d[at] >> left) & ((1 << bits) - 1)))
+                if not found:
+                    continue
+                new, m = np.unique(np.concatenate(found), return_counts=True)
+                keys, where = np.unique(np.r_[keys, new], return_inverse=True)
+                counts = np.bincount(where, np.r_[counts, m], len(keys)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
+
+        summed = wide.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        # of each tested row, the digit where the wanted rank is reached
+        point, w = F.shiftright("key", bits), Window.partitionBy("point").orderBy("key")
+        ranked = summed.withColumn("point", point).withColumn("upto", F.sum("n").over(w)).withColumn("before", F.col("upto") - F.col("n"))
+        asked = spark.createDataFrame(list(enumerate(want.tolist())), "point long, want long")
+        met = ranked.join(F.broadcast(asked), "point").where("before < want AND want <= upto").select("point", "key", "before")
+        for r in met.collect():  # a row for each tested row
+            prefix[r["point"]] = (prefix[r["point"]] << bits) | (r["key"] & ((1 << bits) - 1))
+            want[r["point"]] -= r["before"]
+    kth = spark.sparkContext.broadcast(prefix)
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near, tied = np.zeros((len(names), len(kth.value)), np.int64), np.zeros((len(names), len(kth.value)), np.int64)
+        for b in batches:
+            batch = np.array([names[c] for c in b.column(1).to_pylist()], np.int64)
+            for rows, d, same in distances(b):
+                for c in np.unique(batch[rows]):
+                    own = batch[rows] == c
+                    near[c] += ((d[own] < kth.value) & ~same[own]).sum(0)
+                    tied[c] += ((d[own] == kth.value) & ~same[own]).sum(0)
+        c, point = np.nonzero(near + tied)
+        yield pa.RecordBatch.from_arrays([pa.array(point), pa.array(c), pa.array(near[c, point]), pa.array(tied[c, point])], ["point", "c", "near", "tied"])
+
+    found = wide.mapInArrow(compose, "point long, c long, near long, tied long").groupBy("point", "c").agg(F.sum("near").alias("near"), F.sum("tied").alias("tied"))
+    near, tied = np.zeros((len(drawn), len(names))), np.zeros((len(drawn), len(names)))
+    for r in found.collect():  # tested rows times batches
+        near[r["point"], r["c"]], tied[r["point"], r["c"]] = r["near"], r["tied"]
+    near += tied * (want / np.maximum(tied.sum(1), 1))[:, None]
+    stat = ((near - k * whole) ** 2 / np.maximum(k * whole, 1e-9)).sum(1)
+    rejected = float(np.mean([special.chi2_sf(float(s), max(1, len(names) - 1)) < 0.05 for s in stat]))
+    return spark.createDataFrame([(rejected,)], "rejected double")
 
 
 def snap(targets: DataFrame, apexes: DataFrame, ppm: float) -> DataFrame:

@@ -124,6 +124,29 @@ def test_combat_takes_batches_out(spark):
     assert share(cohort.batch_variance(cohort.combat(t))) < 0.02
 
 
+@pytest.mark.parametrize("points", [40, 2000])
+def test_batch_mixing_looks_for_neighbours_among_all_rows(spark, points):
+    rng = np.random.default_rng(5)
+    batch = rng.integers(0, 3, 300)
+    x = rng.normal(0, 1, (300, 3)) + 0.35 * batch[:, None]
+    t = spark.createDataFrame([(i, f, int(batch[i]), float(x[i, f])) for i in range(300) for f in range(3)], "row_id int, feature int, batch int, v double")
+    drawn = [r[0] for r in t.select("row_id").distinct().orderBy(F.xxhash64("row_id"), "row_id").limit(points).collect()]
+    whole, k, out = np.bincount(batch) / 300, 75, []
+    for i in drawn:
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        near = np.bincount(batch[np.argsort(d)[:k]], minlength=3)
+        out.append(special.chi2_sf(float(((near - k * whole) ** 2 / (k * whole)).sum()), 2) < 0.05)
+    assert 0.1 < np.mean(out) < 0.9
+    assert cohort.batch_mixing(t, points).first()[0] == pytest.approx(np.mean(out))
+
+
+def test_batch_mixing_of_equal_rows(spark):
+    """Ties at the last neighbour are shared out: copies of one row in three batches are well mixed."""
+    t = spark.createDataFrame([(i, 0, i % 3, 1.0) for i in range(90)], "row_id int, feature int, batch int, v double")
+    assert cohort.batch_mixing(t).first()[0] == 0
+
+
 def test_mixed_model_finds_planted_effects(spark):
     rng = np.random.default_rng(2)
     data = []
