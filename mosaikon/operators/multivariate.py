@@ -212,10 +212,11 @@ def top_loadings(loadings: np.ndarray, n: int = 5) -> list[tuple[int, int, float
     return [(c, int(f), float(loadings[f, c])) for c in range(loadings.shape[1]) for f in np.argsort(-np.abs(loadings[:, c]), kind="stable")[:n]]
 
 
-def two_level_mixture(values: DataFrame, pixels: DataFrame, k: int = 3, rounds: int = 12, sigma: float = 1.5) -> DataFrame:
+def two_level_mixture(values: DataFrame, pixels: DataFrame, k: int = 3, rounds: int = 30, sigma: float = 1.5, tolerance: float = 1e-4) -> DataFrame:
     """pixel_id, label of one ion: a mixture of k normal densities whose priors are smoothed over the grid.
 
-    Each round is an aggregate of k moments and one pass of neighbourhood sums.
+    Each round is an aggregate of k moments and one pass of neighbourhood sums.  It ends when no mean or deviation
+    moves by more than tolerance times the deviation of all values, after `rounds` at the latest.
     """
     q = values.agg(F.percentile("v", [(i + 0.5) / k for i in range(k)]).alias("q"), F.stddev_pop("v").alias("s")).first()
     mean, sd, prior = list(q["q"]), [max(1e-9, (q["s"] or 0.0) / k)] * k, None
@@ -229,10 +230,13 @@ def two_level_mixture(values: DataFrame, pixels: DataFrame, k: int = 3, rounds:
         resp = scratch(resp, "responsibilities")
         r = [F.get("r", F.lit(i)) for i in range(k)]
         m = resp.agg(*[F.sum(x).alias(f"n{i}") for i, x in enumerate(r)], *[F.sum(x * F.col("v")).alias(f"s{i}") for i, x in enumerate(r)], *[F.sum(x * F.col("v") * F.col("v")).alias(f"q{i}") for i, x in enumerate(r)]).first()
+        old = [*mean, *sd]
         for i in range(k):
             n = max(m[f"n{i}"], 1e-9)
             mean[i] = m[f"s{i}"] / n
             sd[i] = math.sqrt(max(m[f"q{i}"] / n - mean[i] ** 2, 1e-12)) + 1e-9
+        if max(abs(a - b) for a, b in zip(old, [*mean, *sd], strict=True)) <= tolerance * (q["s"] or 0.0):
+            break
         soft = None
         for i in range(k):
             one = smooth(resp.select("pixel_id", r[i].alias("v")), pixels, sigma, 2).withColumnRenamed("v", f"p{i}")
@@ -277,7 +281,7 @@ def cut_tree(merges: list[tuple[int, int, float]], k: int) -> list[int]:
     return [names.setdefault(root(i), len(names)) for i in range(n)]
 
 
-def hierarchy(dense: DataFrame, micro: int = 50, n_components: int = 5, seed: int = 0) -> tuple[DataFrame, list]:
+def hierarchy(dense: DataFrame, micro: int = 200, n_components: int = 5, seed: int = 0) -> tuple[DataFrame, list]:
     """(pixel_id, micro cluster) and the tree over the micro clusters: only their centres go to the driver."""
     z = scaled(dense)
     s = PCA(k=n_components, inputCol="z", outputCol="s").fit(z).transform(z).select("pixel_id", "s")
@@ -311,6 +315,14 @@ def pooled(dense: DataFrame, cap: int, sample: str = "sample") -> DataFrame:
     return dense.join(kept, [sample, "pixel_id"], "left_semi")
 
 
+def pooled_pca(dense: DataFrame, k: int = 2, cap: int = 3000, sample: str = "sample") -> DataFrame:
+    """pixel_id, scores of every pixel: components are fitted to at most cap pixels of each sample."""
+    parts = [rows(d).withColumn("x", array_to_vector("x")) for d in (pooled(dense, cap, sample), dense)]
+    scale = StandardScaler(inputCol="x", outputCol="z", withMean=True).fit(parts[0])
+    model = PCA(k=k, inputCol="z", outputCol="s").fit(scale.transform(parts[0]))
+    return model.transform(scale.transform(parts[1])).select("pixel_id", vector_to_array("s").alias("scores"))
+
+
 def joint_segments(dense: DataFrame, k: int = 6, n_components: int = 5, seed: int = 0) -> DataFrame:
     """sample, pixel_id, label: clusters of all samples together, each standardised first.
 

@@ -14,7 +14,7 @@ from .registry import query
 
 @query()
 def hierarchy_cut(spark, sf):
-    labels, merges = mv.hierarchy(b.dense(spark, sf), 20)
+    labels, merges = mv.hierarchy(b.dense(spark, sf))
     return mv.labels_for(labels, merges, 5)
 
 
@@ -36,8 +36,8 @@ def standardised_samples(spark, sf):
 
 @query()
 def pooled_embedding(spark, sf):
-    d = mv.standardised(mv.pooled(b.dense(spark, sf).withColumn("sample", F.col("label") % 3), 100))
-    return b.rounded(mv.pca(d.withColumn("v", F.col("v") + 10), 2)[0].select("pixel_id", F.get("scores", F.lit(0)).alias("c1"), F.get("scores", F.lit(1)).alias("c2")))
+    d = mv.standardised(b.dense(spark, sf).withColumn("sample", F.col("label") % 3))
+    return b.rounded(mv.pooled_pca(d.withColumn("v", F.col("v") + 10)).select("pixel_id", F.get("scores", F.lit(0)).alias("c1"), F.get("scores", F.lit(1)).alias("c2")))
 
 
 @query()

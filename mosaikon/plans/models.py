@@ -72,7 +72,7 @@ def bisecting_segments(spark, sf):
 @query()
 def auto_segments(spark, sf):
     d = b.dense(spark, sf)
-    return mv.segment(d, mv.choose_k(d, range(2, 5)))
+    return mv.segment(d, mv.choose_k(d))
 
 
 @query()
@@ -88,7 +88,7 @@ def plsda_vip(spark, sf):
 
 @query()
 def cv_confusion(spark, sf):
-    return mv.confusion(b.dense(spark, sf), 3)
+    return mv.confusion(b.dense(spark, sf))
 
 
 @query()
@@ -98,4 +98,4 @@ def coloc_modules(spark, sf):
 
 @query()
 def spatial_mixture(spark, sf):
-    return mv.two_level_mixture(b.dense(spark, sf).where("feature = 4"), b.grid(spark, sf), rounds=3)
+    return mv.two_level_mixture(b.dense(spark, sf).where("feature = 4"), b.grid(spark, sf))

@@ -177,6 +177,31 @@ def test_segments_find_planted_regions(spark):
     assert seg.groupby(seg.pixel_id // 30).label.nunique().tolist() == [1, 1, 1]
 
 
+def test_model_queries_do_the_whole_job(spark, monkeypatch):
+    """Every pixel gets coordinates, and queries run with the operators' own defaults."""
+    from mosaikon import catalog
+
+    sf, seen = "/root/testdata/sf0.01", {}
+    assert catalog.QUERIES["pooled_embedding"](spark, sf).count() == spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    for name in ("choose_k", "confusion", "two_level_mixture", "hierarchy"):
+        def record(*args, __name=name, **more):
+            seen[__name] = (len(args), more)
+            return (None, None) if __name == "hierarchy" else 2
+
+        monkeypatch.setattr(multivariate, name, record)
+    monkeypatch.setattr(multivariate, "segment", lambda *a: None)
+    monkeypatch.setattr(multivariate, "labels_for", lambda *a: None)
+    for q in ("auto_segments", "cv_confusion", "spatial_mixture", "hierarchy_cut"):
+        catalog.QUERIES[q](spark, sf)
+    assert seen == {"choose_k": (1, {}), "confusion": (1, {}), "two_level_mixture": (2, {}), "hierarchy": (1, {})}
+
+
+def test_pooled_pca_gives_every_pixel_coordinates(spark):
+    rng = np.random.default_rng(6)
+    t = spark.createDataFrame([(i, i % 2, f, float(abs(rng.normal()))) for i in range(300) for f in range(4)], "pixel_id int, sample int, feature int, v double")
+    assert multivariate.pooled_pca(t, 2, 40).count() == 300
+
+
 def test_plsda_separates(spark):
     rng = np.random.default_rng(5)
     data = [(p, p % 2, f, float(rng.normal(3 if f == 0 and p % 2 else 0, 0.3) + 5)) for p in range(60) for f in range(6)]
