@@ -3,12 +3,12 @@
 A word is a sequence of pieces of a fixed public vocabulary; its probability in a language is the sum, over every way
 to cut it into pieces, of the product of the pieces' probabilities there.  A forward pass over the characters gives the
 sum without listing the ways; expectation-maximisation with the matching backward pass learns the probabilities from
-the words of a bounded sample of labelled documents.
+the words of a bounded sample of labelled documents.  All pieces of letters alone take part, however long they are, and
+no word is cut.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,20 +16,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import draw, held_out, mix64, small_batches
+from .shared import WORD, draw, held_out, mix64, small_batches
 
-#: Sample documents for each language, the longest piece and word part in characters, EM rounds, smoothing.
-SAMPLE, PIECE, PART, ROUNDS, SMOOTH = 400, 5, 24, 4, 0.1
+#: Sample documents for each language, EM rounds, smoothing.
+SAMPLE, ROUNDS, SMOOTH = 400, 4, 0.1
 #: Probability of a single character outside the vocabulary.
 UNKNOWN = 1e-7
+#: Words of more characters are summed one at a time, and scaled as they go, for the sum would underflow.
+LONG = 40
 #: Words whose scores a task remembers; past that it forgets and starts again.
 MEMO = 400_000
-_WORD = re.compile(r"[^\W\d_]+")
 BASE = np.uint64(0x100000001B3)
 
 
 def pieces(path: str | None = None) -> list[str]:
-    """Letters-only pieces of a public vocabulary, of PIECE characters at most."""
+    """The pieces of a public vocabulary that consist of letters, in lower case."""
     import sentencepiece
 
     if path is None:
@@ -38,7 +39,7 @@ def pieces(path: str | None = None) -> list[str]:
         path = public_tokenizers.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {sp.id_to_piece(k).replace("▁", "").lower() for k in range(sp.get_piece_size())}
-    return sorted(p for p in found if 0 < len(p) <= PIECE and _WORD.fullmatch(p))
+    return sorted(p for p in found if p and WORD.fullmatch(p))
 
 
 def _hash(codes: np.ndarray, n: int) -> np.ndarray:
@@ -56,7 +57,8 @@ class Lattice:
     def __init__(self, vocabulary: list[str]):
         self.vocabulary = vocabulary
         h = np.zeros(len(vocabulary), np.uint64)
-        for n in range(1, PIECE + 1):
+        self.longest = max(map(len, vocabulary), default=1)
+        for n in range(1, self.longest + 1):
             at = [k for k, p in enumerate(vocabulary) if len(p) == n]
             if at:
                 h[at] = _hash(self.codes([vocabulary[k] for k in at], n), n)[:, 0]
@@ -70,7 +72,7 @@ class Lattice:
     def ids(self, words: list[str], n: int) -> list[np.ndarray]:
         """For each piece length, the number of the piece from each place on; len(vocabulary) where there is none."""
         codes, found = self.codes(words, n), []
-        for k in range(1, min(PIECE, n) + 1):
+        for k in range(1, min(self.longest, n) + 1):
             h = _hash(codes, k)
             at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
             found.append(np.where(self.sorted[at] == h, self.order[at], len(self.vocabulary)))
@@ -83,14 +85,36 @@ def forward(ids: list[np.ndarray], n: int, p: np.ndarray) -> np.ndarray:
     a[:, 0] = 1
     for t in range(1, n + 1):
         a[:, t] = a[:, t - 1] * np.maximum(p[ids[0][:, t - 1]], UNKNOWN)
-        for k in range(2, min(PIECE, t) + 1):
+        for k in range(2, min(len(ids), t) + 1):
             a[:, t] += a[:, t - k] * p[ids[k - 1][:, t - k]]
     return a
 
 
-def _parts(word: str) -> list[str]:
-    """A word is scored as a whole; one of more than PART characters as parts that don't overlap."""
-    return [word] if len(word) <= PART else [word[k : k + PART] for k in range(0, len(word), PART)]
+def _steps(word: str, lattice: Lattice, p: np.ndarray) -> Iterator[np.ndarray]:
+    """For each end of a beginning of word, (piece lengths, languages): the probability of the piece of each length that ends there."""
+    most = min(lattice.longest, len(word))
+    for begin in range(0, len(word), 4096):  # some memory for a stretch, however long the word
+        back = max(0, begin - most + 1)
+        part = word[back : begin + 4096]
+        ids = lattice.ids([part], len(part))
+        for t in range(begin + 1, min(begin + 4096, len(word)) + 1):
+            own = np.zeros((most, p.shape[1]))
+            for k in range(1, min(len(ids), t) + 1):
+                own[k - 1] = p[ids[k - 1][0, t - k - back]]
+            own[0] = np.maximum(own[0], UNKNOWN)
+            yield own
+
+
+def long_score(word: str, lattice: Lattice, p: np.ndarray) -> np.ndarray:
+    """The log of the sum over all segmentations of a word of any length: the beginnings before are kept relative to the last."""
+    total, last = np.zeros(p.shape[1]), np.zeros((min(lattice.longest, len(word)), p.shape[1]))
+    last[0] = 1
+    for own in _steps(word, lattice, p):
+        now = (last * own).sum(0)
+        total += np.log(now)
+        last[1:] = last[:-1] / now
+        last[0] = 1
+    return total
 
 
 def _by_length(words: list[str]) -> dict[int, list[int]]:
@@ -104,29 +128,50 @@ def log_scores(words: list[str], lattice: Lattice, p: np.ndarray) -> np.ndarray:
     """(words, languages): the log of the sum over all segmentations."""
     out = np.zeros((len(words), p.shape[1]))
     for n, at in _by_length(words).items():
+        if n > LONG:
+            out[at] = [long_score(words[k], lattice, p) for k in at]
+            continue
         for s in range(0, len(at), 20_000):
             pick = at[s : s + 20_000]
-            out[pick] = np.log(np.maximum(forward(lattice.ids([words[k] for k in pick], n), n, p)[:, n], 1e-300))
+            out[pick] = np.log(forward(lattice.ids([words[k] for k in pick], n), n, p)[:, n])
     return out
 
 
+def _long_counts(word: str, lattice: Lattice, p: np.ndarray) -> np.ndarray:
+    """How often each piece is expected in a word of any length, in one language: forward and backward in logs."""
+    n, ids = len(word), lattice.ids([word], len(word))
+    with np.errstate(divide="ignore"):
+        lp = [np.log(np.maximum(p[own[0], 0], UNKNOWN) if k == 1 else p[own[0], 0]) for k, own in enumerate(ids, 1)]
+    a, b = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    a[0] = b[n] = 0
+    for t in range(1, n + 1):
+        a[t] = np.logaddexp.reduce([a[t - k] + lp[k - 1][t - k] for k in range(1, min(len(ids), t) + 1)])
+    for t in range(n - 1, -1, -1):
+        b[t] = np.logaddexp.reduce([b[t + k] + lp[k - 1][t] for k in range(1, min(len(ids), n - t) + 1)])
+    found = np.zeros(len(p))
+    for k, own in enumerate(ids, 1):
+        found += np.bincount(own[0], np.exp(a[: n - k + 1] + lp[k - 1] + b[k:] - a[n]), len(p))
+    return found
+
+
 def learn(words: list[str], counts: np.ndarray, lattice: Lattice) -> np.ndarray:
     """EM: piece probabilities of one language from its words and how often they occur."""
     v = len(lattice.vocabulary)
     p = np.full((v + 1, 1), 1.0 / v)
     p[v] = 0
-    groups = [(n, at, lattice.ids([words[k] for k in at], n)) for n, at in _by_length(words).items()]
+    groups = [(n, at, lattice.ids([words[k] for k in at], n)) for n, at in _by_length(words).items() if n <= LONG]
+    large = [k for k, w in enumerate(words) if len(w) > LONG]
     for _ in range(ROUNDS):
-        expected = np.zeros(v + 1)
+        expected = sum((counts[k] * _long_counts(words[k], lattice, p) for k in large), np.zeros(v + 1))
         for n, at, ids in groups:
             a = forward(ids, n, p)[:, :, 0]
             b = np.zeros_like(a)
             b[:, n] = 1
             for t in range(n - 1, -1, -1):
                 b[:, t] = b[:, t + 1] * np.maximum(p[ids[0][:, t], 0], UNKNOWN)
-                for k in range(2, min(PIECE, n - t) + 1):
+                for k in range(2, min(len(ids), n - t) + 1):
                     b[:, t] += b[:, t + k] * p[ids[k - 1][:, t], 0]
-            weight = counts[at] / np.maximum(a[:, n], 1e-300)
+            weight = counts[at] / a[:, n]
             for k, own in enumerate(ids, 1):
                 flow = a[:, : n - k + 1] * p[own, 0] * b[:, k:] * weight[:, None]
                 expected += np.bincount(own.ravel(), flow.ravel(), v + 1)
@@ -152,7 +197,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, vocabulary: str | None = None) ->
         for b in batches:
             langs, words = [], []
             for lang, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                own = [part for w in _WORD.findall((t or "").lower()) for part in _parts(w)]
+                own = WORD.findall((t or "").lower())
                 langs += [lang] * len(own)
                 words += own
             found = Counter(zip(langs, words, strict=True))
@@ -186,20 +231,13 @@ def predict(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray]) ->
         lattice, memo, rows = Lattice(names), {}, np.zeros((0, len(langs)))
         for b in batches:
             texts = b.column("text").to_pylist()
-            split = [_WORD.findall(t.lower()) if t else [] for t in texts]
+            split = [WORD.findall(t.lower()) if t else [] for t in texts]
             if len(memo) > MEMO:
                 memo, rows = {}, rows[:0]
             fresh = list({w for words in split for w in words if w not in memo})
             if fresh and langs:
-                parts, whose = [], []
-                for k, word in enumerate(fresh):
-                    for part in _parts(word):
-                        parts.append(part)
-                        whose.append(k)
-                got = log_scores(parts, lattice, p)
-                sums = np.stack([np.bincount(whose, got[:, c], len(fresh)) for c in range(len(langs))], axis=1)
                 memo.update(zip(fresh, range(len(rows), len(rows) + len(fresh)), strict=True))
-                rows = np.concatenate([rows, sums])  # MEMO bounds it
+                rows = np.concatenate([rows, log_scores(fresh, lattice, p)])  # MEMO bounds it
             pred, score = [], []
             for words in split:
                 if not words or not langs:

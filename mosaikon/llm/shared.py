@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import tempfile
 import uuid
 
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 WHITE = r"[\x20\x09-\x0D]"
 #: The same characters, for trim().
 WHITE_CHARS = " \t\n\x0b\x0c\r"
+#: A run of letters (general category L): what \w takes but for digits, other numbers and the underscore.
+WORD = re.compile("[^\\W\\d_%s]+" % re.escape("".join(c for c in map(chr, range(0xA0, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

@@ -8,7 +8,6 @@ as a penalty, so that the mention of a group by itself doesn't move the score.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held_out, scratch, small_batches
+from .shared import WORD, held_out, scratch, small_batches
 
 #: The bound of the training sample, of the features, and the least number of sample documents that have a feature.
 SAMPLE, FEATURES, LEAST = 12_000, 3_000, 4
@@ -31,11 +30,10 @@ IDENTITY = (
     ("american", "mexican", "chinese", "african", "european", "arab", "indian"), ("immigrant", "native"), ("immigrants", "natives"),
     ("old", "young"), ("blind", "deaf", "disabled"), ("homme", "femme"), ("hommes", "femmes"), ("hombre", "mujer"), ("hombres", "mujeres"), ("mann", "frau"), ("männer", "frauen"),
 )
-_WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+    return set(WORD.findall(text.lower()))
 
 
 def features_of(words: set[str]) -> set[str]:

@@ -147,6 +147,26 @@ def test_forward_sums_over_all_segmentations():
         assert np.exp(langid.log_scores([word], lattice, p))[0, 0] == pytest.approx(total(word))
 
 
+def test_long_words_are_summed_like_short_ones():
+    names = langid.pieces()
+    lattice, rng = langid.Lattice(names), np.random.default_rng(3)
+    p = np.r_[rng.dirichlet(np.ones(len(names)), 2).T, np.zeros((1, 2))]
+    assert lattice.longest > 8
+    for word in ("internationalisation", "straßenbahnhaltestelle", "x", "日本語テキスト", "abcdefghij" * 4):
+        assert langid.long_score(word, lattice, p) == pytest.approx(langid.log_scores([word], lattice, p)[0])
+    # over the borders of the stretches that are worked on at a time: a periodic word grows by the same amount each time
+    one, two, three = (langid.long_score("abcdefghij" * k, lattice, p) for k in (1000, 2000, 3000))
+    assert three - two == pytest.approx(two - one, rel=1e-6)
+
+
+def test_expected_counts_of_long_words(monkeypatch):
+    words, counts = ["abab", "abbaab", "ba"], np.array([5.0, 2.0, 1.0])
+    lattice = langid.Lattice(["a", "ab", "b", "ba", "abb"])
+    short = langid.learn(words, counts, lattice)
+    monkeypatch.setattr(langid, "LONG", 1)
+    assert langid.learn(words, counts, lattice) == pytest.approx(short)
+
+
 def test_em_raises_the_likelihood():
     words, counts = ["abab", "ab", "ba", "b"], np.array([5.0, 9.0, 1.0, 2.0])
     lattice = langid.Lattice(["a", "ab", "b", "ba"])
@@ -162,9 +182,9 @@ def test_languages_held_out(spark, documents):
 
 def test_languages_of_odd_texts(spark, documents):
     model = langid.fit(documents)
-    docs = spark.createDataFrame([(1, None, "x"), (2, "", None), (3, "12 34 !?", None), (4, "the and of that with", None), (5, "a" * 100_000, None)], "doc_id long, text string, score string")
+    docs = spark.createDataFrame([(1, None, "x"), (2, "", None), (3, "12 34 !?", None), (4, "the and of that with", None), (5, "a" * 100_000, None), (6, "½ ² ① Ⅷ 1_000", None), (7, "𝟙٣४", None)], "doc_id long, text string, score string")
     got = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
-    assert [got[k]["lang_pred"] for k in (1, 2, 3)] == ["und"] * 3
+    assert [got[k]["lang_pred"] for k in (1, 2, 3, 6, 7)] == ["und"] * 5
     assert got[4]["lang_pred"] == "en"
     assert 0 <= got[5]["score"] <= 1
     empty = langid.fit(documents.limit(0))
