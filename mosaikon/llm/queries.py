@@ -22,7 +22,7 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixing_rates
 
     done = mixing_rates(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), WEIGHTS)
-    return done.select("doc_id", "domain", "posterior", "n_tokens", "rate")
+    return done.select("doc_id", "domain", "posterior", "n_tokens", "rate", "residual", "converged")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

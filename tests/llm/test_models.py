@@ -51,6 +51,37 @@ def test_rates_against_plain_projected_gradient(spark):
     assert loss(got) <= loss(r) * 1.05 + 1e-6
 
 
+def test_posteriors_against_plain_python(spark):
+    """The classifier's counts and the posteriors, word by word."""
+    rng = random.Random(11)
+    bags = {"a": "red green blue the of".split(), "b": "uno dos tres the de".split()}
+    rows = [(k, " ".join(rng.choices(bags[d], k=rng.randint(1, 60))), d) for k, d in enumerate("ab" * 20)] + [(100, None, "a"), (101, "nothing known here", None), (102, "red uno  dos\nthe", None), (103, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = sorted({w for _, t, _ in rows for w in (t or "").split()})
+    cell = {r["word"]: r["c"] for r in spark.createDataFrame([(w,) for w in seen], "word string").select("word", mixing._cell().alias("c")).collect()}
+    n = {d: {} for d in "ab"}
+    for _, t, d in rows:
+        for w in (t or "").split() if d else []:
+            n[d][cell[w]] = n[d].get(cell[w], 0) + 1
+    size = {d: sum(n[d].values()) + mixing.SMOOTH * mixing.CELLS for d in "ab"}
+    model, domains = mixing.learn(docs, "lang")
+    assert domains == ["a", "b"]
+    for r in mixing.posteriors(docs, model, domains).collect():
+        words = (rows[r["doc_id"]] if r["doc_id"] < 100 else rows[r["doc_id"] - 60])[1]
+        known = [w for w in (words or "").split() if any(cell[w] in n[d] for d in "ab")]
+        s = [sum(np.log((n[d].get(cell[w], 0) + mixing.SMOOTH) / size[d]) for w in known) / max(1, len(known)) ** 0.5 for d in "ab"]
+        assert r["tokens"] == len((words or "").split())
+        assert r["post"] == pytest.approx((np.exp(s) / np.exp(s).sum()).tolist())
+
+
+def test_a_fit_that_ends_early_says_so(spark):
+    members = spark.createDataFrame([(1, 10, [0.9, 0.1]), (2, 10, [0.8, 0.2])], "doc_id long, tokens long, post array<double>")
+    got = mixing.fit_rates(members, [1.0, 19.0], steps=3).collect()
+    assert {r["converged"] for r in got} == {False}
+    assert min(r["residual"] for r in got) > 0.1
+    assert {r["converged"] for r in mixing.fit_rates(members, [17.0, 3.0]).collect()} == {True}
+
+
 def test_mixture_of_documents(spark, documents):
     rates = mixing.mixing_rates(documents, queries.WEIGHTS).toPandas()
     share = rates.assign(t=rates.rate * rates.n_tokens).groupby("domain").t.sum()
