@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, draw, held_out, mix64, small_batches
+from .shared import draw, held_out, letters, mix64, small_batches
 
 #: Sample documents for each language, EM rounds, smoothing.
 SAMPLE, ROUNDS, SMOOTH = 400, 4, 0.1
@@ -39,7 +39,7 @@ def pieces(path: str | None = None) -> list[str]:
         path = public_tokenizers.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {sp.id_to_piece(k).replace("▁", "").lower() for k in range(sp.get_piece_size())}
-    return sorted(p for p in found if p and WORD.fullmatch(p))
+    return sorted(p for p in found if letters(p) == [p])
 
 
 def _hash(codes: np.ndarray, n: int) -> np.ndarray:
@@ -197,7 +197,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, vocabulary: str | None = None) ->
         for b in batches:
             langs, words = [], []
             for lang, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                own = WORD.findall((t or "").lower())
+                own = letters((t or "").lower())
                 langs += [lang] * len(own)
                 words += own
             found = Counter(zip(langs, words, strict=True))
@@ -231,7 +231,7 @@ def predict(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray]) ->
         lattice, memo, rows = Lattice(names), {}, np.zeros((0, len(langs)))
         for b in batches:
             texts = b.column("text").to_pylist()
-            split = [WORD.findall(t.lower()) if t else [] for t in texts]
+            split = [letters(t.lower()) if t else [] for t in texts]
             if len(memo) > MEMO:
                 memo, rows = {}, rows[:0]
             fresh = list({w for words in split for w in words if w not in memo})

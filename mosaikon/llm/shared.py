@@ -15,8 +15,16 @@ from pyspark.sql import functions as F
 WHITE = r"[\x20\x09-\x0D]"
 #: The same characters, for trim().
 WHITE_CHARS = " \t\n\x0b\x0c\r"
-#: A run of letters (general category L): what \w takes but for digits, other numbers and the underscore.
-WORD = re.compile("[^\\W\\d_%s]+" % re.escape("".join(c for c in map(chr, range(0xA0, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())))
+_WORD = re.compile(r"[^\W\d_]+")
+#: What \w takes beside letters, digits and the underscore: numbers like \u00bd and \u2167.
+_NUMBERS = re.compile("[%s]" % re.escape("".join(c for c in map(chr, range(0xA0, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())))
+
+
+def letters(text: str) -> list[str]:
+    """Runs of letters (general category L)."""
+    return _WORD.findall(text if text.isascii() else _NUMBERS.sub(" ", text))
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

@@ -1,9 +1,9 @@
 """Toxicity by a counterfactual-regularised classifier.
 
 Features are words, and word beginnings of 4 to 6 characters, that a text has or hasn't.  The classifier is a
-logistic regression on a bounded sample of labelled documents.  For each of them that names a group of people, a
-twin is made with its identity terms swapped for others, and the square of the change in score is added to the loss
-as a penalty, so that the mention of a group by itself doesn't move the score.
+logistic regression on a bounded sample of labelled documents.  For each identity term in one of them a twin is made
+in which that term is swapped for another of its group, and the square of the change in score, on average over the
+twins of a document, is added to the loss as a penalty, so that the mention of a group by itself doesn't move the score.
 """
 
 from __future__ import annotations
@@ -15,10 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, held_out, scratch, small_batches
+from .shared import held_out, letters, scratch, small_batches
 
-#: The bound of the training sample, of the features, and the least number of sample documents that have a feature.
-SAMPLE, FEATURES, LEAST = 12_000, 3_000, 4
+#: The bound of the training sample.
+SAMPLE = 12_000
+#: A feature has a weight if at least so many sample documents have it and its chi-squared to the label (one degree of
+#: freedom) is at least this, the 5 % point: a test of each feature, whatever their number.
+LEAST, CHI = 4, 3.84
 THRESHOLD = 0.3
 #: Lasso (over the root of the sample size), weight of the counterfactual penalty, steps.
 LASSO, PENALTY, STEPS = 0.06, 4.0, 400
@@ -33,7 +36,7 @@ IDENTITY = (
 
 
 def words_of(text: str) -> set[str]:
-    return set(WORD.findall(text.lower()))
+    return set(letters(text.lower()))
 
 
 def features_of(words: set[str]) -> set[str]:
@@ -46,10 +49,12 @@ def features_of(words: set[str]) -> set[str]:
     return found
 
 
-def swapped(words: set[str]) -> set[str]:
-    """The words with each identity term replaced by the next of its group."""
-    nxt = {w: g[(k + 1) % len(g)] for g in IDENTITY for k, w in enumerate(g)}
-    return {nxt.get(w, w) for w in words}
+_NEXT = {w: g[(k + 1) % len(g)] for g in IDENTITY for k, w in enumerate(g)}
+
+
+def twins(words: set[str]) -> list[set[str]]:
+    """For each identity term among the words, in the order of the terms, the words with the next of its group in its place."""
+    return [(words - {w}) | {_NEXT[w]} for w in sorted(words & _NEXT.keys())]
 
 
 def _sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
@@ -72,22 +77,31 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _fit(rows: list[tuple[np.ndarray, np.ndarray, int]], n: int) -> tuple[np.ndarray, float]:
-    """rows: (features, features of the twin, label).  Proximal descent with momentum: few features get a weight."""
+def loss(w: np.ndarray, b: float, rows: list, lasso: float) -> float:
+    """What _fit makes small, over rows of (features, label, features of each twin)."""
+    p = lambda f: 1 / (1 + np.exp(-(b + w[f].sum())))
+    total = sum(-np.log(p(f) if y else 1 - p(f)) + PENALTY * np.mean([(p(f) - p(t)) ** 2 for t in own] or [0]) for f, y, own in rows)
+    return total / len(rows) + lasso * np.abs(w).sum()
+
+
+def _fit(rows: list[tuple[np.ndarray, int, list[np.ndarray]]], n: int) -> tuple[np.ndarray, float]:
+    """rows: (features, label, features of each twin).  Proximal descent with momentum: few features get a weight."""
 
-    def sparse(k):
-        sizes = np.array([len(r[k]) for r in rows])
-        return np.repeat(np.arange(len(rows)), sizes), np.concatenate([r[k] for r in rows]) if len(rows) else np.zeros(0, int)
+    def sparse(lists):
+        sizes = np.array([len(x) for x in lists], int)
+        return np.repeat(np.arange(len(lists)), sizes), np.concatenate(lists) if len(lists) else np.zeros(0, int)
 
-    (ri, ci), (rt, ct) = sparse(0), sparse(1)
-    y = np.array([r[2] for r in rows], float)
-    m, twins = max(1, len(rows)), np.array([r[3] for r in rows], bool) if rows else np.zeros(0, bool)
+    (ri, ci), (rt, ct) = sparse([r[0] for r in rows]), sparse([t for r in rows for t in r[2]])
+    y, many = np.array([r[1] for r in rows], float), np.array([len(r[2]) for r in rows], int)
+    m, k = max(1, len(rows)), int(many.sum())
+    own = np.repeat(np.arange(len(rows)), many)  # whose twin it is
+    part = PENALTY / np.maximum(many, 1)[own]
     w, b = np.zeros(n), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     pw, pb = w.copy(), b
     # steps that the curvature allows: a quarter of the column sums of |X|'|X|, with the bias as one more column
     sizes = np.bincount(ri, minlength=m)[: len(rows)] + 1
-    step = 1 / (0.25 * (1 + 4 * PENALTY * twins.any()) * np.maximum(np.bincount(ci, sizes[ri], n), 1) / m)
-    step_b, lasso = 1 / (0.25 * sizes.mean()), LASSO / np.sqrt(m)
+    step = 1 / (0.25 * (1 + 4 * PENALTY * (k > 0)) * np.maximum(np.bincount(ci, sizes[ri], n), 1) / m)
+    step_b, lasso = 1 / (0.25 * (1 + 4 * PENALTY * (k > 0)) * sizes.mean()), LASSO / np.sqrt(m)
     alive = np.ones(n, bool)
     for t in range(2 * STEPS):
         if t == STEPS:  # the features that are left, with less shrinkage
@@ -95,50 +109,60 @@ def _fit(rows: list[tuple[np.ndarray, np.ndarray, int]], n: int) -> tuple[np.nda
         mom = t % STEPS / (t % STEPS + 3)
         lw, lb = w + mom * (w - pw), b + mom * (b - pb)
         p = 1 / (1 + np.exp(-np.clip(lb + np.bincount(ri, lw[ci], len(rows)), -30, 30)))
-        q = 1 / (1 + np.exp(-np.clip(lb + np.bincount(rt, lw[ct], len(rows)), -30, 30)))
-        d = np.where(twins, p - q, 0)
-        ga = (p - y + 2 * PENALTY * d * p * (1 - p)) / m
-        gb = -2 * PENALTY * d * q * (1 - q) / m
-        w, pw = lw - step * (np.bincount(ci, ga[ri], n) + np.bincount(ct, gb[rt], n)), w
+        ga = p - y
+        w_twin = np.zeros(n)
+        gb = 0.0
+        if k:
+            q = 1 / (1 + np.exp(-np.clip(lb + np.bincount(rt, lw[ct], k), -30, 30)))
+            d = part * (p[own] - q)
+            ga = ga + 2 * np.bincount(own, d, len(rows)) * p * (1 - p)
+            g = -2 * d * q * (1 - q) / m
+            w_twin, gb = np.bincount(ct, g[rt], n), g.sum()
+        ga = ga / m
+        w, pw = lw - step * (np.bincount(ci, ga[ri], n) + w_twin), w
         w = np.sign(w) * np.maximum(np.abs(w) - step * lasso, 0) * alive
-        b, pb = lb - step_b * (ga.sum() + gb.sum()), b
+        b, pb = lb - step_b * (ga.sum() + gb), b
     return w, b
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from the labelled documents that aren't held out.
 
-    Which features count is settled in Spark: those of LEAST sample documents or more, the FEATURES with the largest
-    chi-squared to the label.  The driver gets their numbers only: at most `sample` short lists.
+    Which features count is settled in Spark, by LEAST and CHI.  The driver gets their numbers only: at most `sample`
+    lists of the documents' features, and as many of each twin.
     """
     spark = docs.sparkSession
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = pa.list_(pa.string())
         for b in batches:
             own = [words_of(t or "") for t in b.column("text").to_pylist()]
-            ids, y = b.column("doc_id"), b.column("y")
-            plain = [features_of(w) for w in own]
-            twin = [features_of(x) if (x := swapped(w)) != w else set() for w in own]
-            yield pa.RecordBatch.from_arrays([ids, y, pa.array([list(p) for p in plain], pa.list_(pa.string())), pa.array([list(t) for t in twin], pa.list_(pa.string())), pa.array([bool(t) for t in twin])], ["doc_id", "y", "plain", "twin", "has_twin"])
+            plain = pa.array([sorted(features_of(w)) for w in own], lists)
+            other = pa.array([[sorted(features_of(t)) for t in twins(w)] for w in own], pa.list_(lists))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), plain, other], ["doc_id", "y", "plain", "twins"])
 
-    kinds = "doc_id long, y int, plain array<string>, twin array<string>, has_twin boolean"
+    kinds = "doc_id long, y int, plain array<string>, twins array<array<string>>"
     rows = scratch(_sample(docs, labels, sample).select("doc_id", F.col("y").cast("int").alias("y"), "text").mapInArrow(each, kinds), "toxicity-sample")
     n, pos = rows.agg(F.count("*"), F.sum("y")).first()
     if not n or not pos or pos == n:
         return Model({}, -2.0 if not pos else 2.0)
     seen = rows.select("y", F.explode("plain").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum("y").alias("p")).where(F.col("n") >= LEAST)
-    expected = F.col("n") * F.lit(pos / n)
-    chi = (F.col("p") - expected) * (F.col("p") - expected) / expected
-    names = [r["f"] for r in seen.orderBy(F.desc(chi), "f").limit(FEATURES).select("f").collect()]
+    rate = F.lit(pos / n)
+    off = F.col("p") - F.col("n") * rate
+    chi = off * off * n / (F.col("n") * (n - F.col("n")) * rate * (1 - rate))
+    names = [r["f"] for r in seen.where((F.col("n") < n) & (chi >= CHI)).select("f").orderBy("f").collect()]  # the sample bounds them
     at = spark.sparkContext.broadcast({f: k for k, f in enumerate(names)})
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = pa.list_(pa.int32())
+        pick = lambda fs: [at.value[f] for f in fs if f in at.value]
         for b in batches:
-            pick = [pa.array([sorted(at.value[f] for f in fs if f in at.value) for fs in b.column(c).to_pylist()], pa.list_(pa.int32())) for c in ("plain", "twin")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), *pick, b.column("has_twin")], ["doc_id", "y", "plain", "twin", "has_twin"])
+            plain = pa.array([pick(fs) for fs in b.column("plain").to_pylist()], lists)
+            other = pa.array([[pick(fs) for fs in own] for own in b.column("twins").to_pylist()], pa.list_(lists))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), plain, other], ["doc_id", "y", "plain", "twins"])
 
-    got = rows.mapInArrow(number, "doc_id long, y int, plain array<int>, twin array<int>, has_twin boolean").orderBy("doc_id").collect()
-    w, b = _fit([(np.array(r["plain"], int), np.array(r["twin"], int), r["y"], r["has_twin"]) for r in got], len(names))
+    got = rows.mapInArrow(number, "doc_id long, y int, plain array<int>, twins array<array<int>>").orderBy("doc_id", "plain").collect()
+    w, b = _fit([(np.array(r["plain"], int), r["y"], [np.array(t, int) for t in r["twins"]]) for r in got], len(names))
     return Model({f: float(x) for f, x in zip(names, w, strict=True) if x}, float(b))
 
 

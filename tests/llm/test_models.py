@@ -262,6 +262,38 @@ def test_the_penalty_evens_out_group_mentions(spark, monkeypatch):
     assert with_penalty.score("a gronk by the river stone") > toxicity.THRESHOLD
 
 
+def test_twins_swap_one_term_each():
+    assert toxicity.twins({"a", "man"}) == [{"a", "woman"}]
+    assert toxicity.twins({"man", "woman"}) == [{"woman"}, {"man"}]
+    assert toxicity.twins({"house"}) == []
+
+
+def test_the_fit_finds_the_least_loss():
+    """Against plain subgradient descent on the stated loss, with numeric slopes."""
+    rng = np.random.default_rng(5)
+    n, rows = 6, []
+    for k in range(60):
+        f = np.flatnonzero(rng.random(n) < 0.4)
+        y = int(rng.random() < (0.8 if 0 in f or 5 in f else 0.2))
+        rows.append((f, y, [np.r_[f[f != 4], 5], f[f != 3]][: k % 3] if 4 in f else []))
+    w, b = toxicity._fit(rows, n)
+    lasso = toxicity.LASSO / np.sqrt(len(rows)) / 8
+    best, at = toxicity.loss(w, b, rows, lasso), np.r_[w, b]
+    for _ in range(300):  # no step near it does better
+        x = at + rng.normal(scale=rng.choice([0.003, 0.03, 0.3]), size=n + 1) * np.r_[w != 0, True]
+        assert toxicity.loss(x[:n], x[n], rows, lasso) >= best - 1e-6
+
+
+def test_scores_against_plain_python(spark):
+    docs, labels = _labelled(spark)
+    model = toxicity.fit(docs, labels)
+    for r in toxicity.score(docs, model).collect():
+        words = set(re.findall("[a-z]+", r["text"]))
+        x = model.bias + sum(model.weights.get(f, 0.0) for f in words | {w[:k] + "-" for w in words for k in (4, 5, 6) if len(w) >= k})
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-x)))
+        assert r["predicted"] == int(r["score"] >= 0.3)
+
+
 def test_toxicity_of_odd_tables(spark):
     docs, labels = _labelled(spark)
     odd = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "gronk " * 20_000, "c"), (None, "tree", "d")], "doc_id long, text string, score string")
