@@ -3,17 +3,22 @@
 Pass one hashes every normalised text into a counting Bloom filter and keeps the cells that at least two rows
 touch.  Pass two looks every row up: rows with an untouched cell have no twin and pass straight through; only the
 others shuffle and are compared by their SHA-256.
+
+The filter has 16 bits for each row, however many there are.  What is broadcast at a time is a filter of MOST_BITS: for
+more rows than that holds, the hashes are dealt into ranges, and each range has both passes of its own over the keys.
+A key is some 50 bytes of a row, so the ranges cost little beside the texts, which are read once.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import WHITE, bit_blocks, bit_table, maybe, scratch
 
-#: The filter takes 16 bits a row, and at most this many: 64 MB.  Above that more rows count as possibly repeated
-#: and shuffle; the result stays the same.
+#: Bits of the filter of one range: 64 MB, for 33 million rows.
 MOST_BITS = 1 << 29
 
 
@@ -30,9 +35,14 @@ def exact_dedup(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
         docs.select("doc_id", F.char_length(text).alias("n"), F.unhex(F.sha2(F.regexp_replace(text, f"{WHITE}+", "").cast("binary"), 256)).alias("sha")),
         "exact-keys",
     )
-    blocks, h = bit_blocks(keys.count(), most_bits), F.xxhash64("sha")
-    twice = bit_table(keys.select(h.alias("h")), blocks, 2)
-    seen = maybe(keys, h, twice, blocks)
+    n, h = keys.count(), F.xxhash64("sha")
+    ranges = max(1, -(-16 * n // most_bits))
+    blocks, parts = bit_blocks(-(-n // ranges), most_bits), []
+    for k in range(ranges):
+        own = keys if ranges == 1 else keys.where(F.pmod(F.xxhash64(F.lit(3), "sha"), F.lit(ranges)) == k)
+        told = maybe(own, h, bit_table(own.select(h.alias("h")), blocks, 2), blocks)
+        parts.append(told if ranges == 1 else scratch(told, "exact-range"))  # one broadcast at a time
+    seen = functools.reduce(DataFrame.unionByName, parts)
     again = seen.where("__maybe").select("doc_id", "n", "sha")
     groups = scratch(
         again.groupBy("sha").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id")).alias("best"), F.count("*").alias("group_size"))

@@ -6,8 +6,10 @@ import re
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,9 +31,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share, spark.checkpoint.dir.
+
+    Where none is set, a local session gets one of its own; on a cluster no folder of this machine would do.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="mosaikon-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -46,14 +53,79 @@ def scratch(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, at = _file(spark, path)
+    fs.deleteOnExit(at)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.scratch_path = path
+    return back
+
+
+def _file(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of scratch() that nothing reads any more."""
+    for df in tables:
+        fs, at = _file(df.sparkSession, df.scratch_path)
+        fs.delete(at, True)
+
+
+def one_in(who: str, n: int):
+    """Whether a row is of the sample of one in n values of `who`."""
+    return F.pmod(F.xxhash64(F.lit(17), who), F.lit(n)) == 0
+
+
+def dealt(rows: DataFrame, few: DataFrame, n: int, key: str, who: str, part: int) -> DataFrame:
+    """rows with part_a, part_b, side: the rows of a key are to be compared in groups of about 2 * part at most.
+
+    A key with more than `part` rows is dealt out by a hash of `who` into parts, and every pair of parts becomes a
+    group; side says whether a row is of its group's first part (1), its second (0), or both are the same (2).  How
+    many rows a key has is estimated from `few`, the rows of one in n values of `who`; that decides how large groups
+    are, and never which rows meet.
+    """
+    counts = few.groupBy(key).agg((F.count("*") * n).alias("__n"))
+    hot = scratch(counts.where(F.col("__n") > part).select(key, F.ceil(F.col("__n") / part).cast("int").alias("__parts")), "hot-keys")
+    met, n = rows.join(hot, key, "left"), F.coalesce("__parts", F.lit(1))
+    met = met.withColumn("__own", F.pmod(F.xxhash64(F.lit(18), who), n).cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), n - 1)))
+    own, other = F.col("__own"), F.col("__other")
+    return met.select(
+        *rows.columns, F.least(own, other).alias("part_a"), F.greatest(own, other).alias("part_b"),
+        F.when(own == other, 2).otherwise((own < other).cast("int")).alias("side"),
+    )
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: tuple) -> Iterator[pa.Table]:
+    """Rows sorted by keys, cut between runs of equal ones only."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = t if held is None else pa.concat_tables([held, t])
+        if not t.num_rows:
+            continue
+        same = np.ones(t.num_rows, bool)
+        for c in keys:
+            col = t.column(c).to_numpy()
+            same &= col == col[-1]
+        cut = t.num_rows - int(same[::-1].argmin() if not same.all() else t.num_rows)
+        if cut:
+            yield t.slice(0, cut)
+        held = t.slice(cut)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def run_starts(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal rows begin, and how long they are."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    starts = np.flatnonzero(new)
+    return starts, np.diff(np.r_[starts, len(new)])
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Texts may be long: hand them to Python in small Arrow batches."""
+    """Texts may be long: hand them to Python in small Arrow batches, which Spark also ends at 64 MB."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
@@ -85,7 +157,7 @@ BLOCK = 32768
 
 
 def bit_blocks(n: int, most_bits: int) -> int:
-    """Blocks of a bit table for n hashes: 16 bits for each, most_bits in all at most."""
+    """Blocks of a bit table for n hashes: 16 bits for each, most_bits in all at most (one block at least)."""
     blocks = 1
     while blocks * BLOCK < min(16 * n, most_bits):
         blocks *= 2
