@@ -18,12 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import forest, mix64, scratch, small_batches
+from .shared import dealt, forest, mix64, one_in, run_starts, scratch, small_batches, whole_runs
 
 RADIUS = 3
 BLOCKS = ((0, 22), (22, 43), (43, 64))
 #: Fingerprints compared at once: bounds memory, not partners.
 STRIP = 2048
+#: Fingerprints on one variant that one task compares: more are dealt out as pairs of such parts.  How many a variant
+#: has is estimated from one fingerprint in SAMPLED.
+PART, SAMPLED = 16_384, 64
 
 
 def fingerprint(text: bytes) -> int:
@@ -96,43 +99,30 @@ def _links_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by variant.  Small meetings are compared for all variants at once, large ones one by one."""
-
-    def compare(key: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        sizes = np.diff(np.r_[starts, len(key)])
-        large = sizes > 16
-        inside = np.repeat(~large, sizes)
+    """Rows come sorted by variant and parts.  Small meetings are compared for all at once, large ones one by one."""
+    for t in whole_runs(batches, ("variant", "part_a", "part_b")):
+        fp = t.column("fp").to_numpy().view(np.uint64)
+        starts, sizes = run_starts(*(t.column(c).to_numpy() for c in ("variant", "part_a", "part_b")))
+        run, inside, pairs = np.repeat(np.arange(len(starts)), sizes), np.repeat(sizes <= 16, sizes), []
         for step in range(1, 16):
-            i = np.flatnonzero((key[step:] == key[:-step]) & inside[step:])
-            if not len(i):
-                break
-            near = np.bitwise_count(fp[i] ^ fp[i + step]) <= RADIUS
-            yield fp[i[near]], fp[i[near] + step]
-        for s, n in zip(starts[large], sizes[large], strict=True):
-            yield _links_of(np.unique(fp[s : s + n]))
-
-    held_key, held_fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-    def out(pairs):
-        for u, v in pairs:
-            u, v = np.minimum(u, v), np.maximum(u, v)
-            apart = u != v
-            pairs = np.unique(np.stack([u[apart], v[apart]]), axis=1)
-            if pairs.shape[1]:
-                yield pa.RecordBatch.from_arrays([_signed(pairs[0].copy()), _signed(pairs[1].copy())], ["u", "v"])
-
-    for b in batches:
-        key = np.r_[held_key, b.column(0).to_numpy(zero_copy_only=False)]
-        fp = np.r_[held_fp, b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)]
-        if not len(key):
-            continue
-        cut = int(np.searchsorted(key, key[-1]))  # the last variant may go on in the next batch
-        if cut:
-            yield from out(compare(key[:cut], fp[:cut]))
-        held_key, held_fp = key[cut:], fp[cut:]
-    if len(held_key):
-        yield from out(compare(held_key, held_fp))
+            i = np.flatnonzero((run[step:] == run[:-step]) & inside[step:])
+            i = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= RADIUS]
+            pairs.append((fp[i], fp[i + step]))
+        for s, n in zip(starts[sizes > 16], sizes[sizes > 16], strict=True):
+            pairs.append(_links_of(np.unique(fp[s : s + n])))
+        u, v = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        u, v = np.minimum(u, v), np.maximum(u, v)
+        found = np.unique(np.stack([u[u != v], v[u != v]]), axis=1)
+        if found.shape[1]:
+            yield pa.RecordBatch.from_arrays([_signed(found[0].copy()), _signed(found[1].copy())], ["u", "v"])
+
+
+def links_between(distinct: DataFrame) -> DataFrame:
+    """distinct(fp) -> (u, v): links enough to connect all fingerprints that link."""
+    variants = lambda df: df.mapInArrow(_variants, "variant long, fp long")
+    met = dealt(variants(distinct), variants(distinct.where(one_in("fp", SAMPLED))), SAMPLED, "variant", "fp", PART).select("variant", "fp", "part_a", "part_b")
+    keys = ["variant", "part_a", "part_b"]
+    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_meet, "u long, v long")
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -142,9 +132,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     prints = scratch(fingerprints(docs), "prints")
     distinct = scratch(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-prints")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    variants = distinct.select("fp").mapInArrow(_variants, "variant long, fp long")
-    shuffled = variants.repartition("variant").sortWithinPartitions("variant")
-    links = shuffled.mapInArrow(_meet, "u long, v long")
+    links = links_between(distinct.select("fp"))
     found = components(links).select(F.col("node").alias("fp"), "component")
     return prints, distinct.join(found, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
 
@@ -155,8 +143,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component_id is the least doc_id reachable over links, null where no row of the class has one.  Texts without
     words (null, empty, white space) have fingerprint zero and link like any other; equal fingerprints always link,
     so only distinct ones are hashed and compared.  Rows that repeat a doc_id are rows of their own.  Other columns
-    are ignored; an empty table gives none.  How many distinct fingerprints can meet on one variant is bounded by the
-    geometry of the ball and does not grow with the copies of a document.
+    are ignored; an empty table gives none.
     """
     prints, classes = _classes(docs)
     least = classes.groupBy("component").agg(F.min("first").alias("component_id"))
