@@ -108,9 +108,9 @@ def test_exact(odd):
     assert by_id(exact.exact_dedup(odd), "keep_id", "group_size", "kept", "text_sha256") == plain_exact(ODD)
 
 
-def test_exact_with_a_full_filter(odd):
-    """A filter that says maybe to all gives the same rows."""
-    assert by_id(exact.exact_dedup(odd, most_bits=32), "keep_id", "group_size", "kept", "text_sha256") == plain_exact(ODD)
+def test_exact_in_ranges(odd):
+    """A filter too small for all rows: the hashes come in ranges, one after the other."""
+    assert by_id(exact.exact_dedup(odd, most_bits=100), "keep_id", "group_size", "kept", "text_sha256") == plain_exact(ODD)
 
 
 def test_lines(odd):
@@ -146,11 +146,23 @@ def test_links_at_each_distance(spark):
         n = k % 5
         fps += [int(b), int(b) ^ sum(1 << int(x) for x in bits[:n])]
     distinct = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in set(fps)], "fp long")
-    links = distinct.mapInArrow(simhash._variants, "variant long, fp long").repartition("variant").sortWithinPartitions("variant").mapInArrow(simhash._meet, "u long, v long")
-    got = {tuple(sorted((r["u"] % (1 << 64), r["v"] % (1 << 64)))) for r in links.collect()}
+    got = {tuple(sorted((r["u"] % (1 << 64), r["v"] % (1 << 64)))) for r in simhash.links_between(distinct).collect()}
     assert got == {tuple(sorted(p)) for k, p in enumerate(zip(fps[::2], fps[1::2], strict=True)) if 1 <= k % 5 <= 3}
 
 
+def test_hot_variants_are_dealt_in_parts(spark, monkeypatch):
+    """Many fingerprints on one variant, compared part by part, connect as they do at once."""
+    rng = np.random.default_rng(4)
+    fp = np.unique(rng.integers(0, 1 << 10, 150, dtype=np.uint64))
+    monkeypatch.setattr(simhash, "PART", 20)
+    monkeypatch.setattr(simhash, "SAMPLED", 1)
+    links = simhash.links_between(spark.createDataFrame([(int(x),) for x in fp], "fp long"))
+    got = {r["node"]: r["component"] for r in components.components(links).collect()}
+    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3
+    want = dict(zip(fp.tolist(), least_reachable(fp.tolist(), near), strict=True))
+    assert {k: got.get(k, k) for k in want} == want
+
+
 def test_large_meetings_stay_connected():
     """A dense ball of fingerprints: the links are few and connect all."""
     rng = np.random.default_rng(1)
@@ -203,11 +215,34 @@ def test_hot_buckets_are_dealt_in_parts(spark, monkeypatch):
     centre = unit(rng, 1, 16)[0]
     rows = [(k, (centre + rng.normal(scale=0.01, size=16)).tolist()) for k in range(300)]
     monkeypatch.setattr(vectors, "PART", 50)
+    monkeypatch.setattr(vectors, "SAMPLED", 1)
     got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert {r["component_id"] for r in got} == {0}
     assert {r["n_links"] for r in got} == {299}
 
 
+@pytest.mark.parametrize("dim", [16, 64, 256, 768])
+def test_recall_of_buckets(dim):
+    """Pairs of one cosine exactly: how many share a bucket and pass by their signs."""
+    rng, size = np.random.default_rng(dim), vectors.tables(50_000)
+    x = unit(rng, 3000, dim)
+    y = unit(rng, 3000, dim)
+    y = y - (x * y).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    for cosine, least in ((0.9, 0.95), (0.91, 0.96), (0.95, 0.995)):
+        z = cosine * x + np.sqrt(1 - cosine**2) * y
+        met = (vectors._buckets(x, size) == vectors._buckets(z, size)).any(1)
+        met &= np.bitwise_count(vectors._signs(x) ^ vectors._signs(z)).sum(1, dtype=int) <= vectors.SIGNS
+        assert met.mean() >= least
+
+
+def test_vectors_that_repeat_an_id(spark):
+    """Two vectors of one vec_id are two members; a null vec_id is never the least."""
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [0.0, 1.0, 0.01]), (None, [1.0, 0.0, 0.01]), (None, [0.0, 0.0, 1.0])]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"] or 99, r["n_links"], r["component_id"] or 99) for r in got) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (99, 0, 99), (99, 1, 1)]
+
+
 def test_empty_tables(spark, none):
     for f in (exact.exact_dedup, lines.line_dedup, substrings.substring_dedup, simhash.near_duplicates):
         assert f(none).count() == 0
@@ -259,7 +294,7 @@ def test_keep_first_with_null_ids_and_several_texts_of_one_id(spark):
     assert simhash.keep_first(near).count() == 1
 
 
-@pytest.mark.parametrize("bits", [exact.MOST_BITS, 1])
+@pytest.mark.parametrize("bits", [exact.MOST_BITS, 50])
 def test_exact_with_null_ids(spark, bits):
     rows = [(None, "a  b"), (1, "a b"), (2, "ab"), (3, "c"), (None, "c"), (None, "alone")]
     got = exact.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), bits).collect()
