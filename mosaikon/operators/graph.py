@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import scratch
+from ..storage import discard, scratch
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,18 +24,24 @@ def components(links: DataFrame) -> DataFrame:
         up = scratch(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("parent")), "parents")
         for _ in range(2):
             above = up.select(F.col("node").alias("parent"), F.col("parent").alias("top"))
-            up = scratch(up.join(above, "parent").select("node", F.col("top").alias("parent")), "parents")
+            before, up = up, scratch(up.join(above, "parent").select("node", F.col("top").alias("parent")), "parents")
+            discard(before)
+        before = edges
         edges = scratch(
             edges.join(up.select(F.col("node").alias("u"), F.col("parent").alias("pu")), "u")
             .join(up.select(F.col("node").alias("v"), F.col("parent").alias("pv")), "v")
             .select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).where("u < v").distinct(),
             "links",
         )
+        discard(before)
         if found is None:
-            found = up.select("node", F.col("parent").alias("component"))
+            found, table = up.select("node", F.col("parent").alias("component")), up
         else:
             moved = up.select(F.col("node").alias("component"), F.col("parent").alias("to"))
             found = scratch(found.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "members")
+            discard(table, up)
+            table = found
+    discard(edges)
     if found is None:
         return links.select(F.col("u").alias("node"), F.col("v").alias("component")).limit(0)
     return found
