@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from ..operators.graph import components
 from .shared import dealt, forest, mix64, one_in, run_starts, scratch, small_batches, whole_runs
 
 RADIUS = 3

@@ -6,8 +6,9 @@ window shows the anchor's words at some offset.  So:
 
 1. index: the hashes of all anchors, as a bit table (and those of anchors that several places hold);
 2. probe: every rolling window of BLOCK words of every document, against the index; what is hit is marked;
-3. extend: around marked words, the windows of WINDOW words are compared (by 80 bits of hash) over all documents,
-   each against the smallest doc_id that holds it; adjoining ones make up the maximal repeats.
+3. extend: around marked words, the windows of WINDOW words are compared (by 96 bits of hash) over all documents,
+   each against the smallest doc_id that holds it; adjoining ones make up the maximal repeats.  Of a window that is
+   frequent a task sends on the smallest document's alone, so what meets on it is a few rows a task.
 
 The bit tables only let through what may repeat; step 3 decides.  They grow with the text up to a fixed size, past
 which more windows are compared and the result stays the same.
@@ -217,7 +218,7 @@ def repeated_windows(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
             at = np.flatnonzero(full & (upto[WINDOW - BLOCK + 1 :][:m] - upto[:m] > 0))
             row = np.searchsorted(begins, at, side="right") - 1
             one = _rolling(words, WINDOW)[at]
-            two = (_rolling(mix64(words ^ np.uint64(0xA5A5A5A5A5A5A5A5)), WINDOW)[at] >> np.uint64(48)).astype(np.int64)
+            two = (_rolling(mix64(words ^ np.uint64(0xA5A5A5A5A5A5A5A5)), WINDOW)[at] >> np.uint64(32)).astype(np.int64)
             doc, version = (b.column(c).to_numpy(zero_copy_only=False)[row] for c in ("doc", "version"))
             kept.append((one, two, doc, version, (at - begins[row]).astype(np.int64)))
             if sum(len(x[0]) for x in kept) > HELD:
@@ -241,7 +242,7 @@ def repeated_windows(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
         for s in range(0, len(on), 50_000):
             pick = on[s : s + 50_000]
             yield pa.RecordBatch.from_arrays(
-                [_signed(one[pick]), pa.array(place[pick] << 16 | two[pick]), pa.array(doc[pick]), pa.array(version[pick]), pa.nulls(len(pick), pa.list_(pa.int32()))], ["k1", "k2", "doc", "version", "places"],
+                [_signed(one[pick]), pa.array(place[pick] << 32 | two[pick]), pa.array(doc[pick]), pa.array(version[pick]), pa.nulls(len(pick), pa.list_(pa.int32()))], ["k1", "k2", "doc", "version", "places"],
             )
 
     def packed(doc: np.ndarray, version: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -284,7 +285,7 @@ def repeated_windows(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
             if b.num_rows:
                 one, rest, doc, version = (b.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2", "doc", "version"))
                 keys = np.empty(len(one), [("a", np.int64), ("b", np.int64)])
-                keys["a"], keys["b"] = one, rest & 0xFFFF
+                keys["a"], keys["b"] = one, rest & 0xFFFFFFFF
                 first, mine = _merge(keys, doc)
                 if (keys["a"][0], keys["b"][0]) == last:  # the window went on from the batch before
                     n = int(np.flatnonzero(np.r_[first[1:], True])[0]) + 1
@@ -295,7 +296,7 @@ def repeated_windows(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
                 if z or least is None:
                     least = doc[z]
                 last = (keys["a"][-1], keys["b"][-1])
-                held.append((doc[~mine], version[~mine], rest[~mine] >> 16))
+                held.append((doc[~mine], version[~mine], rest[~mine] >> 32))
             if sum(len(x[0]) for x in held) > HELD:
                 yield out()
                 held.clear()
@@ -303,7 +304,7 @@ def repeated_windows(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
             yield out()
 
     windows = docs.mapInArrow(extend, "k1 long, k2 long, doc long, version int, places array<int>")
-    sorted_ = windows.repartition("k1").sortWithinPartitions("k1", F.col("k2").bitwiseAND(0xFFFF), "doc")
+    sorted_ = windows.repartition("k1").sortWithinPartitions("k1", F.col("k2").bitwiseAND(F.lit(0xFFFFFFFF)), "doc")
     return sorted_.mapInArrow(decide, "doc long, version int, place int")
 
 

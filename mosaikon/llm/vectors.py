@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from ..operators.graph import components
 from .shared import dealt, forest, mix64, one_in, run_starts, scratch, whole_runs
 
 COSINE, WIDTH, SEED = 0.9, 2.0, 11

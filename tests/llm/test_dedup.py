@@ -9,7 +9,8 @@ import xxhash
 from compare import same
 from pyspark.sql import functions as F
 
-from mosaikon.llm import components, exact, lines, oracle, queries, simhash, substrings, vectors
+from mosaikon.llm import exact, lines, oracle, queries, simhash, substrings, vectors
+from mosaikon.operators import graph as components
 
 WS = " \t\n\x0b\x0c\r"
 LONG = " ".join(f"w{k % 977}x{k % 31}" for k in range(30_000))
