@@ -42,51 +42,75 @@ def pieces(path: str | None = None) -> list[str]:
     return sorted(p for p in found if letters(p) == [p])
 
 
-def _hash(codes: np.ndarray, n: int) -> np.ndarray:
-    """A hash of the n characters from each column on."""
-    m = codes.shape[1] - n + 1
-    h = np.full((codes.shape[0], m), n, np.uint64)
-    for k in range(n):
-        h = (h ^ codes[:, k : k + m]) * BASE
-    return mix64(h)
-
-
 class Lattice:
     """Which pieces stand at which place of a batch of words of equal length."""
 
     def __init__(self, vocabulary: list[str]):
         self.vocabulary = vocabulary
-        h = np.zeros(len(vocabulary), np.uint64)
         self.longest = max(map(len, vocabulary), default=1)
+        #: For each length the hashes of all beginnings of pieces, sorted, and the piece that such a beginning is, or -1.
+        self.tables = []
         for n in range(1, self.longest + 1):
-            at = [k for k, p in enumerate(vocabulary) if len(p) == n]
-            if at:
-                h[at] = _hash(self.codes([vocabulary[k] for k in at], n), n)[:, 0]
-        self.order = np.argsort(h)
-        self.sorted = h[self.order]
+            found: dict = {}
+            for k, piece in enumerate(vocabulary):
+                if len(piece) >= n:
+                    begin = piece[:n]
+                    if begin not in found or len(piece) == n:
+                        found[begin] = k if len(piece) == n else -1
+            h = np.zeros(len(found), np.uint64)
+            codes = self.codes(list(found), n)
+            for k in range(n):
+                h = self.step(h, codes[:, k])
+            order = np.argsort(h)
+            self.tables.append((h[order], np.array(list(found.values()), np.int64)[order]))
+
+    @staticmethod
+    def step(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The hash of a beginning with one more character."""
+        return mix64(h * BASE + codes)
 
     @staticmethod
     def codes(words: list[str], n: int) -> np.ndarray:
         return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n).astype(np.uint64)
 
-    def ids(self, words: list[str], n: int) -> list[np.ndarray]:
-        """For each piece length, the number of the piece from each place on; len(vocabulary) where there is none."""
-        codes, found = self.codes(words, n), []
-        for k in range(1, min(self.longest, n) + 1):
-            h = _hash(codes, k)
-            at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-            found.append(np.where(self.sorted[at] == h, self.order[at], len(self.vocabulary)))
-        return found
-
-
-def forward(ids: list[np.ndarray], n: int, p: np.ndarray) -> np.ndarray:
-    """p: (pieces + 1, languages) -> (words, n + 1, languages), the probability of each beginning."""
-    a = np.zeros((len(ids[0]), n + 1, p.shape[1]))
-    a[:, 0] = 1
+    def found(self, words: list[str], n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each piece length (word, piece, bounds): the pieces from place t on are those from bounds[t] to bounds[t + 1].
+
+        A place is looked at again with one more character only while what stands there is the beginning of a piece.
+        """
+        codes, w = np.ascontiguousarray(self.codes(words, n).T).ravel(), len(words)
+        at, h, out = np.arange(n * w), np.zeros(n * w, np.uint64), []
+        for k, (hashes, pieces) in enumerate(self.tables[:n], 1):
+            inside = at < (n - k + 1) * w
+            at, h = at[inside], self.step(h[inside], codes[at[inside] + (k - 1) * w])
+            near = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            here = hashes[near] == h
+            at, h, piece = at[here], h[here], pieces[near[here]]
+            whole = piece >= 0
+            out.append((at[whole] % w, piece[whole], np.searchsorted(at[whole], np.arange(n + 1) * w)))
+        return out
+
+
+def _unknown(first: tuple, t: int, words: int, p: np.ndarray) -> np.ndarray:
+    """(words, languages): the probability of the single character at place t."""
+    one = np.full((words, p.shape[1]), UNKNOWN)
+    word, piece, bounds = first
+    own = slice(bounds[t], bounds[t + 1])
+    one[word[own]] = np.maximum(p[piece[own]], UNKNOWN)
+    return one
+
+
+def forward(found: list, words: int, n: int, p: np.ndarray) -> np.ndarray:
+    """p: (pieces, languages) -> (n + 1, words, languages), the probability of each beginning."""
+    a = np.zeros((n + 1, words, p.shape[1]))
+    a[0] = 1
     for t in range(1, n + 1):
-        a[:, t] = a[:, t - 1] * np.maximum(p[ids[0][:, t - 1]], UNKNOWN)
-        for k in range(2, min(len(ids), t) + 1):
-            a[:, t] += a[:, t - k] * p[ids[k - 1][:, t - k]]
+        a[t] = a[t - 1] * _unknown(found[0], t - 1, words, p)
+        for k in range(2, min(len(found), t) + 1):
+            word, piece, bounds = found[k - 1]
+            own = slice(bounds[t - k], bounds[t - k + 1])
+            if own.start < own.stop:
+                a[t, word[own]] += a[t - k, word[own]] * p[piece[own]]
     return a
 
 
@@ -96,13 +120,12 @@ def _steps(word: str, lattice: Lattice, p: np.ndarray) -> Iterator[np.ndarray]:
     for begin in range(0, len(word), 4096):  # some memory for a stretch, however long the word
         back = max(0, begin - most + 1)
         part = word[back : begin + 4096]
-        ids = lattice.ids([part], len(part))
-        for t in range(begin + 1, min(begin + 4096, len(word)) + 1):
-            own = np.zeros((most, p.shape[1]))
-            for k in range(1, min(len(ids), t) + 1):
-                own[k - 1] = p[ids[k - 1][0, t - k - back]]
-            own[0] = np.maximum(own[0], UNKNOWN)
-            yield own
+        own = np.zeros((len(part) + 1, most, p.shape[1]))
+        own[:, 0] = UNKNOWN
+        for k, (_, piece, bounds) in enumerate(lattice.found([part], len(part)), 1):
+            start = np.repeat(np.arange(len(part)), np.diff(bounds))
+            own[start + k, k - 1] = np.maximum(p[piece], UNKNOWN) if k == 1 else p[piece]
+        yield from own[begin - back + 1 :]
 
 
 def long_score(word: str, lattice: Lattice, p: np.ndarray) -> np.ndarray:
@@ -133,51 +156,56 @@ def log_scores(words: list[str], lattice: Lattice, p: np.ndarray) -> np.ndarray:
             continue
         for s in range(0, len(at), 20_000):
             pick = at[s : s + 20_000]
-            out[pick] = np.log(forward(lattice.ids([words[k] for k in pick], n), n, p)[:, n])
+            out[pick] = np.log(forward(lattice.found([words[k] for k in pick], n), len(pick), n, p)[n])
     return out
 
 
 def _long_counts(word: str, lattice: Lattice, p: np.ndarray) -> np.ndarray:
     """How often each piece is expected in a word of any length, in one language: forward and backward in logs."""
-    n, ids = len(word), lattice.ids([word], len(word))
+    n, pieces = len(word), lattice.found([word], len(word))
     with np.errstate(divide="ignore"):
-        lp = [np.log(np.maximum(p[own[0], 0], UNKNOWN) if k == 1 else p[own[0], 0]) for k, own in enumerate(ids, 1)]
+        lp = [np.full(n - k + 1, np.log(UNKNOWN) if k == 1 else -np.inf) for k in range(1, len(pieces) + 1)]
+        ids = [np.full(n - k + 1, len(p)) for k in range(1, len(pieces) + 1)]
+        for k, (_, piece, bounds) in enumerate(pieces):
+            start = np.repeat(np.arange(n), np.diff(bounds))
+            lp[k][start] = np.log(np.maximum(p[piece, 0], UNKNOWN) if k == 0 else p[piece, 0])
+            ids[k][start] = piece
     a, b = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
     a[0] = b[n] = 0
     for t in range(1, n + 1):
-        a[t] = np.logaddexp.reduce([a[t - k] + lp[k - 1][t - k] for k in range(1, min(len(ids), t) + 1)])
+        a[t] = np.logaddexp.reduce([a[t - k] + lp[k - 1][t - k] for k in range(1, min(len(lp), t) + 1)])
     for t in range(n - 1, -1, -1):
-        b[t] = np.logaddexp.reduce([b[t + k] + lp[k - 1][t] for k in range(1, min(len(ids), n - t) + 1)])
-    found = np.zeros(len(p))
+        b[t] = np.logaddexp.reduce([b[t + k] + lp[k - 1][t] for k in range(1, min(len(lp), n - t) + 1)])
+    found = np.zeros(len(p) + 1)
     for k, own in enumerate(ids, 1):
-        found += np.bincount(own[0], np.exp(a[: n - k + 1] + lp[k - 1] + b[k:] - a[n]), len(p))
-    return found
+        found += np.bincount(own, np.exp(a[: n - k + 1] + lp[k - 1] + b[k:] - a[n]), len(p) + 1)
+    return found[:-1]
 
 
 def learn(words: list[str], counts: np.ndarray, lattice: Lattice) -> np.ndarray:
     """EM: piece probabilities of one language from its words and how often they occur."""
     v = len(lattice.vocabulary)
-    p = np.full((v + 1, 1), 1.0 / v)
-    p[v] = 0
-    groups = [(n, at, lattice.ids([words[k] for k in at], n)) for n, at in _by_length(words).items() if n <= LONG]
+    p = np.full((v, 1), 1.0 / v)
+    groups = [(n, np.array(at), lattice.found([words[k] for k in at], n)) for n, at in _by_length(words).items() if n <= LONG]
     large = [k for k, w in enumerate(words) if len(w) > LONG]
     for _ in range(ROUNDS):
-        expected = sum((counts[k] * _long_counts(words[k], lattice, p) for k in large), np.zeros(v + 1))
-        for n, at, ids in groups:
-            a = forward(ids, n, p)[:, :, 0]
+        expected = sum((counts[k] * _long_counts(words[k], lattice, p) for k in large), np.zeros(v))
+        for n, at, found in groups:
+            a = forward(found, len(at), n, p)[:, :, 0]
             b = np.zeros_like(a)
-            b[:, n] = 1
+            b[n] = 1
             for t in range(n - 1, -1, -1):
-                b[:, t] = b[:, t + 1] * np.maximum(p[ids[0][:, t], 0], UNKNOWN)
-                for k in range(2, min(len(ids), n - t) + 1):
-                    b[:, t] += b[:, t + k] * p[ids[k - 1][:, t], 0]
-            weight = counts[at] / a[:, n]
-            for k, own in enumerate(ids, 1):
-                flow = a[:, : n - k + 1] * p[own, 0] * b[:, k:] * weight[:, None]
-                expected += np.bincount(own.ravel(), flow.ravel(), v + 1)
-        expected[v] = 0
+                b[t] = b[t + 1] * _unknown(found[0], t, len(at), p)[:, 0]
+                for k in range(2, min(len(found), n - t) + 1):
+                    word, piece, bounds = found[k - 1]
+                    own = slice(bounds[t], bounds[t + 1])
+                    b[t, word[own]] += b[t + k, word[own]] * p[piece[own], 0]
+            weight = counts[at] / a[n]
+            for k, (word, piece, bounds) in enumerate(found, 1):
+                start = np.repeat(np.arange(n), np.diff(bounds))
+                flow = a[start, word] * p[piece, 0] * b[start + k, word] * weight[word]
+                expected += np.bincount(piece, flow, v)
         p = ((expected + SMOOTH) / (expected.sum() + SMOOTH * v))[:, None]
-        p[v] = 0
     return p[:, 0]
 
 
@@ -212,7 +240,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, vocabulary: str | None = None) ->
         return pa.table([pa.array([table.column("lang")[0].as_py()]), pa.array([p.tolist()])], ["lang", "p"])
 
     models = counts.groupBy("lang").applyInArrow(train, "lang string, p array<double>").orderBy("lang").collect()
-    return [r["lang"] for r in models], names, np.array([r["p"] for r in models]).T.reshape(len(names) + 1, -1)
+    return [r["lang"] for r in models], names, np.array([r["p"] for r in models]).T.reshape(len(names), -1)
 
 
 def predict(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray]) -> DataFrame:

@@ -19,12 +19,14 @@ WHITE = r"[\x20\x09-\x0D]"
 WHITE_CHARS = " \t\n\x0b\x0c\r"
 _WORD = re.compile(r"[^\W\d_]+")
 #: What \w takes beside letters, digits and the underscore: numbers like \u00bd and \u2167.
-_NUMBERS = re.compile("[%s]" % re.escape("".join(c for c in map(chr, range(0xA0, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())))
+_NUMBERS = frozenset(c for c in map(chr, range(0xA0, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 
 
 def letters(text: str) -> list[str]:
     """Runs of letters (general category L)."""
-    return _WORD.findall(text if text.isascii() else _NUMBERS.sub(" ", text))
+    if not text.isascii() and not _NUMBERS.isdisjoint(text):
+        text = "".join([" " if c in _NUMBERS else c for c in text])
+    return _WORD.findall(text)
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -168,7 +168,7 @@ def test_encode_keeps_columns(spark):
 
 def test_forward_sums_over_all_segmentations():
     lattice = langid.Lattice(["a", "ab", "b", "ba"])
-    p = np.array([[0.4], [0.3], [0.2], [0.1], [0.0]])
+    p = np.array([[0.4], [0.3], [0.2], [0.1]])
     at = {"a": 0.4, "ab": 0.3, "b": 0.2, "ba": 0.1}
 
     def total(w):
@@ -181,7 +181,7 @@ def test_forward_sums_over_all_segmentations():
 def test_long_words_are_summed_like_short_ones():
     names = langid.pieces()
     lattice, rng = langid.Lattice(names), np.random.default_rng(3)
-    p = np.r_[rng.dirichlet(np.ones(len(names)), 2).T, np.zeros((1, 2))]
+    p = rng.dirichlet(np.ones(len(names)), 2).T
     assert lattice.longest > 8
     for word in ("internationalisation", "straßenbahnhaltestelle", "x", "日本語テキスト", "abcdefghij" * 4):
         assert langid.long_score(word, lattice, p) == pytest.approx(langid.log_scores([word], lattice, p)[0])
@@ -201,7 +201,7 @@ def test_expected_counts_of_long_words(monkeypatch):
 def test_em_raises_the_likelihood():
     words, counts = ["abab", "ab", "ba", "b"], np.array([5.0, 9.0, 1.0, 2.0])
     lattice = langid.Lattice(["a", "ab", "b", "ba"])
-    flat = np.array([[0.25]] * 4 + [[0.0]])
+    flat = np.array([[0.25]] * 4)
     p = langid.learn(words, counts, lattice)[:, None]
     assert counts @ langid.log_scores(words, lattice, p)[:, 0] > counts @ langid.log_scores(words, lattice, flat)[:, 0]
 
