@@ -13,14 +13,15 @@ ELECTRON = 0.00054857990907
 C13_STEP = 1.0033548
 
 _M = ELEMENTS
-#: Adducts by polarity: the shift of the neutral mass, and the charge.
+# Adducts by polarity, the shift of the neutral mass, and the charge.
 ADDUCTS = {
     "negative": {
         "[M-H]-": (-_M["H"] + ELECTRON, 1), "[M+Cl]-": (_M["Cl"] + ELECTRON, 1), "[M+HCOO]-": (_M["H"] + _M["C"] + 2 * _M["O"] + ELECTRON, 1),
-        "[M-CH3]-": (-(_M["C"] + 3 * _M["H"]) + ELECTRON, 1), "[M-2H]2-": (2 * (-_M["H"] + ELECTRON), 2),
+        "[M-CH3]-": (-(_M["C"] + 3 * _M["H"]) + ELECTRON, 1), "[M-2H]2-": (2 * (-_M["H"] + ELECTRON), 2), "[M-3H]3-": (3 * (-_M["H"] + ELECTRON), 3), "[M+CH3COO]-": (2 * _M["C"] + 3 * _M["H"] + 2 * _M["O"] + ELECTRON, 1),
     },
     "positive": {
         "[M+H]+": (_M["H"] - ELECTRON, 1), "[M+Na]+": (_M["Na"] - ELECTRON, 1), "[M+K]+": (_M["K"] - ELECTRON, 1), "[M+NH4]+": (_M["N"] + 4 * _M["H"] - ELECTRON, 1),
+        "[M+2H]2+": (2 * (_M["H"] - ELECTRON), 2),
     },
 }
 

@@ -22,9 +22,10 @@ def consensus(peaks: DataFrame, ppm: float = 20.0, min_prevalence: float = 0.0)
     """target_mz (of the most intense peak), lo, hi, n_samples: m/z clusters over peaks(sample_id, mz, intensity).
 
     A cluster ends where the gap to the next peak is over the tolerance or its width would be.  Gaps cut the axis into
-    islands that know nothing of each other; the width rule runs along one island at a time.  The axis is cut into
-    ranges first, so no task sorts all of it: an island that reaches over a range's end is put together again by the
-    gap itself, as its cells are joined to the left.
+    islands that know nothing of each other; the width rule runs along one island at a time, over its distinct m/z with
+    the largest intensity of each: peaks are combined before they meet, and counted by sample afterwards, so what an
+    island holds is bounded by the resolution of the axis and not by samples or peaks.  Equal intensities go to the
+    smallest m/z.
     """
     cell = F.floor(F.log("mz") / F.log1p(F.lit(ppm * 1e-6))).cast("long")
     cells = peaks.groupBy(cell.alias("cell")).agg(F.min("mz").alias("lo"), F.max("mz").alias("hi"))
@@ -38,23 +39,25 @@ def consensus(peaks: DataFrame, ppm: float = 20.0, min_prevalence: float = 0.0)
     n_samples = peaks.select("sample_id").distinct().count()
 
     def walk(table: pa.Table) -> pa.Table:
-        mz, inten, sample = (table.column(c).to_numpy(zero_copy_only=False) for c in ("mz", "intensity", "sample_id"))
-        order = np.lexsort((sample, mz))
-        mz, inten, sample = mz[order], inten[order], sample[order]
+        mz, inten = (table.column(c).to_numpy(zero_copy_only=False) for c in ("mz", "intensity"))
+        order = np.argsort(mz)
+        mz, inten = mz[order], inten[order]
         edges, first = [0], mz[0]
         for k in range(1, len(mz)):
             tol = mz[k] * ppm / 1e6
             if mz[k] - mz[k - 1] > tol or mz[k] - first > tol:
                 edges.append(k)
                 first = mz[k]
-        rows = []
-        for a, z in zip(edges, [*edges[1:], len(mz)], strict=True):
-            rows.append((float(mz[a + int(np.argmax(inten[a:z]))]), float(mz[a]), float(mz[z - 1]), len(set(sample[a:z].tolist()))))
-        return pa.table(list(map(pa.array, zip(*rows, strict=True))), ["target_mz", "lo", "hi", "n_samples"])
+        edges = np.array(edges)
+        ends = np.r_[edges[1:], len(mz)]
+        best = np.array([a + int(np.argmax(inten[a:z])) for a, z in zip(edges, ends, strict=True)])
+        own = np.repeat(np.arange(len(edges)), ends - edges)
+        return pa.table([pa.array(mz), pa.array(mz[best][own]), pa.array(mz[edges][own]), pa.array(mz[ends - 1][own])], ["mz", "target_mz", "lo", "hi"])
 
-    marked = peaks.select("sample_id", "mz", "intensity", cell.alias("cell")).join(named, "cell")
-    found = marked.groupBy("island").applyInArrow(walk, "target_mz double, lo double, hi double, n_samples long")
-    return found.where(F.col("n_samples") >= min_prevalence * n_samples)
+    tops = peaks.groupBy("mz", cell.alias("cell")).agg(F.max(F.col("intensity").cast("double")).alias("intensity")).join(named, "cell")
+    placed = tops.select(F.col("mz").cast("double"), "intensity", "island").groupBy("island").applyInArrow(walk, "mz double, target_mz double, lo double, hi double")
+    met = peaks.select("sample_id", F.col("mz").cast("double")).distinct().join(placed, "mz").select("sample_id", "target_mz", "lo", "hi").distinct()
+    return met.groupBy("target_mz", "lo", "hi").agg(F.count("*").alias("n_samples")).where(F.col("n_samples") >= min_prevalence * n_samples)
 
 
 def feature_table(peaks: DataFrame, targets: DataFrame, ppm: float = 10.0, fill: str = "nan", normalise: str | None = None) -> DataFrame:
@@ -191,6 +194,28 @@ def group_by_pattern(samples: DataFrame, pattern: str, column: str = "source") -
     return samples.withColumn("grp", F.when(got != "", got))
 
 
+def group_by_folder(samples: DataFrame, column: str = "source") -> DataFrame:
+    """samples with grp, the name of the folder that holds the source; null where the path has none."""
+    parts = F.split(F.replace(column, F.lit("\\"), F.lit("/")), "/")
+    return samples.withColumn("grp", F.nullif(F.get(parts, F.size(parts) - 2), F.lit("")))
+
+
+def group_by_meta(samples: DataFrame, key: str) -> DataFrame:
+    """samples(meta) with grp, what meta says under key; a sample without that keeps its group."""
+    return samples.withColumn("grp", F.coalesce(F.try_element_at("meta", F.lit(key)), F.col("grp")))
+
+
+def batch_design(samples: DataFrame) -> DataFrame:
+    """samples(sample_id, grp, batch) -> sample_id, batch, level, x: the protected design, a column for each group but the first.
+
+    Long rather than wide: what a model needs is the few columns of a sample.  A missing group or batch is "".
+    """
+    named = samples.select("sample_id", F.coalesce(F.col("grp").cast("string"), F.lit("")).alias("grp"), F.coalesce(F.col("batch").cast("string"), F.lit("")).alias("batch"))
+    levels = named.agg(F.array_sort(F.collect_set("grp")).alias("levels"))  # one row with a name for each group
+    each = named.join(F.broadcast(levels)).withColumn("level", F.explode(F.slice("levels", F.lit(2), F.greatest(F.size("levels") - 1, F.lit(0)))))
+    return each.select("sample_id", "batch", "level", (F.col("grp") == F.col("level")).cast("double").alias("x"))
+
+
 def relocate(missing: DataFrame, files: DataFrame) -> DataFrame:
     """missing(source) with moved: the one file(path) of the same name, null if none or several."""
     name = lambda c: F.lower(F.element_at(F.split(F.replace(c, F.lit("\\"), F.lit("/")), "/"), -1))

@@ -33,8 +33,14 @@ def rows(dense: DataFrame, *extra: str, log: bool = True) -> DataFrame:
 
 def scaled(dense: DataFrame, *extra: str) -> DataFrame:
     """pixel_id, z: log values with mean zero and deviation one by feature, as an ml vector."""
+    return _scaled(dense, *extra)[0]
+
+
+def _scaled(dense: DataFrame, *extra: str) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """scaled(), and the means and deviations it took out."""
     r = rows(dense, *extra).withColumn("x", array_to_vector("x"))
-    return StandardScaler(inputCol="x", outputCol="z", withMean=True).fit(r).transform(r).drop("x")
+    model = StandardScaler(inputCol="x", outputCol="z", withMean=True).fit(r)
+    return model.transform(r).drop("x"), model.mean.toArray(), model.std.toArray()
 
 
 def by_size(labels: DataFrame) -> DataFrame:
@@ -113,11 +119,13 @@ def nmf(dense: DataFrame, k: int = 5, steps: int = 60, seed: int = 0) -> tuple[D
 
 
 def pls(dense: DataFrame, n_components: int = 2) -> tuple[list, np.ndarray, np.ndarray]:
-    """PLS-DA of dense(pixel_id, label, feature, v): labels, coefficients (features x labels) and VIP.
+    """PLS-DA of dense(pixel_id, label, feature, v): labels, coefficients (features + 1 x labels) and VIP.
 
-    All it needs of the pixels is X'X and X'Y, so one pass gathers them.
+    The coefficients are for log values as they are, the last row for a constant: the scaling of the pixels it learns
+    from goes along with them.  All it needs of the pixels is X'X and X'Y, so one pass gathers them.
     """
-    z = scaled(dense, "label").select("label", vector_to_array("z").alias("x"))
+    z, centre, dev = _scaled(dense, "label")
+    z = z.select("label", vector_to_array("z").alias("x"))
     labels = sorted(r["label"] for r in z.select("label").distinct().collect())
     p = len(z.first()["x"])
     with_y = z.select(F.concat("x", F.array(*[F.when(F.col("label") == c, 1.0).otherwise(0.0) for c in labels], F.lit(1.0))).alias("x"))
@@ -147,26 +155,30 @@ def pls(dense: DataFrame, n_components: int = 2) -> tuple[list, np.ndarray, np.n
     w, q = np.stack(ws, 1), np.stack(qs, 1)
     power = (q * q).sum(0)
     share = (w / np.linalg.norm(w, axis=0)) ** 2
-    return labels, w @ q.T, np.sqrt(p * (share * power).sum(1) / power.sum())
+    own = np.divide(w @ q.T, dev[:, None], out=np.zeros((p, len(labels))), where=dev[:, None] > 0)
+    return labels, np.vstack([own, mean[p:] - centre @ own]), np.sqrt(p * (share * power).sum(1) / power.sum())
 
 
 def classify(dense: DataFrame, model: tuple) -> DataFrame:
-    """pixel_id, label, predicted by a PLS model of the same features."""
+    """pixel_id, label, predicted by a PLS model of the same features, scaled as the pixels that it learned from."""
     labels, coef, _ = model
-    z = scaled(dense, "label")
     lit = dense.sparkSession.sparkContext.broadcast((labels, coef))
 
     @F.pandas_udf(DoubleType())
     def predict(x: pd.Series) -> pd.Series:
         names, b = lit.value
-        return pd.Series(np.array(names, float)[(np.stack(x.to_list()) @ b).argmax(1)])
+        return pd.Series(np.array(names, float)[(np.stack(x.to_list()) @ b[:-1] + b[-1]).argmax(1)])
 
-    return z.select("pixel_id", "label", predict(vector_to_array("z")).cast("int").alias("predicted"))
+    return rows(dense, "label").select("pixel_id", "label", predict("x").cast("int").alias("predicted"))
 
 
-def confusion(dense: DataFrame, folds: int = 5, n_components: int = 2) -> DataFrame:
-    """label, predicted, n: each fold (by a hash of the pixel) is predicted by a model of the others."""
-    fold = F.pmod(F.xxhash64("pixel_id"), F.lit(folds))
+def confusion(dense: DataFrame, folds: int = 5, n_components: int = 2, unit: str = "pixel_id") -> DataFrame:
+    """label, predicted, n: each fold is predicted by a model of the others.
+
+    Folds are by a hash of `unit`.  Pixels of one sample are alike, so with several samples that should be the column
+    of dense that names them: whole samples are then left out.
+    """
+    fold = F.pmod(F.xxhash64(unit), F.lit(folds))
     parts = None
     for k in range(folds):
         got = classify(dense.where(fold == k), pls(dense.where(fold != k), n_components))

@@ -141,8 +141,8 @@ def chaos(values: DataFrame, pixels: DataFrame, levels: int = 30) -> DataFrame:
     e = neighbours(pixels)
     a = on.join(e, on["pixel_id"] == e["a"]).select("feature", "k", "a", F.col("b").alias("pixel_id"))
     met = a.join(on, ["feature", "k", "pixel_id"])
-    # one number for each pixel, feature and level
-    name = lambda p: (F.col(p) * F.lit(1 << 20) + F.col("feature") * levels + F.col("k")).cast("long")
+    # one number for each pixel, feature and level, whatever their ranges and types
+    name = lambda p: F.xxhash64(F.col(p), "feature", "k")
     found = components(met.select(name("a").alias("u"), name("pixel_id").alias("v")))
     named = on.select("feature", name("pixel_id").alias("node")).join(found, "node", "left")
     count = named.groupBy("feature").agg(F.count_if(F.col("component").isNull() | (F.col("component") == F.col("node"))).alias("parts"))

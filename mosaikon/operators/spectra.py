@@ -142,3 +142,9 @@ def rgb(values: DataFrame, channels: list[int], high: float = 0.99) -> DataFrame
     scaled = values.join(F.broadcast(edges), "feature_id").withColumn("s", F.when(F.col("hi") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value") / F.col("hi")))).otherwise(0.0))
     of = lambda k: F.floor(F.max(F.when(F.col("feature_id") == k, F.col("s"))) * 255).cast("int")
     return scaled.groupBy("pixel_id").agg(*[of(k).alias(n) for k, n in zip(channels, "rgb", strict=True)])
+
+
+def mz_bounds(peaks: DataFrame, *by: str) -> DataFrame:
+    """n_peaks, mz_lo, mz_hi over the finite m/z of peaks(mz), for each value of `by`."""
+    fine = F.col("mz").isNotNull() & ~F.isnan(F.col("mz").cast("double")) & (F.abs("mz") < float("inf"))
+    return peaks.where(fine).groupBy(*by).agg(F.count("*").alias("n_peaks"), F.min("mz").alias("mz_lo"), F.max("mz").alias("mz_hi"))

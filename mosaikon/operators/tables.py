@@ -31,21 +31,22 @@ def run_prefixes(runs: DataFrame) -> DataFrame:
 def attach(base: DataFrame, analysis: DataFrame, prefix: str, key: str | None = None, ppm: float = 5.0) -> DataFrame:
     """base(mz, ...) with the columns of analysis(mz, [key], ...) of the nearest m/z; each value of key makes columns.
 
-    A key with over MAX_PIVOT values is refused.
+    Of several rows of one m/z (and key) the least by all its columns counts.  A key with over MAX_PIVOT values is
+    refused.
     """
     own = [c for c in analysis.columns if c not in ("mz", key)]
     if key:
         values = sorted(r[0] for r in analysis.select(key).distinct().limit(MAX_PIVOT + 1).collect())
         if not 2 <= len(values) <= MAX_PIVOT:
             raise ValueError(f"{key} has {len(values)} values or more; 2 to {MAX_PIVOT} can be columns")
-        wide = analysis.groupBy("mz").pivot(key, values).agg(*[F.first(c).alias(c) for c in own])
+        wide = analysis.groupBy("mz").pivot(key, values).agg(*[F.min(F.struct(*own))[c].alias(c) for c in own])
         names = [c for c in wide.columns if c != "mz"]
         if len(own) == 1:
             renamed = {c: f"{prefix}.{c}.{own[0]}" for c in names}
         else:
             renamed = {c: f"{prefix}.{c.rsplit('_', 1)[0]}.{c.rsplit('_', 1)[1]}" for c in names}
     else:
-        wide = analysis.groupBy("mz").agg(*[F.first(c).alias(c) for c in own])
+        wide = analysis.groupBy("mz").agg(*[F.min(F.struct(*own))[c].alias(c) for c in own])
         renamed = {c: f"{prefix}.{c}" for c in own}
     ref = wide.select(F.col("mz").alias("ref_mz"), *[F.col(f"`{c}`").alias(n.replace(".", "__")) for c, n in renamed.items()])
     met = nearest(base, ref, ppm, ["mz"])
@@ -116,3 +117,15 @@ def stale_runs(runs: DataFrame, current: DataFrame) -> DataFrame:
     now = current.select("dataset", F.col("fingerprint").alias("now_fp"), digest("inputs").alias("now_digest"))
     own = runs.withColumn("digest", digest("inputs")).join(now, "dataset", "left")
     return own.select("run_id", "digest", (~(F.col("fingerprint").eqNullSafe(F.col("now_fp")) & F.col("digest").eqNullSafe(F.col("now_digest")))).alias("stale"))
+
+
+def region_response(values: DataFrame, regions: DataFrame, analyte: int, standard: int | None = None) -> DataFrame:
+    """region, response: the mean of the analyte's values(pixel_id, feature, v) over regions(region, pixel_id).
+
+    With an internal standard it is the ratio to the mean of that; null where the standard isn't positive.  Pixels
+    without a value count as zero.
+    """
+    asked = values.where(F.col("feature").isin(analyte, *([] if standard is None else [standard])))
+    mean = lambda f: F.sum(F.when(F.col("feature") == f, F.col("v")).otherwise(0.0)) / F.count_distinct("pixel_id")
+    got = regions.join(asked, "pixel_id", "left").groupBy("region").agg(mean(analyte).alias("a"), *([] if standard is None else [mean(standard).alias("s")]))
+    return got.select("region", (F.col("a") if standard is None else F.when(F.col("s") > 0, F.col("a") / F.col("s"))).alias("response"))

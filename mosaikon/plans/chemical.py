@@ -117,11 +117,20 @@ def compare_fdr(spark, sf):
     return b.rounded(an.compare_lists(ours, theirs, ["id"]))
 
 
+_CONSENSUS_PEAKS = "sp AS (SELECT sample AS sample_id, mz, intensity FROM peaks)"
+
+
 def _sample_peaks(spark, sf):
     return b.peaks(spark, sf).select(F.col("sample").alias("sample_id"), "mz", "intensity")
 
 
-@query()
+@query(f"""WITH RECURSIVE {b.PEAKS}, {_CONSENSUS_PEAKS}, p AS (SELECT mz, max(intensity) AS i, row_number() OVER (ORDER BY mz) AS r FROM sp GROUP BY mz),
+w(r, lo) AS (SELECT r, mz FROM p WHERE r = 1 UNION ALL
+  SELECT p.r, CASE WHEN p.mz - q.mz > p.mz * 1500e0 / 1e6 OR p.mz - w.lo > p.mz * 1500e0 / 1e6 THEN p.mz ELSE w.lo END FROM w JOIN p ON p.r = w.r + 1 JOIN p q ON q.r = w.r),
+placed AS (SELECT mz, i, lo FROM w JOIN p USING (r)),
+n AS (SELECT lo, count(DISTINCT sample_id) AS n_samples FROM sp JOIN placed USING (mz) GROUP BY 1),
+c AS (SELECT lo, max(mz) AS hi, (array_agg(mz ORDER BY i DESC, mz))[1] AS target_mz FROM placed GROUP BY 1)
+SELECT round(target_mz, 6) AS target_mz, round(lo, 6) AS lo, round(hi, 6) AS hi, n_samples FROM c JOIN n USING (lo)""")
 def consensus_targets(spark, sf):
     return b.rounded(co.consensus(_sample_peaks(spark, sf), 1500.0))
 
@@ -328,6 +337,32 @@ def cohort_relocate(spark, sf):
     return co.relocate(s.select(F.concat(F.lit("C:\\old\\"), F.upper("s_name")).alias("source")), s.select(F.concat(F.lit("/data/"), "s_name").alias("path")))
 
 
+@query("SELECT 'C:\\data\\' || c_mktsegment || '/' || c_name AS source, c_mktsegment AS grp FROM customer")
+def cohort_group_by_folder(spark, sf):
+    c = b.table(spark, sf, "customer").select(F.concat(F.lit("C:\\data\\"), "c_mktsegment", F.lit("/"), "c_name").alias("source"))
+    return co.group_by_folder(c)
+
+
+@query("SELECT c_custkey AS sample_id, CASE WHEN c_nationkey % 3 = 0 THEN c_mktsegment ELSE 'old' END AS grp FROM customer")
+def cohort_group_by_meta(spark, sf):
+    meta = F.when(F.col("c_nationkey") % 3 == 0, F.create_map(F.lit("arm"), "c_mktsegment")).otherwise(F.expr("cast(map() as map<string, string>)"))
+    return co.group_by_meta(b.table(spark, sf, "customer").select(F.col("c_custkey").alias("sample_id"), F.lit("old").alias("grp"), meta.alias("meta")), "arm").select("sample_id", "grp")
+
+
+@query("""WITH n AS (SELECT c_custkey AS sample_id, c_mktsegment AS grp, (c_nationkey % 5)::VARCHAR AS batch FROM customer), l AS (SELECT DISTINCT grp AS level FROM n)
+SELECT sample_id, batch, level, (grp = level)::INT::DOUBLE AS x FROM n JOIN l ON level > (SELECT min(level) FROM l)""")
+def batch_design(spark, sf):
+    return co.batch_design(b.table(spark, sf, "customer").select(F.col("c_custkey").alias("sample_id"), F.col("c_mktsegment").alias("grp"), (F.col("c_nationkey") % 5).alias("batch")))
+
+
+@query(f"""WITH {b.DENSE}, r AS (SELECT vec_id AS pixel_id, label AS region FROM embeddings),
+m AS (SELECT region, avg(v) FILTER (feature = 4) AS a, avg(v) FILTER (feature = 9) AS s FROM r JOIN dense USING (pixel_id) GROUP BY 1)
+SELECT region, round(a / s, 6) AS response FROM m""")
+def region_response(spark, sf):
+    regions = b.table(spark, sf, "embeddings").select(F.col("vec_id").alias("pixel_id"), F.col("label").alias("region"))
+    return b.rounded(tb.region_response(b.dense(spark, sf), regions, 4, 9))
+
+
 @query()
 def run_log_staleness(spark, sf):
     o = b.table(spark, sf, "orders")

@@ -250,3 +250,8 @@ def preprocess_savgol(spark, sf):
 @query()
 def preprocess_baseline(spark, sf):
     return _preprocessed(spark, sf, {"name": "locmin", "window": 10}, {"name": "gaussian", "sigma": 1.0})
+
+
+@query(f"WITH {b.PEAKS} SELECT sample, count(*) AS n_peaks, min(mz) AS mz_lo, max(mz) AS mz_hi FROM peaks GROUP BY 1")
+def mz_bounds(spark, sf):
+    return sp.mz_bounds(b.peaks(spark, sf), "sample")

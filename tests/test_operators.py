@@ -212,6 +212,33 @@ def test_plsda_separates(spark):
     assert c[c.label == c.predicted].n.sum() >= 58
 
 
+def test_classify_scales_as_the_model_did(spark):
+    """Pixels of one label alone are labelled as they are among the others."""
+    rng = np.random.default_rng(8)
+    data = [(p, p % 2, f, float(rng.normal(4 if f == 0 and p % 2 else 0, 0.3) + 5)) for p in range(80) for f in range(4)]
+    d = spark.createDataFrame(data, "pixel_id int, label int, feature int, v double")
+    got = multivariate.classify(d.where("label = 1"), multivariate.pls(d))
+    assert got.count() == 40
+    assert got.where("predicted = 1").count() == 40
+
+
+def test_chaos_of_features_with_large_numbers(spark):
+    """A feature's name and a pixel's number may be as large as they like."""
+    rng = np.random.default_rng(2)
+    v = rng.random(36)
+    pixels = spark.createDataFrame([((1 << 50) + k, k % 6, k // 6) for k in range(36)], "pixel_id long, x int, y int")
+    values = spark.createDataFrame([((1 << 50) + k, f, float(v[k])) for k in range(36) for f in (0, 34_953, 1 << 30)], "pixel_id long, feature int, v double")
+    assert len({r["chaos"] for r in spatial.chaos(values, pixels).collect()}) == 1
+
+
+def test_design_of_batches(spark):
+    s = spark.createDataFrame([(1, "b", "x"), (2, "a", None), (3, "c", "y"), (4, None, "x")], "sample_id int, grp string, batch string")
+    got = {(r["sample_id"], r["level"]): (r["batch"], r["x"]) for r in cohort.batch_design(s).collect()}
+    assert got == {(k, g): (b, float(g == own)) for k, own, b in ((1, "b", "x"), (2, "a", ""), (3, "c", "y"), (4, "", "x")) for g in "abc"}
+    folders = spark.createDataFrame([("/a/b/c.imzml",), ("c.imzml",), ("D:\\x\\y.csv",)], "source string")
+    assert [r["grp"] for r in cohort.group_by_folder(folders).collect()] == ["b", None, "x"]
+
+
 def test_likeness_of_spectra(spark):
     s = spark.createDataFrame([([100.0, 200.0], [1.0, 4.0], 300.0)], "m array<double>, i array<double>, p double")
     args = ("m", "i", "p", "m", "i", "p")
