@@ -79,23 +79,22 @@ def stratified(values: DataFrame, stratum: str = "compartment") -> DataFrame:
     return st.bh(m, "p_value", "q_value", [stratum])
 
 
-def _reml(y: np.ndarray, x: np.ndarray, subject: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients and covariance of y ~ x + (1 | subject): a search over the ratio of the two variances."""
-    ids, own = np.unique(subject, return_inverse=True)
-    size = np.bincount(own)
-    sums = lambda m: np.stack([np.bincount(own, m[:, k], len(ids)) for k in range(m.shape[1])], axis=1)
-    xs, ys = sums(x), np.bincount(own, y, len(ids))
+def _reml(xx0: np.ndarray, xy0: np.ndarray, yy0: float, sizes: np.ndarray, many: np.ndarray, xs: np.ndarray, ys: np.ndarray, yys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates and their covariance in a model with a random intercept for each subject.
+
+    xx0, xy0, yy0: X'X, X'y, y'y.  Subjects of one design are a row of the others: rows a subject has, subjects, the
+    subject's sum of X, and over subjects the sum of their sums of y and of the squares of these.
+    """
 
     def at(lam: float):
-        w = lam / (1 + lam * size)
-        xx = x.T @ x - (xs * w[:, None]).T @ xs
-        xy = x.T @ y - (xs * w[:, None]).T @ ys
+        w = lam / (1 + lam * sizes)
+        xx = xx0 - (xs * (w * many)[:, None]).T @ xs
+        xy = xy0 - (xs * w[:, None]).T @ ys
         beta = np.linalg.solve(xx, xy)
-        r = y - x @ beta
-        rs = np.bincount(own, r, len(ids))
-        rss = float(r @ r - (w * rs * rs).sum())
-        n = len(y) - x.shape[1]
-        return (n * math.log(max(rss, 1e-300) / n) + np.log1p(lam * size).sum() + np.linalg.slogdet(xx)[1]), beta, np.linalg.inv(xx) * rss / n
+        rss = float(yy0 - 2 * beta @ xy0 + beta @ xx0 @ beta - (w * (yys - 2 * ys * (xs @ beta) + many * (xs @ beta) ** 2)).sum())
+        n = (sizes * many).sum() - len(xy0)
+        rss = max(rss, 1e-14 * yy0)
+        return (n * math.log(max(rss, 1e-300) / n) + (many * np.log1p(lam * sizes)).sum() + np.linalg.slogdet(xx)[1]), beta, np.linalg.inv(xx) * rss / n
 
     grid = [0.0, *np.exp(np.linspace(-6, 6, 25))]
     k = int(np.argmin([at(g)[0] for g in grid]))
@@ -112,29 +111,44 @@ def mixed_model(values: DataFrame) -> DataFrame:
     """feature, term, estimate, se, df, p_value of v ~ group * compartment + (1 | subject).
 
     values(feature, subject, grp, compartment, v); the first group and compartment by name are the reference.  Terms of
-    the group alone have between-subject degrees of freedom, the others within-subject ones.  A feature's rows are as
-    many as subjects times compartments.
+    the group alone have between-subject degrees of freedom, the others within-subject ones.  The likelihood needs sums
+    only: those of each cell (group and compartment), and for each design (how many rows of which cells a subject has)
+    those over its subjects.  They are aggregated first, so that a task holds a feature's cells and designs and not its
+    subjects.
     """
     kinds = "feature long, term string, estimate double, se double, df double"
+    fine = values.where(F.col("v").isNotNull() & ~F.isnan(F.col("v").cast("double"))).withColumn("v", F.col("v").cast("double"))
+    cells = fine.groupBy("feature", "subject", "grp", "compartment").agg(F.count("*").alias("n"), F.sum("v").alias("y"), F.sum(F.col("v") * F.col("v")).alias("yy"))
+    subjects = cells.groupBy("feature", "subject").agg(F.array_sort(F.collect_list(F.struct("grp", "compartment", "n"))).alias("design"), F.sum("y").alias("y"))  # a subject's few cells
+    designs = subjects.groupBy("feature", "design").agg(F.count("*").alias("n"), F.sum("y").alias("y"), F.sum(F.col("y") * F.col("y")).alias("yy"))
+    totals = cells.groupBy("feature", "grp", "compartment").agg(F.sum("n").alias("n"), F.sum("y").alias("y"), F.sum("yy").alias("yy"))
+    sums = totals.withColumn("design", F.array(F.struct("grp", "compartment", "n"))).select("feature", F.lit(True).alias("cell"), "design", "n", "y", "yy").unionByName(designs.withColumn("cell", F.lit(False)))
 
     def fit(key: tuple, t: pa.Table) -> pa.Table:
-        f = t.to_pandas().dropna(subset=["v"])
-        rows = []
-        groups, comps = sorted(f["grp"].unique()), sorted(f["compartment"].unique())
-        if len(groups) == 2 and len(f) > 2 * len(comps) + 1:
-            g = (f["grp"] == groups[1]).to_numpy(float)
-            c = [(f["compartment"] == k).to_numpy(float) for k in comps[1:]]
-            x = np.stack([np.ones(len(f)), g, *c, *[g * k for k in c]], axis=1)
+        f, rows = t.to_pylist(), []
+        own = [(r["design"][0]["grp"], r["design"][0]["compartment"], r["n"], r["y"], r["yy"]) for r in f if r["cell"]]
+        groups, comps = sorted({c[0] for c in own}), sorted({c[1] for c in own})
+        n = sum(c[2] for c in own)
+        if len(groups) == 2 and n > 2 * len(comps) + 1:
+            def line(grp, comp):
+                g, c = float(grp == groups[1]), [float(comp == k) for k in comps[1:]]
+                return np.array([1.0, g, *c, *[g * k for k in c]])
+
+            x, many = np.stack([line(*c[:2]) for c in own]), np.array([c[2] for c in own], float)
             names = ["intercept", "group", *comps[1:], *[f"group:{k}" for k in comps[1:]]]
             if np.linalg.matrix_rank(x) == x.shape[1]:
-                beta, cov = _reml(f["v"].to_numpy(float), x, f["subject"].to_numpy())
-                n_sub = f["subject"].nunique()
-                between, within = max(1, n_sub - 2), max(1, len(f) - n_sub - (x.shape[1] - 2))
+                met = [r for r in f if not r["cell"]]
+                xs = np.stack([sum(line(d["grp"], d["compartment"]) * d["n"] for d in r["design"]) for r in met])
+                num = lambda k: np.array([r[k] for r in met], float)
+                sizes = np.array([sum(d["n"] for d in r["design"]) for r in met], float)
+                beta, cov = _reml((x * many[:, None]).T @ x, x.T @ np.array([c[3] for c in own]), sum(c[4] for c in own), sizes, num("n"), xs, num("y"), num("yy"))
+                n_sub = int(num("n").sum())
+                between, within = max(1, n_sub - 2), max(1, n - n_sub - (x.shape[1] - 2))
                 rows = [(names[k], float(beta[k]), float(math.sqrt(max(cov[k, k], 0))), float(between if k < 2 else within)) for k in range(len(names))]
         cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
         return pa.table([pa.array([key[0].as_py()] * len(rows), pa.int64()), pa.array(cols[0], pa.string()), *[pa.array(c, pa.float64()) for c in cols[1:]]], ["feature", "term", "estimate", "se", "df"])
 
-    out = values.groupBy("feature").applyInArrow(fit, kinds)
+    out = sums.groupBy("feature").applyInArrow(fit, kinds)
     t = F.when(F.col("se") > 0, F.col("estimate") / F.col("se"))
     return st.bh(out.withColumn("t", t).withColumn("p_value", st.p_of_t("t", "df")), "p_value", "q_value", ["term"])
 

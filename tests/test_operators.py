@@ -231,6 +231,34 @@ def test_chaos_of_features_with_large_numbers(spark):
     assert len({r["chaos"] for r in spatial.chaos(values, pixels).collect()}) == 1
 
 
+def test_mixed_model_against_dense_matrices(spark):
+    """Subjects with differing rows; the likelihood is evaluated with whole covariance matrices on a fine grid."""
+    rng, data = np.random.default_rng(12), []
+    for subject in range(24):
+        shift = rng.normal(0, 1.2)
+        for comp in "pqr"[: 3 - subject % 4 // 3]:
+            for _ in range(1 + (subject % 5 == 0)):
+                data.append((7, f"s{subject}", "case" if subject % 2 else "base", comp, 3 + shift + (subject % 2) * (0.7 + (comp == "q")) + rng.normal(0, 0.5)))
+    got = {r["term"]: r for r in hierarchical.mixed_model(spark.createDataFrame([*data, (7, "s0", "base", "p", None)], "feature long, subject string, grp string, compartment string, v double")).collect()}
+    y = np.array([d[4] for d in data])
+    g, c = np.array([d[2] == "case" for d in data], float), [np.array([d[3] == k for d in data], float) for k in "qr"]
+    x = np.stack([np.ones(len(y)), g, *c, g * c[0], g * c[1]], 1)
+    same = np.array([[a[1] == b[1] for b in data] for a in data], float)
+
+    def at(lam):
+        v = np.linalg.inv(np.eye(len(y)) + lam * same)
+        xx = x.T @ v @ x
+        beta = np.linalg.solve(xx, x.T @ v @ y)
+        r = y - x @ beta
+        rss, n = r @ v @ r, len(y) - x.shape[1]
+        return n * np.log(rss / n) - np.linalg.slogdet(v)[1] + np.linalg.slogdet(xx)[1], beta, np.sqrt(np.diag(np.linalg.inv(xx)) * rss / n)
+
+    _, beta, se = min((at(lam) for lam in np.exp(np.linspace(-3, 5, 1500))), key=lambda a: a[0])
+    terms = ["intercept", "group", "q", "r", "group:q", "group:r"]
+    assert [got[t]["estimate"] for t in terms] == pytest.approx(beta.tolist(), abs=2e-3)
+    assert [got[t]["se"] for t in terms] == pytest.approx(se.tolist(), rel=5e-3)
+
+
 def test_design_of_batches(spark):
     s = spark.createDataFrame([(1, "b", "x"), (2, "a", None), (3, "c", "y"), (4, None, "x")], "sample_id int, grp string, batch string")
     got = {(r["sample_id"], r["level"]): (r["batch"], r["x"]) for r in cohort.batch_design(s).collect()}
