@@ -37,7 +37,7 @@ def normalised(table: DataFrame, how: str = "l1") -> DataFrame:
 
 
 def bars(table: DataFrame, top: int) -> DataFrame:
-    """region, feature, mean, sd, direction over donors: the top features of each region."""
-    m = table.groupBy("region", "feature").agg(F.avg("importance").alias("mean"), F.coalesce(F.stddev_samp("importance"), F.lit(0.0)).alias("sd"), F.avg("direction").alias("direction"))
+    """region, feature, mean, sd (over n), direction over donors, rank: the top features of each region."""
+    m = table.groupBy("region", "feature").agg(F.avg("importance").alias("mean"), F.stddev_pop("importance").alias("sd"), F.avg("direction").alias("direction"))
     w = Window.partitionBy("region").orderBy(F.desc(F.round("mean", 9)), "feature")
     return m.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)

@@ -57,7 +57,7 @@ def importance_l1(spark, sf):
     return b.rounded(ex.normalised(_importance(spark, sf)).select("donor", "region", "feature", "importance"))
 
 
-@query(f"WITH {_IMP}, m AS (SELECT region, feature, avg(importance) AS mean, stddev_samp(importance) AS sd, row_number() OVER (PARTITION BY region ORDER BY round(avg(importance), 9) DESC, feature) AS r FROM imp GROUP BY 1, 2) SELECT region, feature, round(mean, 6) AS mean, round(sd, 6) AS sd, r::INT AS rank FROM m WHERE r <= 3")
+@query(f"WITH {_IMP}, m AS (SELECT region, feature, avg(importance) AS mean, stddev_pop(importance) AS sd, row_number() OVER (PARTITION BY region ORDER BY round(avg(importance), 9) DESC, feature) AS r FROM imp GROUP BY 1, 2) SELECT region, feature, round(mean, 6) AS mean, round(sd, 6) AS sd, r::INT AS rank FROM m WHERE r <= 3")
 def importance_bars(spark, sf):
     return b.rounded(ex.bars(_importance(spark, sf), 3).select("region", "feature", "mean", "sd", "rank"))
 
