@@ -25,6 +25,43 @@ ADDUCTS = {
     },
 }
 
+# Stable isotopes as (mass in Da, abundance), the lightest first.
+ISOTOPES = {
+    "H": [(1.0078250319, 0.999885), (2.0141017779, 0.000115)],
+    "C": [(12.0, 0.9893), (13.0033548378, 0.0107)],
+    "N": [(14.0030740052, 0.996205), (15.0001088989, 0.003795)],
+    "O": [(15.9949146221, 0.99757), (16.99913170, 0.00038), (17.99915961, 0.00205)],
+    "P": [(30.97376151, 1.0)],
+    "S": [(31.97207069, 0.9499), (32.97145850, 0.0075), (33.96786683, 0.0425), (35.96708088, 0.0001)],
+    "Na": [(22.98976928, 1.0)],
+    "K": [(38.96370649, 0.932581), (39.96399817, 0.000117), (40.96182526, 0.067302)],
+    "Cl": [(34.96885268, 0.7576), (36.96590258, 0.2424)],
+}
+# The atoms that an adduct adds to the neutral formula.
+ADDUCT_ATOMS = {
+    "[M-H]-": {"H": -1}, "[M-2H]2-": {"H": -2}, "[M-3H]3-": {"H": -3}, "[M-CH3]-": {"C": -1, "H": -3}, "[M+Cl]-": {"Cl": 1},
+    "[M+HCOO]-": {"C": 1, "H": 1, "O": 2}, "[M+CH3COO]-": {"C": 2, "H": 3, "O": 2},
+    "[M+H]+": {"H": 1}, "[M+2H]2+": {"H": 2}, "[M+NH4]+": {"N": 1, "H": 4}, "[M+Na]+": {"Na": 1}, "[M+K]+": {"K": 1},
+}
+
+
+def isotope_logs(element: str, offsets: int) -> list[tuple[float, float]]:
+    """(l, dl) for 1..offsets nucleons: the logarithm of an atom's isotopes as a power series, and its mass moment.
+
+    The series is 1 + r1 x + r2 x^2 + ..., r being abundances over the lightest one's; dl is the derivative of l when
+    each r grows by the factor e^(t * extra mass).  A formula's envelope needs their sums over atoms only.
+    """
+    (m0, a0), *others = ISOTOPES[element]
+    r, dr = [1.0] + [0.0] * offsets, [0.0] * (offsets + 1)
+    for m, a in others:
+        if round(m - m0) <= offsets:
+            r[round(m - m0)], dr[round(m - m0)] = a / a0, a / a0 * (m - m0)
+    l, dl = [0.0] * (offsets + 1), [0.0] * (offsets + 1)
+    for k in range(1, offsets + 1):
+        l[k] = r[k] - sum(j * l[j] * r[k - j] for j in range(1, k)) / k
+        dl[k] = dr[k] - sum(j * (dl[j] * r[k - j] + l[j] * dr[k - j]) for j in range(1, k)) / k
+    return list(zip(l[1:], dl[1:], strict=True))
+
 
 def parse_formula(formula: Column) -> Column:
     """A Hill formula as map<element, count>; repeated elements add up."""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.chemistry import ADDUCTS, C13_STEP
+from ..functions.chemistry import ADDUCT_ATOMS, ADDUCTS, C13_STEP, ISOTOPES, formula_mass, ion_mz, isotope_logs
 from .ranges import bucket, nearest, window_join
 
 
@@ -127,6 +129,87 @@ def compare_lists(ours: DataFrame, theirs: DataFrame, keys: list[str]) -> DataFr
     return a.join(b, keys, "full_outer").select(*keys, "q", "fdr", side.alias("agreement"), (F.col("q") - F.col("fdr")).alias("delta"))
 
 
+def attach_fdr(features: DataFrame, lipids: DataFrame, decoy_shifts: list[float], adduct_shift: float, ppm: float = 5.0, q_max: float | None = None, keep_unannotated: bool = True, recalibrate: bool = True, wide_ppm: float = 15.0) -> DataFrame:
+    """features(feature_id, mz) with q_value (null without a compound) and fdr_pass.
+
+    With recalibrate, masses are first divided by 1 + the list's own mass_offset.  With q_max, features above it go,
+    and those without a compound stay only if keep_unannotated.
+    """
+    asked = features.select("feature_id", "mz")
+    if recalibrate:
+        off = mass_offset(asked, lipids.select((F.col("neutral_mass") + adduct_shift).alias("ion_mz")), wide_ppm).select("offset")  # one row
+        asked = asked.join(F.broadcast(off)).select("feature_id", (F.col("mz") / (1 + F.col("offset") * 1e-6)).alias("mz"))
+    q = target_decoy(asked, lipids, decoy_shifts, adduct_shift, ppm).select("feature_id", F.col("q").alias("q_value"))
+    known = F.col("q_value").isNotNull()
+    passed = known if q_max is None else known & (F.col("q_value") <= q_max)
+    got = features.join(q, "feature_id", "left").withColumn("fdr_pass", F.coalesce(passed, F.lit(False)))
+    return got if q_max is None else got.where(F.col("fdr_pass") | (~known & F.lit(keep_unannotated)))
+
+
+def isotope_distribution(formulas: DataFrame, offsets: int = 4) -> DataFrame:
+    """formulas(formula_id, atoms: map of element to count) with a row for each of 0..offsets extra nucleons: mass, abundance.
+
+    The mass is the mean over the isotopologues of that offset, null where there are none.  With L(k) the sum over atoms
+    of isotope_logs, the ratios to the lightest isotopologue are c(k) = sum of j L(j) c(k - j) / k; masses follow from
+    the same sum's derivative.  A few columns of arithmetic do a whole formula, however many atoms it has.
+    Elements without isotopes on record count as none; a null map gives nulls.
+    """
+    logs = {e: isotope_logs(e, offsets) for e in ISOTOPES}
+    n = lambda e: F.greatest(F.lit(0), F.coalesce(F.try_element_at("atoms", F.lit(e)), F.lit(0)))
+    total = lambda weight: sum((n(e) * F.lit(float(weight(e))) for e in ISOTOPES if weight(e)), F.lit(0.0))
+    df = formulas.withColumns({f"__l{k}": total(lambda e, k=k: logs[e][k - 1][0]) for k in range(1, offsets + 1)} | {f"__d{k}": total(lambda e, k=k: logs[e][k - 1][1]) for k in range(1, offsets + 1)})
+    df = df.withColumns({"__p": F.exp(total(lambda e: math.log(ISOTOPES[e][0][1]))), "__m": total(lambda e: ISOTOPES[e][0][0]), "__c0": F.lit(1.0), "__w0": F.lit(0.0)})
+    for k in range(1, offsets + 1):
+        col = lambda a, j: F.col(f"__{a}{j}")
+        c = sum((j * col("l", j) * col("c", k - j) for j in range(1, k + 1)), F.lit(0.0)) / k
+        w = sum((j * (col("l", j) * col("w", k - j) + col("d", j) * col("c", k - j)) for j in range(1, k + 1)), F.lit(0.0)) / k
+        df = df.withColumns({f"__c{k}": c, f"__w{k}": w})
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("offset"), F.col(f"__c{k}").alias("c"), F.col(f"__w{k}").alias("w")) for k in range(offsets + 1)]))
+    there = F.col("__e.c") > 0
+    return df.select(*formulas.columns, each.alias("__e"), "__p", "__m").select(
+        *formulas.columns, "__e.offset", F.when(there, F.col("__m") + F.col("__e.w") / F.col("__e.c")).alias("mass"), F.greatest(F.lit(0.0), F.col("__p") * F.col("__e.c")).alias("abundance")
+    )
+
+
+def ion_pattern(formulas: DataFrame, adduct: str, peaks: int = 3) -> DataFrame:
+    """formulas(formula_id, atoms) with offset, mz, rel_intensity of an ion's isotopes, the largest being one.
+
+    The lightest stands at ion_mz of the neutral formula, the others as far above as the ion's own atoms say.
+    """
+    delta = ADDUCT_ATOMS[adduct]
+    z = next(a[adduct][1] for a in ADDUCTS.values() if adduct in a)
+    extra = F.create_map(*[x for e, k in delta.items() for x in (F.lit(e), F.lit(k))])
+    both = F.map_zip_with("atoms", extra, lambda _, a, d: F.coalesce(a, F.lit(0)) + F.coalesce(d, F.lit(0)))
+    named = formulas.select("formula_id", F.col("atoms").alias("__atoms"), both.alias("atoms"))
+    dist = isotope_distribution(named, peaks - 1).where("abundance > 0")
+    w = Window.partitionBy("formula_id")
+    base = F.min_by("mass", "offset").over(w)
+    return dist.select(
+        "formula_id", "offset", (ion_mz(formula_mass(F.col("__atoms")), adduct) + (F.col("mass") - base) / z).alias("mz"), (F.col("abundance") / F.max("abundance").over(w)).alias("rel_intensity")
+    )
+
+
+def averagine_check(features: DataFrame, peaks: DataFrame, ppm: float = 100.0, charge: int = 1) -> DataFrame:
+    """features(feature_id, mz) with m1_ratio, m2_ratio, n_carbon, expected_m1 and consistent, where no formula is known.
+
+    An ion of m/z * z has one carbon for each 14 Da, and each carbon 1.1 % of M+1; from half to 2.5 times of that fits.
+    Features without signal have ratios of zero and aren't consistent.
+    """
+    steps = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.col("mz") + k * C13_STEP / charge).alias("at")) for k in range(3)]))
+    asked = features.select("feature_id", steps.alias("s")).select("feature_id", "s.k", "s.at")
+    met = window_join(asked, peaks.select(F.col("mz").alias("peak_mz"), "intensity"), ppm, "at", "peak_mz")
+    s = lambda k: F.coalesce(F.sum(F.when(F.col("k") == k, F.col("intensity"))), F.lit(0.0))
+    sums = met.groupBy("feature_id").agg(*[s(k).alias(f"s{k}") for k in range(3)])
+    got = features.join(sums, "feature_id", "left")
+    some = F.coalesce(F.col("s0") > 0, F.lit(False))
+    carbons = F.greatest(F.lit(1.0), F.bround(F.col("mz") * charge / 14.0, 0))
+    m1, expected = F.when(some, F.col("s1") / F.col("s0")).otherwise(0.0), F.when(some, carbons * 0.011).otherwise(0.0)
+    return got.select(
+        "feature_id", m1.alias("m1_ratio"), F.when(some, F.col("s2") / F.col("s0")).otherwise(0.0).alias("m2_ratio"), F.when(some, carbons).otherwise(0.0).cast("int").alias("n_carbon"),
+        expected.alias("expected_m1"), (some & (m1 > 0) & m1.between(0.5 * expected, 2.5 * expected)).alias("consistent"),
+    )
+
+
 
 
 def confidence(table: DataFrame, ppm: float = 10.0) -> DataFrame:

@@ -205,6 +205,41 @@ def group_by_meta(samples: DataFrame, key: str) -> DataFrame:
     return samples.withColumn("grp", F.coalesce(F.try_element_at("meta", F.lit(key)), F.col("grp")))
 
 
+def assign(samples: DataFrame, chosen: DataFrame, column: str = "grp", key: str = "sample_id") -> DataFrame:
+    """samples with a column (grp, batch) as chosen(key, value) says, others as they were; of repeated keys the largest value."""
+    new = chosen.groupBy(key).agg(F.max(F.trim("value")).alias("__v"))
+    return samples.join(new, key, "left").withColumn(column, F.coalesce("__v", column)).drop("__v")
+
+
+def by_label(samples: DataFrame, column: str = "grp", key: str = "sample_id") -> DataFrame:
+    """label, n, first_key: how many samples each group or batch has, missing ones under ""."""
+    return samples.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("")).alias("label")).agg(F.count("*").alias("n"), F.min(key).alias("first_key"))
+
+
+def meta_keys(samples: DataFrame) -> DataFrame:
+    """key, n: what samples(meta) are described by, and how many by each."""
+    return samples.select(F.explode(F.map_keys("meta")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+
+
+def rebase(samples: DataFrame, old: str, new: str, column: str = "source") -> DataFrame:
+    """samples with moved: the path with prefix old, compared without case, put under new; null for other paths."""
+    plain = F.replace(F.col(column), F.lit("\\"), F.lit("/"))
+    start = old.replace("\\", "/").rstrip("/")
+    tail = F.ltrim(F.substr(plain, F.lit(len(start) + 1)), F.lit("/"))
+    return samples.withColumn("moved", F.when(F.startswith(F.lower(plain), F.lit(start.lower())), F.concat(F.lit(new.replace("\\", "/").rstrip("/") + "/"), tail)))
+
+
+def sample_matrix(table: DataFrame, targets: list) -> DataFrame:
+    """table(sample_id, target_id, value) as one row a sample and one column t<target> each: the targets name the columns."""
+    return table.groupBy("sample_id").pivot("target_id", targets).agg(F.first("value")).select("sample_id", *[F.col(f"`{t}`").alias(f"t{t}") for t in targets])
+
+
+def compare_mixing(before: DataFrame, after: DataFrame, points: int = 2000) -> DataFrame:
+    """batch_mixing of a table and of its corrected one in one row: columns <name>_before and <name>_after."""
+    a, b = batch_mixing(before, points), batch_mixing(after, points)
+    return a.select(*[F.col(c).alias(f"{c}_before") for c in a.columns]).join(F.broadcast(b.select(*[F.col(c).alias(f"{c}_after") for c in b.columns])))
+
+
 def batch_design(samples: DataFrame) -> DataFrame:
     """samples(sample_id, grp, batch) -> sample_id, batch, level, x: the protected design, a column for each group but the first.
 

@@ -11,7 +11,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -153,24 +153,53 @@ def mixed_model(values: DataFrame) -> DataFrame:
     return st.bh(out.withColumn("t", t).withColumn("p_value", st.p_of_t("t", "df")), "p_value", "q_value", ["term"])
 
 
-def camera(scores: DataFrame, r_bar: float = 0.01, min_vif: float = 1.0) -> DataFrame:
+def unit_residuals(values: DataFrame) -> DataFrame:
+    """feature, unit, r of values(feature, unit, grp, v): what the groups' means leave, scaled to length one.
+
+    Units are subjects or samples, and only fixed effects are taken out, so that what couples the features of a class
+    stays in.  A feature that the means fit exactly has zeros.
+    """
+    left = F.col("v") - F.avg("v").over(Window.partitionBy("feature", "grp"))
+    e = values.where(F.col("v").isNotNull()).select("feature", "unit", left.alias("e"))
+    norms = e.groupBy("feature").agg(F.sqrt(F.sum(F.col("e") * F.col("e"))).alias("n"))
+    return e.join(norms, "feature").select("feature", "unit", F.when(F.col("n") > 1e-12, F.col("e") / F.col("n")).otherwise(0.0).alias("r"))
+
+
+def class_correlation(residuals: DataFrame, classes: DataFrame) -> DataFrame:
+    """class, m, r_bar: the mean correlation between the features of classes(feature, class); zero for a single one.
+
+    Residuals have length one, so the sum over units of the squared sum over features holds all pairs at once.
+    """
+    met = residuals.join(classes.select("feature", "class"), "feature")
+    m = F.col("m")
+    size = met.select("class", "feature").distinct().groupBy("class").agg(F.count("*").alias("m"))
+    square = met.groupBy("class", "unit").agg(F.sum("r").alias("s")).groupBy("class").agg(F.sum(F.col("s") * F.col("s")).alias("ss"))
+    return size.join(square, "class").select("class", "m", F.when(m > 1, (F.col("ss") - m) / (m * (m - 1))).otherwise(0.0).alias("r_bar"))
+
+
+def camera(scores: DataFrame, r_bar: float | DataFrame = 0.01, min_vif: float = 1.0) -> DataFrame:
     """class, m, p_value, direction of scores(feature, class, t): do a class's features rank apart from the others?
 
-    The rank sum's variance is inflated for a correlation r_bar between features of a class.
+    The rank sum's variance is inflated for a correlation r_bar between features of a class: one for all, or a table
+    (class, r_bar) such as class_correlation gives.
     """
     ranked = st.tie_blocks(scores.select(F.lit(0).alias("k"), F.col("t").alias("v")), F.lit(True), ["k"]).select(F.col("v").alias("t"), "rank")
     n = scores.agg(F.count("*").alias("n"), F.sum("t").alias("all"))
     own = scores.join(ranked, "t").groupBy("class").agg(F.count("*").alias("m"), F.sum("rank").alias("r"), F.sum("t").alias("s")).join(F.broadcast(n)).where("m < n AND m > 1")
+    if isinstance(r_bar, DataFrame):
+        own = own.join(r_bar.select("class", "r_bar"), "class", "left").withColumn("r_bar", F.coalesce("r_bar", F.lit(0.0)))
+    else:
+        own = own.withColumn("r_bar", F.lit(float(r_bar)))
 
     @F.pandas_udf(DoubleType())
-    def p(m: pd.Series, r: pd.Series, n: pd.Series) -> pd.Series:
+    def p(m: pd.Series, r: pd.Series, n: pd.Series, bar: pd.Series) -> pd.Series:
         m, r, n = m.to_numpy(float), r.to_numpy(float), n.to_numpy(float)
         k = n - m
-        rho = np.maximum(r_bar, (min_vif - 1) / np.maximum(1, m - 1))
+        rho = np.maximum(np.clip(bar.to_numpy(float), -1, 1), (min_vif - 1) / np.maximum(1, m - 1))
         u = m * k + m * (m + 1) / 2 - r
         var = m * k / (2 * math.pi) * (math.asin(1) + (k - 1) * math.asin(0.5) + (m - 1) * (k - 1) * np.arcsin(rho / 2) + (m - 1) * np.arcsin((rho + 1) / 2))
         lower, upper = (u + 0.5 - m * k / 2) / np.sqrt(var), (u - 0.5 - m * k / 2) / np.sqrt(var)
         return pd.Series(np.minimum(1, 2 * np.minimum(special.normal_sf(-lower), special.normal_sf(upper))))
 
-    got = own.withColumn("p_value", p("m", "r", "n")).withColumn("direction", F.when(F.col("s") / F.col("m") < (F.col("all") - F.col("s")) / (F.col("n") - F.col("m")), "down").otherwise("up"))
+    got = own.withColumn("p_value", p("m", "r", "n", "r_bar")).withColumn("direction", F.when(F.col("s") / F.col("m") < (F.col("all") - F.col("s")) / (F.col("n") - F.col("m")), "down").otherwise("up"))
     return st.bh(got.select("class", "m", "p_value", "direction"), "p_value", "q_value")

@@ -67,3 +67,35 @@ def fwhm_ppm(spectrum: DataFrame, targets: DataFrame, reach: int = 50) -> DataFr
     up = F.when((F.col("bin") <= F.col("target")) & (F.col("pv") < half) & (F.col("v") >= half), cross)
     down = F.when((F.col("bin") > F.col("target")) & (F.col("pv") >= half) & (F.col("v") < half), cross)
     return side.groupBy("target", "m0").agg(F.max(up).alias("l"), F.min(down).alias("r")).select("target", ((F.col("r") - F.col("l")) / F.col("m0") * 1e6).alias("fwhm_ppm"))
+
+
+#: A profile peak spans two samples or more, and a profile axis has steps of at most 30 ppm.
+PROFILE_RUN, PROFILE_GAP_PPM = 2.0, 30.0
+
+
+def representation(spectra: DataFrame, flag: str | None = None) -> DataFrame:
+    """label (profile, centroid or unknown), source, n_votes, profile_fraction of spectra(pixel_id, mz, intensity arrays).
+
+    A spectrum of 8 points, 4 of them positive, votes.  Where a fifth of its points are zero or less, the mean length of
+    runs of positive ones decides; else the median step between their m/z does, if there are 8.  Data win over a file's
+    flag; where half or more say profile it is profile.  All spectra vote, and null arrays don't.
+    """
+    i, m = F.col("intensity"), F.col("mz")
+    n = F.size(i)
+    some = F.size(F.filter(i, lambda v: v > 0))
+    runs = F.size(F.filter(i, lambda v, k: (v > 0) & ((k == 0) | ~F.coalesce(F.get(i, k - 1) > 0, F.lit(False)))))
+    points = F.array_sort(F.transform(F.filter(F.arrays_zip(m.alias("m"), i.alias("i")), lambda p: (p["i"] > 0) & (p["m"] > 0)), lambda p: p["m"]))
+    per = spectra.where(i.isNotNull() & m.isNotNull()).select(n.alias("n"), some.alias("some"), runs.alias("runs"), points.alias("p"))
+    steps = F.array_sort(F.transform(F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0))), lambda v, k: (v - F.get("p", k)) / F.get("p", k) * 1e6))
+    per = per.withColumn("g", F.when(F.size("p") >= 8, steps)).withColumn("h", F.size("g"))
+    middle = (F.get("g", F.floor((F.col("h") - 1) / 2).cast("int")) + F.get("g", F.floor(F.col("h") / 2).cast("int"))) / 2
+    zeros = 1 - F.col("some") / F.col("n") >= 0.2
+    vote = F.when((F.col("n") < 8) | (F.col("some") < 4), None).when(zeros, (F.col("some") / F.col("runs") >= PROFILE_RUN).cast("int")).when(F.size("p") >= 8, (middle <= PROFILE_GAP_PPM).cast("int"))
+    got = per.select(vote.alias("vote")).agg(F.count("vote").alias("n_votes"), F.avg("vote").alias("profile_fraction"))
+    data = F.when(F.col("n_votes") == 0, None).when(F.col("profile_fraction") >= 0.5, "profile").otherwise("centroid")
+    said = F.lit(flag.strip().lower() if flag and flag.strip().lower() in ("profile", "centroid") else None).cast("string")
+    source = (
+        F.when(data.isNull() & said.isNull(), "undetermined").when(data.isNull(), "file flag").when(said.isNull(), "data heuristic")
+        .when(said == data, "file flag (confirmed by data)").otherwise(F.concat(F.lit("data heuristic (file flag said "), said, F.lit(")")))
+    )
+    return got.select(F.coalesce(data, said, F.lit("unknown")).alias("label"), source.alias("source"), "n_votes", "profile_fraction")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays
+from ..functions.chemistry import ELECTRON, ELEMENTS
 
 
 def search(queries: DataFrame, library: DataFrame, precursor_da: float = 0.5, fragment_da: float = 0.01, top: int = 5) -> DataFrame:
@@ -42,3 +43,23 @@ def aligned_cosine(a: DataFrame, b: DataFrame) -> DataFrame:
     na, nb = (t.groupBy(F.col("id").alias(n)).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias(f"n{n}")) for t, n in ((a, "a_id"), (b, "b_id")))
     dots = a.select(F.col("id").alias("a_id"), "bin", F.col("v").alias("x")).join(b.select(F.col("id").alias("b_id"), "bin", F.col("v").alias("y")), "bin").groupBy("a_id", "b_id").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
     return dots.join(na, "a_id").join(nb, "b_id").select("a_id", "b_id", F.when(F.col("na_id") * F.col("nb_id") > 0, F.col("dot") / (F.col("na_id") * F.col("nb_id"))).otherwise(0.0).alias("cosine"))
+
+
+def carboxylates(carbons: range = range(12, 25), bonds: range = range(7)) -> list[tuple[str, float]]:
+    """(C:D, m/z) of deprotonated fatty acids, CnH(2n - 2d)O2."""
+    c, h, o = (ELEMENTS[e] for e in "CHO")
+    return [(f"{n}:{d}", n * c + (2 * n - 2 * d - 1) * h + 2 * o + ELECTRON) for n in carbons for d in bonds]
+
+
+def acyl_chains(fragments: DataFrame, carbons: range = range(12, 25), bonds: range = range(7), da: float = 0.01) -> DataFrame:
+    """query_id, chain, strength, rank of fragments(query_id, mz, intensity): the fatty acids whose ions are there.
+
+    The strength is the most intense fragment within da; a null intensity counts as one.  Chains of equal strength are
+    ranked by name.  The table of acids is a row for each pair of the two ranges, whatever the spectra.
+    """
+    b = lambda c: F.floor(F.col(c) / (2 * da))
+    acids = fragments.sparkSession.createDataFrame(carboxylates(carbons, bonds), "chain string, ion double")
+    spread = acids.select("*", F.explode(F.array(b("ion") - 1, b("ion"), b("ion") + 1)).alias("__b"))
+    met = fragments.withColumn("__b", b("mz")).join(F.broadcast(spread), "__b").where(F.abs(F.col("mz") - F.col("ion")) <= da)
+    best = met.groupBy("query_id", "chain").agg(F.max(F.coalesce("intensity", F.lit(1.0))).alias("strength"))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("strength"), "chain")))

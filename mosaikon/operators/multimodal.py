@@ -13,6 +13,23 @@ def warp(points: DataFrame, matrix: list[list[float]], x: str = "x", y: str = "y
     return points.withColumns({x: F.col(x) * a + F.col(y) * b + c, y: F.col(x) * d + F.col(y) * e + f})
 
 
+def warp_image(image: DataFrame, frame: DataFrame, matrix: list[list[float]]) -> DataFrame:
+    """frame(x, y) with v: image(x, y, v) moved by a 3 x 3 affine matrix, read by bilinear interpolation.
+
+    Each cell of the frame is traced back to the image and takes its four neighbours by equi-joins on integer cells.
+    Cells that any neighbour of positive weight is missing for have null.
+    """
+    back = warp(frame.select("x", "y", F.col("x").cast("double").alias("u"), F.col("y").cast("double").alias("w")), inverse(matrix), "u", "w")
+    # a point that rounding put beside its cell would ask for a neighbour of no weight
+    back = back.withColumns({"u": F.round("u", 9), "w": F.round("w", 9)})
+    part = back.withColumns({"fu": F.floor("u"), "fw": F.floor("w")})
+    du, dw = F.col("u") - F.col("fu"), F.col("w") - F.col("fw")
+    corner = lambda i, k: F.struct((F.col("fu") + i).alias("sx"), (F.col("fw") + k).alias("sy"), ((du if i else 1 - du) * (dw if k else 1 - dw)).alias("weight"))
+    asked = part.select("x", "y", F.explode(F.array(*[corner(i, k) for i in (0, 1) for k in (0, 1)])).alias("c")).select("x", "y", "c.*").where("weight > 0")
+    met = asked.join(image.select(F.col("x").cast("long").alias("sx"), F.col("y").cast("long").alias("sy"), "v"), ["sx", "sy"], "left")
+    return met.groupBy("x", "y").agg(F.when(F.count("v") == F.count("*"), F.sum(F.col("weight") * F.col("v"))).alias("v"))
+
+
 def compose(second: list, first: list) -> list:
     return (np.array(second) @ np.array(first)).tolist()
 

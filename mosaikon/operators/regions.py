@@ -133,3 +133,48 @@ def marker_panel(tables: list[DataFrame], side: str = "either", cut: float = 0.6
         every = every.unionByName(t)
     w = Window.partitionBy("feature").orderBy("pair")
     return every.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+
+
+def region_table(dense: DataFrame) -> DataFrame:
+    """label, feature, n, mean, median, sd (n - 1; zero for one pixel) of every region and feature."""
+    return dense.groupBy("label", "feature").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.percentile("v", 0.5).alias("median"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("sd"))
+
+
+def background(labels: DataFrame, dense: DataFrame, share: float = 0.1) -> DataFrame:
+    """cluster, n_pixels, median of the clusters of labels(pixel_id, cluster >= 0) that look like no tissue.
+
+    Those are clusters whose median of a pixel's summed values, not normalised, is under a share of the brightest's.
+    """
+    total = dense.groupBy("pixel_id").agg(F.sum("v").alias("total"))
+    per = labels.where("cluster >= 0").join(total, "pixel_id").groupBy("cluster").agg(F.count("*").alias("n_pixels"), F.percentile("total", 0.5).alias("median"))
+    top = per.agg(F.max("median").alias("top"))  # one row
+    return per.join(F.broadcast(top)).where((F.col("top") > 0) & (F.col("median") < share * F.col("top"))).drop("top")
+
+
+def cross_correlation(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a < b and the Pearson correlation of two regions over both assays a and b, each (feature, label, v).
+
+    Each region's mean of a feature is standardised over regions, so that neither assay's scale decides; a feature that
+    is the same everywhere counts as zero.  Null values, pixels that an assay doesn't cover, don't enter a mean, and a
+    region that it doesn't cover at all takes the mean of its other means.
+    """
+    def block(df: DataFrame, name: str) -> DataFrame:
+        mean = df.groupBy("label", "feature").agg(F.avg("v").alias("m"))
+        filled = mean.withColumn("m", F.coalesce("m", F.avg("m").over(Window.partitionBy(F.lit(name)))))  # a row a region and feature
+        w = Window.partitionBy("feature")
+        sd = F.stddev_pop("m").over(w)
+        return filled.select("label", F.concat(F.lit(name), F.col("feature").cast("string")).alias("feature"), F.when(sd > 1e-12, (F.col("m") - F.avg("m").over(w)) / sd).otherwise(0.0).alias("v"))
+
+    return region_correlation(block(a, "a").unionByName(block(b, "b")))
+
+
+def ion_rank(vectors: DataFrame, target_mz: float) -> DataFrame:
+    """feature, mz, score: cosine of every ion of vectors(feature, mz, vector) to the one nearest to target_mz, itself included.
+
+    Ties for the nearest go to the smaller m/z.  A zero or null vector has no score.
+    """
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
+    target = vectors.agg(F.min_by("vector", F.struct(F.abs(F.col("mz") - target_mz), "mz", "feature")).alias("__t"))  # one row
+    norm = F.sqrt(dot(F.col("vector"), F.col("vector"))) * F.sqrt(dot(F.col("__t"), F.col("__t")))
+    score = F.when(norm > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("vector"), F.col("__t")) / norm)))
+    return vectors.join(F.broadcast(target)).select("feature", "mz", score.alias("score"))

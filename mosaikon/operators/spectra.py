@@ -6,7 +6,7 @@ bin of a shared axis.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ranges import window_join
@@ -148,3 +148,58 @@ def mz_bounds(peaks: DataFrame, *by: str) -> DataFrame:
     """n_peaks, mz_lo, mz_hi over the finite m/z of peaks(mz), for each value of `by`."""
     fine = F.col("mz").isNotNull() & ~F.isnan(F.col("mz").cast("double")) & (F.abs("mz") < float("inf"))
     return peaks.where(fine).groupBy(*by).agg(F.count("*").alias("n_peaks"), F.min("mz").alias("mz_lo"), F.max("mz").alias("mz_hi"))
+
+
+def relative_max(values: DataFrame, high: float = 0.99) -> DataFrame:
+    """feature_id, relative_max: the largest value in percent of the hotspot limit, a quantile; zero if that isn't positive."""
+    per = values.where(F.col("value").isNotNull()).groupBy("feature_id").agg(F.percentile("value", high).alias("anchor"), F.max("value").alias("top"))
+    return per.select("feature_id", F.when(F.col("anchor") > 0, 100 * F.col("top") / F.col("anchor")).otherwise(0.0).alias("relative_max"))
+
+
+def relative_window(values: DataFrame, low: float, high: float, clip: float = 0.99, anchor: float | None = None) -> DataFrame:
+    """values as 0..1 between low and high percent of an anchor, a quantile of the feature unless one is given.
+
+    Without a positive anchor or with high <= low values are only clipped to 0..1.  Nulls stay.
+    """
+    unit = lambda c: F.when(F.col("value").isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), c)))
+    own = values.groupBy("feature_id").agg((F.percentile("value", clip) if anchor is None or anchor <= 0 else F.lit(float(anchor))).alias("__a"))
+    lo, hi = low / 100 * F.col("__a"), high / 100 * F.col("__a")
+    scaled = F.when((F.col("__a") > 0) & (hi > lo), unit((F.col("value") - lo) / (hi - lo))).otherwise(unit(F.col("value")))
+    return values.join(own, "feature_id").withColumn("value", scaled).drop("__a")
+
+
+def signal_range(spectrum: DataFrame, share: float = 0.001, pad: float = 0.02) -> DataFrame:
+    """lo, hi: the m/z of spectrum(mz, v) with signal of at least a share of the tallest, and a margin; no row without any."""
+    size = F.abs("v")
+    top = spectrum.agg(F.max(size).alias("top"))  # one row
+    got = spectrum.join(F.broadcast(top)).where((F.col("top") > 0) & (size >= share * F.col("top"))).agg(F.min("mz").alias("lo"), F.max("mz").alias("hi")).where("hi > lo")
+    margin = (F.col("hi") - F.col("lo")) * pad
+    return got.select((F.col("lo") - margin).alias("lo"), (F.col("hi") + margin).alias("hi"))
+
+
+def fingerprint(pixels: DataFrame, peaks: DataFrame) -> DataFrame:
+    """n_pixels, width, height, mz_lo, mz_hi, digest: one row that says which dataset this is.
+
+    The digest is the sum over pixels(pixel_id, x, y) of 32 bits of each one's MD5, so their order doesn't matter.
+    """
+    part = F.conv(F.substring(F.md5(F.concat_ws(",", *[F.col(c).cast("bigint").cast("string") for c in ("pixel_id", "x", "y")]).cast("binary")), 1, 8), 16, 10).cast("bigint")
+    grid = pixels.agg(F.count("*").alias("n_pixels"), (F.max("x") - F.min("x") + 1).cast("long").alias("width"), (F.max("y") - F.min("y") + 1).cast("long").alias("height"), F.sum(part).cast("long").alias("digest"))
+    return grid.join(F.broadcast(mz_bounds(peaks).drop("n_peaks")))
+
+
+def save_cube(cube_: DataFrame, mark: DataFrame, path: str, files: int = 32) -> None:
+    """write_cube with the fingerprint of the dataset beside it."""
+    write_cube(cube_, f"{path}/cube", files)
+    mark.write.mode("overwrite").parquet(f"{path}/fingerprint")
+
+
+def load_cube(spark: SparkSession, path: str, mark: DataFrame | None = None) -> DataFrame:
+    """The cube of save_cube; a ValueError if a fingerprint is given and pixels differ.
+
+    What decides is the number of pixels and their digest: m/z limits may come out otherwise when a file is read again.
+    """
+    if mark is not None:
+        saved = spark.read.parquet(f"{path}/fingerprint").select("n_pixels", "digest").first()
+        if saved != mark.select("n_pixels", "digest").first():
+            raise ValueError(f"the cube in {path} is of another dataset")
+    return spark.read.parquet(f"{path}/cube")

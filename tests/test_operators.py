@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mosaikon.functions import arrays, chemistry, special
-from mosaikon.operators import annotation, cohort, hierarchical, library, multimodal, multivariate, ranges, spatial, spectra, statistics, tables
+from mosaikon.operators import annotation, cohort, hierarchical, intake, library, multimodal, multivariate, ranges, regions, spatial, spectra, statistics, tables
 from mosaikon.sources import imzml, readers
 
 
@@ -366,3 +366,109 @@ def test_class_evidence(spark):
     s = spark.createDataFrame([(1, 700.0, [184.073, 516.0])], "query_id int, precursor double, mz array<double>")
     r = spark.createDataFrame([("PC", "fragment", 184.0733), ("PC", "loss", 184.0), ("PE", "loss", 141.019)], "class string, kind string, value double")
     assert rows(library.class_evidence(s, r), "class") == [(1, "PC", 2)]
+
+
+def brute_envelope(formula, offsets):
+    """Abundance and mean mass by convolving one atom after another."""
+    p, w = np.zeros(offsets + 1), np.zeros(offsets + 1)
+    p[0] = 1.0
+    for e, n in formula.items():
+        for _ in range(n):
+            q, v = np.zeros(offsets + 1), np.zeros(offsets + 1)
+            for m, a in chemistry.ISOTOPES[e]:
+                k = round(m - chemistry.ISOTOPES[e][0][0])
+                for j in range(offsets + 1 - k):
+                    q[j + k] += p[j] * a
+                    v[j + k] += (w[j] + p[j] * m) * a
+            p, w = q, v
+    return p, w / np.where(p > 0, p, 1)
+
+
+def test_isotope_distribution_is_the_convolution(spark):
+    formulas = {1: {"C": 42, "H": 82, "N": 1, "O": 8, "P": 1}, 2: {"C": 2, "S": 3, "Cl": 2}, 3: {"K": 2, "Na": 1, "Cl": 5}, 4: {"P": 2}}
+    df = spark.createDataFrame([(k, f) for k, f in formulas.items()] + [(5, None)], "formula_id int, atoms map<string, int>")
+    got = {(r.formula_id, r.offset): r for r in annotation.isotope_distribution(df, 4).collect()}
+    assert len(got) == 25
+    for k, f in formulas.items():
+        p, m = brute_envelope(f, 4)
+        for o in range(5):
+            assert got[k, o].abundance == pytest.approx(p[o], abs=1e-12)
+            if p[o] > 0:
+                assert got[k, o].mass == pytest.approx(m[o], abs=1e-7)
+            else:
+                assert got[k, o].mass is None
+
+
+def test_ion_pattern_counts_the_adduct(spark):
+    df = spark.createDataFrame([(1, {"C": 10, "H": 20, "O": 2})], "formula_id int, atoms map<string, int>")
+    got = {r.offset: r for r in annotation.ion_pattern(df, "[M+Cl]-").collect()}
+    p, m = brute_envelope({"C": 10, "H": 20, "O": 2, "Cl": 1}, 2)
+    assert [got[k].rel_intensity for k in range(3)] == pytest.approx(list(p / p.max()))
+    assert got[2].mz - got[0].mz == pytest.approx(m[2] - m[0], abs=1e-7)
+    two = {r.offset: r.mz for r in annotation.ion_pattern(df, "[M-2H]2-").collect()}
+    assert two[1] - two[0] == pytest.approx(0.5017, abs=1e-3)
+
+
+def test_class_correlation_widens_camera(spark):
+    rng = np.random.default_rng(0)
+    shared = rng.normal(size=40)
+    data = [(f, u, "A" if u < 20 else "B", float((shared[u] if f < 5 else 0) * 3 + rng.normal())) for f in range(20) for u in range(40)]
+    values = spark.createDataFrame(data, "feature int, unit int, grp string, v double")
+    r = hierarchical.unit_residuals(values)
+    classes = spark.createDataFrame([(f, "tied" if f < 5 else "free") for f in range(20)], "feature int, class string")
+    bar = hierarchical.class_correlation(r, classes)
+    y = np.array([d[3] for d in data]).reshape(20, 2, 20)
+    e = (y - y.mean(axis=2, keepdims=True)).reshape(20, 40)
+    c = np.corrcoef(e[:5])
+    got = {x["class"]: x.r_bar for x in bar.collect()}
+    assert got["tied"] == pytest.approx((c.sum() - 5) / 20, abs=1e-9)
+    scores = classes.withColumn("t", F.col("feature") * -0.1)
+    p = {x["class"]: x.p_value for x in hierarchical.camera(scores, bar).collect()}
+    q = {x["class"]: x.p_value for x in hierarchical.camera(scores, 0.0).collect()}
+    assert p["tied"] > q["tied"]
+
+
+def test_representation(spark):
+    profile = (1, [200 + 0.001 * k for k in range(12)], [float(v) for v in (0, 0, 1, 2, 1, 0, 0, 3, 4, 3, 0, 0)])
+    spikes = (2, [200.0 + k for k in range(12)], [float(v) for v in (0, 5, 0, 0, 5, 0, 5, 0, 0, 5, 0, 0)])
+    sparse = (3, [200.0 + k for k in range(10)], [1.0] * 10)
+    kinds = "pixel_id int, mz array<double>, intensity array<double>"
+    of = lambda *r, flag=None: intake.representation(spark.createDataFrame(list(r), kinds), flag).first()
+    assert of(profile).label == "profile" and of(spikes).label == "centroid" and of(sparse).label == "centroid"
+    assert of(profile, spikes).label == "profile" and of(profile, spikes, sparse, (4, None, None)).n_votes == 3
+    assert of(spikes, flag="profile").source == "data heuristic (file flag said profile)"
+    assert of((5, [1.0], [1.0]), flag="centroid").source == "file flag" and of((5, [], [])).label == "unknown"
+
+
+def test_cube_knows_its_dataset(spark, tmp_path):
+    pixels = spark.createDataFrame([(k, k % 3, k // 3) for k in range(9)], "pixel_id int, x int, y int")
+    peaks = spark.createDataFrame([(k, 200.0 + k, 1.0) for k in range(9)], "pixel_id int, mz double, intensity double")
+    mark = spectra.fingerprint(pixels, peaks)
+    spectra.save_cube(spectra.cube(peaks, 200.0, 15.0), mark, str(tmp_path), 2)
+    assert spectra.load_cube(spark, str(tmp_path), spectra.fingerprint(pixels.orderBy(F.desc("pixel_id")), peaks.where("mz > 201"))).count() == 9
+    with pytest.raises(ValueError, match="another dataset"):
+        spectra.load_cube(spark, str(tmp_path), spectra.fingerprint(pixels.withColumn("x", F.col("x") + 1), peaks))
+
+
+def test_warp_image(spark):
+    image = spark.createDataFrame([(x, y, float(x + 10 * y)) for x in range(4) for y in range(4)], "x int, y int, v double")
+    turn = [[0.0, -1.0, 3.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]]
+    got = {(r.x, r.y): r.v for r in multimodal.warp_image(image, image.select("x", "y"), turn).collect()}
+    assert all(got[3 - y, x] == pytest.approx(x + 10 * y) for x in range(4) for y in range(4))
+    half = {(r.x, r.y): r.v for r in multimodal.warp_image(image, image.select("x", "y"), [[1.0, 0.0, 0.5], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]).collect()}
+    assert half[1, 1] == pytest.approx(10.5) and half[0, 1] is None
+
+
+def test_empty_images_and_rosters(spark):
+    none = spark.createDataFrame([], "pixel_id int, feature_id int, value double")
+    assert spectra.relative_max(none).count() == 0 and spectra.relative_window(none, 0, 90).count() == 0
+    assert spectra.signal_range(spark.createDataFrame([(1.0, 0.0)], "mz double, v double")).count() == 0
+    flat = spark.createDataFrame([(1, 1, 0.0), (2, 1, None)], "pixel_id int, feature_id int, value double")
+    assert rows(spectra.relative_window(flat, 10, 90).select("pixel_id", "value"), "pixel_id") == [(1, 0.0), (2, None)]
+    roster = spark.createDataFrame([(1, None, "C:/a/x"), (2, "g", None)], "sample_id int, grp string, source string")
+    assert rows(cohort.rebase(roster, "c:\\A", "/d").select("sample_id", "moved"), "sample_id") == [(1, "/d/x"), (2, None)]
+    new = spark.createDataFrame([(1, " h "), (1, "g"), (9, "z")], "sample_id int, value string")
+    assert rows(cohort.assign(roster, new).select("sample_id", "grp"), "sample_id") == [(1, "h"), (2, "g")]
+    a = spark.createDataFrame([(f, r, float(f * r)) for f in range(4) for r in range(3)], "feature int, label int, v double")
+    b = a.withColumn("v", F.when(F.col("label") > 0, F.col("v")))
+    assert regions.cross_correlation(a, b).count() == 3
