@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chemistry import ADDUCT_ATOMS, ADDUCTS, C13_STEP, ISOTOPES, formula_mass, ion_mz, isotope_logs
+from ..storage import scratch
+from .ordered import cumulate
 from .ranges import bucket, nearest, window_join
 
 
@@ -52,7 +54,7 @@ def mass_offset(features: DataFrame, index: DataFrame, wide_ppm: float = 15.0, l
 def target_decoy(features: DataFrame, lipids: DataFrame, decoy_shifts: list[float], adduct_shift: float, ppm: float = 10.0) -> DataFrame:
     """feature_id, score, q: for each decoy shift (d + 1) / (t + 1) at the score, the median over shifts, monotone.
 
-    Counts of equal scores are joined, and a running sum over them gives how many score as high.
+    The nearest matches are written once; counts of equal scores are summed in pieces to give how many score as high.
     """
     def best(shift: float, name: str):
         index = lipids.select((F.col("neutral_mass") + adduct_shift + shift).alias("ion_mz"))
@@ -65,15 +67,14 @@ def target_decoy(features: DataFrame, lipids: DataFrame, decoy_shifts: list[floa
         d = best(s, f"d{k}")
         decoys = d if decoys is None else decoys.unionByName(d)
     names = [f"d{k}" for k in range(len(decoy_shifts))]
-    counts = target.unionByName(decoys).groupBy("score").agg(F.count_if(F.col("kind") == "t").alias("t"), *[F.count_if(F.col("kind") == n).alias(n) for n in names])
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.partitionBy(F.lit(0)).orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    summed = counts.select("score", F.sum("t").over(down).alias("t"), *[F.sum(n).over(down).alias(n) for n in names])
+    hits = scratch(target.unionByName(decoys), "decoys")
+    counts = hits.groupBy("score").agg(F.count_if(F.col("kind") == "t").alias("t"), *[F.count_if(F.col("kind") == n).alias(n) for n in names])
+    summed = cumulate(counts, "score", ["t", *names], descending=True)
     ratios = F.array_sort(F.array(*[(F.col(n) + 1) / (F.col("t") + 1) for n in names]))
     k = len(names)
     median = (F.element_at(ratios, (k - 1) // 2 + 1) + F.element_at(ratios, k // 2 + 1)) / 2
-    q = summed.select("score", F.least(F.lit(1.0), median).alias("m")).select("score", F.min("m").over(up).alias("q"))
-    return target.join(q, "score").select("feature_id", "score", "q")
+    q = cumulate(summed.select("score", F.least(F.lit(1.0), median).alias("q")), "score", ["q"], how=F.min)
+    return hits.where("kind = 't'").join(q, "score").select("feature_id", "score", "q")
 
 
 def deisotope(features: DataFrame, ppm: float = 15.0, charges: tuple = (1,), satellites: tuple = (1, 2)) -> DataFrame:

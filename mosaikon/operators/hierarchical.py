@@ -70,7 +70,7 @@ def moderated_t(values: DataFrame, keys: list[str] | None = None, a: str = "A",
     v = pooled_variance(values, keys, a, b)
     s = squeeze(v, *fit_prior(v))
     t = (F.col("mean_b") - F.col("mean_a")) / (F.sqrt("s2_post") * F.sqrt(1 / F.col("n_a") + 1 / F.col("n_b")))
-    return st.bh(s.withColumn("t", t).withColumn("p_value", st.p_of_t("t", "df")), "p_value", "q_value")
+    return st.bh(s.withColumn("t", t).withColumn("p_value", st.p_of_t("t", "df")), "p_value", "q_value", [])
 
 
 def stratified(values: DataFrame, stratum: str = "compartment") -> DataFrame:
@@ -202,4 +202,4 @@ def camera(scores: DataFrame, r_bar: float | DataFrame = 0.01, min_vif: float =
         return pd.Series(np.minimum(1, 2 * np.minimum(special.normal_sf(-lower), special.normal_sf(upper))))
 
     got = own.withColumn("p_value", p("m", "r", "n", "r_bar")).withColumn("direction", F.when(F.col("s") / F.col("m") < (F.col("all") - F.col("s")) / (F.col("n") - F.col("m")), "down").otherwise("up"))
-    return st.bh(got.select("class", "m", "p_value", "direction"), "p_value", "q_value")
+    return st.bh(got.select("class", "m", "p_value", "direction"), "p_value", "q_value", [])

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .statistics import tie_blocks
+
 
 def warp(points: DataFrame, matrix: list[list[float]], x: str = "x", y: str = "y") -> DataFrame:
     """points with x and y through a 3 x 3 affine matrix."""
@@ -67,9 +69,9 @@ def cross_correlation(a: DataFrame, b: DataFrame, method: str = "pearson") -> Da
     Pixels carry their few features as arrays, so the join is on pixels alone.
     """
     if method == "spearman":
-        def ranked(t):
-            w = Window.partitionBy("feature")
-            return t.withColumn("v", F.rank().over(w.orderBy("v")) + (F.count("*").over(Window.partitionBy("feature", "v")) - 1) / 2)
+        def ranked(t):  # counts of equal values combine before they are put in order
+            rank = tie_blocks(t, F.lit(True), ["feature"]).select("feature", "v", "rank")
+            return t.join(rank, ["feature", "v"]).select("pixel_id", "feature", F.col("rank").alias("v"))
 
         a, b = ranked(a), ranked(b)
     left = a.groupBy("pixel_id").agg(F.collect_list(F.struct("feature", "v")).alias("fa"))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import special
+from ..storage import scratch
+from .ordered import cumulate
 
 
 def fold_floor(values: DataFrame, v: str = "v") -> DataFrame:
@@ -118,7 +120,7 @@ def two_group_test(values: DataFrame, method: str = "mwu", keys: list[str] | Non
         m = m.withColumn("p_value", p_of_rank("u", "z", "n_a", "n_b", "tied"))
     else:
         m = t_statistic(m, method == "student").withColumn("p_value", p_of_t("t", "df"))
-    return bh(m, "p_value", "q_value")
+    return bh(m, "p_value", "q_value", [])
 
 
 def by_sample(values: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -128,9 +130,15 @@ def by_sample(values: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def bh(df: DataFrame, p: str = "p", q: str = "q", family: list[str] | None = None) -> DataFrame:
-    """Benjamini-Hochberg q-values within a family; null p stays null and doesn't count."""
-    family = family or []
-    w = Window.partitionBy(*family) if family else Window.partitionBy(F.lit(0))
+    """Benjamini-Hochberg q-values within a family; null p stays null and doesn't count.
+
+    Without a family the tests may be as many as there are: the table is written once, counts of equal p are summed in
+    pieces, and the q of each p is joined on.  A family is put in order in one task; an empty list makes one of all
+    rows, for tables with a row for each feature of an axis.
+    """
+    if family is None:
+        return _bh_wide(scratch(df, "bh"), p, q)
+    w = Window.partitionBy(*(family or [F.lit(0)]))
     tested = F.col(p).isNotNull()
     rank = F.row_number().over(w.orderBy(F.col(p).asc_nulls_last()))
     n = F.count(p).over(w)
@@ -139,6 +147,14 @@ def bh(df: DataFrame, p: str = "p", q: str = "q", family: list[str] | None = Non
     return raw.withColumn(q, F.when(tested, F.greatest(F.lit(0.0), F.least(F.lit(1.0), least)))).drop("__raw")
 
 
+def _bh_wide(df: DataFrame, p: str, q: str) -> DataFrame:
+    blocks = df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("__t"))
+    n = blocks.agg(F.sum("__t").alias("__n"))  # one row
+    raw = cumulate(blocks, p, ["__t"]).join(F.broadcast(n)).select(p, (F.col(p) * F.col("__n") / F.col("__t")).alias("__q"))
+    least = cumulate(raw, p, ["__q"], descending=True, how=F.min)
+    return df.join(least, p, "left").select(*df.columns, F.when(F.col(p).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), "__q"))).alias(q))
+
+
 def kruskal(values: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """keys, h (corrected for ties), df, top_group (largest mean; first by name of equal ones)."""
     keys = keys or ["feature"]

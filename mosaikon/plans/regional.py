@@ -97,7 +97,7 @@ def anova_f(spark, sf):
 def multigroup_p_values(spark, sf):
     d = b.dense(spark, sf).withColumnRenamed("label", "grp")
     k = st.kruskal(d).withColumn("kw_p", st.p_of_chi2("h", "df"))
-    return b.rounded(st.bh(k.join(st.anova(d).withColumn("f_p", st.p_of_f("f", "df_between", "df_within")), "feature"), "kw_p", "kw_q"))
+    return b.rounded(st.bh(k.join(st.anova(d).withColumn("f_p", st.p_of_f("f", "df_between", "df_within")), "feature"), "kw_p", "kw_q", []))
 
 
 @query(f"""WITH {b.DENSE}, g AS (SELECT feature, label, count(*) AS nk, avg(v) AS mk, var_pop(v) AS vk FROM dense GROUP BY 1, 2),

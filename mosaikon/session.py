@@ -95,8 +95,8 @@ class Session:
     def multigroup(self, masks: dict[int, DataFrame], method: str = "kruskal") -> DataFrame:
         values = self.labelled(masks).withColumnRenamed("label", "grp")
         if method == "kruskal":
-            return statistics.bh(statistics.kruskal(values).withColumn("p_value", statistics.p_of_chi2("h", "df")), "p_value", "q_value")
-        return statistics.bh(statistics.anova(values).withColumn("p_value", statistics.p_of_f("f", "df_between", "df_within")), "p_value", "q_value")
+            return statistics.bh(statistics.kruskal(values).withColumn("p_value", statistics.p_of_chi2("h", "df")), "p_value", "q_value", [])
+        return statistics.bh(statistics.anova(values).withColumn("p_value", statistics.p_of_f("f", "df_between", "df_within")), "p_value", "q_value", [])
 
     def markers(self, masks: dict[int, DataFrame], shrink: float = 2.0) -> DataFrame:
         return regions.shrunken_centroids(self.labelled(masks), shrink)

@@ -472,3 +472,29 @@ def test_empty_images_and_rosters(spark):
     a = spark.createDataFrame([(f, r, float(f * r)) for f in range(4) for r in range(3)], "feature int, label int, v double")
     b = a.withColumn("v", F.when(F.col("label") > 0, F.col("v")))
     assert regions.cross_correlation(a, b).count() == 3
+
+
+def test_pieces_and_running_totals(spark):
+    from mosaikon.operators.ordered import cumulate, piece
+
+    rng = np.random.default_rng(1)
+    some = np.r_[rng.normal(size=300) * 10.0 ** rng.integers(-300, 300, 300), 2.0 ** np.arange(-1074, 1024, 61), np.nextafter(2.0 ** np.arange(-60, 60), 0), 0.0, -0.5, 5e-324, np.inf, -np.inf]
+    df = spark.createDataFrame([(float(x), 1) for x in np.unique(some)], "x double, n int")
+    got = df.withColumn("k", piece(F.col("x"))).orderBy("x").collect()
+    assert all(a.k <= b.k for a, b in zip(got, got[1:], strict=False)) and len({r.k for r in got}) > 300
+    assert [r.n for r in cumulate(df, "x", ["n"]).orderBy("x").collect()] == list(range(1, len(got) + 1))
+    down = [r.n for r in cumulate(df.withColumn("n", F.col("x")), "x", ["n"], descending=True, how=F.min).orderBy("x").collect()]
+    assert down == [r.x for r in got]
+    near = spark.createDataFrame([(1 + k * 1e-6, 1) for k in range(50)], "x double, n int")
+    assert [r.n for r in cumulate(near, "x", ["n"], descending=True).orderBy("x").collect()] == list(range(50, 0, -1))
+    odd = spark.createDataFrame([(None,), (float("nan"),)], "x double").select(piece(F.col("x")).alias("k"))
+    assert sorted(r.k or 0 for r in odd.collect()) == [0, 1 << 40]
+
+
+def test_bh_ways_agree(spark):
+    rng = np.random.default_rng(2)
+    ps = np.r_[rng.random(200) ** 3, [1.0] * 20, [0.0] * 3, [0.01] * 7]
+    df = spark.createDataFrame([(i, float(p)) for i, p in enumerate(ps)] + [(999, None)], "i int, p double")
+    a, b = rows(statistics.bh(df).select("i", "q"), "i"), rows(statistics.bh(df, family=[]).select("i", "q"), "i")
+    assert a[-1] == (999, None) and [q for _, q in a[:-1]] == pytest.approx([q for _, q in b[:-1]])
+    assert statistics.bh(df.limit(0)).count() == 0
