@@ -229,6 +229,28 @@ def rebase(samples: DataFrame, old: str, new: str, column: str = "source") -> Da
     return samples.withColumn("moved", F.when(F.startswith(F.lower(plain), F.lit(start.lower())), F.concat(F.lit(new.replace("\\", "/").rstrip("/") + "/"), tail)))
 
 
+def diagnose(samples: DataFrame, files: DataFrame, regions: DataFrame) -> DataFrame:
+    """sample_id, n_pixels, problem of samples(sample_id, source, region): why one can't be pooled, null if it can.
+
+    files(path) are those that exist, regions(sample_id, region, pixel_id) the regions saved for a sample; a sample
+    without a region is a whole slide, whose pixels aren't counted.
+    """
+    there = files.select(F.col("path").alias("source"), F.lit(True).alias("__f")).distinct()
+    size = regions.groupBy("sample_id", "region").agg(F.count("pixel_id").alias("n_pixels"), F.lit(True).alias("__r"))
+    named = samples.select("sample_id", "source", F.nullif("region", F.lit("")).alias("region"))
+    got = named.join(there, "source", "left").join(size, ["sample_id", "region"], "left")
+    problem = (
+        F.when(~F.coalesce(F.endswith(F.lower("source"), F.lit(".imzml")), F.lit(False)), "not an imzML source").when(F.col("__f").isNull(), "source missing")
+        .when(F.col("region").isNull(), None).when(F.col("__r").isNull(), "region not saved").when(F.col("n_pixels") == 0, "region without pixels")
+    )
+    return got.select("sample_id", F.coalesce("n_pixels", F.lit(0)).alias("n_pixels"), problem.alias("problem"))
+
+
+def missing_sources(samples: DataFrame, files: DataFrame) -> DataFrame:
+    """The samples whose imzML isn't among files(path); other sources can't be found again and aren't named."""
+    return samples.where(F.endswith(F.lower("source"), F.lit(".imzml"))).join(files.select(F.col("path").alias("source")), "source", "left_anti").select(*samples.columns)
+
+
 def sample_matrix(table: DataFrame, targets: list) -> DataFrame:
     """table(sample_id, target_id, value) as one row a sample and one column t<target> each: the targets name the columns."""
     return table.groupBy("sample_id").pivot("target_id", targets).agg(F.first("value")).select("sample_id", *[F.col(f"`{t}`").alias(f"t{t}") for t in targets])

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranges import window_join
+from .spectra import mz_bounds, pixel_stats
 
 
 def pick_peaks(spectrum: DataFrame, snr: float = 3.0, min_rel: float = 0.0, max_peaks: int = 0, noise_windows: int = 32) -> DataFrame:
@@ -15,12 +18,7 @@ def pick_peaks(spectrum: DataFrame, snr: float = 3.0, min_rel: float = 0.0, max_
     windows without any take the median of the others.  A spectrum is one short table: its axis bounds it.
     """
     w = Window.partitionBy(F.lit(0)).orderBy("bin")
-    size = spectrum.agg(F.max("bin").alias("hi"), F.min("bin").alias("lo"), F.max("v").alias("top"))
-    own = spectrum.join(F.broadcast(size)).withColumn("part", F.least(F.lit(noise_windows - 1), F.floor((F.col("bin") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1) * noise_windows)))
-    med = own.where("v > 0").groupBy("part").agg(F.percentile("v", 0.5).alias("med"))
-    mad = own.where("v > 0").join(F.broadcast(med), "part").groupBy("part").agg((F.percentile(F.abs(F.col("v") - F.col("med")), 0.5) * 1.4826).alias("noise"))
-    usual = mad.agg(F.percentile("noise", 0.5).alias("usual"))
-    noisy = own.join(F.broadcast(mad), "part", "left").join(F.broadcast(usual)).withColumn("noise", F.coalesce("noise", "usual"))
+    noisy = _noise(spectrum, noise_windows)
     peak = (F.col("v") > F.coalesce(F.lag("v").over(w), F.lit(0.0))) & (F.col("v") >= F.coalesce(F.lead("v").over(w), F.lit(0.0)))
     found = noisy.withColumn("__p", peak).where("__p").select("bin", F.col("v").alias("intensity"), (F.col("v") / F.col("top")).alias("rel_intensity"), F.when(F.col("noise") > 0, F.col("v") / F.col("noise")).alias("snr"))
     kept = found.where((F.col("snr").isNull() | (F.col("snr") >= snr)) & (F.col("rel_intensity") >= min_rel))
@@ -28,6 +26,78 @@ def pick_peaks(spectrum: DataFrame, snr: float = 3.0, min_rel: float = 0.0, max_
     return ranked.where(F.col("rank") <= max_peaks) if max_peaks else ranked
 
 
+def _noise(spectrum: DataFrame, noise_windows: int) -> DataFrame:
+    """spectrum with top, the largest value, and the noise of its window."""
+    size = spectrum.agg(F.max("bin").alias("hi"), F.min("bin").alias("lo"), F.max("v").alias("top"))
+    own = spectrum.join(F.broadcast(size)).withColumn("part", F.least(F.lit(noise_windows - 1), F.floor((F.col("bin") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1) * noise_windows)))
+    med = own.where("v > 0").groupBy("part").agg(F.percentile("v", 0.5).alias("med"))
+    mad = own.where("v > 0").join(F.broadcast(med), "part").groupBy("part").agg((F.percentile(F.abs(F.col("v") - F.col("med")), 0.5) * 1.4826).alias("noise"))
+    usual = mad.agg(F.percentile("noise", 0.5).alias("usual"))
+    return own.join(F.broadcast(mad), "part", "left").join(F.broadcast(usual)).withColumn("noise", F.coalesce("noise", "usual"))
+
+
+def summits(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where v has a maximum with lower values on both sides (of a flat top, the middle), and how far each stands out.
+
+    The prominence is the height over the higher of the two lowest points between it and the next larger value on each
+    side, or the end.  A stack of falling values gives those lowest points in one walk each way.
+    """
+    edges = np.flatnonzero(np.diff(v)) + 1
+    first, last = np.r_[0, edges], np.r_[edges, len(v)] - 1
+    h = v[first]
+    top = np.flatnonzero((h[1:-1] > h[:-2]) & (h[1:-1] > h[2:])) + 1
+
+    def lowest(h: np.ndarray) -> np.ndarray:
+        out, stack = h.copy(), []
+        for k, x in enumerate(h):
+            low = x
+            while stack and stack[-1][0] <= x:
+                low = min(low, stack.pop()[1])
+            out[k] = low
+            stack.append((x, low))
+        return out
+
+    floor = np.maximum(lowest(h), lowest(h[::-1])[::-1])
+    return (first[top] + last[top]) // 2, (h - floor)[top]
+
+
+def apart(at: np.ndarray, height: np.ndarray, distance: int) -> np.ndarray:
+    """Which peaks stay when each, from the highest down, drops those nearer than distance; of equals the later stays."""
+    keep = np.ones(len(at), bool)
+    for k in np.argsort(height, kind="stable")[::-1]:
+        if keep[k]:
+            keep[(np.abs(at - at[k]) < distance) & (np.arange(len(at)) != k)] = False
+    return keep
+
+
+def pick_profile(spectrum: DataFrame, snr: float = 3.0, min_rel: float = 0.0, max_peaks: int = 0, prominence: float = 1.0, distance: int = 3, noise_windows: int = 32) -> DataFrame:
+    """bin, intensity, rel_intensity, snr, prominence, rank of the peaks of a profile spectrum(bin, v).
+
+    Peaks are as high as snr times the local noise and min_rel of the tallest, at least `distance` points from any
+    higher one, and stand out by prominence times the noise (0 asks for nothing).  One spectrum is one task: it has as
+    many points as the axis, whatever the number of pixels.
+    """
+    def find(t: pa.Table) -> pa.Table:
+        t = t.sort_by("bin")
+        v, noise = (np.nan_to_num(t[c].to_numpy().astype(float)) for c in ("v", "noise"))
+        at, size = summits(v) if len(v) else (np.zeros(0, int), np.zeros(0))
+        tall = v[at] >= np.maximum(np.maximum(snr * noise[at], min_rel * v.max(initial=0)), 1e-12)
+        at, size = at[tall], size[tall]
+        near = apart(at, v[at], distance)
+        at, size = at[near], size[near]
+        fine = size >= np.maximum(prominence * noise[at], 1e-12) if prominence > 0 else np.ones(len(at), bool)
+        at, size = at[fine], size[fine]
+        rank = np.empty(len(at), np.int32)
+        rank[np.lexsort((at, -v[at]))] = np.arange(1, len(at) + 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = v[at] / noise[at]
+        ratio = pa.array(ratio, mask=~(noise[at] > 0))
+        return pa.table({"bin": t["bin"].take(pa.array(at)).cast(pa.int64()), "intensity": v[at], "rel_intensity": v[at] / v.max(initial=1e-300), "snr": ratio, "prominence": size, "rank": rank})
+
+    got = _noise(spectrum, noise_windows).select("bin", F.col("v").cast("double").alias("v"), "noise", F.lit(0).alias("one")).groupBy("one").applyInArrow(find, "bin long, intensity double, rel_intensity double, snr double, prominence double, rank int")
+    return got.where(F.col("rank") <= max_peaks) if max_peaks else got
+
+
 def normalisation(stats: DataFrame, limit: float = 0.05) -> DataFrame:
     """tic_cv, rms_cv and which of them, if any, was evened out before."""
     cv = lambda c: F.stddev_pop(c) / F.avg(c)
@@ -99,3 +169,21 @@ def representation(spectra: DataFrame, flag: str | None = None) -> DataFrame:
         .when(said == data, "file flag (confirmed by data)").otherwise(F.concat(F.lit("data heuristic (file flag said "), said, F.lit(")")))
     )
     return got.select(F.coalesce(data, said, F.lit("unknown")).alias("label"), source.alias("source"), "n_votes", "profile_fraction")
+
+
+def inspect(peaks: DataFrame, flag: str | None = None) -> DataFrame:
+    """One row on a dataset peaks(pixel_id, mz, intensity): n_pixels, limits, what it holds and what to do with it.
+
+    representation and its source, normalisation found, suggested_norm (none for data that are evened out already) and
+    suggested_pick (centroids or mean-spectrum).
+    """
+    spectra = peaks.groupBy("pixel_id").agg(F.array_sort(F.collect_list(F.struct("mz", "intensity"))).alias("p")).select("pixel_id", F.col("p.mz").alias("mz"), F.col("p.intensity").alias("intensity"))
+    kind = representation(spectra, flag).select(F.col("label").alias("representation"), "source")
+    stats = pixel_stats(peaks)
+    state = normalisation(stats).select(F.col("method").alias("normalisation"))
+    each = [stats.agg(F.count("*").alias("n_pixels")), mz_bounds(peaks).select("mz_lo", "mz_hi"), kind, state]  # one row each
+    one = each[0]
+    for t in each[1:]:
+        one = one.join(F.broadcast(t))
+    done = F.col("normalisation") != "none"
+    return one.withColumns({"suggested_norm": F.when(done, "none").otherwise("tic"), "suggested_pick": F.when(F.col("representation") == "centroid", "centroids").otherwise("mean-spectrum")})

@@ -191,3 +191,23 @@ def roc_points(values: DataFrame, keys: list[str] | None = None, b: str = "B") -
     w = Window.partitionBy(*keys)
     down = w.orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, 0)
     return counts.select(*keys, F.col("v").alias("score"), (F.sum("m").over(down) / F.sum("m").over(w)).alias("fpr"), (F.sum("p").over(down) / F.sum("p").over(w)).alias("tpr"))
+
+
+def segmentation_test(values: DataFrame, labels: DataFrame, samples: DataFrame, summary: str = "mean_top") -> DataFrame:
+    """feature, n_a, n_b, auc, p_value, q_value between samples of groups A and B, by their hottest component.
+
+    values(pixel_id, feature, v), labels(pixel_id, feature, label) with the hottest label largest, samples(pixel_id,
+    sample, grp).  Each sample counts once: with the mean of its pixels in the component (zero without any), or with
+    their share (frac_top).  Pixels of no sample (null or < 0) are left out; a sample is in the group of most of its
+    pixels, of as many in the first by name.
+    """
+    pixels = samples.where(F.col("grp").isin("A", "B") & (F.col("sample") >= 0))
+    sizes = pixels.groupBy("sample", "grp").agg(F.count("*").alias("n"))
+    group = sizes.groupBy("sample").agg(F.min_by("grp", F.struct(-F.col("n"), "grp")).alias("grp"), F.sum("n").alias("n"))
+    top = labels.groupBy("feature").agg(F.max("label").alias("top"))
+    hot = labels.join(top, "feature").where(F.col("label") == F.col("top")).join(pixels.select("pixel_id", "sample"), "pixel_id")
+    per = hot.join(values, ["pixel_id", "feature"]).groupBy("feature", "sample").agg(F.avg("v").alias("mean"), F.count("*").alias("m"))
+    every = top.select("feature").join(group).join(per, ["feature", "sample"], "left")  # a row a feature and sample
+    size = F.coalesce(F.col("mean") if summary == "mean_top" else F.col("m") / F.col("n"), F.lit(0.0))
+    tested = rank_auc(every.select("feature", "grp", size.alias("v"))).withColumn("p_value", p_of_rank("u", "z", "n_a", "n_b", "tied"))
+    return bh(tested.select("feature", "n_a", "n_b", "auc", "p_value"), "p_value", "q_value", [])

@@ -129,3 +129,33 @@ def region_response(values: DataFrame, regions: DataFrame, analyte: int, standar
     mean = lambda f: F.sum(F.when(F.col("feature") == f, F.col("v")).otherwise(0.0)) / F.count_distinct("pixel_id")
     got = regions.join(asked, "pixel_id", "left").groupBy("region").agg(mean(analyte).alias("a"), *([] if standard is None else [mean(standard).alias("s")]))
     return got.select("region", (F.col("a") if standard is None else F.when(F.col("s") > 0, F.col("a") / F.col("s"))).alias("response"))
+
+
+def calibration_report(points: DataFrame, weight: str = "none", through_origin: bool = False, units: str = "", keys: list[str] | None = None) -> DataFrame:
+    """fit_calibration with n_levels, conc_min, conc_max, weighting, through_origin and units: what a report states."""
+    keys = keys or []
+    x = F.when(F.col("response").isNotNull(), F.col("concentration"))
+    span = points.groupBy(*keys).agg(F.count_distinct(x).alias("n_levels"), F.min(x).alias("conc_min"), F.max(x).alias("conc_max"))
+    fit = fit_calibration(points, weight, through_origin, keys)
+    both = fit.join(span, keys) if keys else fit.join(F.broadcast(span))  # one row each
+    return both.withColumns({"weighting": F.lit(weight), "through_origin": F.lit(through_origin), "units": F.lit(units)})
+
+
+def reporting(fields: DataFrame, meta: DataFrame) -> DataFrame:
+    """section, field, value, status of a checklist fields(section, field, required, observed) and meta(section, field, value).
+
+    What was observed comes before what a user wrote; blanks count as nothing.  A status is ok, missing where a required
+    field has no value, and warn for others.  Of several values the first by order counts.
+    """
+    blank = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+    given = meta.select("section", "field", blank("value").alias("__v")).groupBy("section", "field").agg(F.min("__v").alias("__v"))
+    value = F.coalesce(blank("observed"), F.col("__v"))
+    got = fields.join(given, ["section", "field"], "left").withColumn("value", value)
+    status = F.when(F.col("value").isNotNull(), "ok").when(F.col("required"), "missing").otherwise("warn")
+    return got.select("section", "field", "value", status.alias("status"))
+
+
+def reporting_summary(report: DataFrame) -> DataFrame:
+    """n_ok, n_warn, n_missing and ready: whether no required field is missing."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    return report.agg(n("ok").alias("n_ok"), n("warn").alias("n_warn"), n("missing").alias("n_missing"), (n("missing") == 0).alias("ready"))

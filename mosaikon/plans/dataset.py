@@ -15,8 +15,10 @@ from ..operators import multimodal as mm
 from ..operators import regions as rg
 from ..operators import spatial as sl
 from ..operators import spectra as sp
+from ..operators import statistics as st
+from ..operators import tables as tb
 from . import bindings as b
-from .chemical import _DECOYS, _FEAT, _KINDS, _SHIFT, _feat
+from .chemical import _CAL, _DECOYS, _FEAT, _KINDS, _SHIFT, _feat
 from .extras import _IMP, _importance
 from .models import _nested
 from .registry import query
@@ -221,3 +223,71 @@ s AS (SELECT feature, sum(z * z) AS s, count(*) AS n FROM z GROUP BY 1), i AS (S
 SELECT feature, round(i, 6) AS morans_i FROM i WHERE i >= 0.01""")
 def spatial_features(spark, sf):
     return b.rounded(sl.find_spatial(b.dense(spark, sf), b.grid(spark, sf), 0.01, 0.01).select("feature", "morans_i"))
+
+
+@query(f"""WITH {b.DENSE}, p AS (SELECT *, label % 2 AS g, (pixel_id % 6) * 2 + label % 2 AS sample, (v > 0.1)::INT AS hot FROM dense WHERE label >= 0),
+s AS (SELECT feature, g, sample, coalesce(avg(v) FILTER (hot = (SELECT max(hot) FROM p)), 0e0) AS x FROM p GROUP BY 1, 2, 3)
+SELECT a.feature, count(DISTINCT a.sample) AS n_a, count(DISTINCT c.sample) AS n_b, round(avg(CASE WHEN c.x > a.x THEN 1e0 WHEN c.x = a.x THEN 0.5e0 ELSE 0e0 END), 6) AS auc FROM s a JOIN s c ON a.feature = c.feature AND a.g = 0 AND c.g = 1 GROUP BY 1""")
+def segmentation_test(spark, sf):
+    d = b.dense(spark, sf)
+    labels = d.select("pixel_id", "feature", (F.col("v") > 0.1).cast("int").alias("label"))
+    g = F.col("label") % 2
+    samples = b.table(spark, sf, "embeddings").where("label >= 0").select(F.col("vec_id").alias("pixel_id"), ((F.col("vec_id") % 6) * 2 + g).alias("sample"), F.when(g == 0, "A").otherwise("B").alias("grp"))
+    return b.rounded(st.segmentation_test(d.select("pixel_id", "feature", "v"), labels, samples).select("feature", "n_a", "n_b", "auc"))
+
+
+@query(f"WITH {_CAL}, l AS (SELECT analyte, count(DISTINCT x) AS n_levels, min(x) AS conc_min, max(x) AS conc_max FROM c GROUP BY 1) SELECT analyte, round(b, 5) AS slope, round(a, 5) AS intercept, round(1 - sse / (yy - y * y / w), 5) AS r2, n_levels, conc_min, conc_max, '1/x' AS weighting, false AS through_origin, 'pmol' AS units FROM h JOIN l USING (analyte)")
+def calibration_report(spark, sf):
+    p = b.table(spark, sf, "part").where("p_size > 0").select(F.col("p_brand").alias("analyte"), F.col("p_size").cast("double").alias("concentration"), (F.col("p_retailprice") / 100).alias("response"))
+    return b.rounded(tb.calibration_report(p, "1/x", units="pmol", keys=["analyte"]).drop("lod", "loq"), 5)
+
+
+_FIELDS = "f AS (SELECT p_brand AS section, p_name || p_partkey AS field, p_size > 25 AS required, CASE WHEN p_partkey % 3 = 0 THEN ' auto ' END AS observed, p_partkey FROM part), r AS (SELECT section, field, coalesce(nullif(trim(observed), ''), CASE WHEN p_partkey % 5 = 0 THEN 'user' END) AS value, required FROM f), s AS (SELECT section, field, value, CASE WHEN value IS NOT NULL THEN 'ok' WHEN required THEN 'missing' ELSE 'warn' END AS status FROM r)"
+
+
+def _report(spark, sf):
+    p = b.table(spark, sf, "part")
+    own = [F.col("p_brand").alias("section"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("field")]
+    fields = p.select(*own, (F.col("p_size") > 25).alias("required"), F.when(F.col("p_partkey") % 3 == 0, " auto ").alias("observed"))
+    return tb.reporting(fields, p.where("p_partkey % 5 IN (0, 1)").select(*own, F.when(F.col("p_partkey") % 5 == 0, "user").otherwise("  ").alias("value")))
+
+
+@query(f"WITH {_FIELDS} SELECT * FROM s")
+def validate_reporting(spark, sf):
+    return _report(spark, sf)
+
+
+@query(f"WITH {_FIELDS} SELECT count(*) FILTER (status = 'ok') AS n_ok, count(*) FILTER (status = 'warn') AS n_warn, count(*) FILTER (status = 'missing') AS n_missing, count(*) FILTER (status = 'missing') = 0 AS ready FROM s")
+def reporting_summary(spark, sf):
+    return tb.reporting_summary(_report(spark, sf))
+
+
+_SOURCES = "c AS (SELECT c_custkey AS sample_id, c_name || CASE WHEN c_custkey % 11 = 0 THEN '.raw' ELSE '.imzML' END AS source, c_nationkey AS k, CASE WHEN c_nationkey < 12 THEN c_mktsegment END AS region FROM customer)"
+
+
+def _sources(spark, sf):
+    c = b.table(spark, sf, "customer")
+    name = F.concat("c_name", F.when(F.col("c_custkey") % 11 == 0, ".raw").otherwise(".imzML"))
+    return c.select(F.col("c_custkey").alias("sample_id"), name.alias("source"), F.when(F.col("c_nationkey") < 12, F.col("c_mktsegment")).otherwise("").alias("region"), "c_nationkey")
+
+
+@query(f"""WITH {_SOURCES}, n AS (SELECT o_custkey AS sample_id, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+SELECT sample_id, CASE WHEN region IS NULL THEN 0 ELSE coalesce(n, 0) END AS n_pixels, CASE WHEN source NOT LIKE '%.imzML' THEN 'not an imzML source' WHEN k % 4 = 0 THEN 'source missing' WHEN region IS NULL THEN NULL WHEN n IS NULL THEN 'region not saved' END AS problem FROM c LEFT JOIN n USING (sample_id)""")
+def diagnose_cohort(spark, sf):
+    s = _sources(spark, sf)
+    saved = b.table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("sample_id"), F.col("o_orderkey").alias("pixel_id")).join(s.select("sample_id", "region"), "sample_id")
+    return co.diagnose(s, s.where("c_nationkey % 4 <> 0").select(F.col("source").alias("path")), saved)
+
+
+@query(f"WITH {_SOURCES} SELECT sample_id, source FROM c WHERE source LIKE '%.imzML' AND k % 4 = 0")
+def missing_source_samples(spark, sf):
+    s = _sources(spark, sf)
+    return co.missing_sources(s, s.where("c_nationkey % 4 <> 0").select(F.col("source").alias("path"))).select("sample_id", "source")
+
+
+@query("""WITH p AS (SELECT l_suppkey AS pixel_id, 200 + l_partkey * 0.25e0 AS mz, l_quantity AS intensity FROM lineitem), g AS (SELECT pixel_id, (lead(mz) OVER w - mz) / mz * 1e6 AS gap FROM p WINDOW w AS (PARTITION BY pixel_id ORDER BY mz)),
+v AS (SELECT CASE WHEN count(*) >= 8 THEN (quantile_cont(gap, 0.5) <= 30)::INT END AS vote FROM g GROUP BY pixel_id), t AS (SELECT pixel_id, sum(intensity) AS tic, sqrt(avg(intensity * intensity)) AS rms FROM p GROUP BY 1),
+m AS (SELECT count(*) AS n_pixels, CASE WHEN stddev_pop(tic) / avg(tic) <= 0.05 THEN 'tic' WHEN stddev_pop(rms) / avg(rms) <= 0.05 THEN 'rms' ELSE 'none' END AS normalisation FROM t), k AS (SELECT CASE WHEN avg(vote) >= 0.5 THEN 'profile' ELSE 'centroid' END AS representation FROM v)
+SELECT n_pixels, (SELECT min(mz) FROM p) AS mz_lo, (SELECT max(mz) FROM p) AS mz_hi, representation, CASE WHEN representation = 'centroid' THEN 'file flag (confirmed by data)' ELSE 'data heuristic (file flag said centroid)' END AS source, normalisation, CASE WHEN normalisation = 'none' THEN 'tic' ELSE 'none' END AS suggested_norm, CASE WHEN representation = 'centroid' THEN 'centroids' ELSE 'mean-spectrum' END AS suggested_pick FROM m, k""")
+def inspect_dataset(spark, sf):
+    return it.inspect(b.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("pixel_id"), (200 + F.col("l_partkey") * 0.25).alias("mz"), F.col("l_quantity").alias("intensity")), "centroid")

@@ -173,6 +173,17 @@ def pick_peaks(spark, sf):
     return b.rounded(intake.pick_peaks(m, 3.0, noise_windows=4).withColumn("snr", F.round("snr", 5)))
 
 
+@query(f"""{_PEAK}, h AS (SELECT bin, v, top, noise FROM w JOIN n USING (part)), k AS (SELECT a.bin, a.v, any_value(a.top) AS top, any_value(a.noise) AS noise, coalesce(max(c.bin) FILTER (c.bin < a.bin AND c.v > a.v), -1) AS l, coalesce(min(c.bin) FILTER (c.bin > a.bin AND c.v > a.v), 1000000) AS r, bool_and(a.v > c.v) FILTER (abs(c.bin - a.bin) = 1) AND count(*) FILTER (abs(c.bin - a.bin) = 1) = 2 AS p FROM h a, h c GROUP BY 1, 2),
+q AS (SELECT k.bin, k.v, any_value(k.top) AS top, any_value(k.noise) AS noise, k.v - greatest(min(c.v) FILTER (c.bin BETWEEN k.l + 1 AND k.bin), min(c.v) FILTER (c.bin BETWEEN k.bin AND k.r - 1)) AS size FROM k, h c WHERE k.p GROUP BY 1, 2)
+SELECT bin::BIGINT AS bin, round(v, 6) AS intensity, round(v / top, 6) AS rel_intensity, round(v / noise, 5) AS snr, round(size, 6) AS prominence, (row_number() OVER (ORDER BY v DESC, bin))::INT AS rank FROM q WHERE v >= noise AND size >= 0.5 * noise""")
+def pick_profile_peaks(spark, sf):
+    from ..operators import intake
+
+    m = sp.mean_spectrum(b.dense(spark, sf).withColumnRenamed("feature", "bin"), b.table(spark, sf, "embeddings")).withColumnRenamed("mean", "v")
+    got = intake.pick_profile(m, 1.0, prominence=0.5, distance=1, noise_windows=4)
+    return b.rounded(got.withColumn("snr", F.round("snr", 5)))
+
+
 @query(f"WITH {b.PEAKS}, a AS (SELECT pixel_id, arg_max(mz, intensity * 1e9 - mz) AS m FROM peaks WHERE mz BETWEEN 300 - 300 * 5000e0 / 1e6 AND 300 + 300 * 5000e0 / 1e6 AND intensity > 0 GROUP BY 1), e AS (SELECT (m - 300) / 300 * 1e6 AS p FROM a) SELECT count(*) AS n, round(quantile_cont(p, 0.5), 6) AS median, round(quantile_cont(p, 0.75) - quantile_cont(p, 0.25), 6) AS iqr, round(max(abs(p)), 6) AS max_abs, round(sqrt(avg(p * p)), 5) AS rms FROM e")
 def drift_qc(spark, sf):
     from ..operators import intake

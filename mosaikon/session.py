@@ -51,6 +51,36 @@ class Session:
             out = out.union(p)
         return out.groupBy("pixel_id").agg(F.min("label").alias("label"))
 
+    def region_names(self) -> list[str]:
+        return list(self.regions)
+
+    def group_names(self) -> list[str]:
+        return list(self.groups)
+
+    def save(self, path: str) -> None:
+        """Features, groups and regions as tables under path, with the dataset's fingerprint; spectra stay where they are."""
+        spark = self.peaks.sparkSession
+        out = spark.createDataFrame([], "region string, pixel_id long")
+        for name, mask in self.regions.items():
+            out = out.union(mask.select(F.lit(name), F.col("pixel_id").cast("long")))
+        out.write.mode("overwrite").partitionBy("region").parquet(f"{path}/regions")
+        settings = [(name, list(self.groups), [g for g, r in self.groups.items() if name in r]) for name in self.regions]
+        spark.createDataFrame(settings, "region string, groups array<string>, own array<string>").write.mode("overwrite").parquet(f"{path}/groups")
+        spark.createDataFrame([(m,) for m in self.features], "mz double").write.mode("overwrite").parquet(f"{path}/features")
+        spectra.fingerprint(self.pixels, self.peaks).write.mode("overwrite").parquet(f"{path}/fingerprint")
+
+    def load(self, path: str) -> None:
+        """Take up what save wrote; a ValueError if that was for other pixels."""
+        spark = self.peaks.sparkSession
+        own = spectra.fingerprint(self.pixels, self.peaks).select("n_pixels", "digest").first()
+        if spark.read.parquet(f"{path}/fingerprint").select("n_pixels", "digest").first() != own:
+            raise ValueError(f"the session in {path} is of another dataset")
+        saved = spark.read.schema("pixel_id long, region string").parquet(f"{path}/regions")
+        rows = spark.read.parquet(f"{path}/groups").orderBy("region").collect()  # a row a region
+        self.regions = {r["region"]: saved.where(F.col("region") == r["region"]).select("pixel_id") for r in rows}
+        self.groups = {g: [r["region"] for r in rows if g in r["own"]] for g in (rows[0]["groups"] if rows else [])}
+        self.set_features([r["mz"] for r in spark.read.parquet(f"{path}/features").collect()])
+
     # Images and matrices
 
     def matrix(self, mzs: list[float] | None = None) -> DataFrame:

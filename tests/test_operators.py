@@ -498,3 +498,69 @@ def test_bh_ways_agree(spark):
     a, b = rows(statistics.bh(df).select("i", "q"), "i"), rows(statistics.bh(df, family=[]).select("i", "q"), "i")
     assert a[-1] == (999, None) and [q for _, q in a[:-1]] == pytest.approx([q for _, q in b[:-1]])
     assert statistics.bh(df.limit(0)).count() == 0
+
+
+def test_segmentation_test_counts_samples_once(spark):
+    samples = spark.createDataFrame([(p, p // 10, "A" if p < 30 else "B") for p in range(60)] + [(60, -1, "A"), (61, 0, "B")], "pixel_id int, sample int, grp string")
+    values = spark.createDataFrame([(p, 1, p % 10 + p // 10 * 0.01 + (5 if p >= 30 else 0)) for p in range(62)], "pixel_id int, feature int, v double")
+    labels = values.select("pixel_id", "feature", (F.col("v") > 6).cast("int").alias("label"))
+    got = statistics.segmentation_test(values, labels, samples).first()
+    assert (got.n_a, got.n_b) == (3, 3) and got.auc == 1.0 and got.p_value == pytest.approx(0.1)
+    share = statistics.segmentation_test(values, labels, samples, "frac_top").first()
+    assert share.auc == 1.0
+
+
+def test_session_is_taken_up_again(spark, tmp_path):
+    from mosaikon.session import Session
+
+    pixels = spark.createDataFrame([(k, k % 3, k // 3) for k in range(9)], "pixel_id long, x long, y long")
+    peaks = spark.createDataFrame([(k, 300.0, float(k)) for k in range(9)], "pixel_id long, mz double, intensity double")
+    s = Session(peaks, pixels)
+    s.set_features([300.0, 400.0])
+    s.add_region("a 1", pixels.where("x = 0"), "g")
+    s.add_region("b/2", pixels.where("x = 1"), "g")
+    s.add_region("c", pixels.where("x > 5"))
+    s.save(str(tmp_path))
+    t = Session(peaks, pixels)
+    t.load(str(tmp_path))
+    assert t.features == [300.0, 400.0] and sorted(t.region_names()) == ["a 1", "b/2", "c"] and t.group_names() == ["g"]
+    assert t.region("b/2").count() == 3 and t.region("c").count() == 0 and t.group("g").count() == 6
+    with pytest.raises(ValueError, match="another dataset"):
+        Session(peaks, pixels.where("x < 2")).load(str(tmp_path))
+
+
+def test_diagnose_names_each_cause(spark):
+    s = spark.createDataFrame([(1, "a.imzML", ""), (2, "b.raw", "r"), (3, "c.imzml", None), (4, "a.imzML", "r"), (5, "a.imzML", "q"), (6, None, "r"), (7, "a.imzML", "e")], "sample_id int, source string, region string")
+    files = spark.createDataFrame([("a.imzML",), ("a.imzML",)], "path string")
+    regions_ = spark.createDataFrame([(4, "r", 1), (4, "r", 2), (7, "e", None)], "sample_id int, region string, pixel_id int")
+    assert rows(cohort.diagnose(s, files, regions_), "sample_id") == [
+        (1, 0, None), (2, 0, "not an imzML source"), (3, 0, "source missing"), (4, 2, None), (5, 0, "region not saved"), (6, 0, "not an imzML source"), (7, 0, "region without pixels"),
+    ]
+    assert [r.sample_id for r in cohort.missing_sources(s, files).collect()] == [3]
+
+
+def brute_prominence(v, i):
+    left, right = [v[i]], [v[i]]
+    for k in range(i - 1, -1, -1):
+        if v[k] > v[i]:
+            break
+        left.append(v[k])
+    for k in range(i + 1, len(v)):
+        if v[k] > v[i]:
+            break
+        right.append(v[k])
+    return v[i] - max(min(left), min(right))
+
+
+def test_prominence_and_distance(spark):
+    rng = np.random.default_rng(3)
+    for v in (rng.random(200), rng.integers(0, 6, 200).astype(float), np.ones(9), np.array([0.0, 2, 2, 2, 0, 3, 1])):
+        at, size = intake.summits(v)
+        inner = [k for k in range(1, len(v) - 1) if v[k - 1] < v[k]]
+        ends = [(k, next(j for j in range(k, len(v)) if j + 1 == len(v) or v[j + 1] != v[k])) for k in inner]
+        assert list(at) == [(k + j) // 2 for k, j in ends if j + 1 < len(v) and v[j + 1] < v[k]]
+        assert size == pytest.approx([brute_prominence(v, i) for i in at])
+    assert list(intake.apart(np.array([1, 3, 5, 9]), np.array([1.0, 3.0, 2.0, 1.0]), 3)) == [False, True, False, True]
+    spectrum = spark.createDataFrame([(k, float(x)) for k, x in enumerate([0, 1, 9, 8.5, 9.2, 1, 0, 4, 0, 0, 0, 0, 0.5, 0])], "bin int, v double")
+    got = intake.pick_profile(spectrum, snr=0.0, prominence=0.0)
+    assert [r.bin for r in got.orderBy("rank").collect()] == [4, 7, 12]
