@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from .shared import LOWER, UPPER
+
 #: chr(9) to chr(13) and the space, as a DuckDB (RE2) class.
 _WS = r"[\x20\x09-\x0D]"
 _KEY = r"translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -36,4 +38,32 @@ WITH keyed AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_rep
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
        doc_id = first_value(doc_id) OVER w AS kept, h AS text_sha256
 FROM keyed WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)""",
+    "op13_spelling_variants": f"""
+WITH RECURSIVE steps(i, k, c) AS (
+  SELECT i, 0, i FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+runs AS (
+  SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL),
+coded AS (SELECT *, hex(encode(doc_id || ':' || run)) AS x FROM runs),
+hashed AS (
+  SELECT run, c, xor(4294967295, list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(range(1, length(x), 2), lambda p: ('0x' || x[p:p + 1])::BIGINT)),
+    lambda acc, b: xor(acc >> 8, t[(xor(acc, b) & 255) + 1]))) AS h FROM coded, crc),
+spoilt AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, c FROM hashed),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM spoilt WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+less AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS v FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.i = b.i AND a.v = b.v AND a.word <> b.word
+  UNION SELECT less.word, less.n, words.word, words.n FROM less JOIN words ON words.word = less.v
+  UNION SELECT words.word, words.n, less.word, less.n FROM less JOIN words ON words.word = less.v),
+best AS (
+  SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM near GROUP BY word),
+forms AS (
+  SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * words.n THEN near END AS form, CASE WHEN near_n >= 10 * words.n THEN near_n END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+follow(word, root) AS (SELECT word, word FROM forms UNION ALL SELECT follow.word, form FROM follow JOIN forms ON forms.word = follow.root WHERE form IS NOT NULL)
+SELECT forms.word, forms.form, root, forms.n, forms.n_near, forms.form_n
+FROM forms JOIN follow ON follow.word = forms.word JOIN forms AS ends ON ends.word = follow.root AND ends.form IS NULL""",
 }
