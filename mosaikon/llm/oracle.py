@@ -1,5 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from .search import TERM
 from .shared import LOWER, UPPER
 
 #: chr(9) to chr(13) and the space, as a DuckDB (RE2) class.
@@ -38,6 +39,17 @@ WITH keyed AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_rep
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
        doc_id = first_value(doc_id) OVER w AS kept, h AS text_sha256
 FROM keyed WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)""",
+    "op11_ranked_search": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}') AS ts FROM documents),
+size AS (SELECT count(*) FILTER (len(ts) > 0) AS docs, sum(len(ts))::BIGINT AS total FROM d),
+tf AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(ts) AS n, unnest(ts) AS t FROM d) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), size),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')) AS t FROM benchmark),
+scored AS (
+  SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))))::BIGINT AS score
+  FROM asked JOIN tf USING (t) JOIN w USING (t), size GROUP BY item_id, r, doc_id)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10""",
     "op13_spelling_variants": f"""
 WITH RECURSIVE steps(i, k, c) AS (
   SELECT i, 0, i FROM range(256) r(i)

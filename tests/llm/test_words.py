@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from mosaikon.llm import variants
+from mosaikon.llm import search, variants
 
 
 def ascii_lower(t):
@@ -91,3 +91,64 @@ def test_variants_of_odd_tables(spark):
     want = plain_variants(ODD)
     assert found_variants(docs) == want
     assert want["chaimex"][:2] == ("chainex", "chained")
+
+
+def plain_search(docs, items):
+    term = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    own = [(d, Counter(term.findall(ascii_lower(t or "")))) for d, t in docs]
+    n_docs, total, df = sum(bool(c) for _, c in own), sum(sum(c.values()) for _, c in own), Counter(t for _, c in own for t in c)
+    asked, out = defaultdict(set), []
+    for i, t in items:
+        asked[i] |= set(term.findall(ascii_lower(t or "")))
+    for i, terms in asked.items():
+        scores = []
+        for d, c in own:
+            m = 10 + 90 * sum(c.values()) * n_docs // max(total, 1)
+            s = sum(int(np.floor(1000 * np.log((2 * n_docs + 2) / (2 * df[t] + 1)))) * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t in terms if c[t])
+            if s > 0:
+                scores.append((-s, d is None, d or 0, d))
+        out += [(i, k + 1, d, -s) for k, (s, _, _, d) in enumerate(sorted(scores)[:10])]
+    return Counter(out)
+
+
+def some_texts(seed, n):
+    rng = random.Random(seed)
+    text = lambda most: " ".join(f"w{min(int(rng.expovariate(0.05)), 199)}" for _ in range(rng.randint(0, most)))
+    rows = [(d, text(60)) for d in range(n)]
+    return rows + [(d + n, t) for d, t in rows[:20]] + [(None, rows[3][1]), (4, rows[4][1]), (5000, None), (5001, ""), (5002, "-- . !"), (5003, "Ünïc0de W1 w1\x00W2, w3"), (5004, "w5 " * 9000)], [
+        *((i, text(12)) for i in range(15)), (None, "w1 W2"), (3, "w7 w8"), (40, None), (41, ""), (42, "no such terms here"), (43, "ünïc0de Ünïc0de")]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_search_ranks_as_a_plain_version_does(spark, monkeypatch, small):
+    if small:  # many segments of one to a few documents, many blocks, an index of all terms
+        for name, value in (("SEGMENT_BYTES", 700), ("BLOCK_PAIRS", 30), ("MOST_TERMS", 5), ("ROWS", 7)):
+            monkeypatch.setattr(search, name, value)
+    docs, items = some_texts(5, 1500 if not small else 150)
+    got = search.search(spark.createDataFrame(docs, "doc_id long, text string").repartition(2), spark.createDataFrame(items, "item_id long, text string"))
+    assert Counter(map(tuple, got.select("item_id", "rank", "doc_id", "score").collect())) == plain_search(docs, items)
+
+
+def test_search_opens_only_some_ranges(spark, monkeypatch):
+    """A rare term in one document: the ranges without it are never opened."""
+    opened = []
+    monkeypatch.setattr(search._Segment, "_open", lambda self, *a, f=search._Segment._open: opened.append(a[2:]) or f(self, *a))
+    texts = [["common"] * (k % 7 + 1) + ["filler"] * (k % 11) + (["rare"] if k == 4000 else []) for k in range(6000)]
+    names = [b"common", b"filler", b"rare"]
+    owner, term = np.repeat(np.arange(6000), [len(t) for t in texts]), np.array([names.index(w.encode()) for t in texts for w in t])
+    rows = list(search._trees(0, list(range(6000)), np.array([len(t) for t in texts]), owner, term, names, 6000, len(term)))
+    import pyarrow as pa
+
+    segment = search._Segment(pa.Table.from_batches(rows))
+    got = segment.best([("rare", 9000), ("common", 300)], 1)
+    assert [segment.ids[p].as_py() for _, p in got] == [4000]
+    assert len(opened) < 20
+
+
+def test_search_of_empty_tables(spark):
+    docs, items = (spark.createDataFrame([], f"{c} long, text string") for c in ("doc_id", "item_id"))
+    some = spark.createDataFrame([(1, "a b", 2.0, 3)], "doc_id long, text string, rank double, `x.y` int")
+    asked = spark.createDataFrame([(1, "a", 2.0, 3)], "item_id long, text string, doc_id double, term int")
+    assert search.search(docs, asked).count() == 0
+    assert search.search(some, items).count() == 0
+    assert [tuple(r)[:3] for r in search.search(some.unionByName(some), asked).collect()] == [(1, 1, 1), (1, 2, 1)]
