@@ -94,10 +94,16 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import scores
+
+    return scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .variants import spelling_variants
 
     return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_substring_dedup, op3_simhash_near_dedup, op4_line_dedup, op5_embedding_near_dedup, op6_bpe, op7_language_id, op8_toxicity, op9_html_extraction, op10_exact_dedup, op11_ranked_search, op13_spelling_variants)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_substring_dedup, op3_simhash_near_dedup, op4_line_dedup, op5_embedding_near_dedup, op6_bpe, op7_language_id, op8_toxicity, op9_html_extraction, op10_exact_dedup, op11_ranked_search, op12_lm_scoring, op13_spelling_variants)}

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from mosaikon.llm import search, variants
+from mosaikon.llm import lm, search, trie, variants
 
 
 def ascii_lower(t):
@@ -152,3 +152,72 @@ def test_search_of_empty_tables(spark):
     assert search.search(docs, asked).count() == 0
     assert search.search(some, items).count() == 0
     assert [tuple(r)[:3] for r in search.search(some.unionByName(some), asked).collect()] == [(1, 1, 1), (1, 2, 1)]
+
+
+def plain_scores(rows):
+    """By row: held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    texts = [(d, d is not None and zlib.crc32(str(d).encode()) % 10 == 0, ["\n", "\n", *re.findall(r"[^\x20\x09-\x0D]+", ascii_lower(t or "")), ""]) for d, t in rows]
+    c1, c2, c3, t2, t3 = (Counter() for _ in range(5))
+    for _, held, w in texts:
+        for a, b, c in zip(w, w[1:], w[2:], strict=False) if not held else ():
+            c1[c] += 1
+            c2[b, c] += 1
+            c3[a, b, c] += 1
+            t2[b] += 1
+            t3[a, b] += 1
+    total, out = sum(c1.values()), []
+    for d, held, w in texts:
+        base = score = known = 0
+        for a, b, c in zip(w, w[1:], w[2:], strict=False):
+            p1 = (c1[c] + 0.1) / (total + 0.1 * (len(c1) + 1))
+            p2 = (c2[b, c] + lm.MU2 * p1) / (t2[b] + lm.MU2)
+            base, known = base + np.log10(p1), known + (c1[c] > 0)
+            score += np.log10((c3[a, b, c] + lm.MU3 * p2) / (t3[a, b] + lm.MU3))
+        out.append((d if d is not None else -1, held, len(w) - 2, known, total, base, score))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_scores_are_those_of_a_plain_version(spark, monkeypatch, small):
+    if small:  # many segments, many shards, and most contexts dealt out
+        for name, value in (("SEGMENT", 500), ("SEGMENT_DOCS", 9), ("SHARD", 900), ("HOT", 100), ("SAMPLED", 1)):
+            monkeypatch.setattr(lm, name, value)
+    rows = some_texts(7, 300)[0] + [(6000 + k, "same words again and again " * 20) for k in range(12)] + [(7000, "no one knows these words"), (7010, "Ä ä A a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    if small:
+        assert len(lm._hot_contexts(lm.segments(docs), 10_000)[0]) > 5
+    got = sorted((-1 if r[0] is None else r[0], *tuple(r)[1:]) for r in lm.scores(docs).collect())
+    want = plain_scores(rows)
+    key = lambda r: (*r[:4], round(r[5], 6))
+    got, want = sorted(got, key=key), sorted(want, key=key)
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert np.allclose([r[5] for r in got], [r[5] for r in want], rtol=1e-9)
+    assert np.allclose([r[6] for r in got], [r[6] for r in want], rtol=3e-3)
+
+
+def test_scores_of_odd_tables(spark):
+    assert lm.scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    held = next(d for d in range(100) if zlib.crc32(str(d).encode()) % 10 == 0)
+    docs = spark.createDataFrame([(held, "only a held-out text", 1.0, 2)], "doc_id long, text string, score double, `n.b` int")
+    ((_, out, n, known, tokens, base, score),) = map(tuple, lm.scores(docs).collect())
+    assert (out, n, known, tokens) == (True, 5, 0, 0)
+    assert abs(base) < 1e-9 and abs(score) < 1e-9  # one slot for all that is unknown
+
+
+def test_sequences_and_tries_give_back_what_was_put_in():
+    rng = np.random.default_rng(3)
+    for n, universe in ((0, 0), (1, 1), (1, 5), (10, 10**12), (1000, 1000), (5000, 10**9), (3000, 200), (70_000, 10**13)):
+        v = np.sort(rng.integers(0, universe + 1, n))
+        e = trie.EliasFano(v, universe + 1)
+        assert (e[np.arange(n)] == v).all()
+        assert (e.stretch(n // 3, n) == v[n // 3 :]).all()
+        assert (lm.unpack(lm.pack(v, v[:1]))[0] == v).all()
+    for order in (2, 3):
+        grams = np.unique(np.minimum(rng.zipf(1.3, (30_000, order)), 999), axis=0)
+        contexts, owner = np.unique(grams[:, :-1], axis=0, return_inverse=True)
+        share, rest, held = rng.uniform(1e-6, 1, len(grams)), rng.uniform(0.01, 1, len(contexts)), rng.random(len(grams)) < 0.6
+        seen = np.unique(owner[held])
+        t = trie.Trie(contexts[seen], grams[held, -1], np.searchsorted(seen, owner[held]), share[held], rest[seen], 1000)
+        s, r = t.find(contexts, grams[:, -1], owner, 777)
+        assert np.allclose(trie.meaning(s), np.where(held, share, 0), rtol=2e-3)
+        assert np.allclose(trie.meaning(r), np.where(np.isin(np.arange(len(contexts)), seen), rest, 0), rtol=2e-3)
