@@ -37,7 +37,7 @@ from .trie import Trie, meaning
 #: How much weight the next shorter context has, in counts.
 MU2, MU3 = 32.0, 2.0
 #: Tokens and documents of a segment, and tokens a shard should have.
-SEGMENT, SEGMENT_DOCS, SHARD = 4_000_000, 1 << 16, 8_000_000
+SEGMENT, SEGMENT_DOCS, SHARD = 4_000_000, 1 << 16, 4_000_000
 #: A context is hot from this part of a shard, but never under one in MOST_HOT of all tokens.
 HOT, MOST_HOT = 4, 1_000_000
 #: One in how many documents tells which contexts are hot.
@@ -68,9 +68,10 @@ def unpack(blob: bytes) -> list[np.ndarray]:
         width, n, size = struct.unpack_from("<BQQ", blob, at)
         at += 17
         planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[at : at + size], max_output_size=n * width + 1), np.uint8).reshape(width, n)
-        whole = np.zeros((n, 8), np.uint8)
+        kind = np.dtype(np.uint8 if width == 1 else np.uint16 if width == 2 else np.uint32 if width <= 4 else np.int64)
+        whole = np.zeros((n, kind.itemsize), np.uint8)
         whole[:, :width] = planes.T
-        out.append(whole.view(np.int64).reshape(n))
+        out.append(whole.view(kind).reshape(n))
         at += size
     return out
 
@@ -119,6 +120,7 @@ def segments(docs: DataFrame) -> DataFrame:
 class _Segment:
     def __init__(self, blob: bytes, words: bytes):
         self.sizes, learn, self.tokens = unpack(blob)
+        self.sizes = self.sizes.astype(np.int64)
         self.words = _unpack_words(words)
         self.learn = np.repeat(learn.astype(bool), self.sizes)
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -265,7 +267,7 @@ def _answer(hot: np.ndarray, totals: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
         level = table["level"][0].as_py()
         parts = [unpack(blob) for blob in table["blob"].to_pylist()]
-        hashes = [np.cumsum(p[0]) for p in parts]
+        hashes = [np.cumsum(p[0], dtype=np.int64) for p in parts]
         words = np.unique(np.concatenate(hashes))
         ids = [np.searchsorted(words, h) for h in hashes]
         v, mu = len(words), MU2 if level == 2 else MU3
@@ -276,6 +278,9 @@ def _answer(hot: np.ndarray, totals: np.ndarray):
         owner = which[np.repeat(np.arange(len(which)), np.concatenate([p[level] for p in parts]))]
         key, gram = np.unique(owner * v + np.concatenate([own[p[level + 1]] for own, p in zip(ids, parts, strict=True)]), return_inverse=True)
         n = np.bincount(gram, np.concatenate([p[level + 2] for p in parts]), len(key))
+        sizes, many = [len(p[level]) for p in parts], [len(p[level + 1]) for p in parts]
+        del parts, ids, heads, code
+        which, gram = which.astype(np.uint32), gram.astype(np.uint32)
         owner, follows = key // v, key % v
         total = np.bincount(owner, n, len(contexts))
         h = mix64(words.view(np.uint64) + np.uint64(level))[contexts[:, -1]]
@@ -297,7 +302,6 @@ def _answer(hot: np.ndarray, totals: np.ndarray):
         extra[other] = total[other].astype(np.int64)
         share, rest, extra = share[gram], rest[which], extra[which]
         cut = lambda a, sizes: np.split(a, np.cumsum(sizes)[:-1])
-        sizes, many = [len(p[level]) for p in parts], [len(p[level + 1]) for p in parts]
         blobs = [pack(a, b, c) for a, b, c in zip(cut(share, many), cut(rest, sizes), cut(extra, sizes), strict=True)]
         return pa.table({"level": table["level"], "shard": table["shard"], "segment": table["segment"], "blob": pa.array(blobs, pa.binary())})
 
