@@ -8,14 +8,16 @@ Shares and rests are what the tries hold, in codes of fourteen bits.  A model of
 dealt out, and texts and model meet like this:
 
 1. Texts are cut into segments of some million tokens and written as word numbers, each segment with its own words.
-2. A segment sends its distinct n-grams with their counts to the shard that owns their context, as one packed row a shard:
-   an n-gram that is frequent in a segment is sent once.
-3. A shard adds up the counts, builds its trie, looks all that was sent up in it, and sends the codes back.
+2. A segment sends its distinct n-grams of three words with their counts to the shard that owns their middle word, as one
+   packed row a shard: an n-gram that is frequent in a segment is sent once.
+3. A shard adds up the counts, of two words too, builds its tries, looks all that was sent up in them, and sends codes back
+   for what p3 is made of beside p1.
 4. The segment puts the codes in the places of its n-grams and adds the logarithms up, document by document.
 
-A context with a good part of a shard's n-grams is dealt out by the word that follows.  Its count doesn't come together in one
-shard then, so it is added up beforehand.  Which contexts those are is estimated from a sample; that decides where
-n-grams go and not what comes out.  There are at most MOST_HOT for each order, by the threshold they must pass.
+A middle word with a good part of a shard's n-grams is dealt out by the word before it, and a context of two words that is as
+frequent by the word after it.  Their counts don't come together in one shard then, so they are added up beforehand, and
+n-grams of two words are sent for such words, dealt out by both.  Which contexts those are is estimated from a sample; that
+decides where n-grams go and not what comes out.  There are at most MOST_HOT of each kind, by the threshold they must pass.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import mix64, scratch
-from .trie import Trie, meaning
+from .trie import Trie, meaning, quantised
 
 #: How much weight the next shorter context has, in counts.
 MU2, MU3 = 32.0, 2.0
@@ -136,26 +138,38 @@ class _Segment:
 
     def context_hashes(self, level: int) -> np.ndarray:
         before, second = self.histories()
-        h = mix64(self.hashes + np.uint64(level))[before]
-        return h if level == 2 else mix64(h ^ self.hashes[second])
+        h = mix64(self.hashes + np.uint64(2))[before]
+        return h if level == 2 else _pair(h, self.hashes[second])
 
     def ngrams(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct contexts (word numbers), owner and next word of each distinct n-gram, its count, and the n-gram of each token."""
         before, second = self.histories()
         v = len(self.words)
-        code, which = np.unique(before if level == 2 else second * v + before, return_inverse=True)
-        contexts = code[:, None] if level == 2 else np.stack([code // v, code % v], 1)
+        code, which = np.unique(before if level == 2 else before * v + second, return_inverse=True)
+        contexts = code[:, None] if level == 2 else np.stack([code % v, code // v], 1)
         key, gram = np.unique(which * v + self.tokens, return_inverse=True)
         return contexts, key // v, key % v, np.bincount(gram, self.learn, len(key)).astype(np.int64), gram
 
     def dealt(self, level: int, contexts: np.ndarray, owner: np.ndarray, follows: np.ndarray, shards: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """n-grams in the order of their shards, and where each shard begins."""
-        h = mix64(self.hashes + np.uint64(level))[contexts[:, -1]]
-        h = h if level == 2 else mix64(h ^ self.hashes[contexts[:, 0]])
-        own = np.where(np.isin(h, hot)[owner], mix64(h[owner] ^ self.hashes[follows]), h[owner])
-        shard = (own % np.uint64(shards)).astype(np.int64)
+        """The n-grams to be sent in the order of their shards, and where each shard begins."""
+        last = mix64(self.hashes + np.uint64(2))[contexts[:, -1]]
+        spread = np.isin(last, hot)
+        if level == 2:
+            sent = np.flatnonzero(spread[owner])
+            own = mix64(last[owner[sent]] ^ self.hashes[follows[sent]])
+        else:
+            both = _pair(last, self.hashes[contexts[:, 0]])
+            own = np.where(spread, both, last)[owner]
+            apart, sent = np.flatnonzero(np.isin(both, hot)[owner]), np.arange(len(owner))
+            own[apart] = mix64(both[owner[apart]] ^ self.hashes[follows[apart]])
+        shard = (own % np.uint64(shards)).astype(np.int32)
         order = np.argsort(shard, kind="stable")
-        return order, np.searchsorted(shard[order], np.arange(shards + 1))
+        return sent[order], np.searchsorted(shard[order], np.arange(shards + 1))
+
+
+def _pair(last: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The hash of a context of two words, from that of the last as a context and that of the first."""
+    return mix64(last ^ mix64(first + np.uint64(3)))
 
 
 def _rows(b: pa.RecordBatch) -> Iterator[tuple[int, list, _Segment]]:
@@ -242,7 +256,7 @@ def _ask(shards: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for segment, _, s in _rows(b):
-                for level in (2, 3):
+                for level in (2, 3) if len(hot) else (3,):
                     contexts, owner, follows, n, _ = s.ngrams(level)
                     order, cuts = s.dealt(level, contexts, owner, follows, shards, hot)
                     for shard in range(shards):
@@ -250,59 +264,79 @@ def _ask(shards: int, hot: np.ndarray):
                         if not len(own):
                             continue
                         heads, at = np.unique(owner[own], return_index=True)
-                        words, named = np.unique(np.r_[contexts[heads].ravel(), follows[own]], return_inverse=True)
-                        by_hash = np.argsort(s.hashes[words])
-                        place = np.empty(len(words), np.int64)
-                        place[by_hash] = np.arange(len(words))
-                        named, k = place[named], len(heads) * (level - 1)
-                        gaps = np.diff(s.hashes[words][by_hash], prepend=np.uint64(0))
-                        yield _batch([(level, shard, segment, pack(gaps, *named[:k].reshape(len(heads), -1).T, np.diff(np.r_[at, len(own)]), named[k:], n[own]))])
+                        # numbers rise with those of the segment, where frequent words come early
+                        words, named = np.unique(np.r_[contexts[heads].T.ravel(), follows[own]], return_inverse=True)
+                        k = len(heads)
+                        code = named[:k] if level == 2 else named[k : 2 * k] * len(words) + named[:k]
+                        yield _batch([(level, shard, segment, pack(s.hashes[words], np.diff(code, prepend=0), np.diff(np.r_[at, len(own)]), named[k * (level - 1) :], n[own]))])
 
     return run
 
 
+def _lookup(contexts: np.ndarray, owner: np.ndarray, follows: np.ndarray, n: np.ndarray, total: np.ndarray, mu: float, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The share of each n-gram and the rest of each context, by way of a trie of those that were learnt."""
+    learnt, seen = np.flatnonzero(n > 0), np.flatnonzero(np.bincount(owner, n, len(contexts)) > 0)
+    if not len(learnt):
+        return np.zeros(len(n)), mu / (total + mu)
+    place = np.zeros(len(contexts), np.int64)
+    place[seen] = np.arange(len(seen))
+    trie = Trie(contexts[seen], follows[learnt], place[owner[learnt]], n[learnt] / (total[owner[learnt]] + mu), mu / (total[seen] + mu), words)
+    share, rest = trie.find(contexts, follows, owner)
+    # not learnt at all, or in other shards only
+    return meaning(share), np.where(rest > 0, meaning(rest), mu / (total + mu))
+
+
+def _codes(p: np.ndarray) -> np.ndarray:
+    return np.where(p > 0, quantised(np.maximum(p, 1e-300)), 0)
+
+
 def _answer(hot: np.ndarray, totals: np.ndarray):
     """A shard: all n-grams of some contexts, from all segments."""
 
+    def known(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which contexts are dealt out, and what they come to together."""
+        if not len(hot):
+            return np.zeros(len(h), bool), np.zeros(len(h))
+        at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+        return hot[at] == h, totals[at]
+
     def run(table: pa.Table) -> pa.Table:
         level = table["level"][0].as_py()
         parts = [unpack(blob) for blob in table["blob"].to_pylist()]
-        hashes = [np.cumsum(p[0], dtype=np.int64) for p in parts]
-        words = np.unique(np.concatenate(hashes))
-        ids = [np.searchsorted(words, h) for h in hashes]
-        v, mu = len(words), MU2 if level == 2 else MU3
-        heads = [np.stack([own[c] for c in p[1:level]], 1) for own, p in zip(ids, parts, strict=True)]
-        code = np.concatenate([h[:, 0] if level == 2 else h[:, 0] * v + h[:, 1] for h in heads])
-        code, which = np.unique(code, return_inverse=True)
+        words = np.unique(np.concatenate([p[0] for p in parts]))
+        v, code, grams = len(words), [], []
+        for hashes, gaps, sizes, follows, n in parts:
+            ids, c = np.searchsorted(words, hashes), np.cumsum(gaps, dtype=np.int64)
+            code.append(ids[c] if level == 2 else ids[c % len(hashes)] * v + ids[c // len(hashes)])
+            grams.append(ids[follows].astype(np.uint32))
+        sizes, many = [len(p[2]) for p in parts], [len(p[3]) for p in parts]
+        code, which = np.unique(np.concatenate(code), return_inverse=True)
         contexts = code[:, None] if level == 2 else np.stack([code // v, code % v], 1)
-        owner = which[np.repeat(np.arange(len(which)), np.concatenate([p[level] for p in parts]))]
-        key, gram = np.unique(owner * v + np.concatenate([own[p[level + 1]] for own, p in zip(ids, parts, strict=True)]), return_inverse=True)
-        n = np.bincount(gram, np.concatenate([p[level + 2] for p in parts]), len(key))
-        sizes, many = [len(p[level]) for p in parts], [len(p[level + 1]) for p in parts]
-        del parts, ids, heads, code
-        which, gram = which.astype(np.uint32), gram.astype(np.uint32)
+        key = which[np.repeat(np.arange(len(which)), np.concatenate([p[2] for p in parts]))] * v + np.concatenate(grams)
+        counts, which = np.concatenate([p[4] for p in parts]), which.astype(np.uint32)
+        del parts, grams, code
+        key, gram = np.unique(key, return_inverse=True)
+        gram = gram.astype(np.uint32)
+        n = np.bincount(gram, counts, len(key))
         owner, follows = key // v, key % v
-        total = np.bincount(owner, n, len(contexts))
-        h = mix64(words.view(np.uint64) + np.uint64(level))[contexts[:, -1]]
-        h = h if level == 2 else mix64(h ^ words.view(np.uint64)[contexts[:, 0]])
-        if len(hot):
-            at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-            total = np.where(hot[at] == h, totals[at], total)
-        learnt, seen = np.flatnonzero(n > 0), np.flatnonzero(np.bincount(owner, n, len(contexts)) > 0)
-        place = np.zeros(len(contexts), np.int64)
-        place[seen] = np.arange(len(seen))
-        if len(learnt):
-            trie = Trie(contexts[seen], follows[learnt], place[owner[learnt]], n[learnt] / (total[owner[learnt]] + mu), mu / (total[seen] + mu), v)
-            share, rest = trie.find(contexts, follows, owner)
-            # a hot context may have been learnt in other shards only
-            other = np.flatnonzero((rest == 0) & (total > 0))
+        last = mix64(words.view(np.uint64) + np.uint64(2))[contexts[:, -1]]
+        spread, all_of = known(last)
+        if level == 2:
+            share, rest = _lookup(contexts, owner, follows, n, all_of, MU2, v)
         else:
-            share, rest, other = np.zeros(len(key), np.uint16), np.zeros(len(contexts), np.uint16), np.flatnonzero(total > 0)
-        extra = np.zeros(len(contexts), np.int64)
-        extra[other] = total[other].astype(np.int64)
-        share, rest, extra = share[gram], rest[which], extra[which]
-        cut = lambda a, sizes: np.split(a, np.cumsum(sizes)[:-1])
-        blobs = [pack(a, b, c) for a, b, c in zip(cut(share, many), cut(rest, sizes), cut(extra, sizes), strict=True)]
+            apart, all_of = known(_pair(last, words.view(np.uint64)[contexts[:, 0]]))
+            share, rest = _lookup(contexts, owner, follows, n, np.where(apart, all_of, np.bincount(owner, n, len(contexts))), MU3, v)
+            # n-grams of two words whose last context isn't dealt out are whole here
+            near = ~spread[owner]
+            pair, which2 = np.unique(contexts[owner[near], 1] * v + follows[near], return_inverse=True)
+            middle, owner2 = np.unique(pair // v, return_inverse=True)
+            n2 = np.bincount(which2, n[near], len(pair))
+            share2, rest2 = _lookup(middle[:, None], owner2, pair % v, n2, np.bincount(owner2, n2, len(middle)), MU2, v)
+            share[near] += rest[owner[near]] * share2[which2]
+            near = np.flatnonzero(~spread)
+            rest[near] *= rest2[np.searchsorted(middle, contexts[near, 1])]
+        cut = lambda a, lengths: np.split(a, np.cumsum(lengths)[:-1])
+        blobs = [pack(a, b) for a, b in zip(cut(_codes(share)[gram], many), cut(_codes(rest)[which], sizes), strict=True)]
         return pa.table({"level": table["level"], "shard": table["shard"], "segment": table["segment"], "blob": pa.array(blobs, pa.binary())})
 
     return run
@@ -321,7 +355,7 @@ def _score(shards: int, hot: np.ndarray, words: int, tokens: int):
         p = (count + 0.1) / (tokens + 0.1 * (words + 1))
         base = np.log10(p)[s.tokens]
         p = p[s.tokens]
-        for level, mu in ((2, MU2), (3, MU3)):
+        for level in (2, 3) if len(hot) else (3,):
             contexts, owner, follows, _, gram = s.ngrams(level)
             order, cuts = s.dealt(level, contexts, owner, follows, shards, hot)
             share, rest = np.zeros(len(follows)), np.ones(len(follows))
@@ -329,10 +363,9 @@ def _score(shards: int, hot: np.ndarray, words: int, tokens: int):
                 own = order[cuts[shard] : cuts[shard + 1]]
                 if not len(own):
                     continue
-                a, b, extra = unpack(got[level, shard])
+                a, b = unpack(got[level, shard])
                 share[own] = meaning(a)
-                left = np.where(b > 0, meaning(b), mu / (extra + mu))
-                rest[own] = left[np.cumsum(np.diff(owner[own], prepend=owner[own[0]]) != 0)]
+                rest[own] = meaning(b)[np.cumsum(np.diff(owner[own], prepend=owner[own[0]]) != 0)]
             p = np.minimum(share[gram] + rest[gram] * p, 1.0)  # codes may be a little off
         add = lambda x: np.add.reduceat(x, s.starts)
         return pa.table({

@@ -91,7 +91,7 @@ def quantised(p: np.ndarray) -> np.ndarray:
 
 def meaning(codes: np.ndarray) -> np.ndarray:
     """The probability that a code stands for; 0 for code 0."""
-    odds = LOW + (codes - 1.0) * (HIGH - LOW) / ((1 << BITS) - 2)
+    odds = LOW + (codes.astype(float) - 1) * (HIGH - LOW) / ((1 << BITS) - 2)
     return np.where(codes > 0, 1 / (1 + np.exp(-odds)), 0.0)
 
 
