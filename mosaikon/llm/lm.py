@@ -39,11 +39,11 @@ from .trie import Trie, meaning, quantised
 #: How much weight the next shorter context has, in counts.
 MU2, MU3 = 32.0, 2.0
 #: Tokens and documents of a segment, and tokens a shard should have.
-SEGMENT, SEGMENT_DOCS, SHARD = 4_000_000, 1 << 16, 4_000_000
+SEGMENT, SEGMENT_DOCS, SHARD = 4_000_000, 1 << 16, 2_500_000
 #: A context is hot from this part of a shard, but never under one in MOST_HOT of all tokens.
 HOT, MOST_HOT = 4, 1_000_000
 #: One in how many documents tells which contexts are hot.
-SAMPLED = 16
+SAMPLED = 64
 #: The end of a text and what stands before its beginning; no word is empty or has white space.
 END, BEGIN = b"", b"\n"
 #: Bits by which words are told apart in shards; counts of words use the words.
@@ -59,7 +59,7 @@ def pack(*arrays: np.ndarray) -> bytes:
         a = np.ascontiguousarray(a, np.uint64)
         width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
         planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :width].T)
-        data = zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+        data = zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
         out += [struct.pack("<BQQ", width, len(a), len(data)), data]
     return b"".join(out)
 
@@ -122,7 +122,7 @@ def segments(docs: DataFrame) -> DataFrame:
 class _Segment:
     def __init__(self, blob: bytes, words: bytes):
         self.sizes, learn, self.tokens = unpack(blob)
-        self.sizes = self.sizes.astype(np.int64)
+        self.sizes, self.tokens = self.sizes.astype(np.int64), self.tokens.astype(np.int64)
         self.words = _unpack_words(words)
         self.learn = np.repeat(learn.astype(bool), self.sizes)
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -319,6 +319,7 @@ def _answer(hot: np.ndarray, totals: np.ndarray):
         gram = gram.astype(np.uint32)
         n = np.bincount(gram, counts, len(key))
         owner, follows = key // v, key % v
+        del key, counts
         last = mix64(words.view(np.uint64) + np.uint64(2))[contexts[:, -1]]
         spread, all_of = known(last)
         if level == 2:
