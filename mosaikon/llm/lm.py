@@ -39,7 +39,7 @@ from .trie import Trie, meaning, quantised
 #: How much weight the next shorter context has, in counts.
 MU2, MU3 = 32.0, 2.0
 #: Tokens and documents of a segment, and tokens a shard should have.
-SEGMENT, SEGMENT_DOCS, SHARD = 4_000_000, 1 << 16, 2_500_000
+SEGMENT, SEGMENT_DOCS, SHARD = 2_500_000, 1 << 16, 3_000_000
 #: A context is hot from this part of a shard, but never under one in MOST_HOT of all tokens.
 HOT, MOST_HOT = 4, 1_000_000
 #: One in how many documents tells which contexts are hot.
