@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import annotation, intake, multivariate, regions, spatial, spectra, statistics
+from .operators import annotation, intake, multivariate, neighbours, regions, spatial, spectra, statistics
 
 
 class Session:
@@ -189,7 +189,7 @@ STEPS = {
     "coloc_modules": (Session.modules, ("features",)), "region_correlation": (lambda s, masks: regions.region_correlation(s.labelled(masks)), ("masks", "features")),
     "pca": (Session.pca, ("features",)), "nmf": (Session.nmf, ("features",)), "plsda": (Session.plsda, ("masks", "features")),
     "classify_cv": (lambda s, masks, folds=5: multivariate.confusion(s.labelled(masks), folds), ("masks", "features")), "classify_map": (lambda s, masks: multivariate.classify(d := s.labelled(masks), multivariate.pls(d)), ("masks", "features")),
-    "embedding": (lambda s: multivariate.pca(s.matrix(), 2)[0], ("features",)), "annotate": (Session.annotate, ("lipids", "features")),
+    "embedding": (lambda s, method="neighbours", **k: neighbours.embedding(s.matrix(), **k) if method == "neighbours" else multivariate.pca(s.matrix(), 2)[0], ("features",)), "annotate": (Session.annotate, ("lipids", "features")),
 }
 
 
