@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import discard, scratch
@@ -45,3 +45,57 @@ def components(links: DataFrame) -> DataFrame:
     if found is None:
         return links.select(F.col("u").alias("node"), F.col("v").alias("component")).limit(0)
     return found
+
+
+def spanning_forest(edges: DataFrame) -> tuple[DataFrame | None, list[DataFrame]]:
+    """edges(u, v, w) -> (node, component), and written tables (w, a, b) of the edges that make up the maximum spanning forest.
+
+    w is anything that can be put in order; of equal ones the edge with the larger ends counts as more, so that the forest
+    is the only one.  A node with a negative id is a root: trees that have one never grow together, and a
+    component with a root bears its id; the others bear that of one of their nodes.  Every round each component without a root
+    takes its best edge; what those join becomes one, and of edges between the same two only the best stays.  All of it is
+    grouping with map-side combine and joins of written tables.  Nodes without edges don't appear, loops are harmless.
+    """
+    fresh = edges.where("u <> v").select("u", "v", "w", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    best = lambda df: df.groupBy(F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).agg(F.max(F.struct("w", "a", "b")).alias("e")).select(F.col("lo").alias("u"), F.col("hi").alias("v"), "e.*")
+    left, found, chosen = scratch(best(fresh.where("u >= 0 or v >= 0")), "edges"), None, []
+    while not left.isEmpty():
+        both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v"), "w", "a", "b"))
+        pick = both.where("u >= 0").groupBy("u").agg(F.max(F.struct("w", "a", "b", "v")).alias("e"))
+        pick = scratch(pick.select("u", F.col("e.v").alias("p"), "e.w", "e.a", "e.b"), "picks")
+        chosen.append(pick.select("w", "a", "b").distinct())
+        # two components may pick each other: the lesser stays
+        back = pick.select(F.col("u").alias("p"), F.col("p").alias("pp"))
+        up = scratch(pick.join(back, "p", "left").select(F.col("u").alias("node"), F.when((F.col("pp") == F.col("u")) & (F.col("u") < F.col("p")), F.col("u")).otherwise(F.col("p")).alias("parent")), "parents")
+        while True:
+            above = up.select(F.col("node").alias("parent"), F.col("parent").alias("top"))
+            further = scratch(up.join(above, "parent", "left").select("node", F.coalesce("top", "parent").alias("parent"), (F.col("top") != F.col("parent")).alias("moved")), "parents")
+            discard(up)
+            moved, up = not further.where("moved").isEmpty(), further
+            if not moved:
+                break
+        to = up.select("node", "parent")
+        at = lambda c, to=to: to.select(F.col("node").alias(c), F.col("parent").alias(f"{c}_to"))
+        before = left
+        moved = left.join(at("u"), "u", "left").join(at("v"), "v", "left").select(F.coalesce("u_to", "u").alias("u"), F.coalesce("v_to", "v").alias("v"), "w", "a", "b")
+        left = scratch(best(moved.where("u <> v and (u >= 0 or v >= 0)")), "edges")
+        discard(before)
+        if found is None:
+            found = scratch(to.select("node", F.col("parent").alias("component")), "members")
+        else:
+            older = found
+            found = scratch(older.join(to.select(F.col("node").alias("component"), "parent"), "component", "left").select("node", F.coalesce("parent", "component").alias("component")), "members")
+            discard(older)
+        discard(up)
+    discard(left)
+    return found, chosen
+
+
+def numbered(table: DataFrame) -> DataFrame:
+    """A written table with idx, whole numbers from 0 without gaps: counts of its partitions are added up, no row is moved."""
+    own = table.withColumns({"__p": F.spark_partition_id(), "__m": F.monotonically_increasing_id()})
+    own = scratch(own, "numbered")
+    low = F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    heads = own.groupBy("__p").agg(F.count("*").alias("n")).select("__p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    return own.join(heads, "__p").withColumn("idx", F.col("__before") + low).drop("__p", "__m", "__before")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import discard, scratch
+from .graph import numbered
 from .multivariate import scaled
 
 #: Points of a group compared with each other at the start, and how often points are grouped.
@@ -199,16 +200,6 @@ def memberships(graph: DataFrame) -> DataFrame:
     return one.select("pixel_id", "neighbour").join(pair, (F.col("a") == F.least("pixel_id", "neighbour")) & (F.col("b") == F.greatest("pixel_id", "neighbour"))).select("pixel_id", "neighbour", "w")
 
 
-def numbered(table: DataFrame) -> DataFrame:
-    """A written table with idx, whole numbers from 0 without gaps: counts of its partitions are added up, no row is moved."""
-    own = table.withColumns({"__p": F.spark_partition_id(), "__m": F.monotonically_increasing_id()})
-    own = scratch(own, "numbered")
-    low = F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
-    before = Window.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
-    heads = own.groupBy("__p").agg(F.count("*").alias("n")).select("__p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
-    return own.join(heads, "__p").withColumn("idx", F.col("__before") + low).drop("__p", "__m", "__before")
-
-
 def _steps(alpha: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

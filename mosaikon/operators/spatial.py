@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, numbered, spanning_forest
 
 
 def neighbours(pixels: DataFrame) -> DataFrame:
@@ -132,21 +132,22 @@ def detect_samples(pixels: DataFrame, tic: DataFrame, rel: float = 0.1, min_frac
 def chaos(values: DataFrame, pixels: DataFrame, levels: int = 30) -> DataFrame:
     """feature, chaos: one minus the mean number of islands over pixels, at rising levels; null under 4 pixels.
 
-    The levels of all features are parted together: an island's name holds its feature and level.
+    Islands above a level are the pixels above it less the edges above it of the largest spanning forest, an edge counting as
+    much as the lower of its pixels.  So one forest of all features gives the islands of all levels.
     """
     top = values.where("v > 0").groupBy("feature").agg(F.percentile("v", 0.99).alias("p99"), F.count("*").alias("nnz"))
-    scaled = values.join(F.broadcast(top), "feature").where("nnz >= 4").select("pixel_id", "feature", F.least(F.lit(1.0), F.col("v") / F.col("p99")).alias("s"))
-    cuts = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(k / (levels + 1)).alias("cut")) for k in range(1, levels + 1)]))
-    on = scaled.select("pixel_id", "feature", "s", cuts.alias("c")).where("s > c.cut").select("pixel_id", "feature", F.col("c.k").alias("k"))
-    e = neighbours(pixels)
-    a = on.join(e, on["pixel_id"] == e["a"]).select("feature", "k", "a", F.col("b").alias("pixel_id"))
-    met = a.join(on, ["feature", "k", "pixel_id"])
-    # one number for each pixel, feature and level, whatever their ranges and types
-    name = lambda p: F.xxhash64(F.col(p), "feature", "k")
-    found = components(met.select(name("a").alias("u"), name("pixel_id").alias("v")))
-    named = on.select("feature", name("pixel_id").alias("node")).join(found, "node", "left")
-    count = named.groupBy("feature").agg(F.count_if(F.col("component").isNull() | (F.col("component") == F.col("node"))).alias("parts"))
-    return top.join(count, "feature", "left").select("feature", F.when(F.col("nnz") >= 4, 1 - F.coalesce("parts", F.lit(0)) / (F.col("nnz") * levels)).alias("chaos"))
+    shares = values.join(top, "feature").where("nnz >= 4").select("pixel_id", "feature", F.least(F.lit(1.0), F.col("v") / F.col("p99")).alias("s"))
+    cuts = F.array(*[F.lit(k / (levels + 1)) for k in range(1, levels + 1)])
+    passed = lambda s: F.size(F.filter(cuts, lambda c: s > c))
+    nodes = numbered(shares.where(F.col("s") > 1 / (levels + 1)))
+    a = neighbours(pixels).join(nodes.select(F.col("pixel_id").alias("a"), "feature", F.col("idx").alias("u"), F.col("s").alias("s_a")), "a")
+    both = a.join(nodes.select(F.col("pixel_id").alias("b"), "feature", F.col("idx").alias("v"), F.col("s").alias("s_b")), ["feature", "b"])
+    _, chosen = spanning_forest(both.select("u", "v", F.struct(F.least("s_a", "s_b").alias("s"), "feature").alias("w")))
+    count = nodes.select("feature", passed(F.col("s")).alias("n"))
+    for edges in chosen:
+        count = count.unionByName(edges.select("w.feature", (-passed(F.col("w.s"))).alias("n")))
+    parts = count.groupBy("feature").agg(F.sum("n").alias("parts"))
+    return top.join(parts, "feature", "left").select("feature", F.when(F.col("nnz") >= 4, 1 - F.coalesce("parts", F.lit(0)) / (F.col("nnz") * levels)).alias("chaos"))
 
 
 def quality(scores: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mosaikon.operators import forest, neighbours
+from mosaikon.operators import cells, forest, graph, neighbours
 
 
 def points_of(spark, x):
@@ -175,3 +175,124 @@ def test_importance_finds_what_tells_regions_apart(spark):
 def test_importance_needs_two_regions(spark):
     with pytest.raises(ValueError):
         forest.region_importance(spark.createDataFrame([(1, [1.0, 2.0], 0), (2, [2.0, 1.0], 0)], "pixel_id long, x array<double>, label int"), 3, 2)
+
+
+def raster_of(spark, image):
+    return spark.createDataFrame([(r, c, float(v)) for (r, c), v in np.ndenumerate(image)], "row long, col long, v double")
+
+
+def back(df, shape, column="v"):
+    out = np.zeros(shape)
+    for r in df.collect():
+        out[r["row"], r["col"]] = r[column]
+    return out
+
+
+def disc(image, row, col, r):
+    y, x = np.ogrid[: image.shape[0], : image.shape[1]]
+    image[(y - row) ** 2 + (x - col) ** 2 <= r * r] = 255
+
+
+def test_distances_are_exact(spark):
+    rng = np.random.default_rng(5)
+    mask = (rng.random((23, 31)) < 0.93).astype(float)
+    zeros = np.argwhere(mask == 0)
+    want = np.array([[((zeros - (r, c)) ** 2).sum(1).min() for c in range(31)] for r in range(23)])
+    assert (back(cells.distances(raster_of(spark, mask)), mask.shape) == want).all()
+    assert np.isinf(back(cells.distances(raster_of(spark, np.ones((3, 4)))), (3, 4))).all()
+
+
+def plain_flood(height, markers):
+    """Edges from the highest pass down; two parts join unless both have a marker."""
+    rows, cols = height.shape
+    name = lambda r, c: r * cols + c
+    parent, mark, edges = list(range(rows * cols)), {name(r, c): m for (r, c), m in markers.items()}, []
+    for r in range(rows):
+        for c in range(cols):
+            for r2, c2 in ((r + 1, c), (r, c + 1)):
+                if r2 < rows and c2 < cols:
+                    edges.append((min(height[r, c], height[r2, c2]), max(height[r, c], height[r2, c2]), name(r, c), name(r2, c2)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    by_marker = {}
+    for k, m in mark.items():  # pixels of one marker are one from the start
+        parent[root(k)] = by_marker.setdefault(m, k)
+    has = {root(k): m for k, m in mark.items()}
+    for _, _, a, c in sorted(edges, reverse=True):
+        a, c = root(a), root(c)
+        if a != c and not (a in has and c in has):
+            parent[a] = c
+            if a in has:
+                has[c] = has.pop(a)
+    return {(r, c): has[root(name(r, c))] for r in range(rows) for c in range(cols) if root(name(r, c)) in has}
+
+
+@pytest.mark.parametrize("levels", [4, 1000])
+def test_watershed_is_a_plain_flood(spark, levels):
+    """On rasters with many equal heights, and with hardly any."""
+    rng = np.random.default_rng(levels)
+    height = rng.integers(0, levels, (14, 17)).astype(float)
+    markers = {(2, 3): 7, (2, 4): 7, (11, 12): 0, (5, 15): 3, (13, 0): 30}
+    pixels = spark.createDataFrame([(r * 17 + c, c, r, float(v)) for (r, c), v in np.ndenumerate(height)], "pixel_id long, x long, y long, v double")
+    own = spark.createDataFrame([(r * 17 + c, m) for (r, c), m in markers.items()], "pixel_id long, marker long")
+    got = {(r["pixel_id"] // 17, r["pixel_id"] % 17): r["marker"] for r in cells.watershed(pixels, own).collect()}
+    assert got == plain_flood(height, markers)
+
+
+def test_watershed_without_ways_or_markers(spark):
+    apart = spark.createDataFrame([(0, 0, 0, 1.0), (1, 5, 5, 2.0)], "pixel_id long, x long, y long, v double")
+    own = spark.createDataFrame([(1, 4)], "pixel_id long, marker long")
+    assert [tuple(r) for r in cells.watershed(apart, own).collect()] == [(1, 4)]
+    assert cells.watershed(apart, own.limit(0)).count() == 0
+
+
+def test_forest_is_the_largest(spark):
+    rng = np.random.default_rng(8)
+    edges = [(int(a), int(c), float(w)) for a, c, w in zip(rng.integers(0, 60, 150), rng.integers(0, 60, 150), rng.integers(0, 12, 150), strict=True)]
+    found, chosen = graph.spanning_forest(spark.createDataFrame(edges, "u long, v long, w double"))
+    parent = list(range(60))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    want = []
+    for w, a, c in sorted(((w, min(a, c), max(a, c)) for a, c, w in edges if a != c), reverse=True):
+        if root(a) != root(c):
+            parent[max(root(a), root(c))] = min(root(a), root(c))
+            want.append((w, a, c))
+    assert sorted(tuple(r) for t in chosen for r in t.collect()) == sorted(want)
+    got = {r["node"]: r["component"] for r in found.collect()}
+    least = {}
+    for k, c in sorted(got.items(), reverse=True):
+        assert root(k) == root(c)
+        least[c] = k
+    assert {k: least[c] for k, c in got.items()} == {k: root(k) for k in {x for a, c, _ in edges if a != c for x in (a, c)}}
+
+
+def test_cells_of_discs(spark):
+    image = np.zeros((60, 90))
+    for col in (15, 45, 75):
+        disc(image, 30, col, 8)
+    disc(image, 5, 5, 1)
+    found = cells.segment(raster_of(spark, image), 6.0)
+    table = sorted(tuple(r) for r in cells.cell_table(found).collect())
+    assert [t[0] for t in table] == [1, 2, 3]
+    assert all(abs(r - 30) < 0.5 and abs(c - want) < 0.5 and 0.7 < area / (np.pi * 64) < 1.3 for (_, r, c, area), want in zip(table, (15, 45, 75), strict=True))
+    touching = np.zeros((60, 100))
+    disc(touching, 30, 38, 12)
+    disc(touching, 30, 62, 12)
+    both = cells.segment(raster_of(spark, 255 - touching), 6.0, invert=True)
+    sides = back(both, touching.shape, "label")
+    assert sides.max() == 2 and len({*sides[30, 27:49]}) == 1 and len({*sides[30, 52:73]}) == 1 and sides[30, 38] != sides[30, 62]
+
+
+def test_cells_of_odd_images(spark):
+    assert cells.segment(spark.createDataFrame([], "row long, col long, v double")).count() == 0
+    assert cells.segment(raster_of(spark, np.full((5, 6), 3.0))).count() == 0
+    assert cells.segment(spark.createDataFrame([(0, 0, None), (0, 1, None)], "row long, col long, v double")).count() == 0
