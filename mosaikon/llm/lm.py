@@ -4,7 +4,7 @@
     p2(w | v)   = the same with c(v w), c(v), MU2 and p1
     p1(w)       = (c(w) + 0.1) / (N + 0.1 * (V + 1))
 
-Shares and rests are what the tries hold, in codes of fourteen bits.  A model of the whole corpus fits into no task, so it is
+Shares and rests are what the tries hold, in codes of twelve bits.  A model of the whole corpus fits into no task, so it is
 dealt out, and texts and model meet like this:
 
 1. Texts are cut into segments of some million tokens and written as word numbers, each segment with its own words.
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import mix64, scratch
-from .trie import Trie, meaning, quantised
+from .trie import Trie, distinct, meaning, places, quantised
 
 #: How much weight the next shorter context has, in counts.
 MU2, MU3 = 32.0, 2.0
@@ -46,8 +46,9 @@ HOT, MOST_HOT = 4, 1_000_000
 SAMPLED = 64
 #: The end of a text and what stands before its beginning; no word is empty or has white space.
 END, BEGIN = b"", b"\n"
-#: Bits by which words are told apart in shards; counts of words use the words.
-WORD_BITS = 48
+#: Bits by which words are told apart within a shard, which has a million or so however large the corpus: one in two
+#: million meets another there.  Counts of words use the words.
+WORD_BITS = 40
 
 _PART = "level int, shard int, segment long, blob binary"
 
@@ -303,10 +304,10 @@ def _answer(hot: np.ndarray, totals: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
         level = table["level"][0].as_py()
         parts = [unpack(blob) for blob in table["blob"].to_pylist()]
-        words = np.unique(np.concatenate([p[0] for p in parts]))
+        words = distinct(np.concatenate([p[0] for p in parts]))
         v, code, grams = len(words), [], []
         for hashes, gaps, sizes, follows, n in parts:
-            ids, c = np.searchsorted(words, hashes), np.cumsum(gaps, dtype=np.int64)
+            ids, c = places(words, hashes), np.cumsum(gaps, dtype=np.int64)
             code.append(ids[c] if level == 2 else ids[c % len(hashes)] * v + ids[c // len(hashes)])
             grams.append(ids[follows].astype(np.uint32))
         sizes, many = [len(p[2]) for p in parts], [len(p[3]) for p in parts]
@@ -335,7 +336,7 @@ def _answer(hot: np.ndarray, totals: np.ndarray):
             share2, rest2 = _lookup(middle[:, None], owner2, pair % v, n2, np.bincount(owner2, n2, len(middle)), MU2, v)
             share[near] += rest[owner[near]] * share2[which2]
             near = np.flatnonzero(~spread)
-            rest[near] *= rest2[np.searchsorted(middle, contexts[near, 1])]
+            rest[near] *= rest2[places(middle, contexts[near, 1])]
         cut = lambda a, lengths: np.split(a, np.cumsum(lengths)[:-1])
         blobs = [pack(a, b) for a, b in zip(cut(_codes(share)[gram], many), cut(_codes(rest)[which], sizes), strict=True)]
         return pa.table({"level": table["level"], "shard": table["shard"], "segment": table["segment"], "blob": pa.array(blobs, pa.binary())})

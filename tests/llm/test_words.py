@@ -201,7 +201,7 @@ def test_scores_of_odd_tables(spark):
     docs = spark.createDataFrame([(held, "only a held-out text", 1.0, 2)], "doc_id long, text string, score double, `n.b` int")
     ((_, out, n, known, tokens, base, score),) = map(tuple, lm.scores(docs).collect())
     assert (out, n, known, tokens) == (True, 5, 0, 0)
-    assert abs(base) < 1e-9 and abs(score) < 1e-5  # one slot for all that is unknown
+    assert abs(base) < 1e-9 and abs(score) < 1e-4  # one slot for all that is unknown
 
 
 def test_sequences_and_tries_give_back_what_was_put_in():
@@ -219,5 +219,5 @@ def test_sequences_and_tries_give_back_what_was_put_in():
         seen = np.unique(owner[held])
         t = trie.Trie(contexts[seen], grams[held, -1], np.searchsorted(seen, owner[held]), share[held], rest[seen], 1000)
         s, r = t.find(contexts, grams[:, -1], owner, 777)
-        assert np.allclose(trie.meaning(s), np.where(held, share, 0), rtol=2e-3)
-        assert np.allclose(trie.meaning(r), np.where(np.isin(np.arange(len(contexts)), seen), rest, 0), rtol=2e-3)
+        assert np.allclose(trie.meaning(s), np.where(held, share, 0), rtol=7e-3)
+        assert np.allclose(trie.meaning(r), np.where(np.isin(np.arange(len(contexts)), seen), rest, 0), rtol=7e-3)
