@@ -45,12 +45,12 @@ _SPACE, _NAME, _STOP = re.compile(r"\s+"), re.compile(r"[A-Z]?[a-z]+|[A-Z]+"), r
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "chars", "linked", "stops", "heads", "place", "prose")
+    __slots__ = ("tag", "names", "parent", "chars", "linked", "stops", "heads", "nested", "place", "prose")
 
     def __init__(self, tag: str, names: tuple, parent: int):
         self.tag, self.names, self.parent = tag, names, parent
         self.chars = self.linked = self.stops = self.prose = 0
-        self.heads, self.place = tag in HEADS, ""
+        self.heads, self.nested, self.place = tag in HEADS, False, ""
 
 
 class Tree(HTMLParser):
@@ -130,14 +130,24 @@ class Tree(HTMLParser):
             if node.parent >= 0:
                 up = nodes[node.parent]
                 up.chars, up.linked, up.stops, up.prose, up.heads = up.chars + node.chars, up.linked + node.linked, up.stops, up.prose + node.prose, up.heads or node.heads
-        # the article or main element that has most of the page's prose
-        most = [n.tag in ("article", "main") and 5 * n.prose >= 2 * nodes[0].prose for n in nodes]
+        # the article or main element that has most of the page's prose, readers' comments left aside: blocks that are
+        # named so, and articles in an article
+        inner, aside = [False] * len(nodes), [False] * len(nodes)
+        prose = nodes[0].prose
+        for k, node in enumerate(nodes[1:], 1):
+            up = node.parent
+            inner[k] = inner[up] or nodes[up].tag == "article"
+            node.nested = inner[k] and node.tag == "article"
+            aside[k] = aside[up] or node.nested or not COMMENT.isdisjoint(node.names)
+            if aside[k] and not aside[up]:
+                prose -= node.prose
+        most = [n.tag in ("article", "main") and not a and 5 * n.prose >= 2 * prose for n, a in zip(nodes, aside, strict=True)]
         holds = [False] * len(nodes)
         for k in range(len(nodes) - 1, 0, -1):
             holds[nodes[k].parent] |= holds[k] or most[k]
         for k, node in enumerate(nodes):
             above = nodes[node.parent].place if k else ""
-            node.place = "in" if above == "in" or (most[k] and not holds[k]) else "holds" if holds[k] else "out" if holds[0] else "none"
+            node.place = "in" if above in ("in", "chosen") else "chosen" if most[k] and not holds[k] else "holds" if holds[k] else "out" if holds[0] else "none"
         return tree
 
 
@@ -154,6 +164,8 @@ def features(tree: Tree) -> list[list[str]]:
             f.append(f"{at} prose")
         if node.heads:
             f.append(f"{at} heads {node.tag}" if node.tag in ("header", "footer", "nav", "aside") else "heads")
+        if node.nested:
+            f.append(f"{at} nested")
         f += ["name " + w for w in node.names]
         found.append(f)
     return found
@@ -232,6 +244,7 @@ NOISE = {
     "ad": "ad ads advert advertisement sponsor sponsored promo promotion adsense commercial adslot", "notice": "cookie cookies consent notice gdpr popup modal overlay newsletter subscribe signup paywall",
     "social": "share social sharing follow buttons toolbar", "comment": "comment comments respond disqus discussion replies reply",
 }
+COMMENT = frozenset(NOISE["comment"].split())
 MAIN = "content article post entry main body story prose copy maincontent".split()
 NEUTRAL = "archive section block row col grid inner outer box panel item card wrap wrapper container page area view text more left right one two".split()
 
@@ -266,12 +279,13 @@ def labelled_pages(n: int = 700, seed: int = 5) -> list[str]:
         name = f' {pick("class", "class", "id", "role")}="{pick(*NOISE[kind].split())}"'
         if plain and rng.random() < 0.6:
             name = named(*NOISE[kind].split())
-        item = lambda: f"<{(t := pick('div', 'article', 'p'))}>{words(1, 3)}: {prose(5, 60)}</{t}>"
+        item = lambda: f"<{(t := pick('div', 'article', 'p'))}{pick('', '', ' class=comment')}>{words(1, 3)}: {pick(prose(5, 60), f'<p>{prose(5, 60)}</p>')}</{t}>"
+        thread = lambda: f"<{(t := pick('div', 'article', 'article'))}{pick('', ' class=comment')}><p>{words(1, 3)}</p><p>{prose(60, 150)}</p></{t}>"
         inner = {
             "menu": lambda: links(rng.randrange(3, 9)) if tag == "ul" else f"<ul>{links(rng.randrange(3, 9))}</ul>", "head": lambda: pick(f"<h1>{words(1, 4)}</h1><p>{words(2, 8)}</p>", f"{link(1, 3)}", f"<p>{words(1, 6)}</p>", f"<nav><ul>{links(4)}</ul></nav>"),
             "foot": lambda: pick(f"{pick('&copy; ', '')}{words(2, 8)}", f"<p>&copy; {prose(5, 40)}</p>", f"<ul>{links(4)}</ul>"), "side": lambda: f"<h3>{words(1, 4)}</h3>" + pick(f"<ul>{links(4)}</ul>", f"<p>{prose(5, 40)}</p>", f"<ul>{links(4)}</ul><p>{prose(3, 25)}</p>", f"<article><h4>{link(2, 5)}</h4><p>{words(4, 12)}</p></article>"),
             "ad": lambda: pick(words(3, 20), f"<p>{prose(3, 40)}</p>", f'<a href="/x">{words(2, 9)}</a>'), "notice": lambda: pick(f"<p>{prose(5, 35)}</p>", prose(5, 25) + " <button>OK</button>"),
-            "social": lambda: links(3) if tag == "ul" else f'<span>{words(1, 4)}</span><a href="/s">{words(1, 2)}</a>', "comment": lambda: "".join(item() for _ in range(rng.randrange(1, 5))),
+            "social": lambda: links(3) if tag == "ul" else f'<span>{words(1, 4)}</span><a href="/s">{words(1, 2)}</a>', "comment": lambda: "".join(item() for _ in range(rng.randrange(1, 5))) if rng.random() < 0.7 else "".join(thread() for _ in range(rng.randrange(1, 9))),
         }[kind]()
         return f"<{tag}{name}{none}>{inner}</{tag}>"
 
@@ -315,10 +329,14 @@ def labelled_pages(n: int = 700, seed: int = 5) -> list[str]:
         tag = pick("article", "article", "main", "div", "section", "div")
         if tag in ("div", "section"):  # nothing but its text tells it from what is around
             inside += [f"<p>{inline(prose(40, 120))}</p>" for _ in range(2)]
+        if tag in ("article", "main") and rng.random() < 0.2:  # hardly any text
+            inside = [pick(lead, ""), f"<p>{pick(words(1, 2), words(1, 4), prose(3, 12))}</p>"]
         for _ in range(rng.randrange(0, 3)):
             inside.insert(rng.randrange(1, len(inside) + 1), pick(part("ad", True), part("social", True), part("side", True), part("menu", True), form()))
         if rng.random() < 0.3:
             inside.append(part("comment", True))
+        if tag == "article" and rng.random() < 0.1:  # comments that only their place tells
+            inside += [f"<article{none}><p>{words(1, 3)}</p><p>{prose(5, 120)}</p></article>" for _ in range(rng.randrange(1, 4))]
         if rng.random() < 0.15:
             inside.append(part("foot", True))
         body = f"<{tag}{named(*MAIN)}>{''.join(inside)}</{tag}>"

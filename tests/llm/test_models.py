@@ -338,6 +338,16 @@ PAGES = [
     ("<article><p><b>Open bold<br><p>Then a second block</p></article>", "Open bold\n\nThen a second block"),
     (f"<article><h1>T</h1><p>{P}</p><ul><li><a href=a>one</a></li></ul><p><a href=b>Only a link</a></p></article><div class='related'><a href=z>{P}</a></div>", f"T\n\n{P}\n\none\n\nOnly a link"),
     (f"<body><table><tr><td><ul><li><a href=1>Home</a><li><a href=2>Shop</a></ul></td><td><p>{P}</p><p>{P}</p></td></tr></table></body>", f"{P}\n\n{P}"),
+    # readers' comments longer than the article, in articles of their own
+    (f"<article><h1>Headline</h1><p>{P[:116]}</p></article><section class='comments'><article class='comment'><p>{P * 5}</p></article></section>", f"Headline\n\n{P[:116]}"),
+    (f"<article><h1>Headline</h1><p>{P[:116]}</p></article><section class='comments'><div class='comment'><p>{P * 5}</p></div></section>", f"Headline\n\n{P[:116]}"),
+    (f"<body><article><h1>Headline</h1><p>{P}</p><section id='comments'><article><p>{P * 3}</p></article><article><p>{P * 4}</p></article></section></article></body>", f"Headline\n\n{P}"),
+    (f"<body><article><h1>Headline</h1><p>{P}</p><article><p>Ann</p><p>{P * 3}</p></article></article></body>", f"Headline\n\n{P}"),
+    (f"<main><article><p>{P}</p></article><div id='disqus'><article><p>{P * 6}</p></article></div></main>", P),
+    (f"<body><main><h1>T</h1><p>{P}</p></main><ol class='replies'><li><article><p>{P * 3}</p></article></li></ol></body>", f"T\n\n{P}"),
+    ("<body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav><article><p>Hi</p></article></body>", "Hi"),
+    ("<body><header><a href=/>Site</a></header><article><p>Yes.</p></article><footer>(c) me</footer></body>", "Yes."),
+    ("<body><nav><a href=/a>Home</a></nav><main><p>Word</p></main></body>", "Word"),
 ]
 
 
