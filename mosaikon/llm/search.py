@@ -122,8 +122,8 @@ def index(docs: DataFrame, documents: int, total: int, terms: set[bytes] | None
 
 def measure(docs: DataFrame) -> tuple[int, int]:
     """How many documents have a term, and how many terms all have."""
-    n = F.regexp_count("text", F.lit(TERM))
-    got = docs.agg(F.count_if(n > 0).alias("documents"), F.coalesce(F.sum(n), F.lit(0)).alias("total")).first()
+    counts = docs.select(F.regexp_count("text", F.lit(TERM)).alias("n"))
+    got = counts.agg(F.count_if(F.col("n") > 0).alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
     return got["documents"], got["total"]
 
 
