@@ -8,10 +8,10 @@ with probability RECALL; 0.95 and more share one almost surely.
 Vectors themselves don't travel to their buckets.  What does is an id and a sketch of 128 signs of other projections:
 
 1. in each bucket, sketches tell which members may be near one (a pair of cosine 0.9 passes all but surely);
-2. components of such pairs are groups of vectors that are to be compared; a vector is fetched once for its group;
-3. in a component of more than PART vectors only those of one bucket are compared, bucket by bucket.
+2. components of such pairs tell how vectors travel: to one task for a component of at most PART, else bucket by bucket.
 
-Cosines in double precision decide.  Large buckets and components are dealt out as pairs of parts.
+Either way the pairs are the same: those that share a bucket and whose sketches are near, each counted once.  Cosines in
+double precision decide.  Large buckets are dealt out as pairs of parts.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ COSINE, WIDTH, SEED = 0.9, 2.0, 11
 RECALL, CROWD = 0.975, 64
 #: Signs of 128 that may differ: 36 is 4.5 deviations above the mean of a pair at cosine 0.9, and 4.9 below that of a random one.
 SIGNS = 36
-#: Members of a bucket or a component that are compared in one task: more are dealt out as pairs of such parts.
+#: Members of a bucket that are compared in one task: more are dealt out as pairs of such parts.
+#: A component of at most as many is fetched whole, which changes what travels and not which pairs are found.
 PART = 2048
 #: Bucket sizes are estimated from one vector in so many.
 SAMPLED = 64
@@ -142,7 +143,8 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _compare(kind: str, size: tuple[int, int]):
     """Sorted by group and parts: (u, links) counts links by cosine, (u, v) are links that connect as much.
 
-    A group is a component, or one bucket of a large component; there a pair counts in the first table in which it meets.
+    A group is a component, or one bucket of a large component.  A pair counts if it shares a bucket and its sketches are
+    near, wherever it is met; in a bucket of a large component only if that is the first of its buckets.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,17 +152,18 @@ def _compare(kind: str, size: tuple[int, int]):
             for at, own in _by_size(t):
                 whole, g, pa_, pb, side, rep, mult = (t.column(c).to_numpy()[at] for c in ("whole", "g", "part_a", "part_b", "side", "rep", "mult"))
                 x = _unit(own, kind)
-                h = None if whole.all() else _buckets(x, size).view(np.int64)
+                h, signs = _buckets(x, size).view(np.int64), _signs(x)
                 links, us, vs = np.zeros(len(rep), np.int64), [], []
 
                 def near(i, j):
                     return (np.einsum("ij,ij->i", x[i], x[j]) if not isinstance(i, slice) else x[i] @ x[j].T) >= COSINE  # noqa: B023
 
                 for i, j in _pairs(*run_starts(whole, g, pa_, pb), side, near):
-                    if h is not None:
-                        first = np.argmax(h[i] == h[j], 1)
-                        fine = whole[i] | (h[i, first] == g[i])
-                        i, j = i[fine], j[fine]
+                    fine = np.bitwise_count(signs[i] ^ signs[j]).sum(1, dtype=int) <= SIGNS
+                    i, j = i[fine], j[fine]
+                    same = h[i] == h[j]
+                    fine = same.any(1) & (whole[i] | (h[i, same.argmax(1)] == g[i]))
+                    i, j = i[fine], j[fine]
                     np.add.at(links, i, mult[j])
                     np.add.at(links, j, mult[i])
                     keep = forest(i, j, len(rep))
@@ -200,7 +203,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
 
     good = scratch(v.where(F.coalesce(finite, F.lit(False))).select("vec_id", "embedding").mapInArrow(pack, "vec_id long, raw binary").withColumn("k1", F.xxhash64("raw")).withColumn("k2", F.xxhash64(F.lit(7), "raw")), "vectors")
     distinct = scratch(
-        good.groupBy("k1", "k2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("mult"), F.min("raw").alias("raw")).withColumn("rep", F.xxhash64("k1", "k2")), "distinct-vectors"
+        good.groupBy("k1", "k2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("mult"), F.min("raw").alias("raw")).withColumn("rep", F.monotonically_increasing_id()), "distinct-vectors"
     )
     size = tables(distinct.count())
     hashed = lambda df: df.select("rep", "raw").mapInArrow(_hash(kind, size), "bucket long, rep long, s1 long, s2 long")
@@ -218,7 +221,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     links = scratch(fetched.mapInArrow(_compare(kind, size), "u long, links long, v long"), "vector-links")
     found = components(links.where("v is not null").select("u", "v"))
     counts = links.where("v is null").groupBy("u").agg(F.sum("links").alias("links"))
-    # components are of hashes of vectors: each takes the least vec_id in it
+    # components are of numbers of distinct vectors: each takes the least vec_id in it
     classes = scratch(
         distinct.select("k1", "k2", "rep", "vec_id", "mult").join(counts, distinct["rep"] == counts["u"], "left").join(found, distinct["rep"] == found["node"], "left")
         .select("k1", "k2", "vec_id", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("class")),

@@ -222,6 +222,23 @@ def test_hot_buckets_are_dealt_in_parts(spark, monkeypatch):
     assert {r["n_links"] for r in got} == {299}
 
 
+def test_links_do_not_depend_on_how_vectors_travel(spark, monkeypatch):
+    """One component of 600 vectors, whole in a task and bucket by bucket: a row gives the same."""
+    rng = np.random.default_rng(8)
+    centre = unit(rng, 1, 24)[0]
+    rows = [(k, (centre + rng.normal(scale=0.06 + 0.03 * (k % 3), size=24)).tolist()) for k in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = np.array([r for _, r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true = (x @ x.T >= 0.9).sum() - len(x)
+    found = []
+    for part in (2048, 100):
+        monkeypatch.setattr(vectors, "PART", part)
+        found.append(sorted(tuple(r) for r in vectors.near_vectors(df).collect()))
+    assert found[0] == found[1]
+    assert 0.97 * true <= sum(r[1] for r in found[0]) < true
+
+
 @pytest.mark.parametrize("dim", [16, 64, 256, 768])
 def test_recall_of_buckets(dim):
     """Pairs of one cosine exactly: how many share a bucket and pass by their signs."""
