@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WHITE_CHARS, ascii_lower, scratch
+from .shared import WHITE_CHARS, ascii_lower, named, scratch, unused
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> DataFrame:
@@ -15,10 +15,11 @@ def line_dedup(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> DataF
     min_chars code points found in min_docs documents lose their lines except in the smallest doc_id holding them.
     A null or empty text is one empty line.  Rows that repeat a doc_id are one document to the count (for min_docs
     above 2, each row counts) and keep the same lines.  A null doc_id counts as the largest.  Columns of the input
-    stay as they are, but for those named n_lines, n_dropped and kept_text, which are replaced.
+    stay as they are, whatever their names, but for n_lines, n_dropped and kept_text (in any case), which are replaced.
     """
-    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
-    docs = docs.select(*own)
+    own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "kept_text")]
+    docs = docs.select(*named(*own))
+    d, v, flagged, lost = unused(docs, "__doc", "__version", "__flags", "__gone")
     text = F.coalesce("text", F.lit(""))
     doc, key = F.coalesce("doc_id", F.lit((1 << 63) - 1)), F.col("key")
     # btrim, not trim(): it takes the characters to strip
@@ -43,14 +44,14 @@ def line_dedup(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> DataF
         F.transform("gone", lambda at, i: F.concat(F.array_repeat(F.lit(False), at - before(i) - 1), F.array(F.lit(True))))
     )
     dropped = dropped.select("doc", "version", flags.alias("flags"), F.size("gone").alias("gone"))
-    joined = docs.withColumns({"__doc": doc, "__version": F.xxhash64(text)}).join(
-        dropped.select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), F.col("flags").alias("__flags"), F.col("gone").alias("__gone")),
-        ["__doc", "__version"], "left",
+    joined = docs.withColumns({d: doc, v: F.xxhash64(text)}).join(
+        dropped.select(F.col("doc").alias(d), F.col("version").alias(v), F.col("flags").alias(flagged), F.col("gone").alias(lost)),
+        [d, v], "left",
     )
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.coalesce(F.get("__flags", i), F.lit(False))), "\n")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.coalesce(F.get(flagged, i), F.lit(False))), "\n")
     return joined.select(
-        *own,
+        *named(*own),
         (F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
-        F.coalesce("__gone", F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("__gone").isNull(), text).otherwise(kept).alias("kept_text"),
+        F.coalesce(lost, F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col(lost).isNull(), text).otherwise(kept).alias("kept_text"),
     )

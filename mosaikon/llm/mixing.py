@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WHITE, draw, scratch
+from .shared import WHITE, draw, named, scratch, unused
 
 #: Labelled documents of each domain that the classifier learns from, the hash cells of its words, smoothing.
 SAMPLE, CELLS, SMOOTH = 1000, 1 << 16, 0.5
@@ -144,10 +144,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, label: str = "
     on where a row is.  A null doc_id is one like any other; null and empty texts come as often as their rate says.
     Columns stay as they are, whatever their names.  An empty table gives none.
     """
-    rates = mixing_rates(docs, weights, label).select(F.col("doc_id").alias("__doc"), F.col("version").alias("__version"), F.col("rate").alias("__rate"))
+    doc, version, rate, own, copy = unused(docs, "__doc", "__version", "__rate", "__own", "__copy")
+    rates = mixing_rates(docs, weights, label).select(F.col("doc_id").alias(doc), F.col("version").alias(version), F.col("rate").alias(rate))
     chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    own = docs.columns
-    here = docs.withColumn("__own", F.xxhash64(F.coalesce("text", F.lit(""))))
-    met = here.join(rates, here["doc_id"].eqNullSafe(rates["__doc"]) & (here["__own"] == rates["__version"]))
-    times = F.floor(F.col("__rate") + chance).cast("int")
-    return met.where(times > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), times))).select(*[docs[c] for c in own])
+    here = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
+    met = here.join(rates, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(version)))
+    times = F.floor(F.col(rate) + chance).cast("int")
+    return met.where(times > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*named(*docs.columns))

@@ -9,7 +9,7 @@ import xxhash
 from compare import same
 from pyspark.sql import functions as F
 
-from mosaikon.llm import exact, lines, oracle, queries, simhash, substrings, vectors
+from mosaikon.llm import exact, lines, mixing, oracle, queries, simhash, substrings, vectors
 from mosaikon.operators import graph as components
 
 WS = " \t\n\x0b\x0c\r"
@@ -279,6 +279,19 @@ def test_extra_columns_and_repeated_rows(spark):
     assert substrings.substring_dedup(docs).count() == 4
 
 
+def test_columns_of_any_name(spark):
+    """Names that the operators use within, names with dots, and names in other cases."""
+    extra = ["__doc", "__version", "__flags", "__gone", "__own", "__rate", "__COPY", "a.b", "N_LINES"]
+    rows = [(k, t, "en", *range(10 * k, 10 * k + len(extra))) for k, t in ((1, "a line of some length\nother"), (2, "a line of some length"), (3, None))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"`{c}` int" for c in extra))
+    got = lines.line_dedup(docs)
+    assert got.columns == [*docs.columns[:-1], "n_lines", "n_dropped", "kept_text"]
+    assert sorted(tuple(r) for r in got.collect()) == [(*rows[0][:-1], 2, 0, rows[0][1]), (*rows[1][:-1], 1, 1, ""), (*rows[2][:-1], 1, 0, "")]
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    assert {tuple(r) for r in mixed.collect()} <= set(rows)
+
+
 @pytest.mark.parametrize("name", sorted(oracle.ORACLE))
 def test_matches_sql(spark, sf, name):
     same(queries.QUERIES[name](spark, sf), oracle.ORACLE[name], sf)
