@@ -1,12 +1,15 @@
-"""Running totals over a whole table in the order of a number, without one task that sorts it all."""
+"""Running totals in the order of a number, over a whole table or by key, without one task that sorts it all."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import scratch
+
 #: Pieces to each doubling of a value.
 FINE = 1024
 
@@ -40,3 +43,54 @@ def cumulate(blocks: DataFrame, by: str, columns: list[str], descending: bool =
     each = own.withColumns({c: how(c).over(inside) for c in columns}).join(heads, "__piece")
     both = (lambda c: F.coalesce(F.col(f"__before_{c}"), F.lit(0)) + F.col(c)) if how is F.sum else (lambda c: F.least(f"__before_{c}", c))
     return each.select(*[both(c).alias(c) if c in columns else F.col(c) for c in blocks.columns])
+
+
+#: Rows of one key that one task puts in order.
+PIECE_ROWS = 1 << 20
+#: Parts that the rows of one key are cut into at most.
+PARTS = 1024
+
+
+def beside(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """left joined to right on keys, where null equals null."""
+    named = right.withColumnsRenamed({k: f"__of_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys])
+    return left.join(named, same, how).drop(*[f"__of_{k}" for k in keys])
+
+
+def cuts(blocks: DataFrame, keys: list[str], by: str) -> DataFrame | None:
+    """keys, __cuts of the keys with more than PIECE_ROWS rows: rising values that part a key's rows about evenly.
+
+    None where no key has that many.  The quantiles are a sketch that combines before the shuffle; they are written down,
+    as a second reading might give others.
+    """
+    sizes = blocks.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > PIECE_ROWS)
+    most = sizes.agg(F.max("__n").alias("n")).first()["n"]
+    if most is None:
+        return None
+    k = min(PARTS, -(-most // PIECE_ROWS))
+    own = beside(blocks.select(*keys, by), sizes.select(*keys), keys, "left_semi")
+    at = F.percentile_approx(F.col(by).cast("double"), [i / k for i in range(1, k)], 16 * k)
+    return scratch(own.groupBy(*keys).agg(at.alias("__cuts")), "cuts")
+
+
+def cumulate_by(blocks: DataFrame, keys: list[str], by: str, columns: list[str], descending: bool = False) -> DataFrame:
+    """blocks, one row for each key and value of by, with each column's sum over the rows of its key up to its own.
+
+    A key with many rows is cut at quantiles of its own values, so that near values part too; each part is put in order by
+    itself and what the parts before it come to is joined on.  blocks is read several times: give a written table.
+    Null is below and NaN above all other values, as in Spark's own order; a null key is a key.
+    """
+    order = F.desc if descending else F.asc
+    cut = cuts(blocks, keys, by)
+    if cut is None:
+        upto = Window.partitionBy(*keys).orderBy(order(by)).rowsBetween(Window.unboundedPreceding, 0)
+        return blocks.withColumns({c: F.sum(c).over(upto) for c in columns})
+    below = F.size(F.filter("__cuts", lambda c: c < F.col(by)))
+    own = beside(blocks, cut, keys).withColumn("__part", F.when(F.col("__cuts").isNotNull(), below).otherwise(0)).drop("__cuts")
+    before = Window.partitionBy(*keys).orderBy(order("__part")).rowsBetween(Window.unboundedPreceding, -1)  # PARTS rows a key at most
+    whole = own.groupBy(*keys, "__part").agg(*[F.sum(c).alias(c) for c in columns])
+    heads = whole.select(*keys, "__part", *[F.sum(c).over(before).alias(f"__before_{c}") for c in columns])
+    inside = Window.partitionBy(*keys, "__part").orderBy(order(by)).rowsBetween(Window.unboundedPreceding, 0)
+    each = beside(own.withColumns({c: F.sum(c).over(inside) for c in columns}), heads, [*keys, "__part"])
+    return each.select(*[(F.coalesce(F.col(f"__before_{c}"), F.lit(0)) + F.col(c)).alias(c) if c in columns else F.col(c) for c in blocks.columns])

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import scratch
 from . import statistics as st
 
 
@@ -18,10 +19,8 @@ def one_vs_rest(dense: DataFrame, min_prevalence: float = 0.5) -> DataFrame:
     """
     kept = dense.where("label >= 0")
     tau = st.fold_floor(kept)
-    by = kept.groupBy("feature", "v", "label").agg(F.count("*").alias("c"))
-    whole = by.groupBy("feature", "v").agg(F.sum("c").alias("t"))
-    upto = F.sum("t").over(Window.partitionBy("feature").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    ranks = whole.select("feature", "v", (upto - (F.col("t") - 1) / 2).alias("rank"))
+    by = scratch(kept.groupBy("feature", "v", "label").agg(F.count("*").alias("c")), "counts")
+    ranks = st.with_ranks(by.groupBy("feature", "v").agg(F.sum("c").alias("t")), ["feature"]).drop("t")
     sums = by.join(ranks, ["feature", "v"]).join(F.broadcast(tau)).groupBy("feature", "label").agg(
         F.sum("c").alias("n_in"), F.sum(F.col("c") * F.col("rank")).alias("r"), F.sum(F.col("c") * F.col("v")).alias("s"), F.sum(F.when(F.col("v") > F.col("tau"), F.col("c")).otherwise(0)).alias("up")
     )

@@ -7,7 +7,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import scratch
 from .graph import components, numbered, spanning_forest
+from .ordered import beside, cumulate_by
 
 
 def neighbours(pixels: DataFrame) -> DataFrame:
@@ -41,11 +43,13 @@ def frequency(values: DataFrame, share: float = 0.05) -> DataFrame:
 
 def hotspot(values: DataFrame, top: float = 0.01) -> DataFrame:
     """feature, hotspot: the part of the signal in the brightest share of pixels."""
-    w = Window.partitionBy("feature")
-    ranked = values.select("feature", "v", F.row_number().over(w.orderBy(F.desc("v"))).alias("r"), F.count("*").over(w).alias("n"))
-    k = F.least(F.col("n"), F.greatest(F.lit(1), F.ceil(F.col("n") * top)))
-    total = F.sum("v")
-    return ranked.groupBy("feature").agg(F.when(total > 0, F.sum(F.when(F.col("r") <= k, F.col("v")).otherwise(0.0)) / total).otherwise(0.0).alias("hotspot"))
+    counts = scratch(values.groupBy("feature", "v").agg(F.count("*").alias("t")), "blocks")
+    n = counts.groupBy("feature").agg(F.sum("t").alias("n"))
+    upto = beside(cumulate_by(counts.withColumn("r", F.col("t")), ["feature"], "v", ["r"], descending=True), n, ["feature"])
+    k = F.greatest(F.lit(1), F.ceil(F.col("n") * top))
+    used = F.greatest(F.lit(0), F.least(F.col("t"), k - F.col("r") + F.col("t")))  # of equal values as many as the share holds
+    total = F.sum(F.col("v") * F.col("t"))
+    return upto.groupBy("feature").agg(F.when(total > 0, F.sum(F.when(used > 0, F.col("v") * used).otherwise(0.0)) / total).otherwise(0.0).alias("hotspot"))
 
 
 def threshold_mask(values: DataFrame, cut: float, percentile: bool = True) -> DataFrame:

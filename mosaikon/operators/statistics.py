@@ -1,7 +1,7 @@
 """Tests between groups, per feature: ranks, two and more groups, false discovery, receiver curves.
 
 Values come as (feature, grp, v).  Rank statistics work on counts of equal values: those combine before the shuffle
-on (feature, v), and only distinct values are put in order.
+on (feature, v), are written down once, and only distinct values are put in order, those of a large feature in parts.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import special
 from ..storage import scratch
-from .ordered import cumulate
+from .ordered import beside, cumulate, cumulate_by
 
 
 def fold_floor(values: DataFrame, v: str = "v") -> DataFrame:
@@ -28,9 +28,14 @@ def log2_fold(a: Column, b: Column, tau: Column) -> Column:
 
 def tie_blocks(values: DataFrame, groups: Column, keys: list[str]) -> DataFrame:
     """keys, v, n_<group> counts and the average rank of each block of equal values."""
-    counts = values.groupBy(*keys, "v").agg(F.count("*").alias("t"), F.sum(groups.cast("long")).alias("in_b"))
-    upto = F.sum("t").over(Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    return counts.withColumn("rank", upto - (F.col("t") - 1) / 2)
+    counts = scratch(values.groupBy(*keys, "v").agg(F.count("*").alias("t"), F.sum(groups.cast("long")).alias("in_b")), "blocks")
+    return with_ranks(counts, keys)
+
+
+def with_ranks(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """counts(keys, v, t), a written table, with the average rank of each block of t equal values."""
+    upto = cumulate_by(counts.withColumn("rank", F.col("t")), keys, "v", ["rank"])
+    return upto.withColumn("rank", F.col("rank") - (F.col("t") - 1) / 2)
 
 
 def rank_auc(values: DataFrame, keys: list[str] | None = None, b: str = "B") -> DataFrame:
@@ -158,11 +163,8 @@ def _bh_wide(df: DataFrame, p: str, q: str) -> DataFrame:
 def kruskal(values: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """keys, h (corrected for ties), df, top_group (largest mean; first by name of equal ones)."""
     keys = keys or ["feature"]
-    counts = values.groupBy(*keys, "v", "grp").agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys).orderBy("v")
-    blocks = counts.groupBy(*keys, "v").agg(F.sum("c").alias("t"))
-    upto = F.sum("t").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    blocks = blocks.withColumn("rank", upto - (F.col("t") - 1) / 2)
+    counts = scratch(values.groupBy(*keys, "v", "grp").agg(F.count("*").alias("c")), "counts")
+    blocks = with_ranks(counts.groupBy(*keys, "v").agg(F.sum("c").alias("t")), keys)
     t = F.col("t").cast("double")
     whole = blocks.groupBy(*keys).agg(F.sum("t").alias("n"), F.sum(t * t * t - t).alias("ties"))
     ranked = counts.join(blocks, [*keys, "v"]).groupBy(*keys, "grp").agg(F.sum(F.col("rank") * F.col("c")).alias("r"), F.sum("c").alias("m"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"))
@@ -185,12 +187,16 @@ def anova(values: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def roc_points(values: DataFrame, keys: list[str] | None = None, b: str = "B") -> DataFrame:
-    """keys, score, fpr, tpr: one point for each distinct score from the highest down (the origin is left out)."""
+    """keys, score, fpr, tpr: one point for each distinct score from the highest down (the origin is left out).
+
+    The rate of a group without values is null.
+    """
     keys = keys or ["feature"]
-    counts = values.groupBy(*keys, "v").agg(F.sum((F.col("grp") == b).cast("long")).alias("p"), F.sum((F.col("grp") != b).cast("long")).alias("m"))
-    w = Window.partitionBy(*keys)
-    down = w.orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select(*keys, F.col("v").alias("score"), (F.sum("m").over(down) / F.sum("m").over(w)).alias("fpr"), (F.sum("p").over(down) / F.sum("p").over(w)).alias("tpr"))
+    hit = (F.col("grp") == b).cast("long")
+    counts = scratch(values.groupBy(*keys, "v").agg(F.sum(hit).alias("p"), F.sum(1 - hit).alias("m")), "scores")
+    whole = counts.groupBy(*keys).agg(F.sum("p").alias("all_p"), F.sum("m").alias("all_m"))
+    down = beside(cumulate_by(counts, keys, "v", ["p", "m"], descending=True), whole, keys)
+    return down.select(*keys, F.col("v").alias("score"), F.try_divide("m", "all_m").alias("fpr"), F.try_divide("p", "all_p").alias("tpr"))
 
 
 def segmentation_test(values: DataFrame, labels: DataFrame, samples: DataFrame, summary: str = "mean_top") -> DataFrame:
