@@ -25,6 +25,12 @@ ADDUCTS = {
     },
 }
 
+# Abundant species without near isobars that calibration is measured against, by polarity.
+CALIBRATION_ANCHORS = {
+    "negative": ("[M-H]-", ["FA 18:1", "FA 22:6", "FA 24:1", "PE 38:4", "PS 40:6", "PI 38:4", "Sulfatide 42:1;O2", "Sulfatide 42:2;O2"]),
+    "positive": ("[M+H]+", ["PC 32:0", "PC 34:1", "SM 34:1", "PE 38:4"]),
+}
+
 # Stable isotopes as (mass in Da, abundance), the lightest first.
 ISOTOPES = {
     "H": [(1.0078250319, 0.999885), (2.0141017779, 0.000115)],

@@ -94,8 +94,8 @@ def gram(r: DataFrame, p: int) -> np.ndarray:
 def nmf(dense: DataFrame, k: int = 5, steps: int = 60, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
     """(pixel_id, w) and H (k x features), both nonnegative.
 
-    With the Gram matrix X'X the update of H needs no pass over pixels: W is the nonnegative fit of each pixel to H,
-    here by multiplicative steps that start from X H'.
+    With the Gram matrix X'X the updates of H need no pass over pixels, as W is taken to be X A with A >= 0 in them.
+    Then each pixel's w is its own nonnegative least squares fit to H, one coordinate after the other.
     """
     r = rows(dense, log=False)
     p = len(r.first()["x"])
@@ -109,31 +109,42 @@ def nmf(dense: DataFrame, k: int = 5, steps: int = 60, seed: int = 0) -> tuple[D
         h *= wtx / np.maximum(wtw @ h, 1e-12)
         num, den = g @ h.T, g @ a @ (h @ h.T)
         a *= np.maximum(num, 0) / np.maximum(den, 1e-12)
-    lit = r.sparkSession.sparkContext.broadcast(a)
+    lit = r.sparkSession.sparkContext.broadcast((a, h))
 
     @F.pandas_udf(ArrayType(DoubleType()))
-    def project(x: pd.Series) -> pd.Series:
-        return pd.Series(list(np.stack(x.to_list()) @ lit.value))
-
-    return r.select("pixel_id", project("x").alias("w")), h
-
-
-def pls(dense: DataFrame, n_components: int = 2) -> tuple[list, np.ndarray, np.ndarray]:
-    """PLS-DA of dense(pixel_id, label, feature, v): labels, coefficients (features + 1 x labels) and VIP.
-
-    The coefficients are for log values as they are, the last row for a constant: the scaling of the pixels it learns
-    from goes along with them.  All it needs of the pixels is X'X and X'Y, so one pass gathers them.
-    """
+    def fit(x: pd.Series) -> pd.Series:
+        start, h = lit.value
+        x = np.stack(x.to_list())
+        w, xh, hh = np.maximum(x @ start, 0), x @ h.T, h @ h.T
+        for _ in range(500):
+            moved = 0.0
+            for j in np.flatnonzero(hh.diagonal() > 0):
+                new = np.maximum(0, w[:, j] + (xh[:, j] - w @ hh[:, j]) / hh[j, j])
+                moved = max(moved, float(np.abs(new - w[:, j]).max()))
+                w[:, j] = new
+            if moved <= 1e-10 * (1 + float(np.abs(w).max())):
+                break
+        return pd.Series(list(w))
+
+    return r.select("pixel_id", fit("x").alias("w")), h
+
+
+def _sums(dense: DataFrame) -> tuple:
+    """Labels of dense, centres and deviations by feature, means of the labels, X'X and X'Y of scaled values: one pass."""
     z, centre, dev = _scaled(dense, "label")
     z = z.select("label", vector_to_array("z").alias("x"))
     labels = sorted(r["label"] for r in z.select("label").distinct().collect())
-    p = len(z.first()["x"])
+    p = len(centre)
     with_y = z.select(F.concat("x", F.array(*[F.when(F.col("label") == c, 1.0).otherwise(0.0) for c in labels], F.lit(1.0))).alias("x"))
     g = gram(with_y, p + len(labels) + 1)
     n = g[-1, -1]
     mean = g[-1, :-1] / n
     c = (g[:-1, :-1] - n * np.outer(mean, mean))
-    xx, xy = c[:p, :p], c[:p, p:]
+    return labels, centre, dev, mean[p:], c[:p, :p], c[:p, p:]
+
+
+def _components(xx: np.ndarray, xy: np.ndarray, n_components: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (features x components, scores of length one) and loadings of Y."""
     ws, ps, qs, ss = [], [], [], []
     s = xy.copy()
     for _ in range(n_components):
@@ -152,11 +163,79 @@ def pls(dense: DataFrame, n_components: int = 2) -> tuple[list, np.ndarray, np.n
         v /= np.linalg.norm(v)
         s = s - np.outer(v, v @ s)
         ws, ps, qs, ss = [*ws, w], [*ps, pl], [*qs, q], [*ss, v]
-    w, q = np.stack(ws, 1), np.stack(qs, 1)
+    return np.stack(ws, 1), np.stack(qs, 1)
+
+
+def _per_value(a: np.ndarray, centre: np.ndarray, dev: np.ndarray, constant: np.ndarray | float = 0.0) -> np.ndarray:
+    """Columns for scaled values as columns for log values as they are, the last row for a constant."""
+    own = np.divide(a, dev[:, None], out=np.zeros(a.shape), where=dev[:, None] > 0)
+    return np.vstack([own, constant - centre @ own])
+
+
+def _importance(w: np.ndarray, q: np.ndarray) -> np.ndarray:
     power = (q * q).sum(0)
-    share = (w / np.linalg.norm(w, axis=0)) ** 2
-    own = np.divide(w @ q.T, dev[:, None], out=np.zeros((p, len(labels))), where=dev[:, None] > 0)
-    return labels, np.vstack([own, mean[p:] - centre @ own]), np.sqrt(p * (share * power).sum(1) / power.sum())
+    return np.sqrt(len(w) * ((w / np.linalg.norm(w, axis=0)) ** 2 * power).sum(1) / power.sum())
+
+
+def pls(dense: DataFrame, n_components: int = 2) -> tuple[list, np.ndarray, np.ndarray]:
+    """PLS-DA of dense(pixel_id, label, feature, v): labels, coefficients (features + 1 x labels) and VIP.
+
+    The coefficients are for log values as they are, the last row for a constant: the scaling of the pixels it learns
+    from goes along with them.  All it needs of the pixels is X'X and X'Y, so one pass gathers them.
+    """
+    labels, centre, dev, mean, xx, xy = _sums(dense)
+    w, q = _components(xx, xy, n_components)
+    return labels, _per_value(w @ q.T, centre, dev, mean), _importance(w, q)
+
+
+def _without(xx: np.ndarray, xy: np.ndarray, n_ortho: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(K, axes): X K has no variation along the scores X a of the axes a, which tell nothing about y.
+
+    y is +1 and -1.  A score's loading, less what points along X'y, is the next axis to leave; X itself is never read,
+    as what is needed of X K is K' X'X K.
+    """
+    keep, axes = np.eye(len(xx)), []
+    y = xy[:, 1] - xy[:, 0]
+    for _ in range(n_ortho):
+        own, w = keep.T @ xx @ keep, keep.T @ y
+        size = np.linalg.norm(w)
+        w = w / size if size > 0 else w
+        spread = float(w @ own @ w)
+        if spread <= 0:
+            break
+        load = own @ w / spread
+        o = load - (w @ load) * w
+        if np.linalg.norm(o) < 1e-12:
+            break
+        o /= np.linalg.norm(o)
+        axes.append(keep @ o)
+        keep = keep - np.outer(keep @ o, own @ o / float(o @ own @ o))
+    return keep, axes
+
+
+def opls(dense: DataFrame, n_ortho: int = 1, n_components: int = 1) -> tuple[tuple, np.ndarray]:
+    """(model as pls() gives it, axes) after n_ortho components that tell nothing about two labels are taken out.
+
+    axes (features + 1 x 1 + components) read the predictive score, larger for the second label, and the orthogonal ones
+    off log values as they are.  With other than two labels nothing is taken out.  The filter works on X'X and X'Y, so there is one
+    pass over the pixels whatever the number of components.
+    """
+    labels, centre, dev, mean, xx, xy = _sums(dense)
+    keep, away = _without(xx, xy, n_ortho) if len(labels) == 2 else (np.eye(len(xx)), [])
+    w, q = _components(keep.T @ xx @ keep, keep.T @ xy, n_components)
+    first = w[:, 0] / np.linalg.norm(w[:, 0]) * (-1 if q[-1, 0] < 0 else 1)
+    return (labels, _per_value(keep @ w @ q.T, centre, dev, mean), _importance(w, q)), _per_value(np.stack([keep @ first, *away], 1), centre, dev)
+
+
+def opls_scores(dense: DataFrame, axes: np.ndarray) -> DataFrame:
+    """pixel_id, label, scores: the predictive score of each pixel, then its orthogonal ones."""
+    lit = dense.sparkSession.sparkContext.broadcast(axes)
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def project(x: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(x.to_list()) @ lit.value[:-1] + lit.value[-1]))
+
+    return rows(dense, "label").select("pixel_id", "label", project("x").alias("scores"))
 
 
 def classify(dense: DataFrame, model: tuple) -> DataFrame:
@@ -172,16 +251,17 @@ def classify(dense: DataFrame, model: tuple) -> DataFrame:
     return rows(dense, "label").select("pixel_id", "label", predict("x").cast("int").alias("predicted"))
 
 
-def confusion(dense: DataFrame, folds: int = 5, n_components: int = 2, unit: str = "pixel_id") -> DataFrame:
+def confusion(dense: DataFrame, folds: int = 5, n_components: int = 2, unit: str | None = None, n_ortho: int = 0) -> DataFrame:
     """label, predicted, n: each fold is predicted by a model of the others.
 
-    Folds are by a hash of `unit`.  Pixels of one sample are alike, so with several samples that should be the column
-    of dense that names them: whole samples are then left out.
+    Folds are by a hash of `unit`, which is the column `sample` where dense has one and pixel_id else: pixels of one sample
+    are alike, so whole samples are left out.  With n_ortho the models are those of opls().
     """
-    fold = F.pmod(F.xxhash64(unit), F.lit(folds))
+    fold = F.pmod(F.xxhash64(unit or ("sample" if "sample" in dense.columns else "pixel_id")), F.lit(folds))
     parts = None
     for k in range(folds):
-        got = classify(dense.where(fold == k), pls(dense.where(fold != k), n_components))
+        others = dense.where(fold != k)
+        got = classify(dense.where(fold == k), opls(others, n_ortho, n_components)[0] if n_ortho else pls(others, n_components))
         parts = got if parts is None else parts.unionByName(got)
     return parts.groupBy("label", "predicted").agg(F.count("*").alias("n"))
 

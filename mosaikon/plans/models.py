@@ -86,6 +86,21 @@ def plsda_vip(spark, sf):
     return spark.createDataFrame([(k, round(float(v), 6)) for k, v in enumerate(vip)], "feature int, vip double")
 
 
+@query(f"""WITH {b.DENSE}, l AS (SELECT pixel_id, label % 2 AS label, feature, ln(1 + v) AS v FROM dense), c AS (SELECT feature, avg(v) AS m, stddev_samp(v) AS s FROM l GROUP BY 1),
+z AS MATERIALIZED (SELECT pixel_id, label, feature, (v - m) / s AS z FROM l JOIN c USING (feature)),
+w0 AS (SELECT feature, sum(CASE label WHEN 1 THEN z ELSE -z END) AS w FROM z GROUP BY 1), w AS MATERIALIZED (SELECT feature, w / sqrt(sum(w * w) OVER ()) AS w FROM w0),
+t AS MATERIALIZED (SELECT pixel_id, sum(z * w) AS t FROM z JOIN w USING (feature) GROUP BY 1), tt AS (SELECT sum(t * t) AS tt FROM t),
+l0 AS MATERIALIZED (SELECT feature, sum(z * t) / any_value(tt) AS p FROM z JOIN t USING (pixel_id), tt GROUP BY 1),
+o0 AS (SELECT feature, p - sum(p * w) OVER () * w AS o FROM l0 JOIN w USING (feature)), o AS MATERIALIZED (SELECT feature, o / sqrt(sum(o * o) OVER ()) AS o FROM o0),
+u AS MATERIALIZED (SELECT pixel_id, sum(z * o) AS u FROM z JOIN o USING (feature) GROUP BY 1), uu AS (SELECT sum(u * u) AS uu FROM u),
+away AS (SELECT feature, sum(z * u) / any_value(uu) AS p FROM z JOIN u USING (pixel_id), uu GROUP BY 1), part AS (SELECT sum(p * w) AS k FROM away JOIN w USING (feature))
+SELECT pixel_id, round(t - k * u, 5) AS predictive, round(u, 5) AS orthogonal FROM t JOIN u USING (pixel_id), part""")
+def opls_scores(spark, sf):
+    """Odd labels against even ones, without what varies across both."""
+    d = b.dense(spark, sf).withColumn("label", F.col("label") % 2)
+    return b.rounded(mv.opls_scores(d, mv.opls(d)[1]).select("pixel_id", F.get("scores", F.lit(0)).alias("predictive"), F.get("scores", F.lit(1)).alias("orthogonal")), 5)
+
+
 @query()
 def cv_confusion(spark, sf):
     return mv.confusion(b.dense(spark, sf))
