@@ -94,3 +94,49 @@ def cumulate_by(blocks: DataFrame, keys: list[str], by: str, columns: list[str],
     inside = Window.partitionBy(*keys, "__part").orderBy(order(by)).rowsBetween(Window.unboundedPreceding, 0)
     each = beside(own.withColumns({c: F.sum(c).over(inside) for c in columns}), heads, [*keys, "__part"])
     return each.select(*[(F.coalesce(F.col(f"__before_{c}"), F.lit(0)) + F.col(c)).alias(c) if c in columns else F.col(c) for c in blocks.columns])
+
+
+def quantiles(values: DataFrame, keys: list[str], by: str, shares: dict[str, float]) -> DataFrame:
+    """keys, then a column for each name of shares: exact quantiles of by as doubles, on a straight line between two values.
+
+    Counts by piece, which combine before the shuffle, say in which pieces the two ranks of a quantile lie; only the values
+    of those are put in order, in parts where they are many.  No buffer holds the values of a key.  values is read twice.  Nulls don't
+    count; a key without other values has nulls, and so has the one row of a table without rows and keys.
+    """
+    on = keys or ["__all"]
+    own = values.select(*keys, *([] if keys else [F.lit(0).alias("__all")]), F.col(by).cast("double").alias("__v")).withColumn("__piece", piece(F.col("__v")))
+    found = scratch(own.groupBy(*on, "__piece").agg(F.count("*").alias("__t")), "pieces")
+    real = found.where("__piece is not null")
+    upto = F.sum("__t").over(Window.partitionBy(*on).orderBy("__piece").rowsBetween(Window.unboundedPreceding, 0))  # counts of pieces, not values
+    each = beside(real.withColumn("__u", upto), real.groupBy(*on).agg(F.sum("__t").alias("__n")), on, "inner")
+    at = lambda p: (F.col("__n") - 1) * F.lit(float(p))
+    ranks = [F.struct(F.lit(name).alias("name"), F.lit(k).alias("side"), whole(at(p)).alias("rank")) for name, p in shares.items() for k, whole in enumerate((F.floor, F.ceil))]
+    asked = each.select(*on, "__piece", "__n", "__t", (F.col("__u") - F.col("__t")).alias("__before"), F.explode(F.array(*ranks)).alias("q"))
+    wanted = asked.where((F.col("q.rank") >= F.col("__before")) & (F.col("q.rank") < F.col("__before") + F.col("__t"))).select(*on, "__piece", "__n", "__t", "__before", "q.*")
+    near = [*on, "__piece"]
+    side = lambda name, k: F.max(F.when((F.col("name") == name) & (F.col("side") == k), F.col("v")))
+
+    def value(name: str, p: float) -> Column:
+        low, high, x = F.col(f"__{name}_0"), F.col(f"__{name}_1"), at(p)
+        return F.when(F.floor(x) == F.ceil(x), low).otherwise((F.ceil(x) - x) * low + (x - F.floor(x)) * high).alias(name)
+
+    if not keys:
+        few = wanted.collect()  # two rows a share
+        run = _in_order(own.where(F.col("__piece").isin(sorted({r["__piece"] for r in few}))), near, max((r["__t"] for r in few), default=0))
+        least = [F.min(F.when((F.col("__piece") == r["__piece"]) & (F.col("__t") + r["__before"] > r["rank"]), F.col("__v"))).alias(f"__{r['name']}_{r['side']}") for r in few]
+        if not few:
+            return run.agg(*[F.max("__v").alias(name) for name in shares])
+        return run.agg(*least).withColumn("__n", F.lit(few[0]["__n"])).select(*[value(name, p) for name, p in shares.items()])
+    wanted = scratch(wanted, "wanted")
+    run = _in_order(beside(own, wanted.select(*near).distinct(), near, "left_semi"), near, wanted.agg(F.max("__t")).first()[0] or 0)
+    hit = beside(wanted.drop("__t"), run, near).where(F.col("__before") + F.col("__t") > F.col("rank")).groupBy(*on, "__n", "name", "side").agg(F.min("__v").alias("v"))
+    both = hit.groupBy(*on).agg(F.max("__n").alias("__n"), *[side(name, k).alias(f"__{name}_{k}") for name in shares for k in (0, 1)])
+    return beside(found.select(*on).distinct(), both.select(*on, *[value(name, p) for name, p in shares.items()]), on)
+
+
+def _in_order(own: DataFrame, near: list[str], most: int) -> DataFrame:
+    """near, __v, __t: running counts of the values of each piece, of which the largest has `most` rows."""
+    blocks = own.groupBy(*near, "__v").agg(F.count("*").alias("__t"))
+    if most > PIECE_ROWS:
+        return cumulate_by(scratch(blocks, "blocks"), near, "__v", ["__t"])
+    return blocks.withColumn("__t", F.sum("__t").over(Window.partitionBy(*near).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..storage import scratch
 from .graph import components, numbered, spanning_forest
-from .ordered import beside, cumulate_by
+from .ordered import beside, cumulate_by, quantiles
 
 
 def neighbours(pixels: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def threshold_mask(values: DataFrame, cut: float, percentile: bool = True) -> Da
     v = F.coalesce(F.nanvl(F.col("v"), F.lit(0.0)), F.lit(0.0))
     if not percentile:
         return values.where(v > cut).select("pixel_id")
-    edge = values.agg(F.percentile(F.when(v > 0, v), cut / 100).alias("edge"))
+    edge = quantiles(values.select(v.alias("v")).where("v > 0"), [], "v", {"edge": cut / 100})
     return values.join(F.broadcast(edge)).where((v >= F.col("edge")) & (v > 0)).select("pixel_id")
 
 

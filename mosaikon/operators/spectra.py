@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ordered import quantiles
 from .ranges import window_join
 
 
@@ -132,13 +133,13 @@ def raster_counts(points: DataFrame, bins: int) -> DataFrame:
 
 def quantile_clip(values: DataFrame, low: float = 0.0, high: float = 0.99) -> DataFrame:
     """value clipped to two quantiles of its feature."""
-    edges = values.groupBy("feature_id").agg(F.percentile("value", low).alias("lo"), F.percentile("value", high).alias("hi"))
+    edges = quantiles(values, ["feature_id"], "value", {"lo": low, "hi": high})
     return values.join(F.broadcast(edges), "feature_id").select("pixel_id", "feature_id", F.greatest("lo", F.least("hi", "value")).alias("value"))
 
 
 def rgb(values: DataFrame, channels: list[int], high: float = 0.99) -> DataFrame:
     """pixel_id, r, g, b: three ions, each from zero to a quantile of its values, as 0..255."""
-    edges = values.where(F.col("feature_id").isin(*channels)).groupBy("feature_id").agg(F.percentile("value", high).alias("hi"))
+    edges = quantiles(values.where(F.col("feature_id").isin(*channels)), ["feature_id"], "value", {"hi": high})
     scaled = values.join(F.broadcast(edges), "feature_id").withColumn("s", F.when(F.col("hi") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value") / F.col("hi")))).otherwise(0.0))
     of = lambda k: F.floor(F.max(F.when(F.col("feature_id") == k, F.col("s"))) * 255).cast("int")
     return scaled.groupBy("pixel_id").agg(*[of(k).alias(n) for k, n in zip(channels, "rgb", strict=True)])

@@ -14,12 +14,12 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import special
 from ..storage import scratch
-from .ordered import beside, cumulate, cumulate_by
+from .ordered import beside, cumulate, cumulate_by, quantiles
 
 
 def fold_floor(values: DataFrame, v: str = "v") -> DataFrame:
     """tau: the 5th percentile of the positive values, one if there are none."""
-    return values.agg(F.coalesce(F.percentile(F.when(F.col(v) > 0, F.col(v)), 0.05), F.lit(1.0)).alias("tau"))
+    return quantiles(values.where(F.col(v) > 0), [], v, {"tau": 0.05}).select(F.coalesce("tau", F.lit(1.0)).alias("tau"))
 
 
 def log2_fold(a: Column, b: Column, tau: Column) -> Column:

@@ -72,3 +72,29 @@ def test_hotspot_of_equal_values_and_nulls(spark):
     assert got[0] == pytest.approx(10 / 22)
     assert got[1] == pytest.approx(1.0)
     assert spatial.hotspot(t.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("rows", [50, 1 << 20])
+def test_quantiles_are_those_of_percentile(spark, monkeypatch, rows):
+    """Near values, ties, nulls, infinities, a key of nulls, one of a single value and a null key."""
+    t = _table(spark, 2500).select("feature", "v")
+    more = [(5, None), (5, None), (6, 2.5), (7, math.inf), (7, -math.inf), (7, 1.0), (7, None), (8, -3.0), (8, -3.0), (8, 0.0), (8, -0.0), (8, 4.0)]
+    t = t.unionByName(spark.createDataFrame(more, "feature int, v double"))
+    monkeypatch.setattr(ordered, "PIECE_ROWS", rows)
+    shares = {"low": 0.0, "a": 0.05, "mid": 0.5, "b": 0.987, "high": 1.0}
+    got = {r["feature"]: r.asDict() for r in ordered.quantiles(t, ["feature"], "v", shares).collect()}
+    want = {r["feature"]: r.asDict() for r in t.groupBy("feature").agg(*[F.percentile("v", p).alias(n) for n, p in shares.items()]).collect()}
+    assert got.keys() == want.keys()
+    for f in want:
+        for n in shares:
+            assert got[f][n] == pytest.approx(want[f][n], rel=1e-12) if want[f][n] is not None else got[f][n] is None, (f, n)
+    fine = t.where("feature < 3")
+    one, two = ordered.quantiles(fine, [], "v", {"m": 0.5}).collect(), fine.agg(F.percentile("v", 0.5).alias("m")).collect()
+    assert len(one) == 1
+    assert one[0]["m"] == pytest.approx(two[0]["m"])
+
+
+def test_quantiles_of_nothing(spark):
+    t = spark.createDataFrame([], "feature int, v double")
+    assert ordered.quantiles(t, ["feature"], "v", {"m": 0.5}).count() == 0
+    assert [r["m"] for r in ordered.quantiles(t, [], "v", {"m": 0.5}).collect()] == [None]
