@@ -11,17 +11,21 @@ from ..storage import discard, scratch
 def components(links: DataFrame) -> DataFrame:
     """links(u, v) of long ids -> (node, component), component being the smallest id that node reaches.
 
-    Every round each node takes the least of its neighbours and itself as parent, parents are followed twice more,
-    and the links are redrawn between parents.  The least node of a component is never replaced, so what is left
-    when no link remains is that node.  All of it is grouping with map-side combine and joins of written tables:
-    no component meets in one task.  Nodes without links don't appear; loops and repeated links are harmless; an
-    empty table gives an empty table.
+    Every round each node takes the first of its neighbours and itself as parent, parents are followed twice more,
+    and the links are redrawn between parents.  First is by a hash that each round draws anew: half of the nodes that
+    still have links go in a round, on average, however long the chains are and whatever ids they bear.  What is
+    left when no link remains is one node a component, which then takes the smallest id in it.  All of it is grouping
+    with map-side combine and joins of written tables: no component meets in one task.  Nodes without links don't
+    appear; loops and repeated links are harmless; an empty table gives an empty table.
     """
     edges = scratch(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct(), "links")
-    found = None
+    found, turn = None, 0
     while not edges.isEmpty():
+        turn += 1
+        place = lambda c, turn=turn: F.xxhash64(F.lit(turn), c)
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        up = scratch(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("parent")), "parents")
+        best = both.groupBy(F.col("u").alias("node")).agg(F.min_by("v", place("v")).alias("p"), F.min(place("v")).alias("h"))
+        up = scratch(best.select("node", F.when(F.col("h") < place("node"), F.col("p")).otherwise(F.col("node")).alias("parent")), "parents")  # nodes of one hash wait
         for _ in range(2):
             above = up.select(F.col("node").alias("parent"), F.col("parent").alias("top"))
             before, up = up, scratch(up.join(above, "parent").select("node", F.col("top").alias("parent")), "parents")
@@ -44,7 +48,8 @@ def components(links: DataFrame) -> DataFrame:
     discard(edges)
     if found is None:
         return links.select(F.col("u").alias("node"), F.col("v").alias("component")).limit(0)
-    return found
+    least = found.groupBy("component").agg(F.min("node").alias("least"))
+    return found.join(least, "component").select("node", F.col("least").alias("component"))
 
 
 def spanning_forest(edges: DataFrame) -> tuple[DataFrame | None, list[DataFrame]]:

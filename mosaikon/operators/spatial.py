@@ -125,7 +125,8 @@ def detect_samples(pixels: DataFrame, tic: DataFrame, rel: float = 0.1, min_frac
     """(pixel_id, sample): tissue pieces, the largest first from 0: smooth, threshold, fill, part, drop specks."""
     soft = smooth(tic, pixels, sigma)
     edge = tic.agg((F.percentile(F.when(F.col("v") > 0, F.col("v")), 0.5) * rel).alias("edge"))
-    mask = fill_holes(pixels, soft.join(F.broadcast(edge)).where("v > edge").select("pixel_id"))
+    over = scratch(soft.join(F.broadcast(edge)).where("v > edge").select("pixel_id"), "over")
+    mask = scratch(fill_holes(pixels, over), "mask")
     least = max(20, int(min_frac * pixels.count()))
     parts = islands(pixels, mask)
     sizes = parts.groupBy("island").agg(F.count("*").alias("n")).where(F.col("n") >= least)

@@ -187,6 +187,15 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    """3000 nodes in rising order, whose least node is at one end: rounds rise with the logarithm."""
+    links, put = [], components.scratch
+    monkeypatch.setattr(components, "scratch", lambda df, label: links.append(label) or put(df, label))
+    got = components.components(spark.range(3000).selectExpr("id as u", "id + 1 as v"))
+    assert [tuple(r) for r in got.groupBy("component").count().collect()] == [(0, 3001)]
+    assert links.count("links") <= 20
+
+
 def unit(rng, n, dim):
     x = rng.normal(size=(n, dim))
     return x / np.linalg.norm(x, axis=1, keepdims=True)
