@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.chemistry import ADDUCT_ATOMS, ADDUCTS, C13_STEP, ISOTOPES, formula_mass, ion_mz, isotope_logs
 from ..storage import scratch
 from .ordered import cumulate
-from .ranges import bucket, nearest, window_join
+from .ranges import beside_in_order, bucket, dealt, nearest, window_join, within
 
 
 def species(carbons: range, bonds: range, chains: int = 1, head: tuple[str, float] = ("FA", 31.98982924)) -> list[tuple[str, str, float]]:
@@ -20,10 +20,13 @@ def species(carbons: range, bonds: range, chains: int = 1, head: tuple[str, floa
 
 
 def ion_index(lipids: DataFrame, mode: str = "negative", adducts: list[str] | None = None) -> DataFrame:
-    """lipids with a row for each adduct and its ion_mz: a handful of adducts, so rows are exploded."""
+    """lipids with a row for each adduct and its ion_mz: a handful of adducts, so rows are exploded.
+
+    Lipids are dealt out before, as a small file is one task and its ions are many.
+    """
     chosen = [(a, s, z) for a, (s, z) in ADDUCTS[mode].items() if adducts is None or a in adducts]
     each = F.explode(F.array(*[F.struct(F.lit(a).alias("adduct"), F.lit(s).alias("shift"), F.lit(z).alias("z")) for a, s, z in chosen]))
-    return lipids.select("*", each.alias("__a")).select(*lipids.columns, F.col("__a.adduct").alias("adduct"), ((F.col("neutral_mass") + F.col("__a.shift")) / F.col("__a.z")).alias("ion_mz"))
+    return dealt(lipids, "neutral_mass").select("*", each.alias("__a")).select(*lipids.columns, F.col("__a.adduct").alias("adduct"), ((F.col("neutral_mass") + F.col("__a.shift")) / F.col("__a.z")).alias("ion_mz"))
 
 
 def annotate(features: DataFrame, index: DataFrame, ppm: float = 10.0) -> DataFrame:
