@@ -59,18 +59,12 @@ def target_decoy(features: DataFrame, lipids: DataFrame, decoy_shifts: list[floa
 
     The nearest matches are written once; counts of equal scores are summed in pieces to give how many score as high.
     """
-    def best(shift: float, name: str):
-        index = lipids.select((F.col("neutral_mass") + adduct_shift + shift).alias("ion_mz"))
-        near = nearest(features, index, ppm, ["feature_id"], "mz", "ion_mz")
-        return near.where(F.col("ion_mz").isNotNull()).select("feature_id", F.round(-F.abs(F.col("mz") - F.col("ion_mz")) / F.col("ion_mz") * 1e6, 6).alias("score"), F.lit(name).alias("kind"))
-
-    target = best(0.0, "t")
-    decoys = None
-    for k, s in enumerate(decoy_shifts):
-        d = best(s, f"d{k}")
-        decoys = d if decoys is None else decoys.unionByName(d)
     names = [f"d{k}" for k in range(len(decoy_shifts))]
-    hits = scratch(target.unionByName(decoys), "decoys")
+    kinds = F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), F.lit(float(s)).alias("shift")) for n, s in zip(["t", *names], [0.0, *decoy_shifts], strict=True)]))
+    index = dealt(lipids.select("neutral_mass"), "neutral_mass").select("neutral_mass", kinds.alias("k")).select("k.kind", (F.col("neutral_mass") + adduct_shift + F.col("k.shift")).alias("ion_mz"))
+    asked = dealt(features.select("feature_id", "mz"), "mz").select("feature_id", "mz", kinds.alias("k")).select("feature_id", "mz", "k.kind")
+    near = nearest(asked, index, ppm, ["feature_id", "kind"], "mz", "ion_mz", by=("kind",)).where(F.col("ion_mz").isNotNull())
+    hits = scratch(near.select("feature_id", F.round(-F.abs(F.col("mz") - F.col("ion_mz")) / F.col("ion_mz") * 1e6, 6).alias("score"), "kind"), "decoys")
     counts = hits.groupBy("score").agg(F.count_if(F.col("kind") == "t").alias("t"), *[F.count_if(F.col("kind") == n).alias(n) for n in names])
     summed = cumulate(counts, "score", ["t", *names], descending=True)
     ratios = F.array_sort(F.array(*[(F.col(n) + 1) / (F.col("t") + 1) for n in names]))
