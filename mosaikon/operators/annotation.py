@@ -35,15 +35,45 @@ def annotate(features: DataFrame, index: DataFrame, ppm: float = 10.0) -> DataFr
     The score is -|ppm| and a tenth of the tolerance for each unit of prior; ties go by class, name and adduct.
     """
     met = window_join(features, index, ppm, "mz", "ion_mz")
-    err = (F.col("mz") - F.col("ion_mz")) / F.col("ion_mz") * 1e6
-    scored = met.withColumn("ppm", err).withColumn("score", F.round(-F.abs("ppm") + 0.1 * ppm * F.col("prior"), 9))
+    return _ranked(_scored(met, ppm))
+
+
+def _scored(met: DataFrame, ppm: float) -> DataFrame:
+    return met.withColumn("ppm", (F.col("mz") - F.col("ion_mz")) / F.col("ion_mz") * 1e6).withColumn("score", F.round(-F.abs("ppm") + 0.1 * ppm * F.col("prior"), 9))
+
+
+def _ranked(scored: DataFrame) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("feature_id").orderBy(F.desc("score"), "class", "name", "adduct")))
 
 
+#: So many values of prior at most are searched one by one for the best candidate.
+PRIORS = 1000
+
+
 def top_class(features: DataFrame, index: DataFrame, ppm: float = 10.0) -> DataFrame:
-    """features with the class of the best candidate, null without any."""
-    best = annotate(features, index, ppm).where("rank = 1").select("feature_id", "class", "name")
-    return features.join(best, "feature_id", "left")
+    """features with the class of the best candidate, null without any.
+
+    Of ions with one prior only the nearest on either side can be the best, so a feature meets two for each value of prior,
+    however many lie in its window; ions that differ by rounding only (M-H of a mass, M-2H of its double) tie, and are
+    fetched for the best.  Null priors, those that swallow the ppm error, and more than PRIORS values are taken by all pairs.
+    """
+    weight = F.abs(0.1 * ppm * F.col("prior"))
+    usual, odd = index.where(weight < 1e6), index.where(~F.coalesce(weight < 1e6, F.lit(False)))
+    priors = usual.select("prior").distinct().limit(PRIORS + 1)
+    asked = dealt(features.select("feature_id", "mz"), "mz")
+    if priors.count() > PRIORS:
+        best = annotate(asked, index, ppm).where("rank = 1")
+    else:
+        each = beside_in_order(asked.join(F.broadcast(priors)), usual.select("ion_mz", "prior"), "mz", "ion_mz", ("prior",))
+        sides = each.select("feature_id", "mz", "prior", F.explode(F.array("__below.ion_mz", "__above.ion_mz")).alias("ion_mz")).where(within(F.col("mz"), F.col("ion_mz"), ppm))
+        top = _scored(dealt(sides, "feature_id"), ppm).withColumn("top", F.max("score").over(Window.partitionBy("feature_id"))).where(F.col("score") >= F.col("top") - 2e-9)
+        cell = F.floor(F.log("ion_mz") * F.lit(2.0**40))  # ions of one score lie in one cell or in two side by side
+        few = top.select("feature_id", "mz", "prior", F.explode(F.array(*[cell + k for k in (-1, 0, 1)])).alias("__c")).distinct()
+        met = few.join(usual.withColumn("__c", cell), ["prior", "__c"]).where(within(F.col("mz"), F.col("ion_mz"), ppm))
+        first = _scored(met, ppm).groupBy("feature_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "class", "name", "adduct")).alias("m")).select("feature_id", (-F.col("m.s")).alias("score"), "m.class", "m.name", "m.adduct")
+        rest = annotate(asked, odd, ppm).where("rank = 1").select(*first.columns)
+        best = _ranked(first.unionByName(rest)).where("rank = 1")
+    return features.join(best.select("feature_id", "class", "name"), "feature_id", "left")
 
 
 def mass_offset(features: DataFrame, index: DataFrame, wide_ppm: float = 15.0, least: int = 30, least_ppm: float = 2.0) -> DataFrame:
