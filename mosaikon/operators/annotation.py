@@ -145,8 +145,13 @@ def msi_level(table: DataFrame) -> DataFrame:
 
 
 def corroborating(features: DataFrame, index: DataFrame, ppm: float = 10.0) -> DataFrame:
-    """lipid_id, n_adducts, adducts: which ions of a compound are among the features."""
-    met = window_join(features, index, ppm, "mz", "ion_mz").select("lipid_id", "adduct").distinct()
+    """lipid_id, n_adducts, adducts: which ions of a compound are among the features.
+
+    If an ion is in any feature's window, it is in that of the feature below it or above it.
+    """
+    sides = beside_in_order(index.select("lipid_id", "adduct", "ion_mz"), features.select("mz"), "ion_mz", "mz")
+    has = [F.coalesce(within(F.col(f"{c}.mz"), F.col("ion_mz"), ppm), F.lit(False)) for c in ("__below", "__above")]
+    met = sides.where(has[0] | has[1]).select("lipid_id", "adduct").distinct()
     return met.groupBy("lipid_id").agg(F.count("*").alias("n_adducts"), F.concat_ws(",", F.array_sort(F.collect_list("adduct"))).alias("adducts"))
 
 

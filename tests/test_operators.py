@@ -48,6 +48,33 @@ def test_nearest_prefers_the_lower_and_keeps_all(spark):
     assert rows(ranges.nearest(q, r, 50.0, ["id"]).select("id", "ref_mz"), "id") == [(1, 99.999), (2, None), (3, None)]
 
 
+def test_nearest_matches_come_without_pairs(spark, monkeypatch):
+    """Dense references: none of the searches for the nearest or the best may form all pairs of a window."""
+    rng = np.random.default_rng(3)
+    q = spark.createDataFrame([(k, float(m)) for k, m in enumerate(rng.uniform(300, 330, 60))] + [(60, None), (61, -1.0), (62, 320.5)], "feature_id long, mz double")
+    masses = [float(m) for m in np.round(rng.uniform(600, 660, 400), 2)] + [320.5 + 1.00727646, 641 + 2 * 1.00727646]
+    lipids = spark.createDataFrame([(f"n{k % 17}", f"c{k % 5}", m / (1 + k % 2), [0.1, 0.3, None, 0.1, 1e9][k % 50 if k % 50 < 5 else 0], k) for k, m in enumerate(masses)], "name string, class string, neutral_mass double, prior double, lipid_id long")
+    index = annotation.ion_index(lipids, "negative", ["[M-H]-", "[M-2H]2-"]).cache()
+    ranked = annotation.annotate(q, index, 2000.0).where("rank = 1").select("feature_id", "class", "name")
+    want = {r["feature_id"]: (r["class"], r["name"]) for r in ranked.collect()}
+    met = {(r["lipid_id"], r["adduct"]) for r in ranges.window_join(q, index, 50.0, "mz", "ion_mz").collect()}
+    pairs = ranges.window_join(q, index, 50.0, "mz", "ion_mz").selectExpr("feature_id", "struct(abs(mz - ion_mz), ion_mz) as d")
+    near = {r["feature_id"]: r["d"]["ion_mz"] for r in pairs.groupBy("feature_id").agg(F.min("d").alias("d")).collect()}
+
+    def none(features, index, *rest):
+        assert index.where("prior is not null and prior < 1e8").isEmpty(), "all pairs"
+        return ranges.window_join(features, index, *rest)
+
+    monkeypatch.setattr(annotation, "window_join", none)
+    got = {r["feature_id"]: (r["class"], r["name"]) for r in annotation.top_class(q, index, 2000.0).collect()}
+    assert got == {k: want.get(k, (None, None)) for k in range(63)}
+    found = {(r["lipid_id"], a) for r in annotation.corroborating(q, index, 50.0).collect() for a in r["adducts"].split(",")}
+    assert found == met
+    monkeypatch.undo()
+    monkeypatch.setattr(ranges, "window_join", none)
+    assert {r["feature_id"]: r["ion_mz"] for r in ranges.nearest(q, index.select("ion_mz"), 50.0, ["feature_id"], "mz", "ion_mz").where("ion_mz is not null").collect()} == near
+
+
 def test_window_join_equals_cross_join(spark):
     rng = np.random.default_rng(0)
     q = spark.createDataFrame([(i, float(m)) for i, m in enumerate(rng.uniform(100, 1000, 200))], "i int, mz double")
