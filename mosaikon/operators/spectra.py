@@ -45,10 +45,12 @@ def extract_sparse(peaks: DataFrame, targets: DataFrame, ppm: float, reduce: str
 def dense_grid(values: DataFrame, pixels: DataFrame, targets: list) -> DataFrame:
     """values with a zero where a pixel has none: a row for every pixel and feature_id in targets.
 
-    The grid is pixels times targets; a feature list is short, so pixels are exploded and nothing is crossed.
+    values has a row at most for each of them.  A pixel's values travel together and the grid is laid out behind the join, so
+    that no row of it is shuffled; a feature list is short.
     """
-    grid = pixels.select("pixel_id", F.explode(F.array(*[F.lit(t) for t in targets])).alias("feature_id"))
-    return grid.join(values, ["pixel_id", "feature_id"], "left").select("pixel_id", "feature_id", F.coalesce("value", F.lit(0.0)).alias("value"))
+    held = values.where(F.col("feature_id").isNotNull()).groupBy("pixel_id").agg(F.map_from_entries(F.collect_list(F.struct("feature_id", "value"))).alias("__held"))
+    grid = pixels.select("pixel_id").join(held, "pixel_id", "left").select("pixel_id", "__held", F.explode(F.array(*[F.lit(t) for t in targets])).alias("feature_id"))
+    return grid.select("pixel_id", "feature_id", F.coalesce(F.try_element_at("__held", "feature_id"), F.lit(0.0)).alias("value"))
 
 
 def normalised(values: DataFrame, factors: DataFrame) -> DataFrame:

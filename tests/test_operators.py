@@ -48,6 +48,16 @@ def test_nearest_prefers_the_lower_and_keeps_all(spark):
     assert rows(ranges.nearest(q, r, 50.0, ["id"]).select("id", "ref_mz"), "id") == [(1, 99.999), (2, None), (3, None)]
 
 
+def test_dense_grid_is_laid_out_behind_the_join(spark):
+    """No row of the grid is shuffled: nothing is exchanged or joined above the explode."""
+    values = spark.createDataFrame([(1, 0, 2.0), (1, 2, None), (3, 1, 4.0)], "pixel_id long, feature_id int, value double")
+    got = spectra.dense_grid(values, spark.createDataFrame([(1,), (2,), (None,)], "pixel_id long"), [0, 1, 2])
+    assert sorted(map(tuple, got.where("value <> 0").collect())) == [(1, 0, 2.0)]
+    assert got.count() == 9
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")
+
+
 def test_nearest_matches_come_without_pairs(spark, monkeypatch):
     """Dense references: none of the searches for the nearest or the best may form all pairs of a window."""
     rng = np.random.default_rng(3)
