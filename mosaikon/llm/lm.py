@@ -40,6 +40,8 @@ from .trie import Trie, distinct, meaning, places, quantised
 MU2, MU3 = 32.0, 2.0
 #: Tokens and documents of a segment, and tokens a shard should have.
 SEGMENT, SEGMENT_DOCS, SHARD = 2_500_000, 1 << 16, 3_000_000
+#: N-grams of a shard, as the segments sent them, that are put into tries at a time; those of one middle word stay together.
+STEP = 400_000
 #: A context is hot from this part of a shard, but never under one in MOST_HOT of all tokens.
 HOT, MOST_HOT = 4, 1_000_000
 #: One in how many documents tells which contexts are hot.
@@ -146,7 +148,9 @@ class _Segment:
         """Distinct contexts (word numbers), owner and next word of each distinct n-gram, its count, and the n-gram of each token."""
         before, second = self.histories()
         v = len(self.words)
-        code, which = np.unique(before if level == 2 else before * v + second, return_inverse=True)
+        code = before if level == 2 else before * v + second
+        del before, second
+        code, which = np.unique(code, return_inverse=True)
         contexts = code[:, None] if level == 2 else np.stack([code % v, code // v], 1)
         key, gram = np.unique(which * v + self.tokens, return_inverse=True)
         return contexts, key // v, key % v, np.bincount(gram, self.learn, len(key)).astype(np.int64), gram
@@ -301,32 +305,18 @@ def _answer(hot: np.ndarray, totals: np.ndarray):
         at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
         return hot[at] == h, totals[at]
 
-    def run(table: pa.Table) -> pa.Table:
-        level = table["level"][0].as_py()
-        parts = [unpack(blob) for blob in table["blob"].to_pylist()]
-        words = distinct(np.concatenate([p[0] for p in parts]))
-        v, code, grams = len(words), [], []
-        for hashes, gaps, sizes, follows, n in parts:
-            ids, c = places(words, hashes), np.cumsum(gaps, dtype=np.int64)
-            code.append(ids[c] if level == 2 else ids[c % len(hashes)] * v + ids[c // len(hashes)])
-            grams.append(ids[follows].astype(np.uint32))
-        sizes, many = [len(p[2]) for p in parts], [len(p[3]) for p in parts]
-        code, which = np.unique(np.concatenate(code), return_inverse=True)
-        contexts = code[:, None] if level == 2 else np.stack([code // v, code % v], 1)
-        key = which[np.repeat(np.arange(len(which)), np.concatenate([p[2] for p in parts]))] * v + np.concatenate(grams)
-        counts, which = np.concatenate([p[4] for p in parts]), which.astype(np.uint32)
-        del parts, grams, code
-        key, gram = np.unique(key, return_inverse=True)
+    def part(level: int, contexts: np.ndarray, last: np.ndarray, code: np.ndarray, counts: np.ndarray, first: np.ndarray, v: int) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of all n-grams of some middle words, code = context * v + next word, and of their contexts."""
+        key, gram = np.unique(code, return_inverse=True)
         gram = gram.astype(np.uint32)
         n = np.bincount(gram, counts, len(key))
         owner, follows = key // v, key % v
-        del key, counts
-        last = mix64(words.view(np.uint64) + np.uint64(2))[contexts[:, -1]]
+        del key, code, counts
         spread, all_of = known(last)
         if level == 2:
             share, rest = _lookup(contexts, owner, follows, n, all_of, MU2, v)
         else:
-            apart, all_of = known(_pair(last, words.view(np.uint64)[contexts[:, 0]]))
+            apart, all_of = known(_pair(last, first))
             share, rest = _lookup(contexts, owner, follows, n, np.where(apart, all_of, np.bincount(owner, n, len(contexts))), MU3, v)
             # n-grams of two words whose last context isn't dealt out are whole here
             near = ~spread[owner]
@@ -337,8 +327,42 @@ def _answer(hot: np.ndarray, totals: np.ndarray):
             share[near] += rest[owner[near]] * share2[which2]
             near = np.flatnonzero(~spread)
             rest[near] *= rest2[places(middle, contexts[near, 1])]
+        return _codes(share).astype(np.uint16)[gram], _codes(rest).astype(np.uint16)
+
+    def run(table: pa.Table) -> pa.Table:
+        level = table["level"][0].as_py()
+        parts = [unpack(blob.as_py()) for blob in table["blob"]]
+        words = distinct(np.concatenate([p[0] for p in parts]))
+        v, code, grams = len(words), [], []
+        for p in parts:
+            hashes, gaps, _, follows, _ = p
+            ids, c = places(words, hashes), np.cumsum(gaps, dtype=np.int64)
+            code.append(ids[c] if level == 2 else ids[c % len(hashes)] * v + ids[c // len(hashes)])
+            grams.append(ids.astype(np.uint32)[follows])
+            p[0] = p[1] = p[3] = None
+        sizes, many = [len(p[2]) for p in parts], [len(p[4]) for p in parts]
+        code, which = np.unique(np.concatenate(code), return_inverse=True)
+        which = which.astype(np.uint32)
+        owner = np.repeat(which, np.concatenate([p[2] for p in parts]))
+        grams, counts = np.concatenate(grams), np.concatenate([p[4] for p in parts])
+        del parts
+        # what a middle word needs is its own, so the shard is answered some middle words at a time
+        middle = (code if level == 2 else code % v).astype(np.uint32)
+        before = np.cumsum(np.bincount(middle, np.bincount(owner, minlength=len(code)), v))
+        turn = ((before - before[0]) // STEP).astype(np.uint32)[middle]
+        share, rest = np.zeros(len(owner), np.uint16), np.zeros(len(code), np.uint16)
+        last = mix64(words.view(np.uint64) + np.uint64(2))
+        number = np.zeros(len(code), np.uint32)
+        for t in distinct(turn):
+            own = np.flatnonzero(turn == t)
+            number[own] = np.arange(len(own))
+            on = np.flatnonzero((turn == t)[owner])
+            own_code = code[own]
+            contexts = own_code[:, None] if level == 2 else np.stack([own_code // v, own_code % v], 1)
+            key = number[owner[on]].astype(np.int64) * v + grams[on]
+            share[on], rest[own] = part(level, contexts, last[contexts[:, -1]], key, counts[on], words.view(np.uint64)[contexts[:, 0]], v)
         cut = lambda a, lengths: np.split(a, np.cumsum(lengths)[:-1])
-        blobs = [pack(a, b) for a, b in zip(cut(_codes(share)[gram], many), cut(_codes(rest)[which], sizes), strict=True)]
+        blobs = [pack(a, b) for a, b in zip(cut(share, many), cut(rest[which], sizes), strict=True)]
         return pa.table({"level": table["level"], "shard": table["shard"], "segment": table["segment"], "blob": pa.array(blobs, pa.binary())})
 
     return run

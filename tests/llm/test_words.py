@@ -2,10 +2,12 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from mosaikon.llm import lm, search, trie, variants
@@ -221,3 +223,25 @@ def test_sequences_and_tries_give_back_what_was_put_in():
         s, r = t.find(contexts, grams[:, -1], owner, 777)
         assert np.allclose(trie.meaning(s), np.where(held, share, 0), rtol=7e-3)
         assert np.allclose(trie.meaning(r), np.where(np.isin(np.arange(len(contexts)), seen), rest, 0), rtol=7e-3)
+
+
+def test_a_shard_is_answered_some_middle_words_at_a_time(monkeypatch):
+    """What a shard holds at once beside what it was sent goes by STEP; the answers don't."""
+    rng = np.random.default_rng(8)
+    words = lm._pack_words([b"", b"\n", *(b"w%d" % k for k in range(5000))])
+    rows = []
+    for k in range(2):
+        tokens = np.r_[rng.integers(2, 5002, 150_000), 0]
+        rows.append((k, [k], len(tokens), lm.pack(np.array([len(tokens)]), np.array([1]), tokens), words))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["segment", "ids", "n", "blob", "words"])
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    sent = pa.Table.from_batches(list(lm._ask(1, none[0])([batch])))
+    got, peak = {}, {}
+    for step in (20_000, 10**9):
+        monkeypatch.setattr(lm, "STEP", step)
+        tracemalloc.start()
+        got[step] = lm._answer(*none)(sent)["blob"].to_pylist()
+        peak[step] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert got[20_000] == got[10**9]
+    assert peak[20_000] < 0.5 * peak[10**9]
