@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.chemistry import ADDUCT_ATOMS, ADDUCTS, C13_STEP, ISOTOPES, formula_mass, ion_mz, isotope_logs
 from ..storage import scratch
 from .ordered import cumulate
-from .ranges import beside_in_order, bucket, dealt, nearest, window_join, within
+from .ranges import beside_in_order, bucket, dealt, met_in_place, nearest, window_join, within
 
 
 def species(carbons: range, bonds: range, chains: int = 1, head: tuple[str, float] = ("FA", 31.98982924)) -> list[tuple[str, str, float]]:
@@ -32,18 +32,20 @@ def ion_index(lipids: DataFrame, mode: str = "negative", adducts: list[str] | No
 def annotate(features: DataFrame, index: DataFrame, ppm: float = 10.0) -> DataFrame:
     """All candidates of features(feature_id, mz): ppm error, score, and rank within the feature.
 
-    The score is -|ppm| and a tenth of the tolerance for each unit of prior; ties go by class, name and adduct.
+    The score is -|ppm| and a tenth of the tolerance for each unit of prior; ties go by class, name and adduct.  Candidates
+    are ranked where they are met and not shuffled, unless rows share a feature_id.
     """
-    met = window_join(features, index, ppm, "mz", "ion_mz")
-    return _ranked(_scored(met, ppm))
+    if features.groupBy("feature_id").count().where("count > 1").isEmpty():
+        return _ranked(_scored(met_in_place(features, index, ppm, "mz", "ion_mz"), ppm), "__b").drop("__b")
+    return _ranked(_scored(window_join(features, index, ppm, "mz", "ion_mz"), ppm))
 
 
 def _scored(met: DataFrame, ppm: float) -> DataFrame:
     return met.withColumn("ppm", (F.col("mz") - F.col("ion_mz")) / F.col("ion_mz") * 1e6).withColumn("score", F.round(-F.abs("ppm") + 0.1 * ppm * F.col("prior"), 9))
 
 
-def _ranked(scored: DataFrame) -> DataFrame:
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("feature_id").orderBy(F.desc("score"), "class", "name", "adduct")))
+def _ranked(scored: DataFrame, *also: str) -> DataFrame:
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("feature_id", *also).orderBy(F.desc("score"), "class", "name", "adduct")))
 
 
 #: So many values of prior at most are searched one by one for the best candidate.

@@ -40,6 +40,20 @@ def window_join(queries: DataFrame, refs: DataFrame, ppm: float, query: str = "m
     return left.join(right, ["__b", *by]).where(within(F.col(query), F.col(ref), ppm)).drop("__b")
 
 
+def met_in_place(queries: DataFrame, refs: DataFrame, ppm: float, query: str = "mz", ref: str = "ref_mz") -> DataFrame:
+    """window_join() with the bucket, __b, kept: a query lies in one, and all it meets lies in the task of that bucket.
+
+    References are copied, and both sides are dealt out by bucket, so what goes by __b and more needs no shuffle of the pairs:
+    rows that travel are as many as the tables', however many pairs there are.  Buckets are one tolerance wide where that is under
+    half of a value.
+    """
+    part = ppm * 1e-6
+    cell = lambda mz: F.floor(F.log(mz) / F.lit(-math.log1p(-part) * (1 + 1e-9))) if 0 < part < 0.5 else bucket(mz, ppm)
+    left = dealt(queries.where(F.col(query) > 0).withColumn("__b", cell(F.col(query))), "__b")
+    right = dealt(refs.where(F.col(ref) > 0).withColumn("__b", F.explode(F.array(*[cell(F.col(ref)) + F.lit(k) for k in (-1, 0, 1)]))), "__b")
+    return left.hint("shuffle_hash").join(right, "__b").where(within(F.col(query), F.col(ref), ppm))
+
+
 def dealt(df: DataFrame, *columns: str) -> DataFrame:
     """df in as many partitions as a shuffle has, which aren't merged again: rows that compress well are many to a partition."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)

@@ -48,6 +48,26 @@ def test_nearest_prefers_the_lower_and_keeps_all(spark):
     assert rows(ranges.nearest(q, r, 50.0, ["id"]).select("id", "ref_mz"), "id") == [(1, 99.999), (2, None), (3, None)]
 
 
+@pytest.mark.parametrize("twice", [False, True])
+def test_candidates_are_ranked_where_they_are_met(spark, twice):
+    """No pair is shuffled, and ranks are those of all pairs; rows that share an id are ranked together."""
+    mzs = [(i, 100.0 * 1.01**i) for i in range(60)] + ([(7, 5000.0)] if twice else [(None, 300.0), (90, None), (91, -1.0)])
+    lipids = [(f"L{k}", "ab"[k % 2], 95.0 * 1.0013**k, (k % 5) / 10.0) for k in range(1500)]
+    ions = annotation.ion_index(spark.createDataFrame(lipids, "name string, class string, neutral_mass double, prior double")).where("adduct = '[M-H]-'")
+    got = annotation.annotate(spark.createDataFrame(mzs, "feature_id int, mz double"), ions, 5000.0)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert twice or "Exchange" not in plan[: plan.index("Join")]
+    found = sorted(ions.select("ion_mz", "prior", "class", "name", "adduct").collect())
+    want = {}
+    for i, mz in mzs:
+        for ion, prior, *names in found if mz and mz > 0 else ():
+            if mz - mz * 5000.0 / 1e6 <= ion <= mz + mz * 5000.0 / 1e6:
+                want.setdefault(i, []).append((-round(-abs((mz - ion) / ion * 1e6) + 500 * prior, 9), *names))
+    want = {(i, r + 1, n) for i, all_of in want.items() for r, (_, _, n, _) in enumerate(sorted(all_of))}
+    assert {(r["feature_id"], r["rank"], r["name"]) for r in got.collect()} == want
+    assert len(want) > 400
+
+
 def test_dense_grid_is_laid_out_behind_the_join(spark):
     """No row of the grid is shuffled: nothing is exchanged or joined above the explode."""
     values = spark.createDataFrame([(1, 0, 2.0), (1, 2, None), (3, 1, 4.0)], "pixel_id long, feature_id int, value double")
