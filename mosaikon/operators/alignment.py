@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chemistry
 from ..storage import scratch
-from .ranges import bucket, window_join
+from .ranges import bucket, dealt, window_join
 
 
 def lock_masses(peaks: DataFrame, n_refs: int = 3, min_rel: float = 0.05, min_share: float = 0.5, bin_ppm: float = 20.0) -> DataFrame:
@@ -88,8 +88,8 @@ def resampled(peaks: DataFrame, shifts: DataFrame) -> DataFrame:
     spectrum's m/z: two rows a point, no pairs.
     """
     used = peaks.where("pixel_id is not null and mz > 0").select("pixel_id", F.col("mz").cast("double").alias("mz"), F.coalesce(F.col("intensity").cast("double"), F.lit(0.0)).alias("intensity"))
-    # what lies in a spectrum lies together: one shuffle for the sums and the windows
-    one = used.repartition("pixel_id").groupBy("pixel_id", "mz").agg(F.sum("intensity").alias("intensity"))
+    # what lies in a spectrum lies together: one shuffle for the sums and the windows, whose parts aren't merged again
+    one = dealt(used, "pixel_id", rows=used.count()).groupBy("pixel_id", "mz").agg(F.sum("intensity").alias("intensity"))
     own = one.join(shifts.select("pixel_id", "shift"), "pixel_id", "left").withColumn("shift", F.coalesce("shift", F.lit(0.0)))
     none = F.lit(None).cast("double")
     knot = F.struct(F.col("mz").alias("at"), F.lit(0).alias("kind"), F.col("mz").alias("x"), F.col("intensity").alias("v"), none.alias("mz"))

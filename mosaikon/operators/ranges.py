@@ -54,9 +54,16 @@ def met_in_place(queries: DataFrame, refs: DataFrame, ppm: float, query: str = "
     return left.hint("shuffle_hash").join(right, "__b").where(within(F.col(query), F.col(ref), ppm))
 
 
-def dealt(df: DataFrame, *columns: str) -> DataFrame:
-    """df in as many partitions as a shuffle has, which aren't merged again: rows that compress well are many to a partition."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+#: Rows of a part that dealt() is told to bound.
+PART_ROWS = 1 << 19
+
+
+def dealt(df: DataFrame, *columns: str, rows: int = 0) -> DataFrame:
+    """df in as many partitions as a shuffle has, which aren't merged again: rows that compress well are many to a partition.
+
+    With rows, how many df has, there are more where a partition would have more than PART_ROWS.
+    """
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_ROWS)), *columns)
 
 
 def beside_in_order(queries: DataFrame, refs: DataFrame, query: str = "mz", ref: str = "ref_mz", by: tuple = ()) -> DataFrame:

@@ -198,3 +198,15 @@ def test_each_pixel_has_its_least_squares_fit(spark):
     assert np.abs(grad[got > 1e-9]).max() < 1e-5
     assert grad[got <= 1e-9].min(initial=0) > -1e-5
     assert np.linalg.norm(got @ h - v) / np.linalg.norm(v) < 0.1
+
+
+def test_parts_of_spectra_stay_small(spark, monkeypatch):
+    """Parts of many points aren't merged again, and there are more of them where there are more points."""
+    from mosaikon.operators import ranges
+
+    monkeypatch.setattr(ranges, "PART_ROWS", 50)
+    peaks = spark.createDataFrame([(p, 100.0 + k, float(k % 7)) for p in range(100) for k in range(20)], "pixel_id int, mz double, intensity double")
+    shifts = spark.createDataFrame([(p, 1, 0.0) for p in range(100)], "pixel_id int, n_refs int, shift double")
+    got = al.resampled(peaks, shifts)
+    assert got.rdd.getNumPartitions() == 40
+    assert sorted(map(tuple, got.collect())) == sorted((p, 100.0 + k, float(k % 7)) for p in range(100) for k in range(20))
