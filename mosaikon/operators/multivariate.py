@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from ..storage import scratch
+from ..storage import discard, scratch
 from .spatial import smooth
 
 
@@ -69,7 +69,9 @@ def segment(dense: DataFrame, k: int = 6, n_components: int = 5, seed: int = 0,
 def choose_k(dense: DataFrame, ks: range = range(2, 9), n_components: int = 5, seed: int = 0) -> int:
     """The number of clusters with the best silhouette."""
     z = scaled(dense)
-    s = PCA(k=n_components, inputCol="z", outputCol="s").fit(z).transform(z).select("pixel_id", "s")
+    model = PCA(k=n_components, inputCol="z", outputCol="s").fit(z)
+    # read by a fit and an evaluation for each k: scaling and projection are worked out once
+    s = scratch(model.transform(z).select("pixel_id", vector_to_array("s").alias("s")), "scores").select("pixel_id", array_to_vector("s").alias("s"))
     best = [(ClusteringEvaluator(featuresCol="s", predictionCol="c").evaluate(KMeans(k=k, featuresCol="s", predictionCol="c", seed=seed).fit(s).transform(s)), -k) for k in ks]
     return -max(best)[1]
 
@@ -311,15 +313,25 @@ def two_level_mixture(values: DataFrame, pixels: DataFrame, k: int = 3, rounds:
     moves by more than tolerance times the deviation of all values, after `rounds` at the latest.
     """
     q = values.agg(F.percentile("v", [(i + 0.5) / k for i in range(k)]).alias("q"), F.stddev_pop("v").alias("s")).first()
-    mean, sd, prior = list(q["q"]), [max(1e-9, (q["s"] or 0.0) / k)] * k, None
-    own = values.select("pixel_id", "v")
+    mean, sd = list(q["q"]), [max(1e-9, (q["s"] or 0.0) / k)] * k
+    # places go along with the values: what a round joins is large on both sides, and nothing of it goes by the driver
+    own = scratch(values.select("pixel_id", "v").join(pixels.select("pixel_id", "x", "y").hint("merge"), "pixel_id", "left"), "placed")
+    reach = math.ceil(2 * sigma)
+    cells = [(i, j, math.exp(-(i * i + j * j) / (2 * sigma * sigma))) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)]
+    step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(w).alias("w")) for i, j, w in cells]))
+    resp = None
     for _ in range(rounds):
-        base = own if prior is None else own.join(prior, "pixel_id")
-        weight = lambda i: F.lit(1.0 / k) if prior is None else F.greatest(F.get("prior", F.lit(i)), F.lit(1e-6))  # noqa: E731,B023
-        dens = [weight(i) * F.exp(-F.pow((F.col("v") - mean[i]) / sd[i], 2) / 2) / sd[i] for i in range(k)]
+        if resp is None:
+            base, weights = own, [F.lit(1.0 / k)] * k
+        else:
+            spread = resp.where("x is not null and y is not null").select("x", "y", "r", step.alias("s")).select((F.col("x") + F.col("s.i")).alias("x"), (F.col("y") + F.col("s.j")).alias("y"), F.col("s.w").alias("w"), *[(F.get("r", F.lit(i)) * F.col("s.w")).alias(f"w{i}") for i in range(k)])
+            soft = spread.groupBy("x", "y").agg(*[(F.sum(f"w{i}") / F.sum("w")).alias(f"p{i}") for i in range(k)])
+            base, weights = own.join(soft.hint("merge"), ["x", "y"]), [F.greatest(F.col(f"p{i}"), F.lit(1e-6)) for i in range(k)]
+        dens = [weights[i] * F.exp(-F.pow((F.col("v") - mean[i]) / sd[i], 2) / 2) / sd[i] for i in range(k)]
         total = sum(dens[1:], dens[0]) + 1e-300
-        resp = base.select("pixel_id", "v", F.array(*[d / total for d in dens]).alias("r"))
-        resp = scratch(resp, "responsibilities")
+        before, resp = resp, scratch(base.select("pixel_id", "x", "y", "v", F.array(*[d / total for d in dens]).alias("r")), "responsibilities")
+        if before is not None:
+            discard(before)
         r = [F.get("r", F.lit(i)) for i in range(k)]
         m = resp.agg(*[F.sum(x).alias(f"n{i}") for i, x in enumerate(r)], *[F.sum(x * F.col("v")).alias(f"s{i}") for i, x in enumerate(r)], *[F.sum(x * F.col("v") * F.col("v")).alias(f"q{i}") for i, x in enumerate(r)]).first()
         old = [*mean, *sd]
@@ -329,11 +341,6 @@ def two_level_mixture(values: DataFrame, pixels: DataFrame, k: int = 3, rounds:
             sd[i] = math.sqrt(max(m[f"q{i}"] / n - mean[i] ** 2, 1e-12)) + 1e-9
         if max(abs(a - b) for a, b in zip(old, [*mean, *sd], strict=True)) <= tolerance * (q["s"] or 0.0):
             break
-        soft = None
-        for i in range(k):
-            one = smooth(resp.select("pixel_id", r[i].alias("v")), pixels, sigma, 2).withColumnRenamed("v", f"p{i}")
-            soft = one if soft is None else soft.join(one, "pixel_id")
-        prior = scratch(soft.select("pixel_id", F.array(*[F.col(f"p{i}") for i in range(k)]).alias("prior")), "priors")
     order = sorted(range(k), key=lambda i: mean[i])
     rank = F.array(*[F.lit(order.index(i)) for i in range(k)])
     best = F.array_position("r", F.array_max("r")).cast("int") - 1

@@ -621,3 +621,40 @@ def test_prominence_and_distance(spark):
     spectrum = spark.createDataFrame([(k, float(x)) for k, x in enumerate([0, 1, 9, 8.5, 9.2, 1, 0, 4, 0, 0, 0, 0, 0.5, 0])], "bin int, v double")
     got = intake.pick_profile(spectrum, snr=0.0, prominence=0.0)
     assert [r.bin for r in got.orderBy("rank").collect()] == [4, 7, 12]
+
+
+def test_batch_mixing_folds_its_counts(spark, monkeypatch):
+    """However often a task counts what it holds, the answer is the same; before it counts it holds some pairs only."""
+    rng = np.random.default_rng(9)
+    data = [(i, f, i % 3, float(rng.normal(0.5 * (i % 3), 1))) for i in range(120) for f in range(2)]
+    t = spark.createDataFrame(data, "row_id int, feature int, batch int, v double")
+    want = cohort.batch_mixing(t).first()[0]
+    monkeypatch.setattr(cohort, "FOLD", 100)
+    assert cohort.batch_mixing(t).first()[0] == want
+
+
+def test_mixture_joins_nothing_by_way_of_the_driver(spark, monkeypatch):
+    """Tables of all pixels aren't broadcast; two halves of a noisy grid are told apart, pixels without a place are left out."""
+    plans = []
+    def seen(df, label, real=multivariate.scratch):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, label)
+
+    monkeypatch.setattr(multivariate, "scratch", seen)
+    rng = np.random.default_rng(10)
+    pixels = spark.createDataFrame([(i, i % 20, i // 20) for i in range(400)], "pixel_id int, x int, y int")
+    values = spark.createDataFrame([(i, float(rng.normal(3.0 * (i >= 200), 1.0))) for i in range(400)] + [(1000, 1.5)], "pixel_id int, v double")
+    got = {r["pixel_id"]: r["label"] for r in multivariate.two_level_mixture(values, pixels, 2).collect()}
+    assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
+    assert sorted(got) == list(range(400))
+    assert np.mean([got[i] == (i >= 200) for i in range(400)]) > 0.97
+
+
+def test_choose_k_projects_once(spark, monkeypatch):
+    """Every fit reads scores that are written once."""
+    written = []
+    monkeypatch.setattr(multivariate, "scratch", lambda df, label, real=multivariate.scratch: written.append(label) or real(df, label))
+    rng = np.random.default_rng(4)
+    data = [(p, f, float(max(0, rng.normal(5 if f // 4 == p // 30 else 0.5, 0.2)))) for p in range(90) for f in range(12)]
+    assert multivariate.choose_k(spark.createDataFrame(data, "pixel_id int, feature int, v double"), n_components=3) == 3
+    assert written == ["scores"]
