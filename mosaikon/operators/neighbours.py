@@ -23,6 +23,8 @@ from .multivariate import scaled
 
 #: Points of a group compared with each other at the start, and how often points are grouped.
 GROUP, TABLES = 64, 4
+#: Lists that meet at a time: what they find is as many links as their pairs.
+LISTS = 256
 #: Rounds of descent at most; they end when fewer than this share of all links is new.
 ROUNDS, STILL = 12, 0.002
 #: Points that exact_neighbours() takes at a time: what each task is told.
@@ -89,18 +91,19 @@ def _cut(links: DataFrame, k: int) -> DataFrame:
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lists of points that share a neighbour: the links among them that are nearer than a member's farthest."""
     for b in batches:
-        lists = b.column("near")
-        members, cuts = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        ids, most, x = members.field("v").to_numpy(), members.field("most").to_numpy(), _matrix(members.field("x"))
-        found = []
-        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            if e - s > 1:
-                d = _squares(x[s:e], x[s:e])
-                keep = (d < most[s:e, None]) & (ids[s:e, None] != ids[None, s:e])
-                if keep.any():
-                    found.append(_links(ids[s:e], d, keep))
-        if found:
-            yield pa.Table.from_batches(found).combine_chunks().to_batches()[0]
+        for at in range(0, b.num_rows, LISTS):
+            lists = b.column("near").slice(at, LISTS)
+            members, cuts = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            ids, most, x = members.field("v").to_numpy(), members.field("most").to_numpy(), _matrix(members.field("x"))
+            found = []
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if e - s > 1:
+                    d = _squares(x[s:e], x[s:e])
+                    keep = (d < most[s:e, None]) & (ids[s:e, None] != ids[None, s:e])
+                    if keep.any():
+                        found.append(_links(ids[s:e], d, keep))
+            if found:
+                yield pa.Table.from_batches(found).combine_chunks().to_batches()[0]
 
 
 def usable(points: DataFrame) -> DataFrame:

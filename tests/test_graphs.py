@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -296,3 +297,18 @@ def test_cells_of_odd_images(spark):
     assert cells.segment(spark.createDataFrame([], "row long, col long, v double")).count() == 0
     assert cells.segment(raster_of(spark, np.full((5, 6), 3.0))).count() == 0
     assert cells.segment(spark.createDataFrame([(0, 0, None), (0, 1, None)], "row long, col long, v double")).count() == 0
+
+
+def test_lists_meet_a_few_at_a_time(monkeypatch):
+    """What is found leaves after each slice of lists, and is the same whatever the slice."""
+    rng = np.random.default_rng(11)
+    kind = pa.list_(pa.struct([("v", pa.int64()), ("most", pa.float64()), ("x", pa.list_(pa.float32()))]))
+    lists = [[{"v": int(v), "most": 9.0, "x": rng.normal(0, 1, 3).tolist()} for v in rng.integers(0, 50, n)] for n in rng.integers(0, 9, 40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(lists, kind)], ["near"])
+    found = {}
+    for n in (7, 1000):
+        monkeypatch.setattr(neighbours, "LISTS", n)
+        found[n] = [b.to_pydict() for b in neighbours._meet(iter([batch]))]
+    assert (len(found[7]), len(found[1000])) == (6, 1)
+    for c in ("u", "v", "d"):
+        assert [x for b in found[7] for x in b[c]] == found[1000][0][c]
