@@ -71,7 +71,8 @@ def top_class(features: DataFrame, index: DataFrame, ppm: float = 10.0) -> DataF
         top = _scored(dealt(sides, "feature_id"), ppm).withColumn("top", F.max("score").over(Window.partitionBy("feature_id"))).where(F.col("score") >= F.col("top") - 2e-9)
         cell = F.floor(F.log("ion_mz") * F.lit(2.0**40))  # ions of one score lie in one cell or in two side by side
         few = top.select("feature_id", "mz", "prior", F.explode(F.array(*[cell + k for k in (-1, 0, 1)])).alias("__c")).distinct()
-        met = few.join(usual.withColumn("__c", cell), ["prior", "__c"]).where(within(F.col("mz"), F.col("ion_mz"), ppm))
+        # merged, as Spark would judge the ions by the file their lipids lie in and send all of them through the driver
+        met = few.join(usual.withColumn("__c", cell).hint("merge"), ["prior", "__c"]).where(within(F.col("mz"), F.col("ion_mz"), ppm))
         first = _scored(met, ppm).groupBy("feature_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "class", "name", "adduct")).alias("m")).select("feature_id", (-F.col("m.s")).alias("score"), "m.class", "m.name", "m.adduct")
         rest = annotate(asked, odd, ppm).where("rank = 1").select(*first.columns)
         best = _ranked(first.unionByName(rest)).where("rank = 1")

@@ -105,6 +105,27 @@ def test_nearest_matches_come_without_pairs(spark, monkeypatch):
     assert {r["feature_id"]: r["ion_mz"] for r in ranges.nearest(q, index.select("ion_mz"), 50.0, ["feature_id"], "mz", "ion_mz").where("ion_mz is not null").collect()} == near
 
 
+def test_best_class_sends_no_ions_to_the_driver(spark):
+    """Ions are many where their lipids' file is small: none of the joins may broadcast them, by which the driver would hold them all."""
+    lipids = spark.range(20000).selectExpr("concat('n', id % 17) AS name", "concat('c', id % 5) AS class", "300 + id * 0.0007D AS neutral_mass", "(1 + id % 2) / 10D AS prior", "id AS lipid_id")
+    index = annotation.ion_index(lipids, "negative", ["[M-H]-", "[M+Cl]-"])
+    q = spark.range(30).selectExpr("id AS feature_id", "301.5D + id * 0.401 AS mz")
+    want = {r["feature_id"]: (r["class"], r["name"]) for r in annotation.annotate(q, index, 50.0).where("rank = 1").collect()}
+    best = annotation.top_class(q, index, 50.0)
+    assert {r["feature_id"]: (r["class"], r["name"]) for r in best.collect()} == {k: want.get(k, (None, None)) for k in range(30)}
+    assert len(want) > 20
+
+    def nodes(plan):
+        yield plan
+        kind = plan.getClass().getSimpleName()
+        below = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(k) for k in range(plan.children().size())]
+        for each in below:
+            yield from nodes(each)
+
+    sent = [n.metrics().apply("numOutputRows").value() for n in nodes(best._jdf.queryExecution().executedPlan()) if n.nodeName() == "BroadcastExchange"]
+    assert sent and max(sent) < 1000, sent
+
+
 def test_window_join_equals_cross_join(spark):
     rng = np.random.default_rng(0)
     q = spark.createDataFrame([(i, float(m)) for i, m in enumerate(rng.uniform(100, 1000, 200))], "i int, mz double")
